@@ -71,9 +71,14 @@ def pair_counts_from_joined(joined: DataFrame, label_col: str = "label", pred_co
     ).agg(F.sum(w).cast("long").alias("n"))
 
 
-def scored_pairs(counts: DataFrame) -> DataFrame:
-    """Q4: metrics ignore rows whose label or prediction is missing."""
-    return counts.where(F.col("true_label").isNotNull() & F.col("pred_label").isNotNull())
+def _valid() -> Column:
+    """Q4: metrics ignore rows whose label or prediction is missing.
+
+    Used inside aggregate functions rather than as a row filter: a filter on
+    the label columns would be pushed down to the scan and re-evaluate the
+    whole classification expression there a second time.
+    """
+    return F.col("true_label").isNotNull() & F.col("pred_label").isNotNull()
 
 
 def accuracy_f1(counts: DataFrame, labels=LABELS) -> DataFrame:
@@ -81,8 +86,8 @@ def accuracy_f1(counts: DataFrame, labels=LABELS) -> DataFrame:
 
     F1 for one label = 2*TP / (predicted + true), 0.0 when undefined.
     """
-    c = scored_pairs(counts)
-    t, p, n = F.col("true_label"), F.col("pred_label"), F.col("n")
+    t, p = F.col("true_label"), F.col("pred_label")
+    n = F.when(_valid(), F.col("n")).otherwise(0)
     aggs = [F.sum(n).alias("_total"), F.sum(F.when(t == p, n).otherwise(0)).alias("_correct")]
     for lab in labels:
         aggs += [
@@ -90,7 +95,7 @@ def accuracy_f1(counts: DataFrame, labels=LABELS) -> DataFrame:
             F.sum(F.when(p == lab, n).otherwise(0)).alias(f"_pred_{lab}"),
             F.sum(F.when(t == lab, n).otherwise(0)).alias(f"_true_{lab}"),
         ]
-    agg = c.agg(*aggs)
+    agg = counts.agg(*aggs)
     cols = [_ratio(F.col("_correct"), F.col("_total")).alias("accuracy")]
     for lab in labels:
         cols.append(
@@ -101,17 +106,18 @@ def accuracy_f1(counts: DataFrame, labels=LABELS) -> DataFrame:
 
 def per_class_counts(counts: DataFrame) -> DataFrame:
     """A.5: ``(class, tp, pred_n, true_n)`` for every observed label."""
-    c = scored_pairs(counts)
-    contrib = c.select(
+    ok = _valid()
+    contrib = counts.select(
         F.explode(
             F.array(
-                F.struct(F.col("true_label").alias("cls"), F.lit(0).alias("pred_n"), F.col("n").alias("true_n"),
+                F.struct(F.when(ok, F.col("true_label")).alias("cls"), F.lit(0).alias("pred_n"),
+                         F.col("n").alias("true_n"),
                          F.when(F.col("true_label") == F.col("pred_label"), F.col("n")).otherwise(0).alias("tp")),
-                F.struct(F.col("pred_label").alias("cls"), F.col("n").alias("pred_n"), F.lit(0).alias("true_n"),
-                         F.lit(0).alias("tp")),
+                F.struct(F.when(ok, F.col("pred_label")).alias("cls"), F.col("n").alias("pred_n"),
+                         F.lit(0).alias("true_n"), F.lit(0).alias("tp")),
             )
         ).alias("x")
-    ).select("x.*")
+    ).select("x.*").where(F.col("cls").isNotNull())
     return contrib.groupBy(F.col("cls").alias("class")).agg(
         F.sum("tp").alias("tp"), F.sum("pred_n").alias("pred_n"), F.sum("true_n").alias("true_n")
     )
@@ -158,21 +164,21 @@ def classification_report(counts: DataFrame) -> DataFrame:
     return pc.drop("tp").unionByName(summary)
 
 
-def label_grid(spark, labels=LABELS) -> DataFrame:
-    """The k x k (true, pred) grid of the fixed label order (parameter sized)."""
-    rows = [(t, p, i, j) for i, t in enumerate(labels) for j, p in enumerate(labels)]
-    return spark.createDataFrame(rows, "true_label string, pred_label string, true_idx int, pred_idx int")
-
-
 def confusion_matrix(counts: DataFrame, labels=LABELS) -> DataFrame:
     """A5 (long form): every cell of the fixed label order, zeros included;
-    labels outside the order are ignored."""
-    inside = counts.where(F.col("true_label").isin(*labels) & F.col("pred_label").isin(*labels))
-    grid = label_grid(counts.sparkSession, labels)
-    # ``inside`` has at most k^2 rows by construction, so broadcasting it is safe.
-    return grid.join(F.broadcast(inside), ["true_label", "pred_label"], "left").select(
-        "true_label", "pred_label", "true_idx", "pred_idx", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("count")
-    )
+    labels outside the order are ignored. One conditional aggregation (no
+    join, no filter on the label columns) turned into k^2 rows."""
+    t, p = F.col("true_label"), F.col("pred_label")
+    cells = [(i, tl, j, pl) for i, tl in enumerate(labels) for j, pl in enumerate(labels)]
+    sums = counts.agg(*[
+        F.sum(F.when((t == tl) & (p == pl), F.col("n")).otherwise(0)).alias(f"_c{i}_{j}") for i, tl, j, pl in cells
+    ])
+    rows = F.array(*[
+        F.struct(F.lit(tl).alias("true_label"), F.lit(pl).alias("pred_label"), F.lit(i).alias("true_idx"),
+                 F.lit(j).alias("pred_idx"), F.coalesce(F.col(f"_c{i}_{j}"), F.lit(0)).cast("long").alias("count"))
+        for i, tl, j, pl in cells
+    ])
+    return sums.select(F.inline(rows))
 
 
 def confusion_wide(counts: DataFrame, labels=LABELS) -> DataFrame:

@@ -38,10 +38,14 @@ def explode_sentences(
     aggregations use partial aggregation and AQE handles the rest.
     """
     text = F.col(text_col) if already_clean else clean_text(F.col(text_col))
-    exploded = df.select(
+    # Cleaned text gets its own projection so the generator reads a column.
+    base = df.select(
         F.col(source_col).alias("source"),
         F.col(id_col).cast("string").alias("text_id"),
-        F.posexplode(split_sentences(text)).alias("sentence_index", "sentence"),
+        text.alias("_clean"),
+    )
+    exploded = base.select(
+        "source", "text_id", F.posexplode(split_sentences(F.col("_clean"))).alias("sentence_index", "sentence")
     )
     return exploded.select(
         sentence_id(platform_of(F.col("source")), F.col("text_id"), F.col("sentence_index")).alias("id"),

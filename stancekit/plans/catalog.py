@@ -17,11 +17,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stancekit.operators.partitioning import spread_for_cpu
+
 EPOCH_BASE = 1704067200  # 2024-01-01T00:00:00Z, base for synthetic epoch fields
 
 
+# Tables whose rows carry long texts processed by CPU-heavy expressions,
+# with the column that identifies a row.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:
+        df = spread_for_cpu(df, TEXT_TABLES[name])
+    return df
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
