@@ -20,11 +20,12 @@ def combine(rule: Column, transformer: Column, transformer_conf: Column, rule_co
     return final, conf
 
 
-def _score(df: DataFrame, text_col: str, cfg: ClassifierConfig, scorer: Scorer, only_neutral: bool) -> DataFrame:
+def _score(df: DataFrame, text_col: str, cfg: ClassifierConfig, scorer: Scorer, only_neutral: bool,
+           distinct_first: bool) -> DataFrame:
     """Add ``_tr_label`` / ``_tr_score``. Expensive scorers see each distinct
     text once (partial aggregation collapses repeated texts before the
     shuffle); the scores are joined back on the text."""
-    if not scorer.expensive:
+    if not distinct_first:
         scored = scorer.add_logits(df, text_col, cfg)
         best = argmax_label(F.col(LOGITS_COL), cfg)
         scored = scored.withColumn("_best", best).drop(LOGITS_COL)
@@ -55,6 +56,7 @@ def classify(
     cfg: ClassifierConfig | None = None,
     scorer: Scorer | None = None,
     sentence_col: str = "sentence",
+    distinct_scoring: bool | None = None,
 ) -> DataFrame:
     """M6: classify every row of ``df``.
 
@@ -62,6 +64,10 @@ def classify(
     by the remaining input columns in input order. As in the original tool,
     an input column with one of those five names takes the place (and value)
     of the computed one.
+
+    ``distinct_scoring`` (default: the scorer's ``expensive`` flag) scores
+    each distinct text once and joins the result back; streaming plans pass
+    ``False`` to score row by row without a shuffle.
     """
     cfg = cfg or ClassifierConfig()
     scorer = scorer or FallbackScorer()
@@ -69,7 +75,8 @@ def classify(
     # lower() once, in its own projection, shared by all substring tests.
     with_lc = df.withColumn("_lc", F.lower(text))
     with_rule = with_lc.withColumn("_rule", rule_label(text, cfg, lowered=F.col("_lc"))).drop("_lc")
-    scored = _score(with_rule, sentence_col, cfg, scorer, cfg.skip_scoring_on_rule_hit)
+    distinct_first = scorer.expensive if distinct_scoring is None else distinct_scoring
+    scored = _score(with_rule, sentence_col, cfg, scorer, cfg.skip_scoring_on_rule_hit, distinct_first)
     final, conf = combine(F.col("_rule"), F.col("_tr_label"), F.col("_tr_score"), cfg.rule_confidence)
     computed = {
         "sentence": text,

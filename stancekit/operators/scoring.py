@@ -7,7 +7,6 @@ only the model call itself leaves the JVM (Arrow batches, one model instance
 per Python worker).
 """
 
-from __future__ import annotations
 
 from collections.abc import Callable
 
