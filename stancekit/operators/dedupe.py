@@ -13,9 +13,10 @@ def _order_struct(order: list[Column | str]) -> Column:
     return F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(cols)])
 
 
-def dedupe_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """One row per key, the first by ``order`` (ascending; add a unique
-    tie-breaker for a deterministic winner).
+def dedupe_first(df: DataFrame, keys: list[str], order: list[Column | str], latest: bool = False) -> DataFrame:
+    """One row per key, the first by ``order`` (ascending value columns;
+    ``latest=True`` keeps the last instead). Add a unique tie-breaker for a
+    deterministic winner.
 
     Implemented as ``min_by`` in a grouped aggregation rather than a window:
     the aggregation combines rows map-side, so a key holding a large share of
@@ -24,7 +25,8 @@ def dedupe_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> D
     """
     payload = [c for c in df.columns if c not in keys]
     row = F.struct(*[F.col(c) for c in payload]) if payload else F.lit(None)
-    out = df.groupBy(*keys).agg(F.min_by(row, _order_struct(order)).alias("_first"))
+    pick = F.max_by if latest else F.min_by
+    out = df.groupBy(*keys).agg(pick(row, _order_struct(order)).alias("_first"))
     return out.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in payload]).select(*df.columns)
 
 

@@ -104,7 +104,7 @@ def prepare(raw: DataFrame, dedupe: bool = True) -> tuple[DataFrame, DataFrame]:
     runs (or written both per source and combined) is kept once per
     ``(platform, id)``, the most recent run winning."""
     if dedupe:
-        raw = dedupe_first(raw, ["platform", "id"], [F.col("run_ts").desc_nulls_last()])
+        raw = dedupe_first(raw, ["platform", "id"], [F.coalesce(F.col("run_ts"), F.lit(""))], latest=True)
     originals = add_cleaned_text(raw)
     sentences = explode_sentences(originals)
     return originals, sentences
