@@ -26,7 +26,11 @@ def dedupe_first(df: DataFrame, keys: list[str], order: list[Column | str], late
     payload = [c for c in df.columns if c not in keys]
     row = F.struct(*[F.col(c) for c in payload]) if payload else F.lit(None)
     pick = F.max_by if latest else F.min_by
-    out = df.groupBy(*keys).agg(pick(row, _order_struct(order)).alias("_first"))
+    # A leading 64-bit hash of the keys lets the sort-based aggregation
+    # compare longs instead of (possibly long) key strings; grouping by
+    # (hash, keys) is exactly grouping by keys.
+    grouped = df.groupBy(F.xxhash64(*keys).alias("_kh"), *keys)
+    out = grouped.agg(pick(row, _order_struct(order)).alias("_first"))
     return out.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in payload]).select(*df.columns)
 
 

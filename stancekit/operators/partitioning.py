@@ -16,9 +16,12 @@ def spread_for_cpu(df: DataFrame, key: str | None = None, min_partitions: int |
     already has far more splits than cores and the frame is returned as is,
     so the corpus is never shuffled just for parallelism.
     """
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # e.g. a Spark Connect session: leave planning to AQE
+        return df
+    if current >= target:
         return df
     if key is not None:
         return df.repartition(target, F.xxhash64(F.col(key)))
