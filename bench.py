@@ -45,7 +45,10 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    spark = build_session("stancekit-bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    # Local mode runs everything in the driver JVM: give it a real heap.
+    mem = os.environ.get("BENCH_DRIVER_MEMORY", "8g")
+    spark = build_session("stancekit-bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
+                          extra_conf={"spark.driver.memory": mem})
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
     # Warm-up: JIT, Python workers, file metadata.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stancekit.functions.text import clean_text, split_sentences
+from stancekit.functions.text import split_sentences, with_clean_text
 
 
 def platform_of(source: Column) -> Column:
@@ -21,7 +21,7 @@ def sentence_id(platform: Column, text_id: Column, index: Column) -> Column:
 
 def add_cleaned_text(df: DataFrame, text_col: str = "text", out_col: str = "cleaned_text") -> DataFrame:
     """Originals with the cleaned text appended (the ``originals`` relation)."""
-    return df.withColumn(out_col, clean_text(F.col(text_col)))
+    return with_clean_text(df, text_col, out_col)
 
 
 def explode_sentences(
@@ -37,13 +37,13 @@ def explode_sentences(
     to tens of thousands, so output partitions are uneven; downstream
     aggregations use partial aggregation and AQE handles the rest.
     """
-    text = F.col(text_col) if already_clean else clean_text(F.col(text_col))
-    # Cleaned text gets its own projection so the generator reads a column.
     base = df.select(
         F.col(source_col).alias("source"),
         F.col(id_col).cast("string").alias("text_id"),
-        text.alias("_clean"),
+        F.col(text_col).alias("_clean"),
     )
+    if not already_clean:
+        base = with_clean_text(base, "_clean", "_clean")
     exploded = base.select(
         "source", "text_id", F.posexplode(split_sentences(F.col("_clean"))).alias("sentence_index", "sentence")
     )

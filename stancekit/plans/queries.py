@@ -38,8 +38,8 @@ def _r6(c):
 # Text ------------------------------------------------------------------------
 
 def q_clean_text(spark, d):
-    docs = C.table(spark, d, "documents")
-    return docs.select("doc_id", T.clean_text(F.col("text")).alias("cleaned_text"))
+    docs = C.table(spark, d, "documents").select("doc_id", "text")
+    return T.with_clean_text(docs, "text", "cleaned_text").select("doc_id", "cleaned_text")
 
 
 def q_strip_html(spark, d):
@@ -69,14 +69,13 @@ def q_strip_special(spark, d):
 
 
 def q_clean_pages(spark, d):
-    pages = C.table(spark, d, "pages")
-    return pages.select("page_id", T.clean_text(F.col("html")).alias("cleaned_text"))
+    pages = C.table(spark, d, "pages").select("page_id", "html")
+    return T.with_clean_text(pages, "html", "cleaned_text").select("page_id", "cleaned_text")
 
 
 def q_split_sentences(spark, d):
-    docs = C.table(spark, d, "documents")
-    sents = T.split_sentences(T.clean_text(F.col("text")))
-    return docs.select("doc_id", F.size(sents).alias("n_sentences"))
+    docs = T.with_clean_text(C.table(spark, d, "documents").select("doc_id", "text"), "text", "c")
+    return docs.select("doc_id", F.size(T.split_sentences(F.col("c"))).alias("n_sentences"))
 
 
 def sentences(spark, d) -> DataFrame:
@@ -118,8 +117,8 @@ def q_classification_totals(spark, d):
 
 def document_inputs(spark, d) -> DataFrame:
     """Whole documents as classification inputs (cleaned text)."""
-    t = C.texts(spark, d)
-    return t.select("id", "source", T.clean_text(F.col("text")).alias("sentence"))
+    t = C.texts(spark, d).select("id", "source", "text")
+    return T.with_clean_text(t, "text", "sentence").select("id", "source", "sentence")
 
 
 def q_nli_argmax(spark, d):
