@@ -32,15 +32,30 @@ LEMMA_FORMS = {
 }
 
 
-def _gap_pattern(pairs) -> str:
+# Word edges spelled out (Java's and RE2's \b disagree outside ASCII).
+_START = r"(?:^|[^\p{L}\p{N}_])"
+_END = r"(?:$|[^\p{L}\p{N}_])"
+
+
+def gap_pattern(pairs) -> str:
+    """``first-lemma form ... second-lemma form`` as one regex over
+    lower-cased text (any tokens may lie between the two words)."""
     alts = []
     for first, second in pairs:
         a = "|".join(LEMMA_FORMS[first])
         b = "|".join(LEMMA_FORMS[second])
-        alts.append(rf"\b(?:{a})\b.*\b(?:{b})\b")
+        # first word, a separator, anything ending in a separator, second word
+        alts.append(rf"{_START}(?:{a})[^\p{{L}}\p{{N}}_](?:.*[^\p{{L}}\p{{N}}_])?(?:{b}){_END}")
     return "(?s)(?:" + "|".join(alts) + ")"
 
 
+def _gap_match(lo: Column, pairs) -> Column:
+    """Gap pattern, tried only when a first-lemma form occurs at all (a
+    plain substring test, so most texts skip the regex)."""
+    firsts = sorted({form for first, _ in pairs for form in LEMMA_FORMS[first]})
+    return lower_contains_any(lo, firsts) & lo.rlike(gap_pattern(pairs))
+
+
 def rule_label(text: Column, cfg: ClassifierConfig, lowered: Column | None = None) -> Column:
     """M1: null/empty -> neutral; any pro trigger -> pro; else any contra
     trigger -> contra; else neutral. Pro always wins over contra.
@@ -55,7 +70,7 @@ def rule_label(text: Column, cfg: ClassifierConfig, lowered: Column | None = Non
         .when(lower_contains_any(lo, cfg.contra_triggers), F.lit("contra"))
     )
     if cfg.apply_lemma_rules:
-        expr = expr.when(lo.rlike(_gap_pattern(PRO_LEMMA_PAIRS)), F.lit("pro")).when(
-            lo.rlike(_gap_pattern(CONTRA_LEMMA_PAIRS)), F.lit("contra")
+        expr = expr.when(_gap_match(lo, PRO_LEMMA_PAIRS), F.lit("pro")).when(
+            _gap_match(lo, CONTRA_LEMMA_PAIRS), F.lit("contra")
         )
     return expr.otherwise(F.lit("neutral"))

@@ -72,10 +72,17 @@ def contains_any(lo, phrases):
     return "(" + " OR ".join(f"contains({lo}, {lit(p)})" for p in phrases) + ")"
 
 
-def rule(c, pro=FIXTURE_PRO_TRIGGERS, contra=FIXTURE_CONTRA_TRIGGERS):
+def rule(c, pro=FIXTURE_PRO_TRIGGERS, contra=FIXTURE_CONTRA_TRIGGERS, lemma=False):
     lo = f"lower({c})"
+    extra = ""
+    if lemma:
+        from stancekit.config import CONTRA_LEMMA_PAIRS, PRO_LEMMA_PAIRS
+        from stancekit.operators.rules import gap_pattern
+
+        extra = (f"WHEN regexp_matches({lo}, {lit(gap_pattern(PRO_LEMMA_PAIRS))}) THEN 'pro' "
+                 f"WHEN regexp_matches({lo}, {lit(gap_pattern(CONTRA_LEMMA_PAIRS))}) THEN 'contra' ")
     return (f"(CASE WHEN {c} IS NULL OR {c} = '' THEN 'neutral' WHEN {contains_any(lo, pro)} THEN 'pro' "
-            f"WHEN {contains_any(lo, contra)} THEN 'contra' ELSE 'neutral' END)")
+            f"WHEN {contains_any(lo, contra)} THEN 'contra' {extra}ELSE 'neutral' END)")
 
 
 def py_strip(c):
@@ -327,6 +334,9 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT doc_id, CAST(len({split_sentences(clean('text'))}) AS INTEGER) AS n_sentences FROM documents")
     sql["explode_sentences"] = f"WITH {SENTENCES} SELECT * FROM sentences"
     sql["rule_classify"] = f"WITH {SENTENCES} SELECT id, {rule('sentence')} AS rule_based FROM sentences"
+    sql["lemma_gap_rules"] = (f"WITH {SENTENCES} SELECT id, {rule('sentence', lemma=True)} AS rule_based "
+                              "FROM sentences")
+    sql["csv_scan"] = "SELECT CAST(doc_id AS VARCHAR) AS id, source, text FROM documents"
     sql["classification_stats"] = f"WITH {SENT_RESULTS} SELECT source, {STATS_COLS} FROM sres GROUP BY source"
     sql["classification_totals"] = f"WITH {SENT_RESULTS} SELECT {STATS_COLS} FROM sres"
     sql["nli_argmax"] = (f"WITH {DOC_RESULTS} SELECT id, transformer, round(tr_score, 6) AS transformer_score "

@@ -22,9 +22,12 @@ from stancekit.operators.sampling import labeling_sample
 from stancekit.operators.scoring import ExpressionScorer, argmax_label, synthetic_logits
 from stancekit.operators.sentences import explode_sentences
 from stancekit.plans import catalog as C
-from stancekit.sources import news, social
+from stancekit.session import scratch_path
+from stancekit.sources import files, news, social
 
 FIXTURE = ClassifierConfig.fixture()
+FIXTURE_LEMMA = ClassifierConfig(pro_triggers=FIXTURE.pro_triggers, contra_triggers=FIXTURE.contra_triggers,
+                                 apply_lemma_rules=True)
 SEARCH_TERMS = ("für", "the", "que", "nicht")
 SITES = (("site_com", "example.com"), ("site_net", "example.net"), ("site_org", "example.org"))
 HASHTAGS = ("view", "click")
@@ -93,6 +96,11 @@ def q_rule_classify(spark, d):
     return s.select("id", rule_label(F.col("sentence"), FIXTURE).alias("rule_based"))
 
 
+def q_lemma_gap_rules(spark, d):
+    s = sentences(spark, d)
+    return s.select("id", rule_label(F.col("sentence"), FIXTURE_LEMMA).alias("rule_based"))
+
+
 def sentence_results(spark, d) -> DataFrame:
     return classify(sentences(spark, d), FIXTURE)
 
@@ -252,6 +260,18 @@ def q_union_all(spark, d):
     return union_all([docs, conv])
 
 
+def q_csv_scan(spark, d):
+    """S13 round trip: documents written as one-header-per-file CSV (quotes,
+    commas and newlines inside texts) and imported by the legacy reader."""
+    import uuid
+
+    path = scratch_path(spark, "csv_scan", uuid.uuid4().hex)
+    docs = C.texts(spark, d).select("id", "source", "text")
+    (docs.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return files.read_legacy_csv_dir(spark, path).select("id", "source", "text")
+
+
 def q_labeling_sample(spark, d):
     return labeling_sample(sentences(spark, d), 50)
 
@@ -267,6 +287,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "split_sentences": q_split_sentences,
     "explode_sentences": q_explode_sentences,
     "rule_classify": q_rule_classify,
+    "lemma_gap_rules": q_lemma_gap_rules,
     "classification_stats": q_classification_stats,
     "classification_totals": q_classification_totals,
     "nli_argmax": q_nli_argmax,
@@ -294,4 +315,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dedupe_first": q_dedupe_first,
     "union_all": q_union_all,
     "labeling_sample": q_labeling_sample,
+    "csv_scan": q_csv_scan,
 }

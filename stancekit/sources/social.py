@@ -174,8 +174,10 @@ def tweets_union_dedupe(tweets: DataFrame, hashtags: Sequence[str], usernames: S
                         lang: str | None = "de", count: int = 100) -> DataFrame:
     """Hashtag tweets then timeline tweets, one row per id; the hashtag
     copy wins (it comes first in collection order)."""
-    tagged = dedupe_first(_hashtag_ranked(tweets, hashtags, lang, count), ["id"], ["grp", "rank"])
-    tagged = tagged.withColumn("prio", F.lit(0))
+    # One keep-first pass over both branches: ordering by (prio, grp, rank)
+    # picks the same row as de-duplicating the hashtag branch first, with a
+    # single shuffle by id.
+    tagged = _hashtag_ranked(tweets, hashtags, lang, count).withColumn("prio", F.lit(0))
     timeline = _timeline_ranked(tweets, usernames, count).withColumn("prio", F.lit(1))
     both = union_all([tagged, timeline])
     return dedupe_first(both, ["id"], ["prio", "grp", "rank"]).select(*TWEET_COLUMNS)
