@@ -338,6 +338,9 @@ def oracle_sql() -> dict[str, str]:
                               "FROM sentences")
     sql["csv_scan"] = "SELECT CAST(doc_id AS VARCHAR) AS id, source, text FROM documents"
     sql["classification_stats"] = f"WITH {SENT_RESULTS} SELECT source, {STATS_COLS} FROM sres GROUP BY source"
+    sql["german_sentence_stats"] = (
+        f"WITH {SENT_RESULTS.replace('AS arr FROM documents', 'AS arr FROM documents WHERE lang = ' + lit('de'))} "
+        f"SELECT source, {STATS_COLS} FROM sres GROUP BY source")
     sql["classification_totals"] = f"WITH {SENT_RESULTS} SELECT {STATS_COLS} FROM sres"
     sql["nli_argmax"] = (f"WITH {DOC_RESULTS} SELECT id, transformer, round(tr_score, 6) AS transformer_score "
                          f"FROM doc_tr")

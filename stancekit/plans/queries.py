@@ -114,6 +114,19 @@ def q_classification_stats(spark, d):
     )
 
 
+def q_german_sentence_stats(spark, d):
+    """Minimum slice: German documents -> clean -> sentences -> rules ->
+    statistics per source. The language filter reaches the Parquet scan."""
+    de = C.texts(spark, d).where(F.col("lang") == "de")
+    res = classify(explode_sentences(de, text_col="text", already_clean=False), FIXTURE)
+    st = classification_stats(res, ("source",))
+    return st.select(
+        "source", "total", "pro", "contra", "neutral", "rule_based_used", "transformer_used",
+        _r6(F.col("avg_confidence")).alias("avg_confidence"), _r6(F.col("pro_percent")).alias("pro_percent"),
+        _r6(F.col("contra_percent")).alias("contra_percent"), _r6(F.col("neutral_percent")).alias("neutral_percent"),
+    )
+
+
 def q_classification_totals(spark, d):
     st = classification_stats(sentence_results(spark, d))
     return st.select(
@@ -290,6 +303,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lemma_gap_rules": q_lemma_gap_rules,
     "classification_stats": q_classification_stats,
     "classification_totals": q_classification_totals,
+    "german_sentence_stats": q_german_sentence_stats,
     "nli_argmax": q_nli_argmax,
     "combine_classify": q_combine_classify,
     "eval_join": q_eval_join,

@@ -77,3 +77,9 @@ def test_metrics_do_not_duplicate_text_work(spark):
     assert filters and not any("https?://" in ln for ln in filters)
     projects = [ln for ln in plan.split("\n") if ln.strip(" :+-").startswith("Project") and "https?://" in ln]
     assert len(projects) == 1
+
+
+def test_flagship_pushes_language_filter(spark):
+    plan = _plan(entry.entry(spark))
+    assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,de)]" in plan
+    assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string,source:string>" in plan
