@@ -10,6 +10,7 @@ Unicode letters, digits and white space.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from html.entities import html5
 
@@ -44,38 +45,63 @@ KEYCAP = r"[0-9#*][\x{fe0e}\x{fe0f}]?\x{20e3}"
 # HTML elements whose content is not document text.
 NON_TEXT_ELEMENTS = ("script", "style", "template")
 
-# Named character references decoded after tag removal; code points come
-# from the standard HTML5 table. ``&amp;`` is decoded last so that an escaped
-# reference such as ``&amp;lt;`` ends up as the literal text ``&lt;``.
-ENTITY_NAMES = (
-    "nbsp", "lt", "gt", "quot", "apos", "copy", "reg", "trade", "middot",
-    "ndash", "mdash", "hellip", "laquo", "raquo", "bdquo", "ldquo", "rdquo",
-    "lsquo", "rsquo", "sbquo", "euro", "sect", "deg", "shy", "times", "bull",
-    "auml", "ouml", "uuml", "Auml", "Ouml", "Uuml", "szlig",
-    "aacute", "eacute", "iacute", "oacute", "uacute",
-    "agrave", "egrave", "igrave", "ograve", "ugrave",
-    "acirc", "ecirc", "icirc", "ocirc", "ucirc", "ccedil", "ntilde",
-)
-NUMERIC_ENTITIES = {"&#39;": "'", "&#x27;": "'", "&#34;": '"', "&#x22;": '"', "&#160;": " "}
+# Character references -------------------------------------------------------
+# Named references: the HTML5 table of Python's standard library (names with
+# their terminating semicolon). Decimal and hexadecimal references map to
+# their code point; 0x80-0x9F follow windows-1252 as browsers do; invalid
+# code points become U+FFFD.
+NAMED_REFERENCES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+
+
+def _cp1252_char(cp: int) -> str:
+    try:
+        return bytes([cp]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(cp)
+
+
+CP1252_REFERENCES = {cp: _cp1252_char(cp) for cp in range(0x80, 0xA0)}
+
+# A text splits into references and the runs between them; decoding each
+# token and joining them back is a single left-to-right pass, so decoded
+# output is never decoded again (``&amp;lt;`` stays ``&lt;``).
+REFERENCE_TOKENS = r"&#?[A-Za-z0-9]+;|[^&]+|&"
+NAMED_REF = r"^&([A-Za-z][A-Za-z0-9]*);$"
+DECIMAL_REF = r"^&#([0-9]{1,7});$"
+HEX_REF = r"^&#[xX]([0-9A-Fa-f]{1,6});$"
 
 
-def _entity_table() -> list[tuple[str, str]]:
-    table = [(f"&{name};", html5[f"{name};"]) for name in ENTITY_NAMES]
-    table += list(NUMERIC_ENTITIES.items())
-    table.append(("&amp;", "&"))
-    return table
+def _map_literal(mapping: dict) -> Column:
+    """A constant ``map<string,string>`` from one JSON literal (folded once
+    by the optimizer; one call instead of one per entry)."""
+    return F.from_json(F.lit(json.dumps({str(k): v for k, v in mapping.items()})), "map<string,string>")
 
 
-ENTITIES = _entity_table()
+def code_point_char(cp: Column) -> Column:
+    """The character of code point ``cp`` (U+FFFD when invalid)."""
+    cp1252 = _map_literal(CP1252_REFERENCES)
+    valid = (cp >= 1) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
+    utf32 = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
+    return (F.when(cp.between(0x80, 0x9F), F.try_element_at(cp1252, cp.cast("string")))
+            .when(valid, utf32).otherwise(F.lit("\ufffd")))
 
 
-def _replace_all(c: Column, pairs) -> Column:
-    return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), pairs, c)
+def _decode_token(t: Column) -> Column:
+    named = _map_literal(NAMED_REFERENCES)
+    name = F.regexp_extract(t, NAMED_REF, 1)
+    dec = F.regexp_extract(t, DECIMAL_REF, 1)
+    hx = F.regexp_extract(t, HEX_REF, 1)
+    cp = F.when(dec != "", dec.cast("long")).when(hx != "", F.conv(hx, 16, 10).cast("long"))
+    return (F.when(name != "", F.coalesce(F.try_element_at(named, name), t))
+            .when(cp.isNotNull(), code_point_char(cp)).otherwise(t))
 
 
 def decode_entities(c: Column) -> Column:
-    """Decode the common named and numeric character references."""
-    return F.when(c.contains("&"), _replace_all(c, ENTITIES)).otherwise(c)
+    """Decode named, decimal and hexadecimal character references (texts
+    without ``&`` are returned as they are)."""
+    tokens = F.regexp_extract_all(c, F.lit(REFERENCE_TOKENS), F.lit(0))
+    decoded = F.array_join(F.transform(tokens, _decode_token), "")
+    return F.when(c.contains("&"), decoded).otherwise(c)
 
 
 def strip_tags(c: Column) -> Column:

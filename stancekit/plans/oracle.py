@@ -30,11 +30,30 @@ def strip_tags(c):
     return rr(out, r"(?s)<[/!?a-zA-Z][^>]*>")
 
 
+def _map_sql(mapping):
+    return "MAP {" + ", ".join(f"{lit(str(k))}: {lit(v)}" for k, v in mapping.items()) + "}"
+
+
+NAMED_MAP = _map_sql(T.NAMED_REFERENCES)
+CP1252_MAP = _map_sql(T.CP1252_REFERENCES)
+
+
+def _code_point_char(cp):
+    return (f"CASE WHEN {cp} BETWEEN 128 AND 159 THEN map_extract({CP1252_MAP}, CAST({cp} AS VARCHAR))[1] "
+            f"WHEN {cp} >= 1 AND {cp} <= 1114111 AND NOT ({cp} BETWEEN 55296 AND 57343) THEN chr(CAST({cp} AS INTEGER)) "
+            "ELSE chr(65533) END")
+
+
 def decode(c):
-    out = c
-    for ent, ch in T.ENTITIES:
-        out = f"replace({out}, {lit(ent)}, {lit(ch)})"
-    return out
+    name = f"regexp_extract(t, {lit(T.NAMED_REF)}, 1)"
+    dec = f"regexp_extract(t, {lit(T.DECIMAL_REF)}, 1)"
+    hx = f"regexp_extract(t, {lit(T.HEX_REF)}, 1)"
+    cp = f"(CASE WHEN {dec} <> '' THEN CAST({dec} AS BIGINT) WHEN {hx} <> '' THEN CAST('0x' || {hx} AS BIGINT) END)"
+    token = (f"CASE WHEN {name} <> '' THEN coalesce(map_extract({NAMED_MAP}, {name})[1], t) "
+             f"WHEN {cp} IS NOT NULL THEN {_code_point_char(cp)} ELSE t END")
+    tokens = f"regexp_extract_all({c}, {lit(T.REFERENCE_TOKENS)})"
+    return (f"(CASE WHEN contains({c}, '&') THEN array_to_string(list_transform({tokens}, lambda t: {token}), '') "
+            f"ELSE {c} END)")
 
 
 def strip_html(c):
