@@ -28,12 +28,10 @@ def _score(df: DataFrame, text_col: str, cfg: ClassifierConfig, scorer: Scorer,
     if not distinct_first:
         scored = scorer.add_logits(df, text_col, cfg)
         best = argmax_label(F.col(LOGITS_COL), cfg)
-        scored = scored.withColumn("_best", best).drop(LOGITS_COL)
         if only_neutral:
-            scored = scored.withColumn("_best", F.when(F.col("_rule") == "neutral", F.col("_best")))
-        return scored.withColumn("_tr_label", F.col("_best.label")).withColumn(
-            "_tr_score", F.col("_best.score")
-        ).drop("_best")
+            best = F.when(F.col("_rule") == "neutral", best)
+        keep = [c for c in scored.columns if c != LOGITS_COL]
+        return scored.select(*keep, best.label.alias("_tr_label"), best.score.alias("_tr_score"))
 
     texts = df
     if only_neutral:
@@ -42,13 +40,13 @@ def _score(df: DataFrame, text_col: str, cfg: ClassifierConfig, scorer: Scorer,
     scored = scorer.add_logits(distinct, "_text", cfg)
     best = argmax_label(F.col(LOGITS_COL), cfg)
     scored = scored.select("_text", best.label.alias("_tr_label"), best.score.alias("_tr_score"))
-    joined = df.join(scored, df[text_col] == scored["_text"], "left").drop("_text")
+    joined = df.join(scored, df[text_col] == scored["_text"], "left")
     if only_neutral:
-        return joined
+        return joined.drop("_text")
     # Null or empty texts never reach the model: ('neutral', 0.0).
-    return joined.withColumn("_tr_label", F.coalesce("_tr_label", F.lit("neutral"))).withColumn(
-        "_tr_score", F.coalesce("_tr_score", F.lit(0.0))
-    )
+    keep = [c for c in df.columns]
+    return joined.select(*keep, F.coalesce("_tr_label", F.lit("neutral")).alias("_tr_label"),
+                         F.coalesce("_tr_score", F.lit(0.0)).alias("_tr_score"))
 
 
 def classify(
@@ -73,8 +71,9 @@ def classify(
     scorer = scorer or FallbackScorer()
     text = F.col(sentence_col)
     # lower() once, in its own projection, shared by all substring tests.
-    with_lc = df.withColumn("_lc", F.lower(text))
-    with_rule = with_lc.withColumn("_rule", rule_label(text, cfg, lowered=F.col("_lc"))).drop("_lc")
+    with_lc = df.select("*", F.lower(text).alias("_lc"))
+    with_rule = with_lc.select(*[F.col(c) for c in df.columns],
+                               rule_label(text, cfg, lowered=F.col("_lc")).alias("_rule"))
     distinct_first = scorer.expensive if distinct_scoring is None else distinct_scoring
     scored = _score(with_rule, sentence_col, cfg, scorer, cfg.skip_scoring_on_rule_hit, distinct_first)
     final, conf = combine(F.col("_rule"), F.col("_tr_label"), F.col("_tr_score"), cfg.rule_confidence)

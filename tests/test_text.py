@@ -99,3 +99,17 @@ def test_entities_and_absolute_urls(spark):
     r = df.select(T.strip_html(F.col("t")).alias("s"), T.url_absolutize(F.col("href"), F.col("root")).alias("u")).first()
     assert r.s == '&lt;b&gt; "x" ©'
     assert r.u == "https://h.de/a"
+
+
+def test_references_decode_like_html_unescape(spark):
+    import html
+
+    rows = ["&amp;lt; &lt;b&gt; &quot;x&quot; &copy; &auml;&ouml; &#8220;q&#x201D; &#150; &#0; &#xD800; "
+            "&bogus; & alone &#38;amp; &NotEqualTilde; &AMP; &#128512;", "plain", ""]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    got = [r.d for r in df.select(T.decode_entities(F.col("t")).alias("d")).collect()]
+    assert got == [html.unescape(r) for r in rows]
+
+
+def test_numeric_quotes_do_not_leave_digits(spark):
+    assert clean_one(spark, "Er sagte &#8222;Hallo&#8220; &#x2013; gut.") == "Er sagte Hallo  gut."
