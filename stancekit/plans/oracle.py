@@ -356,6 +356,8 @@ def oracle_sql() -> dict[str, str]:
     sql["lemma_gap_rules"] = (f"WITH {SENTENCES} SELECT id, {rule('sentence', lemma=True)} AS rule_based "
                               "FROM sentences")
     sql["csv_scan"] = "SELECT CAST(doc_id AS VARCHAR) AS id, source, text FROM documents"
+    sql["stream_classify"] = (f"WITH {SENT_RESULTS} SELECT id, source, text_id, sentence_index, rule_based, final, "
+                              "CAST(confidence AS DOUBLE) AS confidence FROM sres")
     sql["classification_stats"] = f"WITH {SENT_RESULTS} SELECT source, {STATS_COLS} FROM sres GROUP BY source"
     sql["german_sentence_stats"] = (
         f"WITH {SENT_RESULTS.replace('AS arr FROM documents', 'AS arr FROM documents WHERE lang = ' + lit('de'))} "

@@ -285,6 +285,26 @@ def q_csv_scan(spark, d):
     return files.read_legacy_csv_dir(spark, path).select("id", "source", "text")
 
 
+def q_stream_classify(spark, d):
+    """ST1: the documents table consumed as a stream (one micro-batch per
+    file, trigger availableNow) through clean -> split -> classify into a
+    Parquet sink with its checkpoint in the shared folder; returns the
+    sink's contents, which equal the batch classification."""
+    import uuid
+
+    from stancekit.streaming import streams
+
+    base = scratch_path(spark, "stream_classify", uuid.uuid4().hex)
+    schema = spark.read.parquet(f"{d.rstrip('/')}/documents.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    items = raw.select(F.col("doc_id").cast("string").alias("id"), "source", "text")
+    out = streams.stream_classify(items, FIXTURE).select(
+        "id", "source", "text_id", "sentence_index", "rule_based", "final", "confidence")
+    q = streams.start(out, f"{base}/out", f"{base}/checkpoint", available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 def q_labeling_sample(spark, d):
     return labeling_sample(sentences(spark, d), 50)
 
@@ -330,4 +350,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "union_all": q_union_all,
     "labeling_sample": q_labeling_sample,
     "csv_scan": q_csv_scan,
+    "stream_classify": q_stream_classify,
 }
