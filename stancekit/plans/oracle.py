@@ -358,6 +358,15 @@ def oracle_sql() -> dict[str, str]:
     sql["csv_scan"] = "SELECT CAST(doc_id AS VARCHAR) AS id, source, text FROM documents"
     sql["stream_classify"] = (f"WITH {SENT_RESULTS} SELECT id, source, text_id, sentence_index, rule_based, final, "
                               "CAST(confidence AS DOUBLE) AS confidence FROM sres")
+    sql["stream_window_stats"] = f"""WITH r AS (
+  SELECT ts, {rule(clean('props'))} AS rule_based FROM events
+), f AS (
+  SELECT time_bucket(INTERVAL 1 hour, ts) AS ws, CASE WHEN rule_based <> 'neutral' THEN rule_based ELSE 'neutral' END
+         AS final, CASE WHEN rule_based <> 'neutral' THEN 0.9 ELSE 0.0 END AS confidence FROM r
+)
+SELECT CAST(ws AS VARCHAR) AS window_start, CAST(ws + INTERVAL 1 hour AS VARCHAR) AS window_end, final,
+       count(*) AS n, round(avg(confidence), 6) AS avg_confidence
+FROM f WHERE ws + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 1 hour GROUP BY ws, final"""
     sql["classification_stats"] = f"WITH {SENT_RESULTS} SELECT source, {STATS_COLS} FROM sres GROUP BY source"
     sql["german_sentence_stats"] = (
         f"WITH {SENT_RESULTS.replace('AS arr FROM documents', 'AS arr FROM documents WHERE lang = ' + lit('de'))} "

@@ -305,6 +305,31 @@ def q_stream_classify(spark, d):
     return spark.read.parquet(f"{base}/out")
 
 
+def q_stream_window_stats(spark, d):
+    """ST3: events consumed as a stream of tweets, classified per item and
+    counted per 1-hour tumbling window and label with a 1-hour watermark
+    (append mode): exactly the windows the watermark has closed are
+    emitted. Window bounds are returned as text."""
+    import uuid
+
+    from stancekit.streaming import streams
+
+    base = scratch_path(spark, "stream_window_stats", uuid.uuid4().hex)
+    schema = spark.read.parquet(f"{d.rstrip('/')}/events.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    # Watermarks need TIMESTAMP; the table stores wall-clock UTC (NTZ).
+    events = raw.select(F.col("event_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "props")
+    items = T.with_clean_text(events,
+                              "props", "sentence").drop("props")
+    stats = streams.stream_stats(classify(items, FIXTURE, distinct_scoring=False), "ts", "1 hour", "1 hour")
+    out = stats.select(F.col("window.start").cast("string").alias("window_start"),
+                       F.col("window.end").cast("string").alias("window_end"), "final", "n",
+                       F.round("avg_confidence", 6).alias("avg_confidence"))
+    q = streams.start(out, f"{base}/out", f"{base}/checkpoint", available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 def q_labeling_sample(spark, d):
     return labeling_sample(sentences(spark, d), 50)
 
@@ -351,4 +376,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "labeling_sample": q_labeling_sample,
     "csv_scan": q_csv_scan,
     "stream_classify": q_stream_classify,
+    "stream_window_stats": q_stream_window_stats,
 }
