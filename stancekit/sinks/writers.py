@@ -30,10 +30,20 @@ def _with_run(df: DataFrame, run_ts: str) -> DataFrame:
     return out
 
 
-def write_raw(df: DataFrame, base: str, run_ts: str, dataset: str) -> str:
-    """K1: collector output under ``base/dataset``."""
+def write_raw(df: DataFrame, base: str, run_ts: str, dataset: str, fmt: str = "parquet") -> str:
+    """K1: collector output under ``base/dataset`` (Parquet, or CSV with a
+    header per file for tools that expect the original files; array columns
+    are written as JSON text in CSV)."""
     path = os.path.join(base, dataset)
-    _with_run(df, run_ts).write.mode("append").partitionBy("platform", "run_ts").parquet(path)
+    out = _with_run(df, run_ts)
+    if fmt == "csv":
+        for field in out.schema.fields:
+            if field.dataType.typeName() in ("array", "map", "struct"):
+                out = out.withColumn(field.name, F.to_json(F.col(field.name)))
+        (out.write.mode("append").partitionBy("platform", "run_ts").option("header", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    else:
+        out.write.mode("append").partitionBy("platform", "run_ts").parquet(path)
     return path
 
 
@@ -49,7 +59,8 @@ def write_prepared(originals: DataFrame, sentences: DataFrame, base: str, run_ts
 def write_labeling_sample(sample: DataFrame, base: str, run_ts: str) -> str:
     """K3: one CSV file for manual labelling (at most ``sample_size`` rows)."""
     path = os.path.join(base, f"labeling_sample_{run_ts}")
-    sample.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (sample.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 

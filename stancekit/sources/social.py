@@ -100,14 +100,20 @@ def post_search(posts: DataFrame, subreddits: Sequence[str], terms: Sequence[str
     return first.select(*POST_COLUMNS)
 
 
-def comments_for_posts(comments: DataFrame, posts: DataFrame) -> DataFrame:
+def comments_for_posts(comments: DataFrame, posts: DataFrame, limit_per_post: int | None = None) -> DataFrame:
     """Every comment of the given posts (left-semi join on post id).
 
     ``comments`` needs ``id, post_id, text, author, score, created_utc
-    (epoch seconds), parent_id``.
+    (epoch seconds), parent_id``. Q7: with ``limit_per_post`` only the
+    earliest ``limit_per_post`` comments of each post are kept (top-N per
+    key, pre-limited before the shuffle).
     """
+    from stancekit.operators.dedupe import topn_per_key
+
     wanted = posts.select(F.col("id").cast("string").alias("post_id"))
     picked = comments.withColumn("post_id", F.col("post_id").cast("string")).join(wanted, "post_id", "left_semi")
+    if limit_per_post is not None:
+        picked = topn_per_key(picked, ["post_id"], [F.col("created_utc"), F.col("id")], limit_per_post)
     return picked.select(
         F.col("id").cast("string").alias("id"), "post_id", F.lit("reddit_comment").alias("source"), "text",
         F.col("author").cast("string").alias("author"), F.col("score").cast("long").alias("score"),

@@ -109,3 +109,21 @@ def test_hashtag_projection(spark):
     df = spark.createDataFrame([({"hashtags": [{"text": "a"}, {"text": "b"}]},), (None,)],
                                "entities struct<hashtags: array<struct<text: string>>>")
     assert [r.h for r in df.select(social.hashtag_texts(F.col("entities")).alias("h")).collect()] == [["a", "b"], []]
+
+
+def test_comment_limit_per_post(spark):
+    comments = spark.createDataFrame(
+        [(f"c{i}", "p1" if i < 5 else "p2", "t", "a", 1, 100 - i, "x") for i in range(8)],
+        "id string, post_id string, text string, author string, score long, created_utc long, parent_id string")
+    posts = spark.createDataFrame([("p1",), ("p2",)], "id string")
+    got = social.comments_for_posts(comments, posts, limit_per_post=2).collect()
+    assert sorted((r.post_id, r.id) for r in got) == [("p1", "c3"), ("p1", "c4"), ("p2", "c6"), ("p2", "c7")]
+
+
+def test_raw_sink_csv(spark, tmp_path):
+    from stancekit.sinks import writers as W
+
+    df = spark.createDataFrame([("1", "twitter", 'a "q", b', ["x", "y"])], "id string, source string, text string, hashtags array<string>")
+    path = W.write_raw(df, str(tmp_path), "20240101_000000", "tweets", fmt="csv")
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).first()
+    assert back.text == 'a "q", b' and back.hashtags == '["x","y"]' and back.platform == "twitter"
