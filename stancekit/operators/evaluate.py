@@ -8,7 +8,7 @@ result row instead of the product of its row counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stancekit.config import LABELS
@@ -125,7 +125,13 @@ def per_class_counts(counts: DataFrame) -> DataFrame:
 def classification_report(counts: DataFrame) -> DataFrame:
     """A4: ``class, precision, recall, f1_score, support`` for each observed
     label, then ``accuracy`` (its value in all four columns), ``macro avg``
-    and ``weighted avg`` (support = number of scored rows)."""
+    and ``weighted avg`` (support = number of scored rows).
+
+    Built from a single relation: every per-class row carries whole-relation
+    totals (a window over at most k rows), and the first row also emits the
+    three summary rows. A union of two branches would evaluate the whole
+    upstream plan (classification included) twice.
+    """
     pc = per_class_counts(counts).select(
         "class",
         _ratio(F.col("tp"), F.col("pred_n")).alias("precision"),
@@ -134,33 +140,35 @@ def classification_report(counts: DataFrame) -> DataFrame:
         F.col("true_n").cast("double").alias("support"),
         F.col("tp"),
     )
-    totals = pc.agg(
-        F.sum("support").alias("_n"),
-        F.sum("tp").alias("_tp"),
-        F.avg("precision").alias("_mp"),
-        F.avg("recall").alias("_mr"),
-        F.avg("f1_score").alias("_mf"),
-        F.sum(F.col("precision") * F.col("support")).alias("_wp"),
-        F.sum(F.col("recall") * F.col("support")).alias("_wr"),
-        F.sum(F.col("f1_score") * F.col("support")).alias("_wf"),
+    everything = Window.partitionBy()  # the relation holds one row per label
+    tot = pc.select(
+        "*",
+        F.sum("support").over(everything).alias("_n"),
+        F.sum("tp").over(everything).alias("_tp"),
+        F.avg("precision").over(everything).alias("_mp"),
+        F.avg("recall").over(everything).alias("_mr"),
+        F.avg("f1_score").over(everything).alias("_mf"),
+        F.sum(F.col("precision") * F.col("support")).over(everything).alias("_wp"),
+        F.sum(F.col("recall") * F.col("support")).over(everything).alias("_wr"),
+        F.sum(F.col("f1_score") * F.col("support")).over(everything).alias("_wf"),
+        F.row_number().over(Window.orderBy("class")).alias("_rn"),
     )
     acc = _ratio(F.col("_tp"), F.col("_n"))
-    n = F.coalesce(F.col("_n"), F.lit(0.0))
-    summary = totals.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit("accuracy").alias("class"), acc.alias("precision"), acc.alias("recall"),
-                         acc.alias("f1_score"), acc.alias("support")),
-                F.struct(F.lit("macro avg").alias("class"), F.coalesce("_mp", F.lit(0.0)).alias("precision"),
-                         F.coalesce("_mr", F.lit(0.0)).alias("recall"), F.coalesce("_mf", F.lit(0.0)).alias("f1_score"),
-                         n.alias("support")),
-                F.struct(F.lit("weighted avg").alias("class"), _ratio(F.col("_wp"), F.col("_n")).alias("precision"),
-                         _ratio(F.col("_wr"), F.col("_n")).alias("recall"),
-                         _ratio(F.col("_wf"), F.col("_n")).alias("f1_score"), n.alias("support")),
-            )
-        ).alias("r")
-    ).select("r.*")
-    return pc.drop("tp").unionByName(summary)
+    n = F.col("_n")
+    first = F.col("_rn") == 1
+
+    def row(name, p, r, f, sup):
+        return F.struct(name.alias("class"), p.alias("precision"), r.alias("recall"), f.alias("f1_score"),
+                        sup.alias("support"))
+
+    rows = F.array(
+        row(F.col("class"), F.col("precision"), F.col("recall"), F.col("f1_score"), F.col("support")),
+        F.when(first, row(F.lit("accuracy"), acc, acc, acc, acc)),
+        F.when(first, row(F.lit("macro avg"), F.col("_mp"), F.col("_mr"), F.col("_mf"), n)),
+        F.when(first, row(F.lit("weighted avg"), _ratio(F.col("_wp"), n), _ratio(F.col("_wr"), n),
+                          _ratio(F.col("_wf"), n), n)),
+    )
+    return tot.select(F.explode(rows).alias("r")).where(F.col("r").isNotNull()).select("r.*")
 
 
 def confusion_matrix(counts: DataFrame, labels=LABELS) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stancekit.operators.dedupe import dedupe_first, union_all
+from stancekit.operators.dedupe import dedupe_first
 
 POST_COLUMNS = ("id", "source", "url", "title", "text", "author", "score", "created_utc", "num_comments")
 COMMENT_COLUMNS = ("id", "post_id", "source", "text", "author", "score", "created_utc", "parent_id")
@@ -129,7 +129,7 @@ def _tweet_shape(df: DataFrame, source: Column, url: Column) -> DataFrame:
         F.col("author").cast("string").alias("author"), F.col("followers_count").cast("long").alias("followers_count"),
         ts_to_iso(F.col("created_at")).alias("created_at"), F.col("retweet_count").cast("long").alias("retweet_count"),
         F.col("favorite_count").cast("long").alias("favorite_count"), F.col("hashtags"),
-        "grp", "rank",
+        *[c for c in ("prio", "grp", "rank") if c in df.columns],
     )
 
 
@@ -179,11 +179,34 @@ def user_timeline(tweets: DataFrame, usernames: Sequence[str], count: int = 100)
 def tweets_union_dedupe(tweets: DataFrame, hashtags: Sequence[str], usernames: Sequence[str],
                         lang: str | None = "de", count: int = 100) -> DataFrame:
     """Hashtag tweets then timeline tweets, one row per id; the hashtag
-    copy wins (it comes first in collection order)."""
-    # One keep-first pass over both branches: ordering by (prio, grp, rank)
-    # picks the same row as de-duplicating the hashtag branch first, with a
-    # single shuffle by id.
-    tagged = _hashtag_ranked(tweets, hashtags, lang, count).withColumn("prio", F.lit(0))
-    timeline = _timeline_ranked(tweets, usernames, count).withColumn("prio", F.lit(1))
-    both = union_all([tagged, timeline])
-    return dedupe_first(both, ["id"], ["prio", "grp", "rank"]).select(*TWEET_COLUMNS)
+    copy wins (it comes first in collection order).
+
+    One scan: every tweet carries its memberships -- ``(0, hashtag index)``
+    for each requested hashtag it has (subject to the language and retweet
+    filters) and ``(1, user index)`` for its author's timeline -- exploded
+    into one relation, limited to ``count`` per membership by one
+    group-limited window and de-duplicated by id on ``(prio, grp, rank)``.
+    """
+    from stancekit.operators.dedupe import topn_per_key
+
+    tag_ok = F.lit(True)
+    if lang is not None and "lang" in tweets.columns:
+        tag_ok = tag_ok & (F.col("lang") == lang)
+    if "is_retweet" in tweets.columns:
+        tag_ok = tag_ok & ~F.coalesce(F.col("is_retweet"), F.lit(False))
+    wrapped = F.concat(F.lit("\u0001"), F.lower(F.array_join(F.col("hashtags"), "\u0001")), F.lit("\u0001"))
+    member = []
+    for i, t in enumerate(hashtags):
+        hit = tag_ok & wrapped.contains(f"\u0001{t.lower()}\u0001")
+        member.append(F.when(hit, F.struct(F.lit(0).alias("prio"), F.lit(i).alias("grp"))))
+    for j, u in enumerate(usernames, start=1):
+        member.append(F.when(F.col("author") == u, F.struct(F.lit(1).alias("prio"), F.lit(j).alias("grp"))))
+    hits = tweets.select("*", F.explode(F.array(*member)).alias("_m")).where(F.col("_m").isNotNull())
+    hits = hits.select("*", F.col("_m.prio").alias("prio"), F.col("_m.grp").alias("grp")).drop("_m")
+    ranked = topn_per_key(hits, ["prio", "grp"], [F.col("created_at").desc(), F.col("id")], count, rank_col="rank")
+    user = F.col("author").cast("string")
+    tid = F.col("id").cast("string")
+    source = F.when(F.col("prio") == 0, F.lit("twitter")).otherwise(user_source(user))
+    url = F.when(F.col("prio") == 0, tweet_url(tid)).otherwise(tweet_url(tid, user))
+    shaped = _tweet_shape(ranked, source, url)
+    return dedupe_first(shaped, ["id"], ["prio", "grp", "rank"]).select(*TWEET_COLUMNS)
