@@ -248,7 +248,12 @@ def run(spark: SparkSession, job: cfgmod.JobConfig, landed: Landed | None = None
     done: dict = {"run_ts": run_ts}
     sentences = results = None
     if run_all or "collect" in steps:
-        done["collect"] = collect_data(spark, job, landed or Landed(), run_ts)
+        try:
+            done["collect"] = collect_data(spark, job, landed or Landed(), run_ts)
+        except Exception as exc:  # a failed collection stops only a full run
+            log.error("error in data collection: %s", exc)
+            if run_all:
+                return done
     if run_all or "prepare" in steps:
         prepared = prepare_data(spark, job, run_ts)
         if prepared is None and run_all:
@@ -262,7 +267,11 @@ def run(spark: SparkSession, job: cfgmod.JobConfig, landed: Landed | None = None
             return done
         done["model"] = results
     if run_all or "evaluate" in steps:
-        metrics = evaluate_model(spark, job, run_ts, results)
+        try:
+            metrics = evaluate_model(spark, job, run_ts, results)
+        except Exception as exc:  # e.g. the label column is missing: warn, as a final step
+            log.error("error in evaluation: %s", exc)
+            metrics = None
         if metrics is None:
             log.warning("evaluation did not run")
         done["evaluate"] = metrics

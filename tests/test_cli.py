@@ -37,3 +37,29 @@ def test_steps_parsing_strips_blanks():
     args = jobs.parse_args(["--steps", "prepare, model", "--search-term", "a, b"])
     job, landed = jobs.job_config(args)
     assert job.steps == ("prepare", "model") and job.search_terms == ("a", "b")
+
+
+def test_failed_steps_are_reported_not_raised(spark, tmp_path):
+    from stancekit.config import JobConfig
+
+    # collect with an unreadable landed table: logged; under "all" the run stops there
+    job = JobConfig(raw_data_dir=str(tmp_path / "raw"), processed_data_dir=str(tmp_path / "p"), steps=("all",))
+    out = jobs.run(spark, job, jobs.Landed(posts=str(tmp_path / "missing")))
+    assert "collect" not in out and "prepare" not in out
+    # evaluation with a label column that does not exist: warning, no exception
+    results = spark.createDataFrame([("1", "pro")], "id string, final string")
+    labels = tmp_path / "labels.csv"
+    labels.write_text("id,other\n1,pro\n")
+    job = JobConfig(processed_data_dir=str(tmp_path / "p"), steps=("evaluate",), labeled_path=str(labels))
+    results_path = str(tmp_path / "results")
+    results.write.parquet(results_path)
+    job.results_path = results_path
+    try:
+        jobs.evaluate_model(spark, job, "20240101_000000")
+    except Exception:
+        raised = True
+    else:
+        raised = False
+    assert raised  # the step itself raises ...
+    out = jobs.run(spark, job)  # ... the runner logs it and finishes
+    assert out["evaluate"] is None
