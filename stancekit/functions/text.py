@@ -46,11 +46,14 @@ KEYCAP = r"[0-9#*][\x{fe0e}\x{fe0f}]?\x{20e3}"
 NON_TEXT_ELEMENTS = ("script", "style", "template")
 
 # Character references -------------------------------------------------------
-# Named references: the HTML5 table of Python's standard library (names with
-# their terminating semicolon). Decimal and hexadecimal references map to
-# their code point; 0x80-0x9F follow windows-1252 as browsers do; invalid
-# code points become U+FFFD.
+# Named references: the HTML5 table of Python's standard library. Names with
+# their terminating semicolon, and the legacy names that are also valid
+# without it (decoded only when the whole name matches). Decimal and
+# hexadecimal references (semicolon optional) map to their code point:
+# 0x80-0x9F as windows-1252, out-of-range code points to U+FFFD, control
+# characters and noncharacters to nothing -- as ``html.unescape`` does.
 NAMED_REFERENCES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+LEGACY_REFERENCES = {name: text for name, text in html5.items() if not name.endswith(";")}
 
 
 def _cp1252_char(cp: int) -> str:
@@ -65,10 +68,11 @@ CP1252_REFERENCES = {cp: _cp1252_char(cp) for cp in range(0x80, 0xA0)}
 # A text splits into references and the runs between them; decoding each
 # token and joining them back is a single left-to-right pass, so decoded
 # output is never decoded again (``&amp;lt;`` stays ``&lt;``).
-REFERENCE_TOKENS = r"&#?[A-Za-z0-9]+;|[^&]+|&"
+REFERENCE_TOKENS = r"&#[0-9]+;?|&#[xX][0-9A-Fa-f]+;?|&[A-Za-z0-9]+;?|[^&]+|&"
 NAMED_REF = r"^&([A-Za-z][A-Za-z0-9]*);$"
-DECIMAL_REF = r"^&#([0-9]{1,7});$"
-HEX_REF = r"^&#[xX]([0-9A-Fa-f]{1,6});$"
+LEGACY_REF = r"^&([A-Za-z][A-Za-z0-9]*)$"
+DECIMAL_REF = r"^&#([0-9]+);?$"
+HEX_REF = r"^&#[xX]([0-9A-Fa-f]+);?$"
 
 
 def _map_literal(mapping: dict) -> Column:
@@ -77,23 +81,37 @@ def _map_literal(mapping: dict) -> Column:
     return F.from_json(F.lit(json.dumps({str(k): v for k, v in mapping.items()})), "map<string,string>")
 
 
+def _dropped(cp: Column) -> Column:
+    """Code points a reference may not produce (decoded to nothing)."""
+    return (cp.between(0x1, 0x8) | (cp == 0xB) | cp.between(0xE, 0x1F) | (cp == 0x7F)
+            | cp.between(0xFDD0, 0xFDEF) | (F.pmod(cp, F.lit(0x10000)) >= 0xFFFE))
+
+
 def code_point_char(cp: Column) -> Column:
-    """The character of code point ``cp`` (U+FFFD when invalid)."""
+    """The text a numeric reference to ``cp`` stands for (``cp`` is NULL for
+    numbers too long to be a code point)."""
     cp1252 = _map_literal(CP1252_REFERENCES)
-    valid = (cp >= 1) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
     utf32 = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
-    return (F.when(cp.between(0x80, 0x9F), F.try_element_at(cp1252, cp.cast("string")))
-            .when(valid, utf32).otherwise(F.lit("\ufffd")))
+    return (F.when(cp.isNull() | (cp == 0) | (cp > 0x10FFFF) | cp.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+            .when(cp.between(0x80, 0x9F), F.try_element_at(cp1252, cp.cast("string")))
+            .when(_dropped(cp), F.lit("")).otherwise(utf32))
 
 
 def _decode_token(t: Column) -> Column:
     named = _map_literal(NAMED_REFERENCES)
+    legacy = _map_literal(LEGACY_REFERENCES)
     name = F.regexp_extract(t, NAMED_REF, 1)
+    bare = F.regexp_extract(t, LEGACY_REF, 1)
     dec = F.regexp_extract(t, DECIMAL_REF, 1)
     hx = F.regexp_extract(t, HEX_REF, 1)
-    cp = F.when(dec != "", dec.cast("long")).when(hx != "", F.conv(hx, 16, 10).cast("long"))
+    # more than 7 decimal / 6 hex digits cannot be a code point (NULL -> U+FFFD)
+    dec_cp = F.when(F.length(dec) <= 7, dec.cast("long"))
+    hex_cp = F.when(F.length(hx) <= 6, F.conv(hx, 16, 10).cast("long"))
     return (F.when(name != "", F.coalesce(F.try_element_at(named, name), t))
-            .when(cp.isNotNull(), code_point_char(cp)).otherwise(t))
+            .when(bare != "", F.coalesce(F.try_element_at(legacy, bare), t))
+            .when(dec != "", code_point_char(dec_cp))
+            .when(hx != "", code_point_char(hex_cp))
+            .otherwise(t))
 
 
 def decode_entities(c: Column) -> Column:

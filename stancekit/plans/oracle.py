@@ -35,22 +35,29 @@ def _map_sql(mapping):
 
 
 NAMED_MAP = _map_sql(T.NAMED_REFERENCES)
+LEGACY_MAP = _map_sql(T.LEGACY_REFERENCES)
 CP1252_MAP = _map_sql(T.CP1252_REFERENCES)
 
 
 def _code_point_char(cp):
-    return (f"CASE WHEN {cp} BETWEEN 128 AND 159 THEN map_extract({CP1252_MAP}, CAST({cp} AS VARCHAR))[1] "
-            f"WHEN {cp} >= 1 AND {cp} <= 1114111 AND NOT ({cp} BETWEEN 55296 AND 57343) THEN chr(CAST({cp} AS INTEGER)) "
-            "ELSE chr(65533) END")
+    dropped = (f"({cp} BETWEEN 1 AND 8 OR {cp} = 11 OR {cp} BETWEEN 14 AND 31 OR {cp} = 127 "
+               f"OR {cp} BETWEEN 64976 AND 65007 OR ({cp} % 65536) >= 65534)")
+    return (f"CASE WHEN {cp} IS NULL OR {cp} = 0 OR {cp} > 1114111 OR {cp} BETWEEN 55296 AND 57343 THEN chr(65533) "
+            f"WHEN {cp} BETWEEN 128 AND 159 THEN map_extract({CP1252_MAP}, CAST({cp} AS VARCHAR))[1] "
+            f"WHEN {dropped} THEN '' ELSE chr(CAST({cp} AS INTEGER)) END")
 
 
 def decode(c):
     name = f"regexp_extract(t, {lit(T.NAMED_REF)}, 1)"
+    bare = f"regexp_extract(t, {lit(T.LEGACY_REF)}, 1)"
     dec = f"regexp_extract(t, {lit(T.DECIMAL_REF)}, 1)"
     hx = f"regexp_extract(t, {lit(T.HEX_REF)}, 1)"
-    cp = f"(CASE WHEN {dec} <> '' THEN CAST({dec} AS BIGINT) WHEN {hx} <> '' THEN CAST('0x' || {hx} AS BIGINT) END)"
+    dec_cp = f"(CASE WHEN length({dec}) <= 7 THEN CAST({dec} AS BIGINT) END)"
+    hex_cp = f"(CASE WHEN length({hx}) <= 6 THEN CAST('0x' || {hx} AS BIGINT) END)"
     token = (f"CASE WHEN {name} <> '' THEN coalesce(map_extract({NAMED_MAP}, {name})[1], t) "
-             f"WHEN {cp} IS NOT NULL THEN {_code_point_char(cp)} ELSE t END")
+             f"WHEN {bare} <> '' THEN coalesce(map_extract({LEGACY_MAP}, {bare})[1], t) "
+             f"WHEN {dec} <> '' THEN {_code_point_char(dec_cp)} "
+             f"WHEN {hx} <> '' THEN {_code_point_char(hex_cp)} ELSE t END")
     tokens = f"regexp_extract_all({c}, {lit(T.REFERENCE_TOKENS)})"
     return (f"(CASE WHEN contains({c}, '&') THEN array_to_string(list_transform({tokens}, lambda t: {token}), '') "
             f"ELSE {c} END)")
