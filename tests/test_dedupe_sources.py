@@ -127,3 +127,22 @@ def test_raw_sink_csv(spark, tmp_path):
     path = W.write_raw(df, str(tmp_path), "20240101_000000", "tweets", fmt="csv")
     back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).first()
     assert back.text == 'a "q", b' and back.hashtags == '["x","y"]' and back.platform == "twitter"
+
+
+def test_article_edge_cases(spark):
+    html = ("<h1>Erst <em>fett</em> &amp; mehr</h1><article class='a'><p class=\"x\">Eins</p>"
+            "<P>Zwei &#8220;zitiert&#8221;</P><p></p><p>Drei</p></article><article><p>zweiter Artikel</p></article>"
+            "<time class='t'>ohne Attribut</time>")
+    df = spark.createDataFrame([("https://a.example.com/x", html)], "url string, html string")
+    r = news.extract_articles(df, "s").first()
+    assert r.title == "Erst fett & mehr"
+    assert r.text == "Eins Zwei “zitiert”  Drei"  # empty paragraph keeps its slot, like ' '.join
+    assert r.date is None  # a <time> without datetime gives no date
+
+
+def test_confusion_wide(spark):
+    from stancekit.operators import evaluate as E
+
+    df = spark.createDataFrame([("pro", "pro", 2), ("contra", "pro", 1)], "true_label string, pred_label string, n long")
+    rows = {r.true_label: (r.pro, r.contra, r.neutral) for r in E.confusion_wide(df).collect()}
+    assert rows == {"pro": (2, 0, 0), "contra": (1, 0, 0), "neutral": (0, 0, 0)}
