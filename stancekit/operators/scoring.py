@@ -97,6 +97,49 @@ class PandasModelScorer(Scorer):
         return df.withColumn(LOGITS_COL, nli_logits(F.col(text_col)))
 
 
+class BatchPredictScorer(Scorer):
+    """Model scorer on ``pyspark.ml.functions.predict_batch_udf``.
+
+    Spark feeds NumPy batches of ``batch_size`` texts and caches the model
+    returned by ``make_predict_fn()`` in each Python worker. The model's
+    logits for all hypotheses come back as one flat ``array<double>`` per
+    row (hypothesis-major) and are reshaped with native ``slice``.
+    """
+
+    expensive = True
+
+    def __init__(self, make_predict_fn: Callable, batch_size: int = 64, n_classes: int = 3):
+        self.make_predict_fn = make_predict_fn
+        self.batch_size = batch_size
+        self.n_classes = n_classes
+
+    def add_logits(self, df, text_col, cfg):
+        from pyspark.ml.functions import predict_batch_udf
+        from pyspark.sql.types import ArrayType, DoubleType
+
+        make, hyps, n = self.make_predict_fn, [h for _, h in cfg.hypotheses], self.n_classes
+
+        def make_batch_fn():
+            import numpy as np
+
+            predict = make()
+
+            def infer(texts):
+                premises = [t if isinstance(t, str) else "" for t in texts]
+                per_hyp = [np.asarray(predict(premises, h), dtype=float).reshape(len(premises), n) for h in hyps]
+                return np.concatenate(per_hyp, axis=1)
+
+            return infer
+
+        udf = predict_batch_udf(make_batch_fn, return_type=ArrayType(DoubleType()), batch_size=self.batch_size)
+        text = F.col(text_col)
+        flat = F.col("_flat_logits")
+        logits = F.array(*[F.slice(flat, r * n + 1, n) for r in range(len(hyps))])
+        scored = df.withColumn("_flat_logits", udf(F.coalesce(text, F.lit(""))))
+        out = F.when(text.isNull() | (text == ""), F.lit(None)).otherwise(logits)
+        return scored.withColumn(LOGITS_COL, out.cast("array<array<double>>")).drop("_flat_logits")
+
+
 def transformers_predictor(model_name: str, max_length: int = 512) -> Callable:
     """Factory for a Hugging Face NLI model (only if torch/transformers are
     installed on the workers). Returns a ``make_predict_fn``."""
@@ -129,7 +172,7 @@ def default_scorer(model_name: str | None = None) -> Scorer:
             import transformers  # noqa: F401
         except ImportError:
             return FallbackScorer()
-        return PandasModelScorer(transformers_predictor(model_name), key=model_name)
+        return BatchPredictScorer(transformers_predictor(model_name))
     return FallbackScorer()
 
 

@@ -148,3 +148,13 @@ def test_empty_input_statistics(spark):
     empty = spark.createDataFrame([], "sentence string, rule_based string, final string, confidence double")
     st = classification_stats(empty).first()
     assert st.total == 0 and st.pro_percent is None
+
+
+def test_predict_batch_scorer_equals_pandas_scorer(spark):
+    from stancekit.operators.scoring import BatchPredictScorer
+
+    texts = SENTENCES + ["", None, SENTENCES[0]]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, sentence string")
+    a = classify(df, ClassifierConfig(), PandasModelScorer(_fake_model, batch_size=4, key="fake3")).orderBy("id").collect()
+    b = classify(df, ClassifierConfig(), BatchPredictScorer(_fake_model, batch_size=4)).orderBy("id").collect()
+    assert a == b
