@@ -201,6 +201,22 @@ def argmax_label(logits: Column, cfg: ClassifierConfig) -> Column:
     return F.when(logits.isNull(), fallback).otherwise(best)
 
 
+def nli_scores(scored: DataFrame, keys: list[str], cfg: ClassifierConfig) -> DataFrame:
+    """Long form of the scores: one row per (text, hypothesis) with
+    ``rank, label, logits`` and the entailment ``score`` (texts without
+    logits give no rows). A generator, no join."""
+    labels = F.array(*[F.lit(label) for label, _ in cfg.hypotheses])
+    # posexplode_outer + a filter on its output: an inner generator makes the
+    # optimizer infer size(input) > 0 and push it down, re-evaluating (and
+    # inlining) everything the logits are computed from.
+    long = scored.select(*keys, F.posexplode_outer(F.col(LOGITS_COL)).alias("rank", "logits"))
+    long = long.where(F.col("logits").isNotNull())
+    return long.select(
+        *keys, "rank", F.element_at(labels, F.col("rank") + 1).alias("label"), "logits",
+        softmax_at(F.col("logits"), cfg.entailment_index).alias("score"),
+    )
+
+
 def synthetic_logits(text: Column, rank: int) -> Column:
     """Deterministic stand-in model: small integer logits from the text
     length and the hypothesis rank (reproducible in plain SQL)."""

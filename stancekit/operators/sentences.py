@@ -44,9 +44,13 @@ def explode_sentences(
     )
     if not already_clean:
         base = with_clean_text(base, "_clean", "_clean")
+    # posexplode_outer + a filter on its output keeps the optimizer from
+    # inferring size(split(...)) > 0 below the generator, which would evaluate
+    # the cleaning chain a second time; empty texts still give no rows.
     exploded = base.select(
-        "source", "text_id", F.posexplode(split_sentences(F.col("_clean"))).alias("sentence_index", "sentence")
-    )
+        "source", "text_id",
+        F.posexplode_outer(split_sentences(F.col("_clean"))).alias("sentence_index", "sentence"),
+    ).where(F.col("sentence").isNotNull())
     return exploded.select(
         sentence_id(platform_of(F.col("source")), F.col("text_id"), F.col("sentence_index")).alias("id"),
         "source",

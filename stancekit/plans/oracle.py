@@ -381,6 +381,14 @@ FROM f WHERE ws + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 1 h
     sql["classification_totals"] = f"WITH {SENT_RESULTS} SELECT {STATS_COLS} FROM sres"
     sql["nli_argmax"] = (f"WITH {DOC_RESULTS} SELECT id, transformer, round(tr_score, 6) AS transformer_score "
                          f"FROM doc_tr")
+    parts = []
+    for r, lab in enumerate(("pro", "contra", "neutral")):
+        n = "CAST(length(sentence) AS BIGINT)"
+        z = [f"CAST(({n} + {r}) % 3 AS DOUBLE)", f"CAST(({n} * {r + 1}) % 5 AS DOUBLE)",
+             f"CAST(({n} + {2 * r}) % 7 AS DOUBLE)"]
+        parts.append(f"SELECT id, CAST({r} AS INTEGER) AS rank, '{lab}' AS label, [{', '.join(z)}] AS logits, "
+                     f"round({_softmax_entail(*z)}, 6) AS score FROM doc_in WHERE sentence <> ''")
+    sql["nli_scores"] = f"WITH {DOC_RESULTS} " + " UNION ALL ".join(parts)
     sql["combine_classify"] = (f"WITH {DOC_RESULTS} SELECT id, source, rule_based, transformer, final, "
                                f"round(confidence, 6) AS confidence FROM results")
     sql["eval_join"] = f"WITH {DOC_RESULTS} SELECT id, final, label, label_weight FROM joined"

@@ -19,7 +19,7 @@ from stancekit.operators.classify import classification_stats, classify
 from stancekit.operators.dedupe import dedupe_first, topn_per_key, union_all
 from stancekit.operators.rules import rule_label
 from stancekit.operators.sampling import labeling_sample
-from stancekit.operators.scoring import ExpressionScorer, argmax_label, synthetic_logits
+from stancekit.operators.scoring import ExpressionScorer, argmax_label, nli_scores, synthetic_logits
 from stancekit.operators.sentences import explode_sentences
 from stancekit.plans import catalog as C
 from stancekit.session import scratch_path
@@ -149,6 +149,13 @@ def q_nli_argmax(spark, d):
     return scored.select("id", best.label.alias("transformer"), _r6(best.score).alias("transformer_score"))
 
 
+def q_nli_scores(spark, d):
+    docs = document_inputs(spark, d)
+    scored = ExpressionScorer(synthetic_logits).add_logits(docs, "sentence", FIXTURE)
+    long = nli_scores(scored, ["id"], FIXTURE)
+    return long.select("id", "rank", "label", "logits", _r6(F.col("score")).alias("score"))
+
+
 def document_results(spark, d) -> DataFrame:
     return classify(document_inputs(spark, d), FIXTURE, ExpressionScorer(synthetic_logits))
 
@@ -350,6 +357,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classification_totals": q_classification_totals,
     "german_sentence_stats": q_german_sentence_stats,
     "nli_argmax": q_nli_argmax,
+    "nli_scores": q_nli_scores,
     "combine_classify": q_combine_classify,
     "eval_join": q_eval_join,
     "accuracy_f1": q_accuracy_f1,

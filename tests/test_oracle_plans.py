@@ -83,3 +83,13 @@ def test_flagship_pushes_language_filter(spark):
     plan = _plan(entry.entry(spark))
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,de)]" in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string,source:string>" in plan
+
+
+@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith("stream") and n != "csv_scan"))
+def test_no_filter_reevaluates_text_work(spark, name):
+    """Filters the optimizer infers or pushes (e.g. size(input) > 0 below a
+    generator) must never carry the regex chain."""
+    plan = _plan(entry.queries()[name](spark, SF001))
+    filters = [ln for ln in plan.split("\n") if ln.strip(" :+-").startswith("Filter")]
+    assert not any("regexp_replace" in ln for ln in filters), name
+    assert len(plan) < 200_000, (name, len(plan))
