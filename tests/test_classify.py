@@ -158,3 +158,15 @@ def test_predict_batch_scorer_equals_pandas_scorer(spark):
     a = classify(df, ClassifierConfig(), PandasModelScorer(_fake_model, batch_size=4, key="fake3")).orderBy("id").collect()
     b = classify(df, ClassifierConfig(), BatchPredictScorer(_fake_model, batch_size=4)).orderBy("id").collect()
     assert a == b
+
+
+def test_nli_scores_long_relation(spark):
+    from stancekit.operators.scoring import nli_scores
+
+    cfg = ClassifierConfig()
+    scorer = ExpressionScorer(lambda text, rank: F.array(*[F.lit(float(v)) for v in (0.0, 0.0, float(rank))]))
+    df = spark.createDataFrame([("a", "text"), ("b", ""), ("c", None)], "id string, sentence string")
+    rows = nli_scores(scorer.add_logits(df, "sentence", cfg), ["id"], cfg).orderBy("id", "rank").collect()
+    assert [(r.id, r.rank, r.label) for r in rows] == [("a", 0, "pro"), ("a", 1, "contra"), ("a", 2, "neutral")]
+    e = np.exp([0.0, 0.0, 2.0])
+    assert abs(rows[2].score - e[2] / e.sum()) < 1e-12 and rows[2].logits == [0.0, 0.0, 2.0]
