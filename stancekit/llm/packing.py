@@ -40,7 +40,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, seq_len: int,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = chunk_tokenizer(tokenizer_path)
-        for batch in by_bytes(batches, "text", 32 << 20):
+        for batch in by_bytes(batches, "text", 8 << 20):
             ids, per = tok.ids(batch.column("text"))
             ids = np.insert(ids, np.cumsum(per), end_id).astype("<u4")
             per = per + 1

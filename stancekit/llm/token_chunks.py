@@ -38,7 +38,7 @@ _CLASS[[0x20, 0x0A]] = _BLANK
 # without normaliser and pre-tokenizer.
 _PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)")
 # Chunks kept per worker process from one batch to the next.
-KEEP_CHUNKS = 500_000
+KEEP_CHUNKS = 150_000
 
 
 def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -102,7 +102,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         tok = chunk_tokenizer(tokenizer_path)
         dtype = np.dtype(np.uint16 if max(tok.vocab_size, end_id + 1) <= 1 << 16 else np.uint32)
         part, w = TaskContext.get().partitionId(), None
-        for batch in by_bytes(batches, "text", 32 << 20):
+        for batch in by_bytes(batches, "text", 8 << 20):
             ids, per = tok.ids(batch.column("text"))
             ends = np.cumsum(per)
             ids = np.insert(ids, ends, end_id)
