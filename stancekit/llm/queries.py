@@ -40,6 +40,12 @@ def op1_chat_format(spark: SparkSession, d: str) -> DataFrame:
         F.length(text).cast("long").alias("formatted_chars"))
 
 
+def op2_icws_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from stancekit.llm.minhash import near_duplicates
+
+    return near_duplicates(read_table(spark, d, "documents"), 0.8)
+
+
 def op4_byte_convnet(spark: SparkSession, d: str) -> DataFrame:
     from stancekit.llm import lang_id as L
 
@@ -82,7 +88,7 @@ def op8_token_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op4_byte_convnet, op5_decontaminate, op6_line_spread, op7_best_two_fit,
+    f.__name__: f for f in (op1_chat_format, op2_icws_near_dedup, op4_byte_convnet, op5_decontaminate, op6_line_spread, op7_best_two_fit,
                             op8_token_files)
 }
 
