@@ -46,6 +46,15 @@ def op2_icws_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(read_table(spark, d, "documents"), 0.8)
 
 
+def op3_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from stancekit.llm.suffix_dedup import remove_repeats
+
+    found = remove_repeats(read_table(spark, d, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_byte_convnet(spark: SparkSession, d: str) -> DataFrame:
     from stancekit.llm import lang_id as L
 
@@ -88,7 +97,7 @@ def op8_token_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_icws_near_dedup, op4_byte_convnet, op5_decontaminate, op6_line_spread, op7_best_two_fit,
+    f.__name__: f for f in (op1_chat_format, op2_icws_near_dedup, op3_suffix_dedup, op4_byte_convnet, op5_decontaminate, op6_line_spread, op7_best_two_fit,
                             op8_token_files)
 }
 

@@ -7,8 +7,6 @@ one running sum over the buffer, so no string is built.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 from stancekit.llm.common import mix64
@@ -22,23 +20,25 @@ _IS_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x8
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def _size(n: int) -> int:
-    return 1 << max(22, int(n).bit_length())
+def _powers(n: int, base: np.uint64) -> np.ndarray:
+    """The first powers of a base, kept per process and grown as needed."""
+    have = _POWERS.get(int(base))
+    if have is None or len(have) < n:
+        have = np.full(-(-n // (1 << 20)) << 20, base)
+        have[0] = 1
+        have = _POWERS[int(base)] = np.cumprod(have, dtype=np.uint64)
+    return have
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each run ``data[start:end]``; equal runs have equal hashes."""
-    n = _size(len(data) + 1)
+    n = len(data) + 1
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(n, int(_BASE))[:len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * _powers(n, int(_INVERSE))[starts])
+    np.cumsum(_BYTE[data] * _powers(n, _BASE)[:len(data)], out=total[1:])
+    return mix64((total[ends] - total[starts]) * _powers(n, _INVERSE)[starts])
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
