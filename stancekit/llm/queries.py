@@ -96,6 +96,12 @@ def op8_token_files(spark: SparkSession, d: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
+def op9_gru_scores(spark: SparkSession, d: str) -> DataFrame:
+    from stancekit.llm.lm_score import score_documents
+
+    return score_documents(read_table(spark, d, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op10_small_world_dedup(spark: SparkSession, d: str) -> DataFrame:
     from stancekit.llm.embed_dedup import embedding_near_duplicates
 
@@ -104,7 +110,7 @@ def op10_small_world_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_format, op2_icws_near_dedup, op3_suffix_dedup, op4_byte_convnet, op5_decontaminate, op6_line_spread, op7_best_two_fit,
-                            op8_token_files, op10_small_world_dedup)
+                            op8_token_files, op9_gru_scores, op10_small_world_dedup)
 }
 
 # The SQL states what the contracts say, without a look at the operators.

@@ -41,11 +41,11 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix64((total[ends] - total[starts]) * _powers(n, _INVERSE)[starts])
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, end to end, and for each text the first of its words
-    (``n + 1`` places)."""
+    (``n + 1`` places). ``is_word`` tells the bytes of words from others."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = _IS_WORD[data]
+    inside[1:-1] = is_word[data]
     edge = inside[1:] != inside[:-1]
     cut = offsets[1:-1]  # a word ends with its text
     both = cut[(cut > 0) & (cut < len(data))]
