@@ -24,8 +24,8 @@ def initial(counts: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
     full = full.reshape(SIDE, SIDE)
     p = {"embed": rng.normal(0, 0.3, (SIDE * SIDE, EMBED)), "wx": rng.normal(0, EMBED**-0.5, (EMBED, 3 * HIDDEN)),
          "wh": rng.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)), "b": np.zeros(3 * HIDDEN),
-         "wc": np.zeros((HIDDEN, SIDE)), "bc": np.log(full.sum(1) / full.sum()),
-         "ww": np.zeros((SIDE, HIDDEN, SIDE)), "bw": np.log(full / full.sum(1, keepdims=True))}
+         "wc": rng.normal(0, 0.1, (HIDDEN, SIDE)), "bc": np.log(full.sum(1) / full.sum()),
+         "ww": rng.normal(0, 0.1, (SIDE, HIDDEN, SIDE)), "bw": np.log(full / full.sum(1, keepdims=True))}
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
@@ -142,7 +142,7 @@ def _gradients(p, x, y, keep, on, h):
     return g, last
 
 
-def train(p: dict[str, np.ndarray], docs: list[np.ndarray], epochs: int, rate: float, lanes: int = 48,
+def train(p: dict[str, np.ndarray], docs: list[np.ndarray], epochs: int, rate: float, lanes: int = 16,
           clip: float = 1.0) -> dict[str, np.ndarray]:
     """Adam over windows of ``WINDOW`` steps; the state runs on, its gradient
     does not. Deterministic."""

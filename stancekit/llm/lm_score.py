@@ -158,7 +158,7 @@ def fit(slices: DataFrame, words: Vocabulary, start: np.ndarray) -> dict[str, np
 
     got = slices.where(F.col("slice").isin(chosen)).mapInArrow(draw, "slice long, ids binary").collect()
     docs = [np.frombuffer(r["ids"], np.int32) for r in sorted(got)]
-    params = gru.train(gru.initial(start), docs, epochs=4, rate=0.01)
+    params = gru.train(gru.initial(start), docs, epochs=3, rate=0.01)
     names = sorted(params)
     flat = np.concatenate([params[k].ravel() for k in names])
     step = -(-len(flat) // PARTS)
