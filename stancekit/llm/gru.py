@@ -56,7 +56,9 @@ def streams(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    e = np.exp(np.clip(-x, -60, 60))
+    e += 1
+    return np.reciprocal(e, out=e)
 
 
 def _run(p, gates, keep, h):
@@ -79,26 +81,61 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
-def log_probs(p: dict[str, np.ndarray], docs: list[np.ndarray], lanes: int = 256) -> np.ndarray:
+def _states(wh, gates, keep, h):
+    """States after each step, for scoring."""
+    out = np.empty((*keep.shape, HIDDEN), np.float32)
+    for t in range(len(keep)):
+        h = h * keep[t][:, None]
+        rec = h @ wh
+        zr = _sigmoid(gates[t][:, :2 * HIDDEN] + rec[:, :2 * HIDDEN])
+        n = rec[:, 2 * HIDDEN:]
+        n *= zr[:, HIDDEN:]
+        n += gates[t][:, 2 * HIDDEN:]
+        np.tanh(n, out=n)
+        h -= n
+        h *= zr[:, :HIDDEN]
+        h += n
+        out[t] = h
+    return out
+
+
+def _shifted(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Biases lowered so that no logit is above 0: states lie within -1 and 1."""
+    return b - (b + np.abs(w).sum(-2)).max(-1, keepdims=True)
+
+
+_ONES = np.ones(SIDE, np.float32)
+
+
+def _picked(logit: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log softmax of logits of at most 0, at one place a row."""
+    own = logit[np.arange(len(at)), at]
+    np.exp(logit, out=logit)
+    return own - np.log(np.maximum(logit @ _ONES, 1e-37))
+
+
+def log_probs(p: dict[str, np.ndarray], docs: list[np.ndarray], lanes: int = 512) -> np.ndarray:
     """Natural log probability of every whole document."""
     total = np.zeros(len(docs))
     if not docs:
         return total
     x, y, keep, doc = streams(docs, lanes)
     table = p["embed"] @ p["wx"] + p["b"]
+    bc, bw = _shifted(p["wc"], p["bc"]), _shifted(p["ww"], p["bw"])
     h = np.zeros((x.shape[1], HIDDEN), np.float32)
     for a in range(0, len(x), WINDOW):
-        states, _ = _run(p, table[x[a:a + WINDOW]], keep[a:a + WINDOW], h)
+        states = _states(p["wh"], table[x[a:a + WINDOW]], keep[a:a + WINDOW], h)
         h = states[-1]
         on = doc[a:a + WINDOW] >= 0
-        s, word, of = states[on], y[a:a + WINDOW][on], doc[a:a + WINDOW][on]
-        group = word // SIDE
-        lp = _log_softmax(s @ p["wc"] + p["bc"])[np.arange(len(s)), group]
-        order = np.argsort(group, kind="stable")
+        word = y[a:a + WINDOW][on]
+        order = np.argsort(word // SIDE, kind="stable")
+        s, word, of = states[on][order], word[order], doc[a:a + WINDOW][on][order]
+        group, within = word // SIDE, word % SIDE
+        lp = _picked(s @ p["wc"] + bc, group)
         ends = np.cumsum(np.bincount(group, minlength=SIDE))
         for k in np.unique(group):
-            at = order[ends[k - 1] if k else 0:ends[k]]
-            lp[at] += _log_softmax(s[at] @ p["ww"][k] + p["bw"][k])[np.arange(len(at)), word[at] % SIDE]
+            rows = slice(ends[k - 1] if k else 0, ends[k])
+            lp[rows] += _picked(s[rows] @ p["ww"][k] + bw[k], within[rows])
         total += np.bincount(of, lp, minlength=len(docs))
     return total
 
