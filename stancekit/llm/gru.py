@@ -52,7 +52,8 @@ def streams(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray,
             keep[k, at + 1:at + n] = 1
             doc[k, at:at + n] = i
             at += n
-    return tuple(np.ascontiguousarray(a.T) for a in (x, y, keep, doc))
+    order = np.argsort(-load, kind="stable")  # the lanes in use are always the first ones
+    return tuple(np.ascontiguousarray(a[order].T) for a in (x, y, keep, doc))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -122,14 +123,16 @@ def log_probs(p: dict[str, np.ndarray], docs: list[np.ndarray], lanes: int = 512
     x, y, keep, doc = streams(docs, lanes)
     table = p["embed"] @ p["wx"] + p["b"]
     bc, bw = _shifted(p["wc"], p["bc"]), _shifted(p["ww"], p["bw"])
+    load = (doc >= 0).sum(0)
     h = np.zeros((x.shape[1], HIDDEN), np.float32)
     for a in range(0, len(x), WINDOW):
-        states = _states(p["wh"], table[x[a:a + WINDOW]], keep[a:a + WINDOW], h)
+        w = (slice(a, a + WINDOW), slice(0, int((load > a).sum())))
+        states = _states(p["wh"], table[x[w]], keep[w], h[:w[1].stop])
         h = states[-1]
-        on = doc[a:a + WINDOW] >= 0
-        word = y[a:a + WINDOW][on]
+        on = doc[w] >= 0
+        word = y[w][on]
         order = np.argsort(word // SIDE, kind="stable")
-        s, word, of = states[on][order], word[order], doc[a:a + WINDOW][on][order]
+        s, word, of = states[on][order], word[order], doc[w][on][order]
         group, within = word // SIDE, word % SIDE
         lp = _picked(s @ p["wc"] + bc, group)
         ends = np.cumsum(np.bincount(group, minlength=SIDE))
