@@ -17,7 +17,8 @@ repeats throughout. Anchors left with several different entries (where a match
 begins or ends) are resolved string by string, in a second family dealt by the
 hash of the strings themselves.
 
-Hashes are compared at 128 (entries) and 96 bits (strings).
+Entries and strings are compared by 96 bits of hashes, anchors by 32 bits
+within a shard (where two meet, strings are compared in vain).
 """
 
 from __future__ import annotations
@@ -36,10 +37,11 @@ from stancekit.llm.shingles import run_hashes
 LENGTH, GRAM = 100, 37
 REACH = LENGTH - GRAM + 1  # starts of grams in a string
 SEGMENT = 8 << 20  # longer texts are indexed in overlapping segments
-SHARD_BYTES = 32 << 20  # text a shard
+SHARD_BYTES = 16 << 20  # text a shard
 # An anchor with so many different entries in one slice is hot: its entries go
 # to the second step at once, and a mark goes to the anchor's shard.
 HOT = 64
+SLICE = 2 << 20
 REPEAT, OPEN, ENTRY, MARK = 0, 1, 2, 3
 
 
@@ -81,7 +83,7 @@ class LevelFamily:
 
     def rows(self) -> dict[str, np.ndarray]:
         if not self.levels:
-            return {k: np.zeros(0, np.uint64 if k in ("key", "tag") else np.int64) for k in FIELDS}
+            return {k: np.zeros(0, {"key": np.uint64, "tag": np.uint32}.get(k, np.int64)) for k in FIELDS}
         return {k: np.concatenate([x[k] for x in self.levels]) for k in FIELDS}
 
 
@@ -195,7 +197,7 @@ def _aside(places: np.ndarray, kind: int, shards: int) -> list[dict]:
 
 def _index_entries(shards: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", SLICE):
             for data, offsets, ids, base in _segments(batch):
                 doc, start, count, gram, entry = anchored_entries(data, offsets)
                 if not len(doc):
@@ -211,9 +213,9 @@ def _index_entries(shards: int):
                 rows += _aside(places[:, at[hot]], OPEN, shards)
                 if (n >= HOT).any():
                     marks = grams[n >= HOT]
-                    rows += _blobs(_shard_of(marks, shards), MARK, [marks], [], shards)
+                    rows += _blobs(_shard_of(marks, shards), MARK, [marks.astype(np.uint32)], [], shards)
                 at = at[~hot]
-                rows += _blobs(_shard_of(gram[at], shards), ENTRY, [entry[at], gram[at]], list(places[:, at]), shards)
+                rows += _blobs(_shard_of(gram[at], shards), ENTRY, [entry[at], gram[at].astype(np.uint32)], list(places[:, at]), shards)
                 yield _to_batch(rows)
 
     return index
@@ -232,9 +234,9 @@ def _scan(rows: pd.DataFrame, by_entry: bool) -> pd.DataFrame:
     family, repeats, open_, marks = LevelFamily(), [], [], []
     for kind, n, hashes, places in zip(rows["kind"], rows["n"], rows["hashes"], rows["places"], strict=True):
         if kind == MARK:
-            marks.append(np.frombuffer(hashes, np.uint64))
+            marks.append(np.frombuffer(hashes, np.uint32))
         elif kind == ENTRY:
-            key, tag = np.frombuffer(hashes, np.uint64).reshape(2, n)
+            key, tag = np.frombuffer(hashes, np.uint64, n), np.frombuffer(hashes, np.uint32, n, 8 * n)
             doc, start, count = _unpack(places, n, 3)
             repeats += family.add({"key": key, "tag": tag, "doc": doc, "start": start, "count": count})
         else:
@@ -253,7 +255,7 @@ def _index_strings(shards: int):
     """Every string of the open entries of a document, by its hash."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", SLICE):
             batch = batch.take(pa.compute.sort_indices(batch.column("doc_id")))
             data, offsets = text_buffers(batch.column("text"))
             of = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(batch.column("starts")).to_numpy())
@@ -269,7 +271,7 @@ def _index_strings(shards: int):
             at = offsets[doc] + q
             key = run_hashes(data, at, at + LENGTH)
             # A second polynomial: of bytes in another coding.
-            tag = run_hashes(_OTHER_CODE[data], at, at + LENGTH) >> np.uint64(32)
+            tag = run_hashes(_OTHER_CODE[data], at, at + LENGTH).astype(np.uint32)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[doc]
             order = np.lexsort((q, ids, tag, key))
             same = np.zeros(len(order), bool)
@@ -345,7 +347,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", SLICE):
             data, offsets = text_buffers(batch.column("text"))
             spans, kept = [], []
             starts, counts = batch.column("starts"), batch.column("counts")
