@@ -10,7 +10,10 @@ are candidates, and candidates are verified by exact weighted Jaccard.
 Word frequencies are counted over all documents in ``2 ** DF_BITS`` hashed
 cells, so the table that every task gets has a fixed size whatever the corpus.
 (A shingle's own document frequency would need a shuffle of every shingle of
-the corpus, and would let a large group of copies make its own text worthless.)
+the corpus, and would let a large group of copies make its own text worthless.
+For the same reason the frequencies are scaled to lie between 1 and 2: unscaled,
+the few words that near copies of a large group differ in would outweigh all
+that they share.)
 
 Exact copies are collapsed first. Within a bucket each member is compared with
 the bucket's smallest document; members of a bucket that then still lie in
@@ -72,8 +75,9 @@ def count_words(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def idf_table(counts: np.ndarray, n: int) -> np.ndarray:
-    """Smoothed inverse document frequency, at least 1 for every cell."""
-    return (1 + np.log((1 + n) / (1 + np.minimum(counts, n)))).astype(np.float32)
+    """Smoothed inverse document frequency, scaled to lie between 1 (in every
+    document) and 2 (in none)."""
+    return (1 + np.log((1 + n) / (1 + np.minimum(counts, n))) / np.log(2 + n)).astype(np.float32)
 
 
 def weighted_shingles(words: np.ndarray, idf: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -1,0 +1,145 @@
+import hashlib
+import random
+
+import numpy as np
+import pandas as pd
+from conftest import words
+
+from stancekit.llm.common import components
+from stancekit.llm.embed_dedup import embedding_near_duplicates
+from stancekit.llm.line_dedup import remove_boilerplate
+from stancekit.llm.minhash import drop_near_duplicates, near_duplicates
+from stancekit.llm.suffix_dedup import LevelFamily, remove_repeats
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(5, 5), (None, 3)]
+    rng.shuffle(edges)
+    got = {r["id"]: r["component_id"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates(docs, empty):
+    got = {(r["doc_id"]): (r["class_id"], r["kept"]) for r in near_duplicates(docs).collect()}
+    assert got[1] == (1, True) and got[2] == (1, False) and got[3] == (1, False)
+    assert got[6] == (6, True) and got[7] == (6, False)  # null counts as empty
+    assert all(got[i] == (i, True) for i in (4, 5, 8, 9, 10, 11, 12))
+    assert got[None][1]
+    kept = drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r[0] for r in kept.select("doc_id").collect() if r[0]) == [1, 4, 4, 5, 6, 8, 9, 10, 11, 12]
+    assert near_duplicates(empty).count() == 0
+
+
+def test_near_duplicates_of_a_large_group(spark):
+    rng = random.Random(8)
+    base, rows = words(rng, 300).split(), []
+    for i in range(120):
+        own = list(base)
+        for k in rng.sample(range(300), 2):
+            own[k] = words(rng, 1)
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, words(rng, 300)) for i in range(30)]
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == 0 for i in range(120)) and all(got[1000 + i] == 1000 + i for i in range(30))
+
+
+def brute_repeats(texts, length=100):
+    seen, out = set(), {}
+    for i, t in sorted(texts.items()):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for q in range(len(b) - length + 1):
+            w = b[q:q + length]
+            if w in seen:
+                gone[q:q + length] = True
+            seen.add(w)
+        turns = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(int), [0]))))
+        out[i] = (len(b), len(turns) // 2, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
+    return out
+
+
+def found_repeats(df):
+    return {r["doc_id"]: (r["n_bytes"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in remove_repeats(df).collect()}
+
+
+def test_repeats(docs, rows, empty):
+    want = brute_repeats({r[0]: r[1] for r in rows if r[0] is not None})
+    got = found_repeats(docs)
+    assert {i: got[i] for i in want} == want
+    assert got[None][1] == 0
+    assert remove_repeats(empty).count() == 0
+
+
+def test_repeats_of_overlapping_pieces(spark):
+    rng = random.Random(5)
+    pool = [words(rng, 40) for _ in range(6)]
+    texts = {}
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            p = rng.choice(pool)
+            a = rng.randint(0, len(p) // 2)
+            parts.append(p[a:rng.randint(a, len(p))])
+        texts[i] = rng.choice(["", "é", " "]).join(parts) + "xy" * rng.randint(0, 120)
+    assert found_repeats(spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(5)) == brute_repeats(texts)
+
+
+def test_level_family_in_any_order():
+    rng = np.random.default_rng(1)
+    key = rng.integers(0, 200, 3000).astype(np.uint64)
+    place = rng.permutation(3000)
+    family, repeats = LevelFamily(), []
+    for a in range(0, 3000, 170):
+        part = slice(a, a + 170)
+        n = len(key[part])
+        repeats += family.add({"key": key[part], "tag": np.zeros(n, np.uint32), "doc": place[part], "start": np.zeros(n, np.int64),
+                               "count": np.ones(n, np.int64)})
+    first = pd.Series(place).groupby(key).min()
+    assert sorted(np.concatenate(repeats, axis=1)[0]) == sorted(set(place) - set(first))
+    sizes = [len(x["key"]) for x in family.levels]
+    assert sorted(family.rows()["doc"]) == sorted(first) and all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+
+
+def test_boilerplate(spark, docs, empty):
+    rows = [(i, f"own {i}\n  shared\t\nlocal\n\nown {i}", f"s{i}" if i else None, "k") for i in range(12)]
+    rows += [(20 + i, "local", "s1", "k") for i in range(30)] + [(90, None, "s1", None), (91, "", "s2", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, key string")
+    got = {r["doc_id"]: r for r in remove_boilerplate(df, min_sites=10).collect()}
+    assert got[0]["text"].split("\n")[1:3] == ["  shared\t", "local"]  # first occurrences stay
+    assert got[3]["text"] == "own 3\n\nown 3" and (got[3]["n_lines"], got[3]["n_removed"]) == (5, 2)
+    assert got[25]["text"] == "" and got[25]["n_removed"] == 1
+    assert (got[90]["text"], got[90]["n_lines"]) == (None, 0) and (got[91]["text"], got[91]["n_lines"]) == ("", 1)
+    more = {r["doc_id"]: r["n_removed"] for r in remove_boilerplate(df, min_sites=12).collect()}
+    assert set(more.values()) == {0}  # 11 sites, 12 wanted: near the threshold, counted exactly
+    assert {r["doc_id"]: r["text"] for r in remove_boilerplate(docs, 2).collect()}[9]
+    assert remove_boilerplate(empty).count() == 0
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(40, 16))
+    vecs = [(centre[i % 40] + rng.normal(scale=0.09, size=16)).tolist() for i in range(400)]
+    rows = [(i, v, i % 3, 1, 2) for i, v in enumerate(vecs)]
+    rows += [(400 + i, vecs[0], 0, 1, 2) for i in range(60)]  # a large group of copies
+    rows += [(500, None, 0, 1, 1), (501, [0.0] * 16, 0, 1, 1), (502, [float("nan")] * 16, 0, 1, 1), (503, [None, 1.0], 0, 1, 1),
+             (504, vecs[0], None, 1, 1), (505, [float("inf")] * 16, 0, 1, 1), (506, [], 0, 1, 1), (0, vecs[0], 0, 1, 2), (None, vecs[0], 0, 1, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rep int, shard int")
+    got = {r["vec_id"]: (r["component_id"], r["kept"]) for r in embedding_near_duplicates(df).collect()}
+    links = {r["vec_id"]: r["n_links"] for r in embedding_near_duplicates(df).collect()}
+    usable = [(i, np.array(v), k) for i, v, k, *_ in rows[:460]]
+    near = {i: {j for j, w, m in usable if j != i and m == k and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.93} for i, v, k in usable}
+    label = {}
+    for i in sorted(near):
+        todo = [i]
+        while todo:
+            x = todo.pop()
+            if x not in label:
+                label[x] = i
+                todo += near[x]
+    assert {i: got[i] for i in near} == {i: (label[i], label[i] == i) for i in near}
+    assert {i: links[i] for i in near if label[i] != 0} == {i: len(near[i]) for i in near if label[i] != 0}
+    assert all(got[i] == (i, True) and links[i] == 0 for i in range(500, 507)) and got[None] == (None, True)
+    assert embedding_near_duplicates(df.limit(0)).count() == 0

@@ -1,0 +1,84 @@
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
+from stancekit.llm.common import shared_path
+from stancekit.llm.packing import best_two_fit, pack_documents
+from stancekit.llm.queries import tokenizer_path
+from stancekit.llm.token_chunks import ChunkTokenizer
+from stancekit.llm.token_output import read_sequence, read_token_files, write_token_files
+
+FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
+
+
+def encoder(name):
+    tok = Tokenizer.from_file(tokenizer_path(name))
+    tok.encode_special_tokens = True
+    return lambda t: tok.encode(t or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_chunks_equal_whole_encoding(name):
+    rng = random.Random(1)
+    parts = ["a", "B", "word", " ", "  ", "\n", "\n\n", "\t", "\r\n", "'", "'s", "'ll", "!", "..", "1", "23", "é", "É", "ß", "×", "Ã", "İ", "Σ",
+             " ", " ", "́", "“", "<|endoftext|>", "</w>", "漢", "😀", "\x00", "ª"]
+    texts = ["", None, *("".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(4000))]
+    ids, per = ChunkTokenizer(tokenizer_path(name)).ids(pa.array(texts))
+    whole = encoder(name)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(per)[:-1])] == [whole(t) for t in texts]
+
+
+def test_token_files(spark, docs, rows, empty):
+    folder = shared_path(spark, "t")
+    write_token_files(docs, folder, tokenizer_path(FILES[0]), end_id=2, seq_len=64)
+    got = sorted(map(tuple, read_token_files(spark, folder).collect()), key=str)
+    encode, at, want, stream = encoder(FILES[0]), 0, [], []
+    for i, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = [*encode(text), 2]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+        stream += ids
+    assert got == sorted(want, key=str)
+    files = spark.read.parquet(f"{folder}/manifest").orderBy("part").collect()
+    back = []
+    for f in files:
+        for s in range(-(-f["n_tokens"] // 64)):
+            ids, mask = read_sequence(folder, f["file"], s)
+            assert len(ids) == len(mask) == 64
+            back += ids[mask].tolist()
+    assert back == stream
+    folder = shared_path(spark, "t")
+    write_token_files(empty, folder, tokenizer_path(FILES[0]), end_id=2)
+    assert read_token_files(spark, folder).count() == 0
+
+
+def test_packing(docs, rows, empty):
+    got = pack_documents(docs, tokenizer_path(FILES[1]), 0, 256).toPandas()
+    encode, want = encoder(FILES[1]), []
+    for i, text, *_ in rows:
+        ids = np.array([*encode(text), 0], "<u4")
+        want += [(i, p // 256, p, len(ids[p:p + 256]), zlib.crc32(ids[p:p + 256].tobytes())) for p in range(0, len(ids), 256)]
+    cols = got[["piece", "start", "length", "ids_crc32"]]
+    assert sorted(cols.itertuples(index=False, name=None)) == sorted(w[1:] for w in want)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert (g["offset"] == g["length"].cumsum() - g["length"]).all() and g["length"].sum() <= 256
+    assert pack_documents(empty, tokenizer_path(FILES[1])).count() == 0
+
+
+def test_best_two_fit_is_tight():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        lengths = rng.integers(1, 101, 400)
+        bins, offsets = best_two_fit(lengths, 100)
+        for b in range(bins.max() + 1):
+            own = np.flatnonzero(bins == b)
+            own = own[np.argsort(offsets[own])]
+            assert len(own) and lengths[own].sum() <= 100
+            assert (offsets[own] == np.cumsum(lengths[own]) - lengths[own]).all()
+        assert bins.max() + 1 <= 1.03 * max(lengths.sum() / 100, (lengths > 50).sum()) + 3
+    # 60 + 30 leaves 10; 30 gives way to 25 and 15.
+    assert best_two_fit(np.array([60, 30, 25, 15]), 100)[0].tolist() == [0, 1, 0, 0]
