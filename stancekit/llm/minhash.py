@@ -15,10 +15,12 @@ For the same reason the frequencies are scaled to lie between 1 and 2: unscaled,
 the few words that near copies of a large group differ in would outweigh all
 that they share.)
 
-Exact copies are collapsed first. Within a bucket each member is compared with
-the bucket's smallest document; members of a bucket that then still lie in
-different classes are compared with each other. So a group of near copies costs
-work in proportion to its size, and no link between classes is left out.
+Exact copies are collapsed first. In each of ``LEADERS`` rounds a bucket's members
+are compared with one of them, drawn anew, if they are not in its class yet;
+members of a bucket that then still lie in different classes are compared with
+each other, unless what each of them shares with the others at all is too little
+for the threshold. So a group of near copies costs work in proportion to its size, and
+no link between classes is left out.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from stancekit.llm.common import by_bytes, components, materialize, mix64, text_
 from stancekit.llm.shingles import shingle_hashes, word_hashes
 
 BANDS, ROWS = 16, 4
+LEADERS = 2
 DF_BITS = 18
 DF_CHUNK = 1 << 14
 SLOTS = 1 << 15  # rows of the tables of random variates
@@ -133,7 +136,7 @@ class Icws:
 
 
 def _signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    schema = "doc_id long, h1 long, h2 long, bands array<long>"
+    schema = "doc_id long, h1 long, h2 long, bands array<long>, weight double"
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,15 +144,18 @@ def _signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
         for batch in by_bytes(batches, "text"):
             words, first = word_hashes(*text_buffers(batch.column("text")))
             bands, has = np.zeros((batch.num_rows, BANDS), np.uint64), np.diff(first) > 0
+            total = np.zeros(batch.num_rows)
             for i in np.flatnonzero(has):
-                drawn = icws.sample(*weighted_shingles(words[first[i]:first[i + 1]], idf)).reshape(BANDS, ROWS)
+                keys, weights = weighted_shingles(words[first[i]:first[i + 1]], idf)
+                total[i] = weights.sum()
+                drawn = icws.sample(keys, weights).reshape(BANDS, ROWS)
                 for j in range(ROWS):
                     bands[i] = mix64(bands[i] * base + drawn[:, j])
             size = np.where(has, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()),
                                              pa.array(bands[has].view(np.int64).ravel()))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("h1"), batch.column("h2"), lists],
-                                  names=["doc_id", "h1", "h2", "bands"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("h1"), batch.column("h2"), lists, pa.array(total)],
+                                  names=["doc_id", "h1", "h2", "bands", "weight"])
 
     return rows.mapInArrow(sign, schema)
 
@@ -181,6 +187,58 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: floa
     return rows.mapInArrow(check, "a long, b long, similarity double")
 
 
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _led_pairs(placed: DataFrame, r: int) -> DataFrame:
+    """Each bucket's members with one of them, first the smallest, then one drawn
+    at random, as far as they are of another class: as many pairs as members."""
+    drawn = F.struct((F.xxhash64(F.lit(r), "band", "id") if r else F.col("id")).alias("h"), F.col("id").alias("lead"), F.col("part").alias("lead_part"))
+    led = placed.groupBy("band", "key").agg(F.min(drawn).alias("m")).select("band", "key", "m.lead", "m.lead_part")
+    return placed.join(led, ["band", "key"]).where("part <> lead_part").select(*_pair("id", "lead")).distinct()
+
+
+def _split_buckets(placed: DataFrame) -> DataFrame:
+    split = placed.groupBy("band", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
+    return placed.join(split.select("band", "key"), ["band", "key"], "left_semi")
+
+
+def _own_weight(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``id, own``: the weight of the shingles that no other of the texts has."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", 1 << 20):
+            words, first = word_hashes(*text_buffers(batch.column("text")))
+            parts = [weighted_shingles(words[a:b], idf) for a, b in zip(first[:-1], first[1:], strict=True)]
+            of = np.repeat(np.arange(len(parts)), [len(k) for k, _ in parts])
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(of)), pa.array(np.concatenate([k for k, _ in parts]).view(np.int64)),
+                                   pa.array(np.concatenate([w for _, w in parts]).astype(np.float64))], names=["doc_id", "shingle", "weight"])
+
+    rows = texts.select("doc_id", "text").mapInArrow(explode, "doc_id long, shingle long, weight double")
+    return (rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("id"), F.min("weight").alias("weight"))
+            .where("n = 1").groupBy("id").agg(F.sum("weight").alias("own")))
+
+
+def _open_pairs(placed: DataFrame, texts: DataFrame, weights: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """The pairs of different classes of the buckets that still hold several, but
+    for those that cannot reach the threshold: two sets share no more than what
+    either of them shares with any of these texts. So copies of a template that
+    differ too much from each other are not compared pair by pair."""
+    left = materialize(_split_buckets(placed), "split-buckets")
+    ids = left.select(F.col("id").alias("doc_id")).distinct()
+    own = _own_weight(texts.join(ids, "doc_id", "left_semi"), idf)
+    room = (weights.join(own, "id", "left").withColumn("common", F.col("weight") - F.coalesce("own", F.lit(0.0)) + 1e-6)
+            .where(F.col("common") >= threshold * F.col("weight")))
+    left = materialize(left.join(room.select("id", "weight", "common"), "id"), "open")
+    other = left.select("band", "key", *[F.col(c).alias(f"other_{c}") for c in ("id", "part", "weight", "common")])
+    least = threshold / (1 + threshold) * (F.col("weight") + F.col("other_weight"))
+    return (left.join(other, ["band", "key"])
+            .where((F.col("id") < F.col("other_id")) & (F.col("part") != F.col("other_part"))
+                   & (F.least("common", "other_common") >= least))
+            .select(*_pair("id", "other_id")).distinct())
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: ``doc_id, class_id, kept``; ``class_id`` is the
     smallest id of the documents linked to it, directly or through others, by
@@ -195,30 +253,31 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     idf = idf_table(*count_words(docs))
     signed = materialize(_signatures(docs, idf), "signatures")
-    reps = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    reps = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"),
+                                             F.first("weight").alias("weight"))
     reps = materialize(reps.where("rep is not null"), "representatives")
+    weights = reps.select(F.col("rep").alias("id"), "weight")
 
     members = reps.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key"))
-    leaders = members.groupBy("band", "key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = materialize(members.join(leaders.drop("n"), ["band", "key"]), "buckets")
+    shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
+    buckets = materialize(members.join(shared, ["band", "key"], "left_semi"), "buckets")
     wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
     texts = docs.join(wanted, "doc_id", "left_semi")
     texts = materialize(texts.dropDuplicates(["doc_id"]), "candidate-texts")
 
-    stars = buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    stars = materialize(_verify(stars, texts, idf, threshold), "star-links")
-    label = components(stars.select("a", "b"))
-    placed = (buckets.join(label, "id", "left").select("band", "key", "id", "leader",
-                                                       F.coalesce("component_id", "id").alias("part")))
-    split = placed.groupBy("band", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
-    open_ = placed.join(split.select("band", "key"), ["band", "key"], "left_semi")
-    one, two = open_.alias("x"), open_.alias("y")
-    rest = (one.join(two, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
-                     & (F.col("x.part") != F.col("y.part")) & (F.col("x.id") < F.col("y.id"))
-                     & (F.col("x.id") != F.col("x.leader")))  # pairs with the leader are done
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    links = stars.union(materialize(_verify(rest, texts, idf, threshold), "rest-links"))
-    label = materialize(components(links.select("a", "b")), "classes")
+    links = tested = label = None
+    for r in range(LEADERS + 1):
+        placed = buckets if label is None else buckets.join(label, "id", "left")
+        part = F.col("id") if label is None else F.coalesce("component_id", "id")
+        placed = placed.select("band", "key", "id", part.alias("part"))
+        pairs = _led_pairs(placed, r) if r < LEADERS else _open_pairs(placed, texts, weights, idf, threshold)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        found = materialize(_verify(pairs, texts, idf, threshold).select("a", "b"), "links")
+        links = found if links is None else links.union(found)
+        tested = pairs if tested is None else tested.union(pairs)
+        label = materialize(components(links), "classes")
 
     rep_of = reps.select("h1", "h2", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select(
         "h1", "h2", F.coalesce("component_id", "rep").alias("class_id"))
