@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pandas as pd
-from conftest import words
+from llm_data import docs, empty, rows, words  # noqa: F401  (fixtures)
 
 from stancekit.llm.common import components
 from stancekit.llm.embed_dedup import embedding_near_duplicates

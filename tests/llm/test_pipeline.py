@@ -1,6 +1,6 @@
 import random
 
-from conftest import words
+from llm_data import words
 
 import __spark_entry__ as entry
 import corpus_pipeline as P

@@ -5,7 +5,7 @@ import re
 import zlib
 
 import numpy as np
-from conftest import words
+from llm_data import docs, empty, rows, words  # noqa: F401  (fixtures)
 from pyspark.sql import functions as F
 
 from stancekit.llm import chat_format as C

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from llm_data import docs, empty, rows  # noqa: F401  (fixtures)
 from stancekit.llm.common import shared_path
 from stancekit.llm.packing import best_two_fit, pack_documents
 from stancekit.llm.queries import tokenizer_path
