@@ -35,9 +35,9 @@ WORD_CHARS = r"\p{L}\p{N}_"
 EMOJI_CHARS = (
     r"\x{a9}\x{ae}\x{203c}\x{2049}\x{2122}\x{2139}\x{2194}-\x{2199}\x{21a9}\x{21aa}"
     r"\x{231a}\x{231b}\x{2328}\x{23cf}\x{23e9}-\x{23f3}\x{23f8}-\x{23fa}\x{24c2}"
-    r"\x{25aa}\x{25ab}\x{25b6}\x{25c0}\x{25fb}-\x{25fe}\x{2600}-\x{27bf}"
+    r"\x{25aa}\x{25ab}\x{25b6}\x{25c0}\x{25fb}-\x{25fe}\x{2600}-\x{2775}\x{2794}-\x{27bf}"
     r"\x{2934}\x{2935}\x{2b05}-\x{2b07}\x{2b1b}\x{2b1c}\x{2b50}\x{2b55}"
-    r"\x{3030}\x{303d}\x{3297}\x{3299}\x{1f000}-\x{1faff}"
+    r"\x{3030}\x{303d}\x{3297}\x{3299}\x{1f000}-\x{1f0ff}\x{1f10d}-\x{1faff}"
     r"\x{200d}\x{20e3}\x{fe0e}\x{fe0f}\x{e0020}-\x{e007f}"
 )
 KEYCAP = r"[0-9#*][\x{fe0e}\x{fe0f}]?\x{20e3}"
@@ -102,9 +102,9 @@ def _decode_token(t: Column) -> Column:
     legacy = _map_literal(LEGACY_REFERENCES)
     name = F.regexp_extract(t, NAMED_REF, 1)
     bare = F.regexp_extract(t, LEGACY_REF, 1)
-    dec = F.regexp_extract(t, DECIMAL_REF, 1)
-    hx = F.regexp_extract(t, HEX_REF, 1)
-    # more than 7 decimal / 6 hex digits cannot be a code point (NULL -> U+FFFD)
+    dec = F.regexp_replace(F.regexp_extract(t, DECIMAL_REF, 1), "^0+(?=.)", "")
+    hx = F.regexp_replace(F.regexp_extract(t, HEX_REF, 1), "^0+(?=.)", "")
+    # without leading zeros, more than 7 decimal / 6 hex digits cannot be a code point (NULL -> U+FFFD)
     dec_cp = F.when(F.length(dec) <= 7, dec.cast("long"))
     hex_cp = F.when(F.length(hx) <= 6, F.conv(hx, 16, 10).cast("long"))
     return (F.when(name != "", F.coalesce(F.try_element_at(named, name), t))

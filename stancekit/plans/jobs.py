@@ -72,39 +72,38 @@ def collect_data(spark: SparkSession, job: cfgmod.JobConfig, landed: Landed, run
 
 # P1 / P2 / P4 ---------------------------------------------------------------------
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").load(path).limit(1).count()
-        return True
-    except Exception:
-        return False
-
-
 def read_raw(spark: SparkSession, raw_dir: str) -> DataFrame | None:
     """Every raw dataset (Parquet written by ``collect``) plus legacy CSV
     files in the folder, as one relation with ``platform`` and ``run_ts``."""
     frames = []
     for name in RAW_DATASETS:
         path = os.path.join(raw_dir, name)
-        if _exists(spark, path):
+        if files.path_exists(spark, path):
             frames.append(spark.read.parquet(path))
-    try:
+    if files.csv_headers(spark, raw_dir):
+        for row in files.skipped_files(spark, raw_dir).collect():  # one a file
+            log.warning("skipping %s: no column %s", row["_file"], ", ".join(row["missing"]))
         legacy = files.read_legacy_csv_dir(spark, raw_dir)
         ts = F.regexp_extract(F.col("_file"), r"([0-9]{8}_[0-9]{6})\.csv$", 1)
         frames.append(legacy.withColumn("run_ts", ts).withColumn("platform", platform_of(F.col("source"))).drop("_file"))
-    except Exception as exc:  # no csv files
-        log.info("no legacy csv input in %s (%s)", raw_dir, type(exc).__name__)
     if not frames:
         return None
     return union_all(frames)
 
 
+def _collection_order():
+    """Latest run first; within a run search results before timelines, then
+    by source, url and text, so that the winner never depends on row order."""
+    return [F.coalesce(F.col("run_ts"), F.lit("")), F.when(F.col("source").contains("/@"), 0).otherwise(1),
+            *[F.coalesce(F.col(c), F.lit("")) for c in ("source", "url", "text")]]
+
+
 def prepare(raw: DataFrame, dedupe: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(originals, sentences)``. Q1: the same item collected by several
     runs (or written both per source and combined) is kept once per
     ``(platform, id)``, the most recent run winning."""
     if dedupe:
-        raw = dedupe_first(raw, ["platform", "id"], [F.coalesce(F.col("run_ts"), F.lit(""))], latest=True)
+        raw = dedupe_first(raw, ["platform", "id"], _collection_order(), latest=True)
     originals = add_cleaned_text(raw)
     sentences = explode_sentences(originals)
     return originals, sentences
@@ -144,7 +143,7 @@ def run_modeling(spark: SparkSession, job: cfgmod.JobConfig, run_ts: str, senten
             sentences = files.read_table(spark, job.sentences_path)
         else:
             default = os.path.join(job.processed_data_dir, "sentences_data")
-            if not _exists(spark, default):
+            if not files.path_exists(spark, default):
                 log.error("no sentences provided for classification")
                 return None
             sentences = latest_run(spark, default)
@@ -165,7 +164,7 @@ def evaluate_model(spark: SparkSession, job: cfgmod.JobConfig, run_ts: str, resu
             results = files.read_table(spark, job.results_path)
         else:
             default = os.path.join(job.processed_data_dir, "classification_results")
-            if not _exists(spark, default):
+            if not files.path_exists(spark, default):
                 log.error("no results provided for evaluation")
                 return None
             results = latest_run(spark, default)

@@ -302,8 +302,7 @@ def q_stream_classify(spark, d):
     from stancekit.streaming import streams
 
     base = scratch_path(spark, "stream_classify", uuid.uuid4().hex)
-    schema = spark.read.parquet(f"{d.rstrip('/')}/documents.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    raw = streams.read_table_stream(spark, f"{d.rstrip('/')}/documents.parquet")
     items = raw.select(F.col("doc_id").cast("string").alias("id"), "source", "text")
     out = streams.stream_classify(items, FIXTURE).select(
         "id", "source", "text_id", "sentence_index", "rule_based", "final", "confidence")
@@ -322,8 +321,7 @@ def q_stream_window_stats(spark, d):
     from stancekit.streaming import streams
 
     base = scratch_path(spark, "stream_window_stats", uuid.uuid4().hex)
-    schema = spark.read.parquet(f"{d.rstrip('/')}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    raw = streams.read_table_stream(spark, f"{d.rstrip('/')}/events.parquet")
     # Watermarks need TIMESTAMP; the table stores wall-clock UTC (NTZ).
     events = raw.select(F.col("event_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "props")
     items = T.with_clean_text(events,

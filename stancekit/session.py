@@ -63,6 +63,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         configured = spark.conf.get("stancekit.checkpoint.dir", None)
     if not configured:
+        if sc is None or not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="stancekit-ckpt-")
         spark.conf.set("stancekit.checkpoint.dir", configured)
     if sc is not None and sc.getCheckpointDir() is None:

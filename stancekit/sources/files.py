@@ -3,8 +3,8 @@
 ``read_legacy_csv_dir`` imports a folder of timestamped CSV files as the
 original collectors wrote them: one header per file, different headers per
 collector (articles, posts, comments, tweets), quotes doubled, newlines
-inside quoted fields. The folder is read in one scan; each file's first
-record is its header and every value is looked up by column name.
+inside quoted fields. Files are grouped by header; each group is one scan of
+any number of columns. Multi-line files are never split.
 """
 
 from __future__ import annotations
@@ -38,8 +38,6 @@ RAW_SCHEMA = T.StructType([
     T.StructField("hashtags", T.ArrayType(T.StringType())),
 ])
 
-MAX_CSV_COLUMNS = 32
-
 
 def _csv_reader(spark: SparkSession, header: bool):
     return (
@@ -52,8 +50,11 @@ def _csv_reader(spark: SparkSession, header: bool):
 
 
 def parse_list_repr(c):
-    """``"['a', 'b']"`` (a Python list written to CSV) -> ``array('a','b')``."""
-    return F.when(c.isNull(), F.lit(None)).otherwise(F.regexp_extract_all(c, F.lit(r"'([^']*)'"), F.lit(1)))
+    """``"['a', \\"it's\\"]"`` (a Python list of strings written to CSV, in either
+    kind of quotes) or a JSON array of strings -> array."""
+    items = F.regexp_extract_all(c, F.lit(r"""'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)\""""), F.lit(0))
+    bare = F.transform(items, lambda x: F.regexp_replace(F.substring(x, 2, 1 << 30).substr(F.lit(1), F.length(x) - 2), r"\\(.)", "$1"))
+    return F.when(c.isNull(), F.lit(None)).otherwise(bare)
 
 
 def _typed(value, field: T.StructField):
@@ -65,20 +66,29 @@ def _typed(value, field: T.StructField):
     return value
 
 
-def legacy_csv_records(spark: SparkSession, path: str, max_columns: int = MAX_CSV_COLUMNS) -> DataFrame:
-    """``(_file, _header, _vals)`` for every data record of every top-level
-    ``*.csv`` in ``path`` (not recursive; empty files contribute nothing)."""
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(max_columns)])
-    raw = _csv_reader(spark, header=False).schema(schema).csv(path)
-    # Multi-line CSV files are never split, so a file's records arrive in
-    # order inside one task and the smallest position marks its header.
-    rec = raw.select(
-        F.col("_metadata.file_path").alias("_file"),
-        F.monotonically_increasing_id().alias("_pos"),
-        F.array(*[F.col(f"_c{i}") for i in range(max_columns)]).alias("_vals"),
-    )
-    heads = rec.groupBy("_file").agg(F.min_by("_vals", "_pos").alias("_header"), F.min("_pos").alias("_hpos"))
-    return rec.join(heads, "_file").where(F.col("_pos") != F.col("_hpos")).drop("_pos", "_hpos")
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path exists; any other trouble with it is raised."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where))
+
+
+def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Top-level ``*.csv`` files of ``path`` by their header; empty files and
+    everything else in the folder are left out. One small read a file."""
+    if not path_exists(spark, path):
+        return {}
+    listed = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
+              .load(path).select("path"))
+    root = path.split("://")[-1].removeprefix("file:").rstrip("/")
+    found: dict[tuple[str, ...], list[str]] = {}
+    for (file,) in sorted(listed.collect()):
+        parent = file.rpartition("/")[0]
+        if not parent.endswith(root):
+            continue
+        first = _csv_reader(spark, header=False).csv(file).limit(1).collect()
+        if first:
+            found.setdefault(tuple(x or "" for x in first[0]), []).append(file)
+    return found
 
 
 def read_legacy_csv_dir(
@@ -93,19 +103,22 @@ def read_legacy_csv_dir(
     News ids in old files came from a per-process salted string hash; with
     ``rederive_news_ids`` they are replaced by the stable url hash.
     """
-    rec = legacy_csv_records(spark, path)
-    header = F.col("_header")
-    has_all = None
-    for col in required:
-        test = F.array_contains(header, col)
-        has_all = test if has_all is None else has_all & test
-    rec = rec.where(has_all)
-    cols = []
-    for field in RAW_SCHEMA.fields:
-        pos = F.array_position(header, field.name).cast("int")
-        value = F.when(pos > 0, F.element_at(F.col("_vals"), pos))
-        cols.append(_typed(value, field).cast(field.dataType).alias(field.name))
-    out = rec.select(*cols, F.col("_file"))
+    frames = []
+    for header, paths in csv_headers(spark, path).items():
+        if not set(required) <= set(header):
+            continue
+        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))])
+        rec = _csv_reader(spark, header=True).schema(schema).csv(paths)
+        cols = [F.col("_metadata.file_path").alias("_file")]
+        for field in RAW_SCHEMA.fields:
+            value = F.col(f"_c{header.index(field.name)}") if field.name in header else F.lit(None).cast("string")
+            cols.append(_typed(value, field).cast(field.dataType).alias(field.name))
+        frames.append(rec.select(*cols[1:], cols[0]))
+    if not frames:
+        frames = [spark.createDataFrame([], T.StructType([*RAW_SCHEMA.fields, T.StructField("_file", T.StringType())]))]
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
     if rederive_news_ids:
         is_news = ~F.col("source").contains("/") & ~F.col("source").startswith("reddit") & \
             ~F.col("source").startswith("twitter") & F.col("url").isNotNull()
@@ -115,9 +128,9 @@ def read_legacy_csv_dir(
 
 def skipped_files(spark: SparkSession, path: str, required: tuple[str, ...] = REQUIRED_COLUMNS) -> DataFrame:
     """F1 report: files that were skipped and the columns they lack."""
-    rec = legacy_csv_records(spark, path).select("_file", "_header").distinct()
-    missing = F.array_except(F.array(*[F.lit(c) for c in required]), F.col("_header"))
-    return rec.select("_file", missing.alias("missing")).where(F.size("missing") > 0)
+    rows = [(file, [c for c in required if c not in header])
+            for header, paths in csv_headers(spark, path).items() for file in paths]
+    return spark.createDataFrame([r for r in rows if r[1]], "_file string, missing array<string>")
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -135,8 +148,4 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def _is_csv_dir(spark: SparkSession, path: str) -> bool:
-    try:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path").limit(1)
-        return files.count() > 0
-    except Exception:  # not a folder of csv files
-        return False
+    return bool(csv_headers(spark, path))

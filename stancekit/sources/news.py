@@ -27,8 +27,12 @@ def element_text(fragment: Column) -> Column:
 
 
 def article_html(html: Column) -> Column:
-    """Inner HTML of the first ``<article>`` element ('' when absent)."""
-    return F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1)
+    """Inner HTML of all ``<article>`` elements ('' when absent)."""
+    return F.array_join(articles_html(html), "\n")
+
+
+def articles_html(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(r"(?is)<article\b[^>]*>(.*?)</article\s*>"), F.lit(1))
 
 
 def article_title(html: Column) -> Column:
@@ -38,15 +42,15 @@ def article_title(html: Column) -> Column:
 
 
 def article_text(html: Column) -> Column:
-    """Paragraph texts of the article, each stripped, joined by one blank.
+    """Paragraph texts of all articles of the page, each stripped, joined by one blank.
 
     Each ``<p>`` start tag opens a paragraph that ends at ``</p>`` or at the
     next ``<p>``; an unclosed paragraph therefore contributes its own text
     once.
     """
-    marked = F.regexp_replace(article_html(html), r"(?i)<p(?:\s[^>]*)?>", "\u0001")
-    pieces = F.slice(F.split(marked, "\u0001"), 2, 1 << 30)
-    texts = F.transform(pieces, lambda x: element_text(F.split_part(x, F.lit("</p>"), F.lit(1))))
+    pieces = F.flatten(F.transform(articles_html(html), lambda a: F.slice(
+        F.split(F.regexp_replace(a, r"(?i)<p(?:\s[^>]*)?>", "\u0001"), "\u0001"), 2, 1 << 30)))
+    texts = F.transform(pieces, lambda x: element_text(F.get(F.split(x, r"(?i)</p\s*>"), 0)))
     return F.array_join(texts, " ")
 
 
@@ -76,7 +80,9 @@ def url_host(url: Column) -> Column:
 
 def url_page_no(url: Column) -> Column:
     """Result-page number from a ``page=`` query parameter (default 1)."""
-    return F.coalesce(F.regexp_extract(url, r"[?&]page=([0-9]{1,9})", 1).try_cast("int"), F.lit(1))
+    digits = F.regexp_extract(url, r"[?&]page=([0-9]+)", 1)
+    beyond = F.when(digits != "", F.lit((1 << 63) - 1)).otherwise(F.lit(1))
+    return F.coalesce(digits.try_cast("long"), beyond)
 
 
 def extract_articles(pages: DataFrame, source: Column | str, url_col: str = "url", html_col: str = "html",
@@ -102,7 +108,10 @@ def extract_links(pages: DataFrame, scope: str = "article", url_col: str = "url"
     relative links are prefixed with the page's site root."""
     html = F.col(html_col)
     region = article_html(html) if scope == "article" else html
-    hrefs = F.regexp_extract_all(region, F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*"([^"]*)\""""), F.lit(1))
+    tag = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    tags = F.regexp_extract_all(region, F.lit(tag), F.lit(0))
+    hrefs = F.transform(tags, lambda x: F.concat(*[F.regexp_extract(x, tag, i) for i in (1, 2, 3)]))
+    hrefs = F.transform(hrefs, lambda x: F.when(x.contains("&"), decode_entities(x)).otherwise(x))
     return pages.select(
         F.col(url_col).alias("page_url"), url_root(F.col(url_col)).alias("_root"),
         F.posexplode(hrefs).alias("link_index", "href"),

@@ -26,6 +26,17 @@ def read_raw_stream(spark: SparkSession, path: str, schema: T.StructType, max_fi
     return reader.parquet(path)
 
 
+def read_table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table as a stream, whether it is a folder of part files or a
+    single file; a path without a readable table raises."""
+    schema = spark.read.parquet(path).schema
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return read_raw_stream(spark, path, schema)
+    folder, _, name = path.rpartition("/")
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+
+
 def stream_classify(raw: DataFrame, cfg: ClassifierConfig | None = None, scorer: Scorer | None = None) -> DataFrame:
     """ST1: raw items -> cleaned sentences -> classification (stateless).
 

@@ -136,7 +136,8 @@ def test_article_edge_cases(spark):
     df = spark.createDataFrame([("https://a.example.com/x", html)], "url string, html string")
     r = news.extract_articles(df, "s").first()
     assert r.title == "Erst fett & mehr"
-    assert r.text == "Eins Zwei “zitiert”  Drei"  # empty paragraph keeps its slot, like ' '.join
+    # All paragraphs of all articles; an empty one keeps its slot, like ' '.join.
+    assert r.text == "Eins Zwei “zitiert”  Drei zweiter Artikel"
     assert r.date is None  # a <time> without datetime gives no date
 
 
@@ -146,3 +147,13 @@ def test_confusion_wide(spark):
     df = spark.createDataFrame([("pro", "pro", 2), ("contra", "pro", 1)], "true_label string, pred_label string, n long")
     rows = {r.true_label: (r.pro, r.contra, r.neutral) for r in E.confusion_wide(df).collect()}
     assert rows == {"pro": (2, 0, 0), "contra": (1, 0, 0), "neutral": (0, 0, 0)}
+
+
+def test_link_forms_and_page_numbers(spark):
+    html = """<article><a href="/d?a=1&amp;b=2">x</a><a class=c href='/k'>y</a></article><article><A HREF=/m>z</a></article>"""
+    df = spark.createDataFrame([("https://a.example.com/x", html)], "url string, html string")
+    root = "https://a.example.com"
+    assert [r.link for r in news.extract_links(df).orderBy("link_index").collect()] == [f"{root}/d?a=1&b=2", f"{root}/k", f"{root}/m"]
+    urls = ["u?page=0000000000099", "u?page=10000000000", "u?page=7&x=1", "u", "u?page=" + "9" * 40]
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select(news.url_page_no(F.col("u")).alias("n")).collect()
+    assert [r.n for r in got] == [99, 10_000_000_000, 7, 1, (1 << 63) - 1]

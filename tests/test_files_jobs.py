@@ -103,3 +103,32 @@ def test_end_to_end_jobs(spark):
     again = jobs.run(spark, job, landed)["prepare"][0]
     latest = again.where(F.col("run_ts") == again.agg(F.max("run_ts")).first()[0])
     assert latest.count() == n_items
+
+
+def test_mixed_raw_folder(spark, tmp_path):
+    """Collected Parquet and legacy CSV side by side, a wide file, one without
+    a text column, an empty file and both kinds of quotes in a list cell."""
+    from stancekit.plans.jobs import read_raw
+    from stancekit.sinks import writers as W
+    from stancekit.sources import files
+
+    tweets = spark.createDataFrame([("1", "twitter", "hello", ["x"])], "id string, source string, text string, hashtags array<string>")
+    W.write_raw(tweets, str(tmp_path), "20240101_000000", "tweets")
+    wide = ",".join(f"c{i}" for i in range(40))
+    (tmp_path / "wide_20240102_000000.csv").write_text(f"{wide},id,source,text,hashtags\n{'v,' * 40}2,twitter,\"a\nb\",\"['a', \"\"it's\"\", 'c']\"\n")
+    (tmp_path / "other_20240103_000000.csv").write_text("id,source\n3,twitter\n")
+    (tmp_path / "empty.csv").write_text("")
+    got = {r["id"]: r for r in read_raw(spark, str(tmp_path)).collect()}
+    assert set(got) == {"1", "2"} and got["2"]["text"] == "a\nb" and got["2"]["hashtags"] == ["a", "it's", "c"]
+    assert got["2"]["run_ts"] == "20240102_000000"
+    skipped = files.skipped_files(spark, str(tmp_path)).collect()
+    assert [(r["_file"].rpartition("/")[2], r["missing"]) for r in skipped] == [("other_20240103_000000.csv", ["text"])]
+
+
+def test_dedupe_winner_does_not_depend_on_order(spark):
+    from stancekit.plans.jobs import prepare
+
+    rows = [("7", "twitter/@u", "from the timeline", "twitter", "r1"), ("7", "twitter", "from the search", "twitter", "r1")]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "id string, source string, text string, platform string, run_ts string").withColumn("url", F.lit(None).cast("string"))
+        assert [r["source"] for r in prepare(df.coalesce(1))[0].collect()] == ["twitter"]

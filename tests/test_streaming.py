@@ -48,3 +48,14 @@ def test_stream_dedupe_and_window_stats(spark):
     q2.awaitTermination(300)
     got = {(r.window.start.hour, r.final): r.n for r in spark.table("stats_out").collect()}
     assert got[(0, "pro")] == 2 and got[(0, "contra")] == 1
+
+
+def test_stream_over_part_files(spark, tmp_path):
+    from stancekit.streaming import streams
+
+    path = f"{tmp_path}/documents.parquet"
+    spark.range(40).repartition(4).write.parquet(path)
+    for p in (path, "/root/testdata/sf0.001/region.parquet"):
+        q = streams.read_table_stream(spark, p).writeStream.format("memory").queryName("parts").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert spark.table("parts").count() == spark.read.parquet(p).count()

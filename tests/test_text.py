@@ -113,3 +113,9 @@ def test_references_decode_like_html_unescape(spark):
 
 def test_numeric_quotes_do_not_leave_digits(spark):
     assert clean_one(spark, "Er sagte &#8222;Hallo&#8220; &#x2013; gut.") == "Er sagte Hallo  gut."
+
+
+def test_padded_references_and_enclosed_digits(spark):
+    df = spark.createDataFrame([("&#00000065;&#x0000041;", "❶➊🄀")], "a string, b string")
+    r = df.select(T.decode_entities(F.col("a")).alias("a"), T.strip_emoji(F.col("b")).alias("b")).first()
+    assert (r.a, r.b) == ("AA", "❶➊🄀")
