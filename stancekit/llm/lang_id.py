@@ -29,6 +29,7 @@ WINDOW = 256
 PAD = 256
 EMBED, FILTERS, PAIRS = 8, 12, (1, 2, 3)  # filter widths of 2, 4 and 6 bytes
 BLOCK = 256  # windows scored at once
+SALTS = 64  # tasks a language's sample is first drawn in
 UNDETERMINED = "und"
 
 
@@ -138,9 +139,12 @@ def train(docs: DataFrame, is_train: Column, docs_per_lang: int = 400, windows_p
     each language with the smallest id hashes; None without labelled text.
     Reads ids and labels first, then the texts of the chosen ids only."""
     known = docs.where(is_train & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-              .withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_per_lang).select("id").distinct())
+    # Each reading task hands on docs_per_lang ids a language; they meet in SALTS tasks first, then in one.
+    ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).withColumn("salt", F.spark_partition_id() % SALTS)
+    for group in (["lang", "salt"], ["lang"]):
+        order = Window.partitionBy(*group).orderBy(F.xxhash64("id"), "id")
+        ids = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_per_lang).drop("place")
+    chosen = ids.select("id").distinct()
     rows = (known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
             .join(F.broadcast(chosen), "id", "left_semi"))  # at most docs_per_lang ids a language
 
