@@ -64,16 +64,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _run(p, gates, keep, h):
     """States after each step; what backpropagation needs."""
-    out, saved = np.empty((*keep.shape, HIDDEN), np.float32), []
+    out = np.empty((*keep.shape, HIDDEN), np.float32)
+    before, rec_n, z, r, n = saved = [np.empty_like(out) for _ in range(5)]
     for t in range(len(keep)):
-        before = h * keep[t][:, None]
-        rec = before @ p["wh"]
+        np.multiply(h, keep[t][:, None], out=before[t])
+        rec = before[t] @ p["wh"]
         zr = _sigmoid(gates[t][:, :2 * HIDDEN] + rec[:, :2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(gates[t][:, 2 * HIDDEN:] + r * rec[:, 2 * HIDDEN:])
-        h = n + z * (before - n)
-        out[t] = h
-        saved.append((before, rec[:, 2 * HIDDEN:], z, r, n))
+        z[t], r[t], rec_n[t] = zr[:, :HIDDEN], zr[:, HIDDEN:], rec[:, 2 * HIDDEN:]
+        np.tanh(gates[t][:, 2 * HIDDEN:] + r[t] * rec_n[t], out=n[t])
+        h = out[t] = n[t] + z[t] * (before[t] - n[t])
     return out, saved
 
 
@@ -143,42 +142,62 @@ def log_probs(p: dict[str, np.ndarray], docs: list[np.ndarray], lanes: int = 512
     return total
 
 
+def _softmax_minus(logit: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Gradient of the mean loss by the logits, which it overwrites."""
+    logit -= logit.max(1, keepdims=True)
+    np.exp(logit, out=logit)
+    logit /= logit.sum(1, keepdims=True)
+    logit[np.arange(len(at)), at] -= 1
+    logit /= n
+    return logit
+
+
+def _sums(rows: np.ndarray, of: np.ndarray, out: np.ndarray) -> None:
+    """Adds up the rows of each number, numbers ascending."""
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    if len(first):
+        out[of[first]] = np.add.reduceat(rows, first)
+
+
 def _gradients(p, x, y, keep, on, h):
     """Loss gradients over one window, and the state after it."""
     g = {k: np.zeros_like(v) for k, v in p.items()}
     inputs = p["embed"][x]
     states, saved = _run(p, inputs @ p["wx"] + p["b"], keep, h)
     last, n = states[-1], max(1, int(on.sum()))
-    s, word = states[on], y[on]
+    order = np.argsort(y[on] // SIDE, kind="stable")
+    s, word = states[on][order], y[on][order]
     group, within = word // SIDE, word % SIDE
-    dc = np.exp(_log_softmax(s @ p["wc"] + p["bc"]))
-    dc[np.arange(len(s)), group] -= 1
-    dc /= n
+    dc = _softmax_minus(s @ p["wc"] + p["bc"], group, n)
     g["wc"], g["bc"] = s.T @ dc, dc.sum(0)
     ds = dc @ p["wc"].T
-    for k in np.unique(group):
-        at = np.flatnonzero(group == k)
-        dw = np.exp(_log_softmax(s[at] @ p["ww"][k] + p["bw"][k]))
-        dw[np.arange(len(at)), within[at]] -= 1
-        dw /= n
-        g["ww"][k], g["bw"][k] = s[at].T @ dw, dw.sum(0)
-        ds[at] += dw @ p["ww"][k].T
+    ends = np.cumsum(np.bincount(group, minlength=SIDE))
+    rows = {k: slice(ends[k - 1] if k else 0, ends[k]) for k in np.unique(group).tolist()}
+    dw = p["bw"][group]
+    for k, own in rows.items():
+        dw[own] += s[own] @ p["ww"][k]
+    _softmax_minus(dw, within, n)
+    _sums(dw, group, g["bw"])
+    for k, own in rows.items():
+        np.matmul(s[own].T, dw[own], out=g["ww"][k])
+        ds[own] += dw[own] @ p["ww"][k].T
     d_states = np.zeros_like(states)
-    d_states[on] = ds
+    d_states[tuple(i[order] for i in np.nonzero(on))] = ds
+    before, rec, z, r, m = saved
+    by_z, by_m, by_r = (before - m) * z * (1 - z), (1 - z) * (1 - m * m), rec * r * (1 - r)
     back, d_gates = np.zeros_like(h), np.empty((*keep.shape, 3 * HIDDEN), np.float32)
+    d_recs, wh = np.empty_like(d_gates), np.ascontiguousarray(p["wh"].T)
     for t in range(len(keep) - 1, -1, -1):
-        before, rec, z, r, m = saved[t]
-        dh = d_states[t] + back
-        dz = dh * (before - m) * z * (1 - z)
-        dm = dh * (1 - z) * (1 - m * m)
-        dr = dm * rec * r * (1 - r)
-        d_gates[t] = np.hstack((dz, dr, dm))
-        d_rec = np.hstack((dz, dr, dm * r))
-        g["wh"] += before.T @ d_rec
-        back = (dh * z + d_rec @ p["wh"].T) * keep[t][:, None]
+        dh, d, d_rec = d_states[t] + back, d_gates[t], d_recs[t]
+        dm = dh * by_m[t]
+        d[:, :HIDDEN], d[:, HIDDEN:2 * HIDDEN], d[:, 2 * HIDDEN:] = dh * by_z[t], dm * by_r[t], dm
+        d_rec[:, :2 * HIDDEN], d_rec[:, 2 * HIDDEN:] = d[:, :2 * HIDDEN], dm * r[t]
+        back = (dh * z[t] + d_rec @ wh) * keep[t][:, None]
+    g["wh"] = before.reshape(-1, HIDDEN).T @ d_recs.reshape(-1, 3 * HIDDEN)
     flat = d_gates.reshape(-1, 3 * HIDDEN)
     g["wx"], g["b"] = inputs.reshape(-1, EMBED).T @ flat, flat.sum(0)
-    np.add.at(g["embed"], x.ravel(), flat @ p["wx"].T)
+    by_word = np.argsort(x, axis=None, kind="stable")
+    _sums((flat @ p["wx"].T)[by_word], x.ravel()[by_word], g["embed"])
     return g, last
 
 
@@ -190,17 +209,25 @@ def train(p: dict[str, np.ndarray], docs: list[np.ndarray], epochs: int, rate: f
     if not docs:
         return p
     x, y, keep, doc = streams(docs, lanes)
+    load = (doc >= 0).sum(0)
     m, v, step = {k: np.zeros_like(w) for k, w in p.items()}, {k: np.zeros_like(w) for k, w in p.items()}, 0
     for _ in range(epochs):
         h = np.zeros((x.shape[1], HIDDEN), np.float32)
         for a in range(0, len(x), WINDOW):
-            w = slice(a, a + WINDOW)
-            g, h = _gradients(p, x[w], y[w], keep[w], doc[w] >= 0, h)
-            norm = float(np.sqrt(sum(float((q * q).sum()) for q in g.values())))
+            w = (slice(a, a + WINDOW), slice(0, int((load > a).sum())))  # finished lanes leave the batch
+            g, h = _gradients(p, x[w], y[w], keep[w], doc[w] >= 0, h[:w[1].stop])
+            norm = float(np.sqrt(sum(float(np.vdot(q, q)) for q in g.values())))
             scale, step = min(1.0, clip / (norm + 1e-8)), step + 1
             for k in p:
-                q = g[k] * scale
+                q = g[k]
+                q *= scale
                 m[k] += 0.1 * (q - m[k])
-                v[k] += 0.001 * (q * q - v[k])
-                p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+                q *= q
+                v[k] += 0.001 * (q - v[k])
+                np.sqrt(v[k], out=q)
+                q *= (1 - 0.999**step) ** -0.5
+                q += 1e-8
+                np.divide(m[k], q, out=q)
+                q *= rate / (1 - 0.9**step)
+                p[k] -= q
     return p

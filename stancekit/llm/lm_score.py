@@ -9,9 +9,9 @@ the vocabulary of the recurrent model (``gru``); the model spells a rarer word
 as "rare" times the word's smoothed share of all rare training words.
 
 The model is fitted on the driver on a bounded sample of training documents
-(``SAMPLE_SLICES`` slices, ``SAMPLE_TOKENS`` tokens), then improved in one round
-that grows with the corpus: one slice in ``LOCAL_SHARE`` trains its own copy on
-all its training documents, and the copies are averaged by their tokens.
+(whole ones, ``SAMPLE_SLICES`` slices, ``SAMPLE_TOKENS`` tokens), then improved
+in one round over the whole corpus: every slice trains its own copy on all its
+training documents, and the copies are averaged by their tokens.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ VOCABULARY = gru.SIDE * gru.SIDE - 2
 SLICE = 4 << 20
 SHARD_BYTES = 32 << 20
 SAMPLE_SLICES, SAMPLE_TOKENS = 64, 300_000
-LOCAL_SHARE = 16
 PARTS = 16
+SALTS = 64  # groups in which the tasks' changes are added up first
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
@@ -138,6 +138,17 @@ def _documents(row: dict, words: Vocabulary) -> tuple[list[np.ndarray], np.ndarr
     return np.split(words.codes_to_ids(keys)[codes], np.cumsum(sizes)[:-1]), codes, keys
 
 
+def sample(docs: list[np.ndarray], seed: int, quota: int) -> list[np.ndarray]:
+    """Whole documents of at most ``quota`` tokens together, in a drawn order;
+    if none is so short, the shortest one."""
+    out, left = [], quota
+    for i in np.random.default_rng(seed & 0xFFFFFFFF).permutation(len(docs)):
+        if len(docs[i]) <= left:
+            out.append(docs[i])
+            left -= len(docs[i])
+    return out or [d for d in sorted(docs, key=len)[:1] if len(d) <= SAMPLE_TOKENS]
+
+
 def fit(slices: DataFrame, words: Vocabulary, start: np.ndarray) -> dict[str, np.ndarray]:
     """The sampled fit and the round of averaging."""
     chosen = [r[0] for r in slices.select("slice").orderBy(F.xxhash64("slice"), "slice").limit(SAMPLE_SLICES).collect()]
@@ -147,45 +158,54 @@ def fit(slices: DataFrame, words: Vocabulary, start: np.ndarray) -> dict[str, np
         for batch in batches:
             for row in batch.to_pylist():
                 docs, _, _ = _documents(row, words)
-                order = np.random.default_rng(row["slice"] & 0xFFFFFFFF).permutation(len(docs))
-                docs, left, out = [docs[i] for i in order if not row["held_out"][i]], quota, []
-                for d in docs:
-                    if left > 0:
-                        out.append(d[:left].tobytes())
-                        left -= len(d)
+                out = [d.tobytes() for d in sample([d for d, held in zip(docs, row["held_out"], strict=True) if not held],
+                                                   row["slice"], quota)]
                 yield pa.record_batch([pa.array([row["slice"]] * len(out), pa.int64()), pa.array(out, pa.binary())],
                                       names=["slice", "ids"])
 
     got = slices.where(F.col("slice").isin(chosen)).mapInArrow(draw, "slice long, ids binary").collect()
-    docs = [np.frombuffer(r["ids"], np.int32) for r in sorted(got)]
+    docs, left = [], SAMPLE_TOKENS
+    for d in (np.frombuffer(r["ids"], np.int32) for r in sorted(got)):
+        if len(d) <= left:
+            docs.append(d)
+            left -= len(d)
     params = gru.train(gru.initial(start), docs, epochs=3, rate=0.01)
     names = sorted(params)
     flat = np.concatenate([params[k].ravel() for k in names])
     step = -(-len(flat) // PARTS)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, weight = np.zeros(len(flat)), 0.0
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 docs, _, _ = _documents(row, words)
                 docs = [d for d, held in zip(docs, row["held_out"], strict=True) if not held]
                 if docs:
                     own = gru.train(params, docs, epochs=1, rate=0.002, lanes=128)
                     own = np.concatenate([own[k].ravel() for k in names]) - flat
-                    weight = float(sum(map(len, docs)))
-                    yield pa.record_batch([pa.array(range(PARTS), pa.int32()), pa.array([weight] * PARTS),
-                                           pa.array([own[i * step:(i + 1) * step].tobytes() for i in range(PARTS)], pa.binary())],
-                                          names=["part", "weight", "change"])
-
-    def average(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(w * np.frombuffer(c, np.float32).astype(np.float64) for w, c in zip(rows["weight"], rows["change"], strict=True))
-        return pd.DataFrame({"part": rows["part"].iloc[:1], "weight": [rows["weight"].sum()],
-                             "change": [(total / rows["weight"].sum()).astype(np.float32).tobytes()]})
-
-    kind = "part int, weight double, change binary"
-    share = slices.where(F.pmod(F.xxhash64(F.lit(1), "slice"), F.lit(LOCAL_SHARE)) == 0)
-    moved = share.mapInArrow(local, kind).groupBy("part").applyInPandas(average, kind).collect()
+                    tokens = float(sum(map(len, docs)))
+                    total += tokens * own
+                    weight += tokens
+        if weight:
+            yield pa.record_batch([pa.array(range(PARTS), pa.int32()), pa.array([TaskContext.get().partitionId()] * PARTS, pa.int32()),
+                                   pa.array([weight] * PARTS),
+                                   pa.array([total[i * step:(i + 1) * step].tobytes() for i in range(PARTS)], pa.binary())],
+                                  names=["part", "task", "weight", "change"])
+
+    def add_up(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("task")
+        total = sum(np.frombuffer(c, np.float64) for c in rows["change"])
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "task": rows["task"].iloc[:1], "weight": [rows["weight"].sum()],
+                             "change": [total.tobytes()]})
+
+    kind = "part int, task int, weight double, change binary"
+    # One sum a task; the sums meet in SALTS groups of each part first, then in one.
+    moved = (slices.select("slice", "held_out", "n_tokens", "codes", "keys").mapInArrow(local, kind)
+             .groupBy("part", F.col("task") % SALTS).applyInPandas(add_up, kind)
+             .groupBy("part").applyInPandas(add_up, kind).collect())
     for r in moved:
-        change = np.frombuffer(r["change"], np.float32)
+        change = (np.frombuffer(r["change"], np.float64) / r["weight"]).astype(np.float32)
         flat[r["part"] * step:r["part"] * step + len(change)] += change
     ends = np.cumsum([params[k].size for k in names])
     return {k: x.reshape(params[k].shape) for k, x in zip(names, np.split(flat, ends[:-1]), strict=True)}

@@ -9,7 +9,7 @@ from llm_data import docs, empty, rows, words  # noqa: F401  (fixtures)
 from pyspark.sql import functions as F
 
 from stancekit.llm import chat_format as C
-from stancekit.llm import gru
+from stancekit.llm import gru, lm_score
 from stancekit.llm import lang_id as L
 from stancekit.llm.decontaminate import contamination, decontaminate, hit_words
 from stancekit.llm.lm_score import score_documents
@@ -154,3 +154,25 @@ def test_gru_learns_context():
     start = gru.initial(np.bincount(np.concatenate(docs), minlength=4096))
     after = gru.train(start, docs[:50], epochs=12, rate=0.01)
     assert gru.log_probs(after, docs[50:]).sum() > 0.9 * gru.log_probs(start, docs[50:]).sum()
+
+
+def test_lm_sample_takes_whole_documents():
+    docs = [np.arange(n, dtype=np.int32) for n in (900, 30, 40, 5000)]
+    assert sorted(len(d) for d in lm_score.sample(docs, 5, 100)) == [30, 40]
+    assert [len(d) for d in lm_score.sample(docs, 5, 20)] == [30] and lm_score.sample([], 5, 20) == []
+
+
+def test_lm_learns_from_all_training_documents(spark, monkeypatch):
+    """Without the driver's sample: the order of words of any training document tells, in whichever slice it is."""
+    monkeypatch.setattr(lm_score, "SAMPLE_TOKENS", 0)
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{rng.randrange(30)}" for _ in range(60))) for i in range(90)]
+
+    def scores(changed):
+        own = [(i, " ".join(sorted(t.split())) if i == changed else t) for i, t in rows]
+        df = spark.createDataFrame(spark.sparkContext.parallelize(own, 3), "doc_id long, text string")
+        return {r["doc_id"]: r["score"] for r in score_documents(df, F.col("doc_id") % 10 == 0).collect() if r["held_out"]}
+
+    before = scores(None)
+    for i in (5, 35, 65):  # one of each slice
+        assert max(abs(s - before[k]) for k, s in scores(i).items()) > 1e-7
