@@ -203,10 +203,13 @@ def _index_entries(shards: int):
                 if not len(doc):
                     continue
                 places = np.stack((ids[doc], start + base[doc], count))
-                _, first = np.unique(entry, return_index=True)  # the texts come in order of id
-                new = np.zeros(len(doc), bool)
-                new[first] = True
-                rows = _aside(places[:, ~new], REPEAT, shards)
+                order = np.lexsort((places[1], places[0], entry))
+                same = np.zeros(len(doc), bool)
+                same[1:] = entry[order[1:]] == entry[order[:-1]]
+                new = np.ones(len(doc), bool)
+                new[order[same]] = False
+                again = np.sort(order[same & ~_same_place(places[0, order], places[1, order])])
+                rows = _aside(places[:, again], REPEAT, shards)
                 grams, of, n = np.unique(gram[new], return_inverse=True, return_counts=True)
                 hot = n[of] >= HOT
                 at = np.flatnonzero(new)

@@ -73,6 +73,14 @@ def test_repeats(docs, rows, empty):
     assert remove_repeats(empty).count() == 0
 
 
+def test_repeated_row_in_one_slice(spark):
+    rng = random.Random(12)
+    long, part = words(rng, 80), words(rng, 40)
+    rows = [(1, long), (1, long), (2, part), (3, "x " + part), (3, "x " + part), (4, long + long)]
+    got = found_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert got == brute_repeats(dict(rows))
+
+
 def test_repeats_of_overlapping_pieces(spark):
     rng = random.Random(5)
     pool = [words(rng, 40) for _ in range(6)]
