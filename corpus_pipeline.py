@@ -19,10 +19,8 @@ from stancekit.llm.queries import MIN_SITES, tokenizer_path
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language was recognised. Rejected: null texts and
-    texts without a letter. Documents without id stay, if recognised."""
-    found = lang_id.predict(docs, lang_id.train(docs, F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
-    gone = found.where(F.col("lang_pred") == lang_id.UNDETERMINED).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    texts without a letter. Each row is judged by its own text, whatever its id."""
+    return lang_id.recognised(docs, lang_id.train(docs, F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

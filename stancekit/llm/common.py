@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stancekit.session import checkpoint_dir
@@ -39,6 +39,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """``id, a, b``: a row by its id and 128 bits of its text, so that rows
+    without id, or of the same id, are told apart."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit("second"), text_col).alias("b"))
+
+
+def is_row(row_id: Column, text: Column, id_col: str, a: str, b: str) -> Column:
+    """The row of this ``row_key``."""
+    return row_id.eqNullSafe(F.col(id_col)) & (F.xxhash64(text) == F.col(a)) & (F.xxhash64(F.lit("second"), text) == F.col(b))
+
+
 def text_buffers(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all strings and the ``n + 1`` offsets into them.
     Null counts as empty."""

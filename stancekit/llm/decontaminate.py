@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stancekit.llm.common import is_row, row_key
+
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,12 +107,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", n
                   text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Remove documents that hold a test window (``drop``), or the words of
     the windows with what stands before each (``cut``). All columns and all
-    other rows stay as they are; nulls as in ``contamination``."""
-    found = contamination(docs, benchmark, n, id_col, text_col, item_col, item_text_col)
-    found = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), hit_words("spans").alias("__hit"))
-    same = docs[id_col].eqNullSafe(F.col("__id"))
+    other rows stay as they are; nulls as in ``contamination``. Each row is
+    judged by its own text, also where rows share an id or have none."""
+    keyed = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    found = contamination(keyed, benchmark, n, "key", "text", item_col, item_text_col)
+    found = found.where(F.size("spans") > 0).select(*[F.col(f"doc_id.{k}").alias(f"__{k}") for k in ("id", "a", "b")],
+                                                    hit_words("spans").alias("__hit"))
+    same = is_row(docs[id_col], docs[text_col], "__id", "__a", "__b")
     if action == "drop":
-        return docs.join(found.select("__id"), same, "left_anti")
+        return docs.join(found.drop("__hit"), same, "left_anti")
     if action != "cut":
         raise ValueError(f"unknown action: {action}")
     text = F.col(text_col)
@@ -119,4 +124,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", n
     cut = F.concat(F.array_join(F.transform(kept, lambda i: F.get(pieces, i)), ""),
                    F.regexp_extract(text, f"{NOT_WORD}*$", 0))
     joined = docs.join(found, same, "left")
-    return joined.withColumn(text_col, F.when(F.col("__hit").isNull(), text).otherwise(cut)).drop("__id", "__hit")
+    return joined.withColumn(text_col, F.when(F.col("__hit").isNull(), text).otherwise(cut)).drop("__id", "__a", "__b", "__hit")

@@ -189,27 +189,43 @@ def predict(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", te
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = net.tabulate() if net else None
         for batch in by_bytes(batches, "text"):
-            data, offsets = text_buffers(batch.column("text"))
-            n = batch.num_rows
-            letters = _has_letter(batch.column("text"), data, offsets)
-            lang, prob = np.full(n, UNDETERMINED, object), np.zeros(n)
-            if net and letters.any():
-                w, doc, size = cut_windows(data, offsets)
-                logs = net.log_probs(w, table) * size[:, None]
-                total = np.zeros((n, len(net.langs)))
-                np.add.at(total, doc, logs)
-                mean = total / np.maximum(np.diff(offsets), 1)[:, None]
-                p = np.exp(mean - mean.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                best = p.argmax(1)
-                lang[letters] = np.array(net.langs, object)[best[letters]]
-                prob[letters] = p[np.arange(n), best][letters]
+            lang, prob = _classify(net, table, batch.column("text"))
             yield pa.record_batch([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(prob)],
                                   names=["doc_id", "lang_pred", "score"])
 
     return rows.mapInArrow(score, schema)
 
 
+def recognised(docs: DataFrame, net: ByteConvNet | None, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text ``predict`` finds a language for."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = net.tabulate() if net else None
+        for batch in by_bytes(batches, text_col):
+            yield batch.filter(pa.array(_classify(net, table, batch.column(text_col))[0] != UNDETERMINED))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def _classify(net: ByteConvNet | None, table, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = text_buffers(texts)
+    n = len(texts)
+    letters = _has_letter(texts, data, offsets)
+    lang, prob = np.full(n, UNDETERMINED, object), np.zeros(n)
+    if net and letters.any():
+        w, doc, size = cut_windows(data, offsets)
+        logs = net.log_probs(w, table) * size[:, None]
+        total = np.zeros((n, len(net.langs)))
+        np.add.at(total, doc, logs)
+        mean = total / np.maximum(np.diff(offsets), 1)[:, None]
+        p = np.exp(mean - mean.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        best = p.argmax(1)
+        lang[letters] = np.array(net.langs, object)[best[letters]]
+        prob[letters] = p[np.arange(n), best][letters]
+    return lang, prob
+
+
 def _has_letter(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     low = data | 0x20
     seen = np.concatenate(([0], np.cumsum((low >= 0x61) & (low <= 0x7A))))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stancekit.llm.common import materialize
+from stancekit.llm.common import is_row, materialize, row_key
 
 LG_CONFIG_K = 12  # standard error about 1.6 per cent
 NEAR = 0.25  # share of the threshold within which counts are exact: 15 standard errors
@@ -23,8 +23,9 @@ def _key(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """``doc, site, pos, a, b``: lines that are not blank, with a 128-bit key."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(site_col).cast("string").alias("site"),
+    """``doc, site, pos, a, b``: lines that are not blank, with a 128-bit key.
+    ``doc`` is the ``row_key``."""
+    rows = docs.select(row_key(id_col, text_col).alias("doc"), F.col(site_col).cast("string").alias("site"),
                        F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
     key = _key(F.col("line"))
     return rows.select("doc", "site", "pos", key.alias("key")).where("key <> ''").select(
@@ -34,7 +35,8 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> Data
 def boilerplate_lines(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text",
                       site_col: str = "source") -> DataFrame:
     """``a, b, first``: keys of lines on at least ``min_sites`` distinct sites
-    and their first occurrence (smallest document id, then place)."""
+    and their first occurrence (smallest document id, then hash of the text
+    where rows share it, then place)."""
     lines = lines_of(docs, id_col, text_col, site_col)
     spread = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("site", LG_CONFIG_K).alias("sketch"),
                                          F.min(F.struct("doc", "pos")).alias("first"))
@@ -57,20 +59,22 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, keep_first: bool =
     Lines end at ``\\n`` and are compared without blanks, tabs and carriage
     returns at either end; blank lines never count. With ``keep_first`` the
     first occurrence of each line stays, so that no line vanishes from the
-    corpus. Null text stays null (no lines); a null site is no site; rows that
-    share a document id lose the same places; a table of one site loses
-    nothing; columns of other names are left alone.
+    corpus. Null text stays null (no lines); a null site is no site; rows of
+    the same id (or none) and text lose the same places, other rows that share
+    an id do not; a table of one site loses nothing; columns of other names are
+    left alone.
     """
     found = boilerplate_lines(docs, min_sites, id_col, text_col, site_col)
     hits = lines_of(docs, id_col, text_col, site_col).join(found, ["a", "b"])
     if keep_first:
         hits = hits.where(~F.struct("doc", "pos").eqNullSafe(F.col("first")))
-    gone = hits.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("pos").alias("__gone"))
+    gone = hits.groupBy(F.col("doc.id").alias("__doc"), F.col("doc.a").alias("__a"), F.col("doc.b").alias("__b")).agg(
+        F.collect_set("pos").alias("__gone"))
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("__doc")), "left")
+    joined = docs.join(gone, is_row(docs[id_col], docs[text_col], "__doc", "__a", "__b"), "left")
     return joined.withColumns({
         text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(text),
         "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"),
-        "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")}).drop("__doc", "__gone")
+        "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")}).drop("__doc", "__a", "__b", "__gone")

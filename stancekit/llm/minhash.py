@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stancekit.llm.common import by_bytes, components, materialize, mix64, text_buffers
+from stancekit.llm.common import by_bytes, components, materialize, mix64, row_key, text_buffers
 from stancekit.llm.shingles import shingle_hashes, word_hashes
 
 BANDS, ROWS = 16, 4
@@ -286,6 +286,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the smallest-id document of each class; all columns."""
-    gone = near_duplicates(docs, threshold, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """``docs`` with the smallest-id document of each class; all columns. Rows
+    of different texts that share an id are documents of their own here, after
+    those of ids below 2**62."""
+    row = row_key(id_col, text_col)
+    shared = docs.where(F.col(id_col).isNotNull()).select(row["id"].alias("id"), row["a"].alias("a"), row["b"].alias("b")).groupBy("id").agg(
+        F.min("a").alias("a"), F.max("a").alias("c"), F.min("b").alias("b"), F.max("b").alias("d")).where("a <> c or b <> d")
+    shared = materialize(shared.select(F.col("id").alias("__shared")), "shared-ids")
+    own = docs
+    if not shared.isEmpty():
+        number = F.shiftrightunsigned(F.xxhash64(row), 2).bitwiseOR(F.lit(1 << 62))
+        own = docs.join(shared, docs[id_col] == F.col("__shared"), "left").withColumn(
+            "__own", F.when(F.col("__shared").isNull(), F.col(id_col).cast("long")).otherwise(number)).drop("__shared")
+    key = "__own" if "__own" in own.columns else id_col
+    gone = near_duplicates(own, threshold, key, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
+    return own.join(gone, own[key] == F.col("__gone"), "left_anti").drop("__own")

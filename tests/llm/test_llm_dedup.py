@@ -126,6 +126,16 @@ def test_boilerplate(spark, docs, empty):
     assert remove_boilerplate(empty).count() == 0
 
 
+def test_boilerplate_of_rows_without_id(spark):
+    """Places are cut from the row that holds the line only."""
+    rows = [(i, f"own {i}\nshared", f"s{i}") for i in range(12)]
+    rows += [(None, "clean a\nclean b", "s1"), (None, "top\nshared", "s2"), (5, "other\ntext", "s1"), (None, None, "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r["doc_id"], r["text"]) for r in remove_boilerplate(df, min_sites=10).collect()]
+    want = [(i, f"own {i}") for i in range(12)] + [(None, "clean a\nclean b"), (None, "top\nshared"), (5, "other\ntext"), (None, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)  # the row without id comes first
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(6)
     centre = rng.normal(size=(40, 16))
