@@ -161,3 +161,10 @@ def test_embeddings(spark):
     assert {i: links[i] for i in near if label[i] != 0} == {i: len(near[i]) for i in near if label[i] != 0}
     assert all(got[i] == (i, True) and links[i] == 0 for i in range(500, 507)) and got[None] == (None, True)
     assert embedding_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_links_of_a_repeated_row(spark):
+    """A row that occurs twice is one vector: it adds no link."""
+    rows = [(i, v, 0) for i, v in [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (3, [0.0, 1.0])]]
+    got = embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"]) for r in got) == [(0, 2), (0, 2), (1, 2), (2, 2), (3, 0), (3, 0)]
