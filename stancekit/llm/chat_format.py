@@ -2,7 +2,7 @@
 
 A record is a struct column whose layout may differ from row to row (wide
 structs with null branches, as schema-merging readers give them). The paths of
-its non-null leaves, sorted and hashed, are the row's fingerprint. Each known
+its non-null leaves that occur in a known layout, sorted and hashed, are the row's fingerprint. Each known
 layout declares its leaf paths and how they become turns; the fingerprints of
 all non-empty subsets of its leaves point to it, so a null field does not lose
 a record. Only built-in expressions run: fingerprint, turns, template and loss
@@ -84,8 +84,10 @@ def _present(col: Column, path: str) -> Column:
     return F.coalesce(F.exists(col, lambda x: _present(x, tail)), F.lit(False))
 
 
-def row_fingerprint(record: Column, kind: T.StructType) -> Column:
-    marks = [F.when(_present(record, p), F.lit(p)) for p in sorted(leaf_paths(kind))]
+def row_fingerprint(record: Column, kind: T.StructType, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """Of the leaves that some layout declares; others do not change it."""
+    declared = {p for layout in layouts for p in layout.leaves()}
+    marks = [F.when(_present(record, p), F.lit(p)) for p in sorted(declared & set(leaf_paths(kind)))]
     return F.sha2(F.concat_ws("\n", *marks), 256)
 
 
@@ -121,7 +123,7 @@ def canonical_turns(df: DataFrame, record: str, layouts: tuple[Layout, ...] = LA
     are replaced; all others are left alone.
     """
     kind, col = df.schema[record].dataType, F.col(f"`{record}`")
-    code, name, turns = row_fingerprint(col, kind), F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    code, name, turns = row_fingerprint(col, kind, layouts), F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     claimed: set[str] = set()
     for layout in layouts:
         prints = [x for x in layout.fingerprints() if x not in claimed]

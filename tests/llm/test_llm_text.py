@@ -176,3 +176,10 @@ def test_lm_learns_from_all_training_documents(spark, monkeypatch):
     before = scores(None)
     for i in (5, 35, 65):  # one of each slice
         assert max(abs(s - before[k]) for k, s in scores(i).items()) > 1e-7
+
+
+def test_chat_with_unrelated_fields(spark):
+    kind = "messages array<struct<role:string,content:string,id:int>>, prompt string, response string, source string"
+    rows = [(([("user", "a", 1)], None, None, "web"),), ((None, "p", "r", "web"),)]
+    got = C.canonical_turns(spark.createDataFrame(rows, f"record struct<{kind.replace(' array', ':array').replace(' string', ':string')}>"), "record")
+    assert [[tuple(t) for t in r["turns"]] for r in got.collect()] == [[("user", "a")], [("user", "p"), ("assistant", "r")]]
