@@ -108,9 +108,50 @@ def op10_small_world_dedup(spark: SparkSession, d: str) -> DataFrame:
     return embedding_near_duplicates(read_table(spark, d, "embeddings"), 0.93)
 
 
+def op11_content_sort(spark: SparkSession, d: str) -> DataFrame:
+    from stancekit.llm.exact_dedup import exact_duplicates
+
+    return exact_duplicates(read_table(spark, d, "documents"))
+
+
+def op12_kruskal_runs(spark: SparkSession, d: str) -> DataFrame:
+    from stancekit.llm.periodic_runs import find_runs
+
+    found = find_runs(planted_periods(read_table(spark, d, "documents")))
+    ahead = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda best, x: F.when(ahead(x, best), x).otherwise(best))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.expr("1000 * best.length div best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, where the words of one document in ten become periodic
+    from some word on, as the contract of op12 lays down."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    n = F.size(words)
+    a = F.col("g") % F.col("n")
+    p = F.floor((F.col("n") - F.col("a")) / (F.col("g") % 8 + 3)) + 1
+    docs = docs.select("doc_id", "text", g.cast("long").alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    docs = docs.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, a)).withColumn("p", p)
+    new = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(
+        F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return docs.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(new, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_phrase_filters(spark: SparkSession, d: str) -> DataFrame:
+    from stancekit.llm.collocations import mine_phrases
+
+    return mine_phrases(read_table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_format, op2_icws_near_dedup, op3_suffix_dedup, op4_byte_convnet, op5_decontaminate, op6_line_spread, op7_best_two_fit,
-                            op8_token_files, op9_gru_scores, op10_small_world_dedup)
+                            op8_token_files, op9_gru_scores, op10_small_world_dedup, op11_content_sort, op12_kruskal_runs, op13_phrase_filters)
 }
 
 # The SQL states what the contracts say, without a look at the operators.
@@ -164,4 +205,33 @@ SELECT d.doc_id, CASE WHEN any_value(d.text) IS NOT NULL THEN
     coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') END AS text,
   count(line) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed
 FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id""",
+    "op11_content_sort": """
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+WINDOW w AS (PARTITION BY norm)""",
+    "op13_phrase_filters": """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, k, w[i:i + k - 1] AS g
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) AS ks(k) WHERE len(w) >= k)),
+f AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM g GROUP BY lang, k, g HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1),
+cut AS (SELECT lang, k, g, a, unnest(range(1, k)) AS j FROM c),
+scored AS (
+  SELECT cut.lang, cut.k, cut.g, a, j, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * a * n.n) // (l.f::HUGEINT * r.f) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.g = cut.g[1:j] JOIN f r ON r.lang = cut.lang AND r.g = cut.g[j + 1:cut.k]
+  JOIN n ON n.lang = cut.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+inside AS (
+  SELECT DISTINCT lang, g[s:s + m - 1] AS g, a AS longer
+  FROM (SELECT lang, g, a, k, m, unnest(range(1, k - m + 2)) AS s FROM c, range(2, 5) AS ms(m) WHERE m < k)),
+kept AS (SELECT * FROM lowest x WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = x.lang AND i.g = x.g AND 100 * i.longer >= 100 * x.a)),
+ranked AS (SELECT *, array_to_string(g, ' ') AS phrase FROM kept)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n,
+  CAST(score AS BIGINT) AS score
+FROM ranked QUALIFY rank <= 2000""",
 }
