@@ -18,19 +18,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stancekit.llm import quotient_filter as Q
-from stancekit.llm.common import materialize
+from stancekit.llm.common import materialize, released
 from stancekit.llm.words import Words, byte_classes, slices
 
-BLOCK_BYTES = 16 << 20
-SHARD_ENTRIES = 2 << 20
+BLOCK_BYTES = 8 << 20
+SHARD_ENTRIES = 1 << 20
 SHARD_WORDS = 100_000
 _PIECES = byte_classes(" \t", ".,;:!?\n\x0b\x0c\r")
 
@@ -46,7 +46,7 @@ def _pack_state(place: np.ndarray, last: np.ndarray, index: np.ndarray) -> bytes
 def _unpack_state(blob: bytes, n: int, with_last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     body = pa.decompress(blob, n * (16 if with_last else 8), "zstd", asbytes=True)
     last = np.frombuffer(body, np.int64, n, 8 * n) if with_last else np.zeros(0, np.int64)
-    return np.cumsum(np.frombuffer(body, np.int32, n), dtype=np.int64), last, np.frombuffer(body, np.int32, n, 4 * n)
+    return np.cumsum(np.frombuffer(body, np.int32, n), dtype=np.int32), last, np.frombuffer(body, np.int32, n, 4 * n)
 
 
 WORDS = "kind int, block long, n long, idx int, lang string, word string, blob binary"
@@ -84,7 +84,7 @@ def _count_words(block_bytes: int):
             for a in range(0, m, 50_000):
                 yield out.slice(a, 50_000)
 
-    return count
+    return released(count)
 
 
 ENTRIES = "kind int, block long, n long, shard long, first int, blob binary"
@@ -92,34 +92,35 @@ _ENTRIES = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("n", pa.int6
 
 
 def _count_ngrams(level: int, word_bits: int, bits: int, shards: int):
-    """The next longer n-grams of each block, from its state and the entries of
-    it that are frequent."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mix = Q.Permutation(bits)
-        for batch in batches:
-            for block, n, blob, hits in zip(*(batch.column(c) for c in ("block", "n", "blob", "hits")), strict=True):
-                place, last, index = _unpack_state(blob.as_py(), n.as_py(), level > 2)
-                idx, number = (hits.values.field(c).to_numpy() for c in ("idx", "id"))
-                ids = np.full(max(int(index.max()), int(idx.max())) + 1, -1)
-                ids[idx] = number
-                gram = ids[index]
-                stays = gram >= 0
-                place, gram = place[stays], gram[stays]
-                last = last[stays] if level > 2 else gram
-                at = np.flatnonzero(place[1:] == place[:-1] + 1)
-                if not len(at):
-                    continue
-                packed = (gram[at].astype(np.uint64) << np.uint64(word_bits)) | last[at + 1].astype(np.uint64)
-                entries, index, counts = np.unique(mix.forward(packed), return_inverse=True, return_counts=True)
-                rows = [(STATE, block.as_py(), len(at), None, 0, _pack_state(place[at], last[at + 1], index))]
+    """The next longer n-grams of a block, from its state and the entries of it
+    that are frequent."""
+
+    def count(state: pa.Table, hits: pa.Table) -> pa.Table:
+        rows = []
+        if state.num_rows and hits.num_rows:
+            block, n, blob = (state.column(c)[0].as_py() for c in ("block", "n", "blob"))
+            place, last, index = _unpack_state(blob, n, level > 2)
+            ids = np.full(max(int(index.max()), pc.max(hits.column("idx")).as_py()) + 1, -1)
+            ids[hits.column("idx").to_numpy()] = hits.column("id").to_numpy()
+            gram = ids[index]
+            stays = gram >= 0
+            place, gram = place[stays], gram[stays]
+            last = last[stays] if level > 2 else gram
+            at = np.flatnonzero(place[1:] == place[:-1] + 1)
+            if len(at):
+                place, gram, last = place[at], gram[at], last[at + 1]
+                packed = (gram.astype(np.uint64) << np.uint64(word_bits)) | last.astype(np.uint64)
+                del gram, stays, ids
+                entries, index, counts = np.unique(Q.Permutation(bits).forward(packed), return_inverse=True, return_counts=True)
+                rows.append((STATE, block, len(at), None, 0, _pack_state(place, last, index)))
                 shard = Q.shard_of(entries, bits, shards)
                 cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(entries)]))
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    rows.append((FILTER, block.as_py(), b - a, int(shard[a]), a, Q.pack(entries[a:b], counts[a:b])))
-                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ENTRIES, strict=True)], schema=_ENTRIES)
+                    rows.append((FILTER, block, b - a, int(shard[a]), a, Q.pack(entries[a:b], counts[a:b])))
+        columns = zip(*rows, strict=True) if rows else [[]] * len(_ENTRIES)
+        return pa.table([pa.array(x, f.type) for x, f in zip(columns, _ENTRIES, strict=True)], schema=_ENTRIES)
 
-    return count
+    return released(count)
 
 
 COUNTED = "kind int, block long, idx int, id long, first long, last long, n long"
@@ -129,30 +130,27 @@ def _merge_shard(word_bits: int, bits: int, shards: int, min_count: int):
     """One shard: the frequent n-grams over all blocks (their two parts, a new
     number and the count), and for each block which of its entries they are."""
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        filters = [Q.unpack(blob) for blob in rows["blob"]]
+    def merge(rows: pa.Table) -> pa.Table:
+        filters = [Q.unpack(blob.as_py()) for blob in rows.column("blob")]
         permuted, counts, place = Q.merge(filters)
+        size = np.array([len(p) for p, _ in filters])
+        del filters
         good = np.flatnonzero(counts >= min_count)
         number = np.full(len(permuted), -1)
-        number[good] = np.arange(len(good)) * shards + int(rows["shard"].iloc[0])
+        number[good] = np.arange(len(good)) * shards + rows.column("shard")[0].as_py()
         packed = Q.Permutation(bits).back(permuted[good])
         first, last = packed >> np.uint64(word_bits), packed & np.uint64((1 << word_bits) - 1)
-        frequent = pd.DataFrame({"kind": FREQUENT, "block": -1, "idx": 0, "id": number[good], "first": first.astype(np.int64),
-                                 "last": last.astype(np.int64), "n": counts[good]})
-        size = np.array([len(p) for p, _ in filters])
-        of = np.repeat(np.arange(len(filters)), size)
-        idx = np.arange(len(of)) - np.repeat(np.cumsum(size) - size - rows["first"].to_numpy(), size)
+        of = np.repeat(np.arange(len(size)), size)
+        idx = np.arange(len(of)) - np.repeat(np.cumsum(size) - size - rows.column("first").to_numpy(), size)
         ids = number[place]
-        hit = ids >= 0
-        hits = pd.DataFrame({"kind": HIT, "block": rows["block"].to_numpy()[of[hit]], "idx": idx[hit], "id": ids[hit], "first": 0, "last": 0, "n": 0})
-        return pd.concat([frequent, hits])
-
-    return merge
-
+        hit = np.flatnonzero(ids >= 0)
+        g, h = np.zeros(len(good), np.int64), np.zeros(len(hit), np.int64)
+        both = lambda x, y, kind=np.int64: np.concatenate((x, y)).astype(kind)
+        return pa.table({"kind": both(g + FREQUENT, h + HIT, np.int32), "block": both(g - 1, rows.column("block").to_numpy()[of[hit]]),
+                         "idx": both(g, idx[hit], np.int32), "id": both(number[good], ids[hit]), "first": both(first, h),
+                         "last": both(last, h), "n": both(counts[good], h)})
 
-def _hits(found: DataFrame) -> DataFrame:
-    """For each block, its entries that are frequent: bounded by the block."""
-    return found.groupBy("block").agg(F.collect_list(F.struct("idx", "id")).alias("hits"))
+    return released(merge)
 
 
 def frequent_ngrams(docs: DataFrame, min_count: int, max_words: int, text_col: str = "text", lang_col: str = "lang",
@@ -172,7 +170,7 @@ def frequent_ngrams(docs: DataFrame, min_count: int, max_words: int, text_col: s
     vocabulary = frequent.select("id", "lang", "word")
     grams = frequent.select("id", "lang", F.array("word").alias("words"), "n")
     found = [grams]
-    hits = words.join(vocabulary, ["lang", "word"]).select("block", "idx", "id")
+    hits = words.join(vocabulary, ["lang", "word"]).select(F.col("block").alias("of"), "idx", "id")
     state = blocks.where(F.col("kind") == STATE)
     top, occurrences = frequent.agg(F.max("id"), F.sum("n")).first()
     word_bits = bits = int(top or 0).bit_length()
@@ -181,12 +179,14 @@ def frequent_ngrams(docs: DataFrame, min_count: int, max_words: int, text_col: s
             break
         bits = max(1, int(top).bit_length() + word_bits)
         shards = max(1, -(-int(occurrences) // shard_entries))
-        ready = state.join(_hits(hits), "block").select("block", "n", "blob", "hits")
-        sent = materialize(ready.mapInArrow(_count_ngrams(level, word_bits, bits, shards), ENTRIES), f"phrase-filters-{level}")
+        # A block's state and its frequent entries: both bounded by the block.
+        sent = (state.select("block", "n", "blob").groupBy("block").cogroup(hits.groupBy("of"))
+                .applyInArrow(_count_ngrams(level, word_bits, bits, shards), ENTRIES))
+        sent = materialize(sent, f"phrase-filters-{level}")
         counted = (sent.where(F.col("kind") == FILTER).select("shard", "block", "first", "blob").groupBy("shard")
-                   .applyInPandas(_merge_shard(word_bits, bits, shards, min_count), COUNTED))
+                   .applyInArrow(_merge_shard(word_bits, bits, shards, min_count), COUNTED))
         counted = materialize(counted, f"phrase-counts-{level}")
-        state, hits = sent.where(F.col("kind") == STATE), counted.where(F.col("kind") == HIT).select("block", "idx", "id")
+        state, hits = sent.where(F.col("kind") == STATE), counted.where(F.col("kind") == HIT).select(F.col("block").alias("of"), "idx", "id")
         frequent = counted.where(F.col("kind") == FREQUENT).select("id", "first", "last", "n")
         end = vocabulary.select(F.col("id").alias("last"), "word")
         begin = grams.select(F.col("id").alias("first"), "lang", "words")

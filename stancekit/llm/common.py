@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +79,39 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_
             yield batch.slice(int(a), int(b - a))
 
 
+def released(work: Callable) -> Callable:
+    """A function of a Python worker that gives memory back when it is done.
+
+    Workers outlive their tasks; what the allocators keep of a task's arrays
+    would otherwise count against the executor while other stages run.
+    """
+
+    def finish(out):
+        if isinstance(out, Iterator):
+            return _then_release(out)
+        release_memory()
+        return out
+
+    # Spark looks at the number of arguments.
+    if len(inspect.signature(work).parameters) == 2:
+        return lambda left, right: finish(work(left, right))
+    return lambda rows: finish(work(rows))
+
+
+def _then_release(out: Iterator) -> Iterator:
+    yield from out
+    release_memory()
+
+
+def release_memory() -> None:
+    from stancekit.llm import shingles
+
+    shingles.forget_powers()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (murmur3's fmix64), elementwise."""
     x = x ^ (x >> np.uint64(33))

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stancekit.llm.common import by_bytes, text_buffers
+from stancekit.llm.common import by_bytes, release_memory, released, text_buffers
 
 WINDOW = 256
 PAD = 256
@@ -193,18 +193,23 @@ def predict(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", te
             yield pa.record_batch([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(prob)],
                                   names=["doc_id", "lang_pred", "score"])
 
-    return rows.mapInArrow(score, schema)
+    return rows.mapInArrow(released(score), schema)
 
 
 def recognised(docs: DataFrame, net: ByteConvNet | None, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text ``predict`` finds a language for."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def known(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = net.tabulate() if net else None
-        for batch in by_bytes(batches, text_col):
-            yield batch.filter(pa.array(_classify(net, table, batch.column(text_col))[0] != UNDETERMINED))
-
-    return docs.mapInArrow(keep, docs.schema)
+        for column in texts:
+            parts = [_classify(net, table, batch.column(0))[0] != UNDETERMINED
+                     for batch in by_bytes([pa.record_batch([column], names=["text"])], "text")]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))
+        release_memory()
+
+    # Only verdicts come back from Python; the rows stay where they are.
+    return docs.where(known(F.col(text_col)))
 
 
 def _classify(net: ByteConvNet | None, table, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,8 @@ Exact copies are collapsed first. In each of ``LEADERS`` rounds a bucket's membe
 are compared with one of them, drawn anew, if they are not in its class yet;
 members of a bucket that then still lie in different classes are compared with
 each other, unless what each of them shares with the others at all is too little
-for the threshold. So a group of near copies costs work in proportion to its size, and
+for the threshold. No pair is compared whose sketches (some bits of every sample)
+agree too seldom for the threshold, by ``SLACK`` standard errors. So a group of near copies costs work in proportion to its size, and
 no link between classes is left out.
 """
 
@@ -27,14 +28,15 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stancekit.llm.common import by_bytes, components, materialize, mix64, row_key, text_buffers
+from stancekit.llm.common import by_bytes, components, materialize, mix64, released, row_key, text_buffers
 from stancekit.llm.shingles import shingle_hashes, word_hashes
 
 BANDS, ROWS = 16, 4
@@ -43,6 +45,8 @@ DF_BITS = 18
 DF_CHUNK = 1 << 14
 SLOTS = 1 << 15  # rows of the tables of random variates
 SHINGLES_AT_ONCE = 4096
+PLANES = 8  # bits kept of each sample; different samples agree in all of them once in 256
+SLACK = 4.5  # standard errors below the threshold at which a pair's agreement still counts
 
 
 def count_words(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -70,7 +74,7 @@ def count_words(docs: DataFrame) -> tuple[np.ndarray, int]:
         return pd.DataFrame({"chunk": rows["chunk"].iloc[:1].to_numpy(), "counts": [total.tobytes()], "n": [rows["n"].sum()]})
 
     schema = "chunk int, counts binary, n long"
-    rows = docs.select("text").mapInArrow(count, schema).groupBy("chunk").applyInPandas(add, schema).collect()
+    rows = docs.select("text").mapInArrow(released(count), schema).groupBy("chunk").applyInPandas(add, schema).collect()
     table = np.zeros(cells, np.int64)
     for r in rows:
         table[r["chunk"] * DF_CHUNK:(r["chunk"] + 1) * DF_CHUNK] = np.frombuffer(r["counts"], np.int64)
@@ -136,7 +140,7 @@ class Icws:
 
 
 def _signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    schema = "doc_id long, h1 long, h2 long, bands array<long>, weight double"
+    schema = "doc_id long, h1 long, h2 long, bands array<long>, weight double, sketch array<long>"
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,20 +148,40 @@ def _signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
         for batch in by_bytes(batches, "text"):
             words, first = word_hashes(*text_buffers(batch.column("text")))
             bands, has = np.zeros((batch.num_rows, BANDS), np.uint64), np.diff(first) > 0
-            total = np.zeros(batch.num_rows)
+            total, planes = np.zeros(batch.num_rows), np.zeros((batch.num_rows, PLANES), np.uint64)
             for i in np.flatnonzero(has):
                 keys, weights = weighted_shingles(words[first[i]:first[i + 1]], idf)
                 total[i] = weights.sum()
-                drawn = icws.sample(keys, weights).reshape(BANDS, ROWS)
+                drawn = icws.sample(keys, weights)
+                planes[i] = _bit_planes(drawn)
+                drawn = drawn.reshape(BANDS, ROWS)
                 for j in range(ROWS):
                     bands[i] = mix64(bands[i] * base + drawn[:, j])
             size = np.where(has, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()),
                                              pa.array(bands[has].view(np.int64).ravel()))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("h1"), batch.column("h2"), lists, pa.array(total)],
-                                  names=["doc_id", "h1", "h2", "bands", "weight"])
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * PLANES, pa.int32()), pa.array(planes.view(np.int64).ravel()))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("h1"), batch.column("h2"), lists, pa.array(total), sketch],
+                                  names=["doc_id", "h1", "h2", "bands", "weight", "sketch"])
 
-    return rows.mapInArrow(sign, schema)
+    return rows.mapInArrow(released(sign), schema)
+
+
+def _bit_planes(drawn: np.ndarray) -> np.ndarray:
+    """The low bits of all samples: plane ``b`` has bit ``b`` of each, so that equal
+    samples are told by a few operations on whole words."""
+    bits = (drawn >> np.arange(PLANES, dtype=np.uint64)[:, None]) & np.uint64(1)
+    return np.bitwise_or.reduce(bits << np.arange(len(drawn), dtype=np.uint64), axis=1)
+
+
+def _may_agree(one: str, two: str, threshold: float) -> Column:
+    """Whether two sketches agree in as many samples as a pair of this
+    similarity has, less ``SLACK`` standard errors (fewer than 3 of 100,000 such
+    pairs have less)."""
+    n = BANDS * ROWS
+    least = n * threshold - SLACK * (n * threshold * (1 - threshold)) ** 0.5
+    differ = reduce(Column.bitwiseOR, [F.get(one, F.lit(i)).bitwiseXOR(F.get(two, F.lit(i))) for i in range(PLANES)])
+    return n - F.bit_count(differ) >= least
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -184,19 +208,21 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: floa
             yield pa.record_batch([batch.column("a").take(at), batch.column("b").take(at), pa.array(score, pa.float64())],
                                   names=["a", "b", "similarity"])
 
-    return rows.mapInArrow(check, "a long, b long, similarity double")
+    return rows.mapInArrow(released(check), "a long, b long, similarity double")
 
 
 def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _led_pairs(placed: DataFrame, r: int) -> DataFrame:
+def _led_pairs(placed: DataFrame, r: int, threshold: float) -> DataFrame:
     """Each bucket's members with one of them, first the smallest, then one drawn
     at random, as far as they are of another class: as many pairs as members."""
-    drawn = F.struct((F.xxhash64(F.lit(r), "band", "id") if r else F.col("id")).alias("h"), F.col("id").alias("lead"), F.col("part").alias("lead_part"))
-    led = placed.groupBy("band", "key").agg(F.min(drawn).alias("m")).select("band", "key", "m.lead", "m.lead_part")
-    return placed.join(led, ["band", "key"]).where("part <> lead_part").select(*_pair("id", "lead")).distinct()
+    drawn = F.struct((F.xxhash64(F.lit(r), "band", "id") if r else F.col("id")).alias("h"), F.col("id").alias("lead"),
+                     F.col("part").alias("lead_part"), F.col("sketch").alias("lead_sketch"))
+    led = placed.groupBy("band", "key").agg(F.min(drawn).alias("m")).select("band", "key", "m.lead", "m.lead_part", "m.lead_sketch")
+    near = (F.col("part") != F.col("lead_part")) & _may_agree("sketch", "lead_sketch", threshold)
+    return placed.join(led, ["band", "key"]).where(near).select(*_pair("id", "lead")).distinct()
 
 
 def _split_buckets(placed: DataFrame) -> DataFrame:
@@ -215,7 +241,7 @@ def _own_weight(texts: DataFrame, idf: np.ndarray) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id").take(pa.array(of)), pa.array(np.concatenate([k for k, _ in parts]).view(np.int64)),
                                    pa.array(np.concatenate([w for _, w in parts]).astype(np.float64))], names=["doc_id", "shingle", "weight"])
 
-    rows = texts.select("doc_id", "text").mapInArrow(explode, "doc_id long, shingle long, weight double")
+    rows = texts.select("doc_id", "text").mapInArrow(released(explode), "doc_id long, shingle long, weight double")
     return (rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("id"), F.min("weight").alias("weight"))
             .where("n = 1").groupBy("id").agg(F.sum("weight").alias("own")))
 
@@ -231,11 +257,11 @@ def _open_pairs(placed: DataFrame, texts: DataFrame, weights: DataFrame, idf: np
     room = (weights.join(own, "id", "left").withColumn("common", F.col("weight") - F.coalesce("own", F.lit(0.0)) + 1e-6)
             .where(F.col("common") >= threshold * F.col("weight")))
     left = materialize(left.join(room.select("id", "weight", "common"), "id"), "open")
-    other = left.select("band", "key", *[F.col(c).alias(f"other_{c}") for c in ("id", "part", "weight", "common")])
+    other = left.select("band", "key", *[F.col(c).alias(f"other_{c}") for c in ("id", "part", "weight", "common", "sketch")])
     least = threshold / (1 + threshold) * (F.col("weight") + F.col("other_weight"))
     return (left.join(other, ["band", "key"])
             .where((F.col("id") < F.col("other_id")) & (F.col("part") != F.col("other_part"))
-                   & (F.least("common", "other_common") >= least))
+                   & (F.least("common", "other_common") >= least) & _may_agree("sketch", "other_sketch", threshold))
             .select(*_pair("id", "other_id")).distinct())
 
 
@@ -254,11 +280,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     idf = idf_table(*count_words(docs))
     signed = materialize(_signatures(docs, idf), "signatures")
     reps = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"),
-                                             F.first("weight").alias("weight"))
+                                             F.first("weight").alias("weight"), F.first("sketch").alias("sketch"))
     reps = materialize(reps.where("rep is not null"), "representatives")
     weights = reps.select(F.col("rep").alias("id"), "weight")
 
-    members = reps.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key"))
+    members = reps.select(F.col("rep").alias("id"), "sketch", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
     buckets = materialize(members.join(shared, ["band", "key"], "left_semi"), "buckets")
     wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
@@ -269,8 +295,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     for r in range(LEADERS + 1):
         placed = buckets if label is None else buckets.join(label, "id", "left")
         part = F.col("id") if label is None else F.coalesce("component_id", "id")
-        placed = placed.select("band", "key", "id", part.alias("part"))
-        pairs = _led_pairs(placed, r) if r < LEADERS else _open_pairs(placed, texts, weights, idf, threshold)
+        placed = placed.select("band", "key", "id", "sketch", part.alias("part"))
+        pairs = _led_pairs(placed, r, threshold) if r < LEADERS else _open_pairs(placed, texts, weights, idf, threshold)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")

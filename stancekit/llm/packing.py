@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stancekit.llm.common import by_bytes, materialize
+from stancekit.llm.common import by_bytes, materialize, released
 from stancekit.llm.token_chunks import chunk_tokenizer
 
 PIECES = "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long"
@@ -56,7 +56,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, seq_len: int,
                                    pa.array(piece, pa.int32()), pa.array(start), pa.array(length),
                                    pa.array(crc, pa.int64())], schema=schema)
 
-    return rows.mapInArrow(cut, PIECES)
+    return rows.mapInArrow(released(cut), PIECES)
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

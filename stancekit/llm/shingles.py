@@ -33,6 +33,10 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
     return have
 
 
+def forget_powers() -> None:
+    _POWERS.clear()
+
+
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each run ``data[start:end]``; equal runs have equal hashes."""
     n = len(data) + 1
