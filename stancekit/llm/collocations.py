@@ -26,37 +26,59 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stancekit.llm import quotient_filter as Q
-from stancekit.llm.common import materialize, released
+from stancekit.llm.common import materialize, released, text_buffers
+from stancekit.llm.shingles import run_hashes
 from stancekit.llm.words import Words, byte_classes, slices
 
 BLOCK_BYTES = 8 << 20
+SHARD_BYTES = 32 << 20  # text whose words go to one shard
 SHARD_ENTRIES = 1 << 20
-SHARD_WORDS = 100_000
 _PIECES = byte_classes(" \t", ".,;:!?\n\x0b\x0c\r")
 
-STATE, WORD, FILTER, HIT, FREQUENT = range(5)
+STATE, ENTRIES, HIT, FREQUENT, TOTAL = range(5)
 
 
-def _pack_state(place: np.ndarray, last: np.ndarray, index: np.ndarray) -> bytes:
-    """Positions, last words and entry numbers of the n-grams of a block."""
-    steps = np.diff(place, prepend=0).astype(np.int32)
-    return pa.compress(steps.tobytes() + index.astype(np.int32).tobytes() + last.astype(np.int64).tobytes(), "zstd", asbytes=True)
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """Integers of 0 and up, each array in as few bytes a number as it needs."""
+    parts = []
+    for x in arrays:
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(x) or int(x.max()) <= np.iinfo(k).max)
+        parts.append(bytes([np.dtype(kind).itemsize]) + len(x).to_bytes(8, "little") + x.astype(kind).tobytes())
+    body = b"".join(parts)
+    return len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
 
 
-def _unpack_state(blob: bytes, n: int, with_last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    body = pa.decompress(blob, n * (16 if with_last else 8), "zstd", asbytes=True)
-    last = np.frombuffer(body, np.int64, n, 8 * n) if with_last else np.zeros(0, np.int64)
-    return np.cumsum(np.frombuffer(body, np.int32, n), dtype=np.int32), last, np.frombuffer(body, np.int32, n, 4 * n)
+def _expand(blob: bytes) -> list[np.ndarray]:
+    body, at, out = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True), 0, []
+    while at < len(body):
+        width, n = body[at], int.from_bytes(body[at + 1:at + 9], "little")
+        out.append(np.frombuffer(body, f"<u{width}", n, at + 9).astype(np.int64))
+        at += 9 + width * n
+    return out
+
+
+SENT = "kind int, block long, shard long, first int, blob binary, words binary"
+_SENT = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("shard", pa.int64()), ("first", pa.int32()), ("blob", pa.binary()), ("words", pa.binary())])
+COUNTED = "kind int, block long, blob binary, id long, first long, last long, n long, lang string, word string"
+
+
+def _sent(rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_SENT)
+    return pa.table([pa.array(x, f.type) for x, f in zip(columns, _SENT, strict=True)], schema=_SENT)
 
 
-WORDS = "kind int, block long, n long, idx int, lang string, word string, blob binary"
-_WORDS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("idx", pa.int32()), ("lang", pa.string()),
-                    ("word", pa.string()), ("blob", pa.binary())])
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Shards that occur, each with the range of its entries; ascending."""
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield int(shard[a]), a, b
 
 
-def _count_words(block_bytes: int):
-    """For each block, its word occurrences as a state and its distinct words
-    of each language with their counts."""
+def _count_words(block_bytes: int, shards: int):
+    """For each block, its word occurrences (a position that leaps between
+    pieces, and the word as a number of the block), and for each shard of the
+    words' hashes those of its words that go there, with their counts. A word
+    is told apart by its language: ``language, tab, word``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
@@ -67,63 +89,125 @@ def _count_words(block_bytes: int):
             langs = rows.column("lang").combine_chunks().dictionary_encode()
             of = np.repeat(langs.indices.to_numpy(zero_copy_only=False), np.diff(words.first))
             number, distinct = words.numbers()
-            key = of.astype(np.int64) * len(distinct) + number
-            n = np.bincount(key, minlength=len(distinct) * len(langs.dictionary))
+            number += of.astype(np.int64) * len(distinct)
+            n = np.bincount(number, minlength=len(distinct) * len(langs.dictionary))
             used = np.flatnonzero(n)
-            index = np.zeros(len(n), np.int32)
-            index[used] = np.arange(len(used))
-            blob = _pack_state(np.arange(len(words)) + words.piece, np.zeros(0, np.int64), index[key])
-            none = pa.nulls(1, pa.string())
-            yield pa.record_batch([pa.array([STATE], pa.int32()), pa.array([task + i]), pa.array([len(words)]), pa.array([0], pa.int32()),
-                                   none, none, pa.array([blob], pa.binary())], schema=_WORDS)
-            m = len(used)
-            out = pa.record_batch([
-                pa.array(np.full(m, WORD, np.int32)), pa.array(np.full(m, task + i)), pa.array(n[used]), pa.array(np.arange(m, dtype=np.int32)),
-                langs.dictionary.take(pa.array(used // len(distinct))).cast(pa.string()),
-                distinct.take(pa.array(used % len(distinct))).cast(pa.string()), pa.nulls(m, pa.binary())], schema=_WORDS)
-            for a in range(0, m, 50_000):
-                yield out.slice(a, 50_000)
+            names = pc.binary_join_element_wise(langs.dictionary.take(pa.array(used // len(distinct))).cast(pa.large_string()),
+                                                distinct.take(pa.array(used % len(distinct))), pa.scalar("\t", pa.large_string()))
+            data, offsets = text_buffers(names)
+            shard = (run_hashes(data, offsets[:-1], offsets[1:]) % np.uint64(shards)).astype(np.int64)
+            order = np.lexsort((pc.rank(names).to_numpy(), shard))
+            index = np.zeros(len(n), np.int64)
+            index[used[order]] = np.arange(len(order))
+            out = [(STATE, task + i, None, 0, _squeeze(np.diff(np.arange(len(words)) + words.piece, prepend=0), index[number]), None)]
+            names, total, shard = names.take(pa.array(order)), n[used[order]], shard[order]
+            for s, a, b in _by_shard(shard):
+                data, offsets = text_buffers(names.slice(a, b - a))
+                out.append((ENTRIES, task + i, s, a, _squeeze(np.diff(offsets), total[a:b]), pa.compress(data, "zstd", asbytes=True)))
+            yield from _sent(out).to_batches()
 
     return released(count)
 
 
-ENTRIES = "kind int, block long, n long, shard long, first int, blob binary"
-_ENTRIES = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("shard", pa.int64()), ("first", pa.int32()), ("blob", pa.binary())])
+def _merge_words(shards: int, min_count: int):
+    """One shard of words: the frequent ones over all blocks with their numbers,
+    all occurrences by language, and for each block which words are frequent."""
 
+    def merge(rows: pa.Table) -> pa.Table:
+        names, counts = [], []
+        for blob, words in zip(rows.column("blob"), rows.column("words"), strict=True):
+            size, total = _expand(blob.as_py())
+            offsets = np.concatenate(([0], np.cumsum(size)))
+            data = pa.decompress(words.as_py(), int(offsets[-1]), "zstd")
+            names.append(pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), data))
+            counts.append(total)
+        coded = pa.concat_arrays(names).dictionary_encode()
+        place, total = coded.indices.to_numpy().astype(np.int64), np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(total, place, np.concatenate(counts))
+        split = [x.rpartition("\t") for x in coded.dictionary.to_pylist()]
+        by_lang: dict[str, int] = {}
+        for (lang, _, _), n in zip(split, total.tolist(), strict=True):
+            by_lang[lang] = by_lang.get(lang, 0) + n
+        good = np.flatnonzero(total >= min_count)
+        shard = rows.column("shard")[0].as_py()
+        number = np.full(len(total), -1)
+        number[good] = np.arange(len(good)) * shards + shard
+        frequent = [(FREQUENT, -1, None, int(number[k]), 0, 0, int(total[k]), split[k][0], split[k][2]) for k in good.tolist()]
+        sums = [(TOTAL, -1, None, 0, 0, 0, n, lang, "") for lang, n in by_lang.items()]
+        return _counted(frequent + sums + _hits(rows, [len(x) for x in counts], number[place]))
 
-def _count_ngrams(level: int, word_bits: int, bits: int, shards: int):
-    """The next longer n-grams of a block, from its state and the entries of it
-    that are frequent."""
+    return released(merge)
 
-    def count(state: pa.Table, hits: pa.Table) -> pa.Table:
-        rows = []
-        if state.num_rows and hits.num_rows:
-            block, n, blob = (state.column(c)[0].as_py() for c in ("block", "n", "blob"))
-            place, last, index = _unpack_state(blob, n, level > 2)
-            ids = np.full(max(int(index.max()), pc.max(hits.column("idx")).as_py()) + 1, -1)
-            ids[hits.column("idx").to_numpy()] = hits.column("id").to_numpy()
-            gram = ids[index]
-            stays = gram >= 0
-            place, gram = place[stays], gram[stays]
-            last = last[stays] if level > 2 else gram
-            at = np.flatnonzero(place[1:] == place[:-1] + 1)
-            if len(at):
-                place, gram, last = place[at], gram[at], last[at + 1]
-                packed = (gram.astype(np.uint64) << np.uint64(word_bits)) | last.astype(np.uint64)
-                del gram, stays, ids
-                entries, index, counts = np.unique(Q.Permutation(bits).forward(packed), return_inverse=True, return_counts=True)
-                rows.append((STATE, block, len(at), None, 0, _pack_state(place, last, index)))
-                shard = Q.shard_of(entries, bits, shards)
-                cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(entries)]))
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    rows.append((FILTER, block, b - a, int(shard[a]), a, Q.pack(entries[a:b], counts[a:b])))
-        columns = zip(*rows, strict=True) if rows else [[]] * len(_ENTRIES)
-        return pa.table([pa.array(x, f.type) for x, f in zip(columns, _ENTRIES, strict=True)], schema=_ENTRIES)
 
-    return released(count)
+def _counted(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = [c.split()[0] for c in COUNTED.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
+
 
+def _hits(rows: pa.Table, sizes: list[int], number: np.ndarray) -> list[tuple]:
+    """For each block: which of its entries are frequent, and their numbers."""
+    out, at = [], 0
+    for block, first, n in zip(rows.column("block").to_pylist(), rows.column("first").to_pylist(), sizes, strict=True):
+        own = number[at:at + n]
+        hit = np.flatnonzero(own >= 0)
+        if len(hit):
+            out.append((HIT, block, _squeeze(np.diff(hit + first, prepend=0), own[hit]), 0, 0, 0, 0, None, None))
+        at += n
+    return out
+
+
+def _candidates(place: np.ndarray, gram: np.ndarray, last: np.ndarray, word_bits: int, bits: int):
+    """Where an n-gram and the one a word later are both frequent: together they
+    make the next longer one, packed and permuted."""
+    at = np.flatnonzero(place[1:] == place[:-1] + 1)
+    packed = (gram[at].astype(np.uint64) << np.uint64(word_bits)) | last[at + 1].astype(np.uint64)
+    return at, Q.Permutation(bits).forward(packed)
+
+
+def _count_ngrams(level: int, word_bits: int, before: int, bits: int, shards: int):
+    """The n-grams of ``level`` words of a block. Its state are the positions of
+    frequent n-grams two words shorter (for level 2, all words); the hits say
+    which of those one word shorter are frequent. ``before`` and ``bits`` are the
+    packed sizes of the last level and this one."""
 
-COUNTED = "kind int, block long, idx int, id long, first long, last long, n long"
+    def count(state: pa.Table, hits: pa.Table) -> pa.Table:
+        if not state.num_rows or not hits.num_rows:
+            return _sent([])
+        steps, *parts = _expand(state.column("blob")[0].as_py())
+        place = np.cumsum(steps)
+        if level == 2:
+            index = parts[0]
+        else:
+            gram, last = parts[0], parts[-1]
+            at, permuted = _candidates(place, gram, last, word_bits, before)
+            index = np.unique(permuted, return_inverse=True)[1]
+            place, last = place[at], last[at + 1]
+            del gram, permuted
+        ids = np.full(int(index.max(initial=-1)) + 1, -1)
+        for blob in hits.column("blob"):
+            steps, number = _expand(blob.as_py())
+            ids[np.cumsum(steps)] = number
+        gram = ids[index]
+        stays = gram >= 0
+        place, gram = place[stays], gram[stays]
+        last = gram if level == 2 else last[stays]
+        at, permuted = _candidates(place, gram, last, word_bits, bits)
+        if not len(at):
+            return _sent([])
+        block = state.column("block")[0].as_py()
+        kept = np.zeros(len(place), bool)  # what takes part in no candidate is of no more use
+        kept[at] = kept[at + 1] = True
+        steps = np.diff(place[kept], prepend=0)
+        blob = _squeeze(steps, gram[kept]) if level == 2 else _squeeze(steps, gram[kept], last[kept])
+        rows = [(STATE, block, None, 0, blob, None)]
+        entries, counts = np.unique(permuted, return_counts=True)
+        for s, a, b in _by_shard(Q.shard_of(entries, bits, shards)):
+            rows.append((ENTRIES, block, s, a, Q.pack(entries[a:b], counts[a:b]), None))
+        return _sent(rows)
+
+    return released(count)
 
 
 def _merge_shard(word_bits: int, bits: int, shards: int, min_count: int):
@@ -133,66 +217,56 @@ def _merge_shard(word_bits: int, bits: int, shards: int, min_count: int):
     def merge(rows: pa.Table) -> pa.Table:
         filters = [Q.unpack(blob.as_py()) for blob in rows.column("blob")]
         permuted, counts, place = Q.merge(filters)
-        size = np.array([len(p) for p, _ in filters])
+        sizes = [len(p) for p, _ in filters]
         del filters
         good = np.flatnonzero(counts >= min_count)
         number = np.full(len(permuted), -1)
         number[good] = np.arange(len(good)) * shards + rows.column("shard")[0].as_py()
         packed = Q.Permutation(bits).back(permuted[good])
         first, last = packed >> np.uint64(word_bits), packed & np.uint64((1 << word_bits) - 1)
-        of = np.repeat(np.arange(len(size)), size)
-        idx = np.arange(len(of)) - np.repeat(np.cumsum(size) - size - rows.column("first").to_numpy(), size)
-        ids = number[place]
-        hit = np.flatnonzero(ids >= 0)
-        g, h = np.zeros(len(good), np.int64), np.zeros(len(hit), np.int64)
-        both = lambda x, y, kind=np.int64: np.concatenate((x, y)).astype(kind)
-        return pa.table({"kind": both(g + FREQUENT, h + HIT, np.int32), "block": both(g - 1, rows.column("block").to_numpy()[of[hit]]),
-                         "idx": both(g, idx[hit], np.int32), "id": both(number[good], ids[hit]), "first": both(first, h),
-                         "last": both(last, h), "n": both(counts[good], h)})
+        frequent = [(FREQUENT, -1, None, i, a, b, n, None, None) for i, a, b, n in
+                    zip(number[good].tolist(), first.tolist(), last.tolist(), counts[good].tolist(), strict=True)]
+        return _counted(frequent + _hits(rows, sizes, number[place]))
 
     return released(merge)
 
 
 def frequent_ngrams(docs: DataFrame, min_count: int, max_words: int, text_col: str = "text", lang_col: str = "lang",
-                    block_bytes: int = BLOCK_BYTES, shard_entries: int = SHARD_ENTRIES) -> tuple[DataFrame, DataFrame]:
+                    block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES,
+                    shard_entries: int = SHARD_ENTRIES) -> tuple[DataFrame, DataFrame]:
     """``(lang, words array<string>, n)`` of all n-grams of 1 to ``max_words``
     words with ``n >= min_count``, and ``(lang, total)``: all words."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = materialize(rows.mapInArrow(_count_words(block_bytes), WORDS), "phrase-words")
-    words = blocks.where(F.col("kind") == WORD).select("block", "idx", "lang", "word", "n")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    frequent = materialize(words.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count), "frequent-words")
-    shards = -(-frequent.count() // SHARD_WORDS)
-    by_word = Window.partitionBy("shard").orderBy("lang", "word")
-    shard = F.pmod(F.xxhash64("lang", "word"), F.lit(max(1, shards)))
-    frequent = frequent.withColumn("shard", shard).withColumn("id", (F.row_number().over(by_word) - 1) * max(1, shards) + F.col("shard"))
-    frequent = materialize(frequent.drop("shard"), "word-numbers")
-    vocabulary = frequent.select("id", "lang", "word")
-    grams = frequent.select("id", "lang", F.array("word").alias("words"), "n")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+    sent = materialize(rows.mapInArrow(_count_words(block_bytes, shards), SENT), "phrase-words")
+    entries = lambda: sent.where(F.col("kind") == ENTRIES).drop("kind").groupBy("shard")
+    counted = materialize(entries().applyInArrow(_merge_words(shards, min_count), COUNTED), "phrase-vocabulary")
+    totals = counted.where(F.col("kind") == TOTAL).groupBy("lang").agg(F.sum("n").alias("total"))
+    vocabulary = counted.where(F.col("kind") == FREQUENT).select("id", "lang", "word", "n")
+    grams = vocabulary.select("id", "lang", F.array("word").alias("words"), "n")
     found = [grams]
-    hits = words.join(vocabulary, ["lang", "word"]).select(F.col("block").alias("of"), "idx", "id")
-    state = blocks.where(F.col("kind") == STATE)
-    top, occurrences = frequent.agg(F.max("id"), F.sum("n")).first()
-    word_bits = bits = int(top or 0).bit_length()
+    top, occurrences = vocabulary.agg(F.max("id"), F.sum("n")).first()
+    word_bits, before = max(1, int(top or 0).bit_length()), 0
     for level in range(2, max_words + 1):
         if top is None:
             break
-        bits = max(1, int(top).bit_length() + word_bits)
+        bits = max(1, int(top).bit_length()) + word_bits
         shards = max(1, -(-int(occurrences) // shard_entries))
         # A block's state and its frequent entries: both bounded by the block.
-        sent = (state.select("block", "n", "blob").groupBy("block").cogroup(hits.groupBy("of"))
-                .applyInArrow(_count_ngrams(level, word_bits, bits, shards), ENTRIES))
+        state = sent.where(F.col("kind") == STATE).select("block", "blob")
+        hits = counted.where(F.col("kind") == HIT).select(F.col("block").alias("of"), "blob")
+        sent = (state.groupBy("block").cogroup(hits.groupBy("of"))
+                .applyInArrow(_count_ngrams(level, word_bits, before, bits, shards), SENT))
         sent = materialize(sent, f"phrase-filters-{level}")
-        counted = (sent.where(F.col("kind") == FILTER).select("shard", "block", "first", "blob").groupBy("shard")
-                   .applyInArrow(_merge_shard(word_bits, bits, shards, min_count), COUNTED))
-        counted = materialize(counted, f"phrase-counts-{level}")
-        state, hits = sent.where(F.col("kind") == STATE), counted.where(F.col("kind") == HIT).select(F.col("block").alias("of"), "idx", "id")
-        frequent = counted.where(F.col("kind") == FREQUENT).select("id", "first", "last", "n")
+        counted = materialize(entries().applyInArrow(_merge_shard(word_bits, bits, shards, min_count), COUNTED), f"phrase-counts-{level}")
         end = vocabulary.select(F.col("id").alias("last"), "word")
         begin = grams.select(F.col("id").alias("first"), "lang", "words")
+        frequent = counted.where(F.col("kind") == FREQUENT).select("id", "first", "last", "n")
         grams = frequent.join(begin, "first").join(end, "last").select("id", "lang", F.concat("words", F.array("word")).alias("words"), "n")
         grams = materialize(grams, f"phrases-{level}")
         found.append(grams)
+        before = bits
         top, occurrences = grams.agg(F.max("id"), F.sum("n")).first()
     out = found[0]
     for more in found[1:]:

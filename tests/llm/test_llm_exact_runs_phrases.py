@@ -229,14 +229,14 @@ def prose():
 @pytest.mark.parametrize("min_count, percent, limit", [(20, 100, 15), (5, 80, 1000)])
 def test_phrases_equal_brute_force(spark, prose, min_count, percent, limit):
     df = spark.createDataFrame(prose, "doc_id long, lang string, text string").repartition(5)
-    got = mine_phrases(df, min_count, 5, percent, limit, block_bytes=3000, shard_entries=300)
+    got = mine_phrases(df, min_count, 5, percent, limit, block_bytes=3000, shard_bytes=9000, shard_entries=300)
     want, _ = brute_phrases([r[1:] for r in prose], min_count, 5, percent, limit)
     assert len(want) > 20 and {tuple(r) for r in got.collect()} == want
 
 
 def test_ngram_counts_are_exact(spark, prose):
     df = spark.createDataFrame(prose, "doc_id long, lang string, text string").repartition(3)
-    grams, totals = frequent_ngrams(df, 3, 4, block_bytes=2000, shard_entries=100)
+    grams, totals = frequent_ngrams(df, 3, 4, block_bytes=2000, shard_bytes=5000, shard_entries=100)
     _, f = brute_phrases([r[1:] for r in prose], 3, 4, 100, 1)
     assert {(r.lang, tuple(r.words)): r.n for r in grams.collect()} == {g: n for g, n in f.items() if n >= 3}
     assert sum(r.total for r in totals.collect()) == sum(n for (_, g), n in f.items() if len(g) == 1)
