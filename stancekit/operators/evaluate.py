@@ -21,6 +21,17 @@ def _ratio(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 
+def prune_to_labels(texts: DataFrame, labeled: DataFrame, id_col: str = "id") -> DataFrame:
+    """The rows of ``texts`` that some label refers to.
+
+    Evaluation uses no others, so this semi join belongs next to the scan,
+    below cleaning, splitting and classification. A small label set is
+    broadcast by its measured size; a large one is shuffled by id, ids alone.
+    """
+    ids = labeled.select(id_col).where(F.col(id_col).isNotNull())
+    return texts.join(ids, id_col, "left_semi")
+
+
 def eval_join(results: DataFrame, labeled: DataFrame, label_col: str = "label", id_col: str = "id") -> DataFrame:
     """Results inner-joined with ``labeled[id, label]`` on ``id``.
 
@@ -37,6 +48,44 @@ def eval_join(results: DataFrame, labeled: DataFrame, label_col: str = "label",
     return base.join(labels, id_col, "inner")
 
 
+HEAVY_SHARE = 200  # an id with more than this part of all rows is heavy; so there are fewer than this many
+HEAVY_SALTS = 64
+
+
+def heavy_ids(df: DataFrame, id_col: str = "id") -> list[str]:
+    """Ids that hold a large part of all rows: counted with map-side combining,
+    fewer than ``HEAVY_SHARE`` of them whatever the data."""
+    counts = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    total = df.count()
+    return [r[0] for r in counts.where(F.col("n") > max(1, total // HEAVY_SHARE)).select(id_col).collect()]
+
+
+def eval_join_rows(results: DataFrame, labeled: DataFrame, label_col: str = "label", id_col: str = "id") -> DataFrame:
+    """J1 as a plain merge: a row for every pair of a result row and a label row
+    of one id, so duplicates on either side fan out.
+
+    The join itself carries each ``(id, label)`` once; its copies come out of a
+    generator behind it. Ids that hold a large part of the results are salted:
+    their result rows are dealt over ``HEAVY_SALTS`` keys, their label rows (one a
+    label) are repeated for each. A null id joins with nothing; a stale label
+    column of the results is dropped.
+    """
+    key = F.col(id_col).cast("string")
+    base = results.drop(label_col).withColumn(id_col, key)
+    labels = labeled.select(key.alias("__id"), F.col(label_col).cast("string").alias(label_col)).groupBy("__id", label_col).agg(
+        F.count(F.lit(1)).alias("__copies"))
+    heavy = heavy_ids(base, id_col)
+    is_heavy = lambda c: F.col(c).isin(heavy) if heavy else F.lit(False)
+    # The number of a row within its task: the same when the task runs again.
+    base = base.withColumn("__row", F.monotonically_increasing_id())
+    base = base.withColumn("__salt", F.when(is_heavy(id_col), F.col("__row") % HEAVY_SALTS).otherwise(0).cast("int"))
+    salts = F.when(is_heavy("__id"), F.sequence(F.lit(0), F.lit(HEAVY_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    labels = labels.withColumn("__of", F.explode(salts))
+    joined = base.join(labels, (F.col(id_col) == F.col("__id")) & (F.col("__salt") == F.col("__of")))
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))).alias("__one")
+    return joined.select(*[c for c in base.columns if not c.startswith("__")], label_col, copies).drop("__one")
+
+
 def pair_counts(
     results: DataFrame,
     labeled: DataFrame,

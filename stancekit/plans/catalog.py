@@ -14,9 +14,12 @@ Every view is a projection of its table, so the work grows with the data.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stancekit.operators.evaluate import prune_to_labels
 from stancekit.operators.partitioning import spread_for_cpu
 
 EPOCH_BASE = 1704067200  # 2024-01-01T00:00:00Z, base for synthetic epoch fields
@@ -27,8 +30,9 @@ EPOCH_BASE = 1704067200  # 2024-01-01T00:00:00Z, base for synthetic epoch fields
 TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """A table; ``keep`` prunes its rows next to the scan."""
+    df = keep(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
     if name in TEXT_TABLES:
         df = spread_for_cpu(df, TEXT_TABLES[name])
     return df
@@ -36,10 +40,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, source, text, lang`` from documents."""
-    d = table(spark, sf_dir, "documents")
+    return _as_texts(table(spark, sf_dir, "documents"))
+
+
+def _as_texts(d: DataFrame) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("id"), "source", "text", "lang")
 
 
+def labeled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that have a label, others pruned before any text is cleaned."""
+    return _as_texts(table(spark, sf_dir, "documents", lambda d: prune_to_labels(d, table(spark, sf_dir, "labels"), "doc_id")))
+
+
 def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, label``: toxic -> contra, else quality -> pro, else neutral."""
     lab = table(spark, sf_dir, "labels")

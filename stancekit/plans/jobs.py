@@ -1,12 +1,13 @@
-"""The collect / prepare / model / evaluate jobs and their CLI.
+"""The batch jobs as a table of steps, with restart, and their CLI.
 
-Each step writes its output table and the next step reads that table, so a
-lost executor only re-runs the current step's tasks and lineage never spans
-steps. Run with ``spark-submit -m``-style invocation::
+A step reads committed tables, writes its own for this run and commits them
+(``sinks.commits``). Nothing is passed from step to step but tables on
+storage, so a lost executor re-runs tasks of one step only, and a job that
+died is taken up with ``--run-id``: committed steps are not done again, and what
+an unfinished one left behind is replaced.
 
-    python -m stancekit.plans.jobs --steps prepare,model,evaluate \
-        --raw-data-dir data/raw --processed-data-dir data/processed \
-        --labeled-file data/labels.csv
+    python -m stancekit.plans.jobs --steps prepare,model,evaluate \\
+        --raw-data-dir data/raw --processed-data-dir data/processed --labeled-file data/labels.csv
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 import argparse
 import logging
 import os
+import sys
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +29,14 @@ from stancekit.operators.dedupe import dedupe_first, union_all
 from stancekit.operators.sampling import labeling_sample
 from stancekit.operators.scoring import default_scorer
 from stancekit.operators.sentences import add_cleaned_text, explode_sentences, platform_of
+from stancekit.sinks import commits
 from stancekit.sinks import writers as W
 from stancekit.sources import files, news, social
 
 log = logging.getLogger("stancekit.jobs")
 
-STEPS = ("collect", "prepare", "model", "evaluate")
 RAW_DATASETS = ("articles", "posts", "comments", "tweets")
+DONE, RESUMED, NOTHING, FAILED = "done", "resumed", "nothing to do", "failed"
 
 
 @dataclass
@@ -44,51 +48,91 @@ class Landed:
     comments: str | None = None
     tweets: str | None = None
     sites: tuple[tuple[str, str], ...] = field(default_factory=tuple)
+    result_pages: str | None = None
 
 
-# P3 -----------------------------------------------------------------------------
-
-def collect_data(spark: SparkSession, job: cfgmod.JobConfig, landed: Landed, run_ts: str) -> dict[str, str]:
-    """Extract articles, posts, comments and tweets from landed tables and
-    append them to the raw folder. Missing inputs are skipped."""
-    out = {}
-    if landed.pages and landed.sites:
-        pages = spark.read.parquet(landed.pages)
-        arts = news.news_site_scan(pages, landed.sites, job.max_pages)
-        out["articles"] = W.write_raw(arts, job.raw_data_dir, run_ts, "articles")
-    if landed.posts:
-        posts = social.post_search(spark.read.parquet(landed.posts), job.subreddits, job.search_terms, job.max_posts)
-        out["posts"] = W.write_raw(posts, job.raw_data_dir, run_ts, "posts")
-        if landed.comments:
-            picked = spark.read.parquet(out["posts"]).where(F.col("run_ts") == run_ts)
-            comments = social.comments_for_posts(spark.read.parquet(landed.comments), picked)
-            out["comments"] = W.write_raw(comments, job.raw_data_dir, run_ts, "comments")
-    if landed.tweets:
-        tw = social.tweets_union_dedupe(spark.read.parquet(landed.tweets), job.hashtags, job.usernames,
-                                        job.lang, job.max_tweets)
-        out["tweets"] = W.write_raw(tw, job.raw_data_dir, run_ts, "tweets")
-    return out
+@dataclass
+class Run:
+    """One run: its parameters, how its steps ended and the tables they gave."""
+
+    spark: SparkSession
+    job: cfgmod.JobConfig
+    landed: Landed
+    run_ts: str
+    report: dict[str, str] = field(default_factory=dict)
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+
+    @property
+    def raw(self) -> str:
+        return self.job.raw_data_dir
+
+    @property
+    def processed(self) -> str:
+        return self.job.processed_data_dir
+
+    def written(self, path: str) -> DataFrame:
+        """What this run has just written, before it is committed."""
+        df = self.spark.read.parquet(path)
+        return df.withColumn("platform", F.col("platform").cast("string")) if "platform" in df.columns else df
+
+
+# Collect (P3) ------------------------------------------------------------------
+
+def _articles(run: Run) -> DataFrame | None:
+    if not (run.landed.pages and run.landed.sites):
+        return None
+    results = run.spark.read.parquet(run.landed.result_pages) if run.landed.result_pages else None
+    return news.news_site_scan(run.spark.read.parquet(run.landed.pages), run.landed.sites, run.job.max_pages, results)
+
+
+def _posts(run: Run) -> DataFrame | None:
+    if not run.landed.posts:
+        return None
+    return social.post_search(run.spark.read.parquet(run.landed.posts), run.job.subreddits, run.job.search_terms, run.job.max_posts)
+
 
+def _comments(run: Run) -> DataFrame | None:
+    if not run.landed.comments or "posts" not in run.tables:
+        return None
+    return social.comments_for_posts(run.spark.read.parquet(run.landed.comments), run.tables["posts"])
+
+
+def _tweets(run: Run) -> DataFrame | None:
+    if not run.landed.tweets:
+        return None
+    return social.tweets_union_dedupe(run.spark.read.parquet(run.landed.tweets), run.job.hashtags, run.job.usernames,
+                                      run.job.lang, run.job.max_tweets)
 
-# P1 / P2 / P4 ---------------------------------------------------------------------
+
+# In this order: comments belong to the posts that were found.
+COLLECTORS: dict[str, Callable[[Run], DataFrame | None]] = {"articles": _articles, "posts": _posts, "comments": _comments, "tweets": _tweets}
+
+
+def collect(run: Run) -> list[str]:
+    """Raw tables from whatever has landed; without landed tables, none."""
+    found = []
+    for name, collector in COLLECTORS.items():
+        items = collector(run)
+        if items is not None:
+            run.tables[name] = run.written(W.write_raw(items, run.raw, run.run_ts, name))
+            found.append(name)
+    return found
+
+
+# Prepare (P1, P2, P4) ----------------------------------------------------------
 
 def read_raw(spark: SparkSession, raw_dir: str) -> DataFrame | None:
-    """Every raw dataset (Parquet written by ``collect``) plus legacy CSV
-    files in the folder, as one relation with ``platform`` and ``run_ts``."""
-    frames = []
-    for name in RAW_DATASETS:
-        path = os.path.join(raw_dir, name)
-        if files.path_exists(spark, path):
-            frames.append(spark.read.parquet(path))
-    if files.csv_headers(spark, raw_dir):
-        for row in files.skipped_files(spark, raw_dir).collect():  # one a file
-            log.warning("skipping %s: no column %s", row["_file"], ", ".join(row["missing"]))
-        legacy = files.read_legacy_csv_dir(spark, raw_dir)
+    """Every committed raw table plus legacy CSV files of the folder, as one
+    relation with ``platform`` and ``run_ts``."""
+    frames = [df for df in (commits.read_runs(spark, raw_dir, name) for name in RAW_DATASETS) if df is not None]
+    headers = files.csv_headers(spark, raw_dir)
+    if headers:
+        for row in files.skipped_files(spark, raw_dir, headers=headers).collect():  # one a file
+            log.warning("%s left out, it has no column %s", row["_file"], ", ".join(row["missing"]))
+        legacy = files.read_legacy_csv_dir(spark, raw_dir, headers=headers)
         ts = F.regexp_extract(F.col("_file"), r"([0-9]{8}_[0-9]{6})\.csv$", 1)
         frames.append(legacy.withColumn("run_ts", ts).withColumn("platform", platform_of(F.col("source"))).drop("_file"))
-    if not frames:
-        return None
-    return union_all(frames)
+    return union_all(frames) if frames else None
 
 
 def _collection_order():
@@ -105,93 +149,121 @@ def prepare(raw: DataFrame, dedupe: bool = True) -> tuple[DataFrame, DataFrame]:
     if dedupe:
         raw = dedupe_first(raw, ["platform", "id"], _collection_order(), latest=True)
     originals = add_cleaned_text(raw)
-    sentences = explode_sentences(originals)
-    return originals, sentences
+    return originals, explode_sentences(originals)
 
 
-def prepare_data(spark: SparkSession, job: cfgmod.JobConfig, run_ts: str):
-    raw = read_raw(spark, job.raw_data_dir)
+def prepare_step(run: Run) -> list[str]:
+    raw = read_raw(run.spark, run.raw)
     if raw is None:
-        log.warning("no data was processed")
-        return None
-    originals, sentences = prepare(raw, job.dedupe)
-    o_path, s_path = W.write_prepared(originals, sentences, job.processed_data_dir, run_ts)
-    sentences = spark.read.parquet(s_path).where(F.col("run_ts") == run_ts).drop("run_ts", "platform")
-    if sentences.limit(1).count() == 0:
-        log.warning("no sentences were extracted during data preparation")
-        return None
-    labeling = None
-    if job.prepare_labeling:
-        sample = labeling_sample(sentences, job.labeling_sample_size)
-        path = W.write_labeling_sample(sample, job.processed_data_dir, run_ts)
-        labeling = spark.read.option("header", True).csv(path)
-    return spark.read.parquet(o_path), sentences, labeling
-
-
-# P5 ----------------------------------------------------------------------------
-
-def latest_run(spark: SparkSession, path: str) -> DataFrame:
-    """Q18: the most recent run of a step's output table."""
-    df = spark.read.parquet(path)
-    last = df.agg(F.max("run_ts")).first()[0]
-    return df.where(F.col("run_ts") == last).drop("run_ts", "platform")
-
-
-def run_modeling(spark: SparkSession, job: cfgmod.JobConfig, run_ts: str, sentences: DataFrame | None = None):
+        return []
+    o_path, s_path = W.write_prepared(*prepare(raw, run.job.dedupe), run.processed, run.run_ts)
+    run.tables["original_data"], sentences = run.written(o_path), run.written(s_path)
+    if sentences.isEmpty():
+        return []
+    run.tables["sentences_data"] = sentences
+    if run.job.prepare_labeling:
+        sample = labeling_sample(sentences.drop("platform"), run.job.labeling_sample_size)
+        path = W.write_labeling_sample(sample, run.processed, run.run_ts)
+        run.tables["labeling_sample"] = run.spark.read.options(**W.CSV).option("multiLine", True).csv(path)
+    return ["original_data", "sentences_data"]
+
+
+# Model (P5) ----------------------------------------------------------------------
+
+def _input(run: Run, dataset: str, path: str | None) -> DataFrame | None:
+    """What a step reads: this run's table, else the named path, else the last committed run (Q18)."""
+    if dataset in run.tables:
+        return run.tables[dataset].drop("platform", "run_ts")
+    if path:
+        return files.read_table(run.spark, path)
+    last = commits.committed_runs(run.spark, run.processed, dataset)[-1:]
+    found = commits.read_runs(run.spark, run.processed, dataset, last)
+    return None if found is None else found.drop("platform", "run_ts")
+
+
+def model_step(run: Run) -> list[str]:
+    sentences = _input(run, "sentences_data", run.job.sentences_path)
     if sentences is None:
-        if job.sentences_path:
-            sentences = files.read_table(spark, job.sentences_path)
-        else:
-            default = os.path.join(job.processed_data_dir, "sentences_data")
-            if not files.path_exists(spark, default):
-                log.error("no sentences provided for classification")
-                return None
-            sentences = latest_run(spark, default)
-    scorer = default_scorer(job.model_name)
-    results = classify(sentences, job.classifier, scorer, job.sentence_column)
-    path = W.write_results(results, job.processed_data_dir, run_ts)
-    results = spark.read.parquet(path).where(F.col("run_ts") == run_ts).drop("run_ts", "platform")
-    stats = classification_stats(results).first()
-    log.info("classification results: %s pro, %s contra, %s neutral", stats["pro"], stats["contra"], stats["neutral"])
-    return results
-
-
-# P6 ----------------------------------------------------------------------------
-
-def evaluate_model(spark: SparkSession, job: cfgmod.JobConfig, run_ts: str, results: DataFrame | None = None):
-    if results is None:
-        if job.results_path:
-            results = files.read_table(spark, job.results_path)
-        else:
-            default = os.path.join(job.processed_data_dir, "classification_results")
-            if not files.path_exists(spark, default):
-                log.error("no results provided for evaluation")
-                return None
-            results = latest_run(spark, default)
-    if not job.labeled_path:
-        log.warning("no labeled data available for evaluation")
-        return None
-    labeled = files.read_table(spark, job.labeled_path).select("id", job.label_column)
-    joined = E.eval_join(results, labeled, job.label_column)
-    if joined.limit(1).count() == 0:
-        log.warning("no matching samples found between results and labeled data")
-        return None
-    unlabeled = joined.where(F.col(job.label_column).isNull()).agg(F.sum(E.WEIGHT_COL)).first()[0] or 0
+        return []
+    results = classify(sentences, run.job.classifier, default_scorer(run.job.model_name), run.job.sentence_column)
+    run.tables["classification_results"] = run.written(W.write_results(results, run.processed, run.run_ts))
+    log.info("labels: %s", classification_stats(run.tables["classification_results"]).first().asDict())
+    return ["classification_results"]
+
+
+# Evaluate (P6) -------------------------------------------------------------------
+
+def evaluate_step(run: Run) -> list[str]:
+    results = _input(run, "classification_results", run.job.results_path)
+    if results is None or not run.job.labeled_path:
+        return []
+    label = run.job.label_column
+    labeled = files.read_table(run.spark, run.job.labeled_path).select("id", label)
+    joined = E.eval_join(results, labeled, label)
+    if joined.isEmpty():
+        log.warning("no label refers to any result")
+        return []
+    unlabeled = joined.where(F.col(label).isNull()).agg(F.sum(E.WEIGHT_COL)).first()[0] or 0
     if unlabeled:
-        log.warning("%s joined rows have no label and are left out of the metrics", unlabeled)
-    metrics = E.evaluate(joined, job.label_column, "final")
-    mis, counts = E.error_analysis(joined, job.label_column, "final", job.sentence_column)
-    W.write_errors(mis, job.processed_data_dir, run_ts)
-    W.write_metrics(metrics["summary"], metrics["report"], job.processed_data_dir, run_ts)
-    W.write_plot_data(metrics["confusion"], metrics["f1"], job.processed_data_dir, run_ts)
-    summary = metrics["summary"].first()
-    log.info("evaluation results: accuracy = %.4f", summary["accuracy"])
-    metrics["error_counts"] = counts
-    metrics["misclassified"] = mis
-    return metrics
-
+        log.warning("%s rows have an empty label and do not count", unlabeled)
+    metrics = E.evaluate(joined, label, "final")
+    metrics["misclassified"], metrics["error_counts"] = E.error_analysis(joined, label, "final", run.job.sentence_column)
+    W.write_errors(metrics["misclassified"], run.processed, run.run_ts)
+    W.write_metrics(metrics["summary"], metrics["report"], run.processed, run.run_ts)
+    W.write_plot_data(metrics["confusion"], metrics["f1"], run.processed, run.run_ts)
+    run.tables.update(metrics)
+    return ["error_analysis"]
+
+
+# The runner (P7) ---------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Step:
+    """``work`` writes tables and names them. In a full run, a step that gives
+    nothing ends the run if ``needed``; one that fails ends it in any case but the last."""
+
+    name: str
+    folder: str
+    needed: bool
+    work: Callable[[Run], list[str]]
+
+
+STEPS = (Step("collect", "raw", False, collect), Step("prepare", "processed", True, prepare_step),
+         Step("model", "processed", True, model_step), Step("evaluate", "processed", False, evaluate_step))
+
+
+def attempt(step: Step, run: Run) -> str:
+    """Do a step and commit it, unless an earlier attempt of this run has."""
+    base = getattr(run, step.folder)
+    if commits.is_committed(run.spark, base, run.run_ts, step.name):
+        for name in [r.dataset for r in commits.commits(run.spark, base).where(
+                (F.col("run_ts") == run.run_ts) & (F.col("step") == step.name) & F.col("dataset").isNotNull()).collect()]:
+            run.tables[name] = commits.read_runs(run.spark, base, name, [run.run_ts])
+        return RESUMED
+    try:
+        datasets = step.work(run)
+    except Exception:
+        log.exception("step %s of run %s", step.name, run.run_ts)
+        return FAILED
+    if not datasets:
+        return NOTHING
+    commits.commit(run.spark, base, run.run_ts, step.name, datasets)
+    return DONE
+
+
+def run(spark: SparkSession, job: cfgmod.JobConfig, landed: Landed | None = None, run_id: str | None = None) -> Run:
+    """The steps that ``job.steps`` asks for, in their order."""
+    out = Run(spark, job, landed or Landed(), run_id or W.run_timestamp())
+    full = "all" in job.steps
+    for step in STEPS:
+        if not full and step.name not in job.steps:
+            continue
+        ended = out.report[step.name] = attempt(step, out)
+        log.info("step %s: %s", step.name, ended)
+        if full and (ended == FAILED or (ended == NOTHING and step.needed)):
+            break
+    return out
 
-# P7 ----------------------------------------------------------------------------
 
 def parse_args(argv=None):
     p = argparse.ArgumentParser(description="Argument mining jobs on Spark")
@@ -202,6 +274,8 @@ def parse_args(argv=None):
     p.add_argument("--landed-posts")
     p.add_argument("--landed-comments")
     p.add_argument("--landed-tweets")
+    p.add_argument("--landed-result-pages", help="landed search-result pages; articles are then those they link to")
+    p.add_argument("--run-id", help="take up this run: steps it has committed are not done again")
     p.add_argument("--news-sites", default="", help="name=host_suffix,...")
     p.add_argument("--search-term", default=cfgmod.DEFAULT_SEARCH_TERM)
     p.add_argument("--max-pages", type=int, default=cfgmod.DEFAULT_MAX_PAGES)
@@ -235,57 +309,20 @@ def job_config(args) -> tuple[cfgmod.JobConfig, Landed]:
         dedupe=not args.no_dedupe,
     )
     sites = tuple(tuple(s.split("=", 1)) for s in cfgmod.split_list(args.news_sites) if "=" in s)
-    landed = Landed(args.landed_pages, args.landed_posts, args.landed_comments, args.landed_tweets, sites)
+    landed = Landed(args.landed_pages, args.landed_posts, args.landed_comments, args.landed_tweets, sites, args.landed_result_pages)
     return job, landed
 
 
-def run(spark: SparkSession, job: cfgmod.JobConfig, landed: Landed | None = None) -> dict:
-    """Run the requested steps; under ``all`` a failed step stops the run."""
-    steps = set(job.steps)
-    run_all = "all" in steps
-    run_ts = W.run_timestamp()
-    done: dict = {"run_ts": run_ts}
-    sentences = results = None
-    if run_all or "collect" in steps:
-        try:
-            done["collect"] = collect_data(spark, job, landed or Landed(), run_ts)
-        except Exception as exc:  # a failed collection stops only a full run
-            log.error("error in data collection: %s", exc)
-            if run_all:
-                return done
-    if run_all or "prepare" in steps:
-        prepared = prepare_data(spark, job, run_ts)
-        if prepared is None and run_all:
-            return done
-        if prepared is not None:
-            done["prepare"] = prepared
-            sentences = prepared[1]
-    if run_all or "model" in steps:
-        results = run_modeling(spark, job, run_ts, sentences)
-        if results is None and run_all:
-            return done
-        done["model"] = results
-    if run_all or "evaluate" in steps:
-        try:
-            metrics = evaluate_model(spark, job, run_ts, results)
-        except Exception as exc:  # e.g. the label column is missing: warn, as a final step
-            log.error("error in evaluation: %s", exc)
-            metrics = None
-        if metrics is None:
-            log.warning("evaluation did not run")
-        done["evaluate"] = metrics
-    return done
-
-
-def main(argv=None):
+def main(argv=None) -> int:
+    """Exit code 0 unless some step failed."""
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(levelname)s %(message)s")
     from stancekit.session import build_session
 
     args = parse_args(argv)
     job, landed = job_config(args)
-    spark = build_session("stancekit-jobs")
-    run(spark, job, landed)
+    report = run(build_session("stancekit-jobs"), job, landed, args.run_id).report
+    return int(FAILED in report.values())
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())

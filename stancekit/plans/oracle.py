@@ -464,4 +464,9 @@ SELECT {COLS_TWEET} FROM both_ QUALIFY row_number() OVER (PARTITION BY id ORDER
                         "SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS id, text, role FROM conversations")
     sql["labeling_sample"] = (f"WITH {SENTENCES} SELECT *, CAST(NULL AS VARCHAR) AS label FROM sentences "
                               "ORDER BY md5(id || '|42'), id LIMIT 50")
+    from stancekit.plans import oracle_jobs, oracle_trained, oracle_tree
+
+    sql.update(oracle_trained.SQL)
+    sql.update(oracle_tree.SQL)
+    sql.update(oracle_jobs.build(sql["classification_report"], f"{ACC} AS accuracy, {F1_COLS}"))
     return sql

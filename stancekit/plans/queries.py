@@ -13,16 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stancekit.config import ClassifierConfig
+from stancekit.functions import html_tree
 from stancekit.functions import text as T
 from stancekit.operators import evaluate as E
+from stancekit.operators import trained_sentences as TS
 from stancekit.operators.classify import classification_stats, classify
 from stancekit.operators.dedupe import dedupe_first, topn_per_key, union_all
-from stancekit.operators.rules import rule_label
+from stancekit.operators.lexicon import match_lexicon
+from stancekit.operators.rules import gap_rule_labels, rule_label
 from stancekit.operators.sampling import labeling_sample
 from stancekit.operators.scoring import ExpressionScorer, argmax_label, nli_scores, synthetic_logits
 from stancekit.operators.sentences import explode_sentences
 from stancekit.plans import catalog as C
-from stancekit.session import scratch_path
+from stancekit.session import scratch_path, stored
 from stancekit.sources import files, news, social
 
 FIXTURE = ClassifierConfig.fixture()
@@ -89,6 +92,32 @@ def q_explode_sentences(spark, d):
     return sentences(spark, d)
 
 
+def cleaned_documents(spark, d) -> DataFrame:
+    """``id, source, clean``, stored: training and splitting read it several times."""
+    return stored(T.with_clean_text(C.texts(spark, d).select("id", "source", "text"), "text", "clean").drop("text"), "cleaned")
+
+
+def _trained(docs: DataFrame) -> TS.SentenceModel:
+    return TS.train(docs, "clean", write=lambda df: stored(df, "sentence-model"))
+
+
+def q_punkt_train(spark, d):
+    """What the documents teach about periods, as one table."""
+    m = _trained(cleaned_documents(spark, d))
+    none = F.lit(None).cast("string").alias("next_word")
+    score = F.round("score", 3).alias("score")
+    return (m.abbreviations.select(F.lit("abbreviation").alias("kind"), "word", none, score)
+            .union(m.collocations.select(F.lit("collocation"), "word", "next_word", score))
+            .union(m.starters.select(F.lit("starter"), "word", none, score)))
+
+
+def q_split_sentences_trained(spark, d):
+    docs = cleaned_documents(spark, d)
+    split = TS.split_sentences_trained(docs, _trained(docs))
+    rows = split.select("id", F.posexplode_outer("sentences").alias("sentence_index", "sentence"))
+    return rows.where(F.col("sentence").isNotNull())
+
+
 # Classification ------------------------------------------------------------------
 
 def q_rule_classify(spark, d):
@@ -101,6 +130,51 @@ def q_lemma_gap_rules(spark, d):
     return s.select("id", rule_label(F.col("sentence"), FIXTURE_LEMMA).alias("rule_based"))
 
 
+def q_lemma_gap_tokens(spark, d):
+    """M2 on word positions, over sentences with a text of the original's own
+    subject added to some of them, since its lemmas do not occur in the tables."""
+    added = F.array(*[F.lit(x) for x in LEMMA_ENDINGS])
+    s = sentences(spark, d)
+    pick = (F.conv(F.substring("id", 1, 6), 16, 10).cast("long") % len(LEMMA_ENDINGS)).cast("int")
+    text = F.concat_ws(" ", "sentence", F.get(added, pick))
+    return gap_rule_labels(s.select("id", text.alias("sentence")), "sentence", FIXTURE).select("id", "rule_based")
+
+
+LEMMA_ENDINGS = ("", "Die Produktivität ist im letzten Jahr gestiegen", "Es steigt die Produktivität", "Die Kosten für alle stiegen", "Das Problem",
+                 "Alle waren zufrieden", "Zufrieden sind alle", "Der Wettbewerb ist ein Nachteil", "Gesundheit und Wohlbefinden", "")
+
+
+def q_eval_join_rows(spark, d):
+    """J1 fanned out: conversations' turns as results, their labels by turn role,
+    so that ids repeat on both sides."""
+    turns = C.table(spark, d, "conversations")
+    cid = F.col("conv_id").cast("string").alias("id")
+    results = turns.select(cid, "turn", F.when(F.length("text") % 2 == 0, "pro").otherwise("neutral").alias("final"))
+    labeled = turns.select(cid, F.when(F.col("role") == "user", "pro").otherwise("contra").alias("label"))
+    return E.eval_join_rows(results, labeled).select("id", "turn", "final", "label")
+
+
+def opening_lexicon(sents: DataFrame) -> DataFrame:
+    """A lexicon as large as the texts: the first 8 to 24 characters of every
+    sentence of 24 or more, and the fixture's triggers."""
+    number = lambda c, digits: F.conv(F.substring(F.md5(c), 1, digits), 16, 10).cast("long")
+    text = F.lower("sentence")
+    size = (number(text, 4) % 17 + 8).cast("int")
+    openings = sents.where(F.char_length("sentence") >= 24).select(F.substring(text, F.lit(1), size).alias("trigger")).distinct()
+    openings = openings.select(F.when(number(F.col("trigger"), 4) % 3 == 0, "pro").otherwise("contra").alias("label"),
+                               number(F.col("trigger"), 7).alias("priority"), "trigger")
+    fixed = [("pro", t) for t in FIXTURE.pro_triggers] + [("contra", t) for t in FIXTURE.contra_triggers]
+    short = sents.sparkSession.createDataFrame([(label, 1 << 40, t) for label, t in fixed], openings.schema)
+    return openings.union(short)
+
+
+def q_large_lexicon_rules(spark, d):
+    """J4 with a lexicon of tens of thousands of triggers, over whole documents."""
+    docs = cleaned_documents(spark, d)
+    sents = docs.select(F.explode(T.split_sentences(F.col("clean"))).alias("sentence"))
+    return match_lexicon(docs, opening_lexicon(sents), stored, "id", "clean")
+
+
 def sentence_results(spark, d) -> DataFrame:
     return classify(sentences(spark, d), FIXTURE)
 
@@ -136,9 +210,9 @@ def q_classification_totals(spark, d):
     )
 
 
-def document_inputs(spark, d) -> DataFrame:
+def document_inputs(spark, d, texts=C.texts) -> DataFrame:
     """Whole documents as classification inputs (cleaned text)."""
-    t = C.texts(spark, d).select("id", "source", "text")
+    t = texts(spark, d).select("id", "source", "text")
     return T.with_clean_text(t, "text", "sentence").select("id", "source", "sentence")
 
 
@@ -156,8 +230,13 @@ def q_nli_scores(spark, d):
     return long.select("id", "rank", "label", "logits", _r6(F.col("score")).alias("score"))
 
 
-def document_results(spark, d) -> DataFrame:
-    return classify(document_inputs(spark, d), FIXTURE, ExpressionScorer(synthetic_logits))
+def document_results(spark, d, texts=C.texts) -> DataFrame:
+    return classify(document_inputs(spark, d, texts), FIXTURE, ExpressionScorer(synthetic_logits))
+
+
+def evaluated_results(spark, d) -> DataFrame:
+    """Results of the labelled documents only: nothing else is cleaned or classified."""
+    return document_results(spark, d, C.labeled_texts)
 
 
 def q_combine_classify(spark, d):
@@ -168,11 +247,11 @@ def q_combine_classify(spark, d):
 # Evaluation ------------------------------------------------------------------
 
 def _counts(spark, d):
-    return E.pair_counts(document_results(spark, d), C.labeled(spark, d))
+    return E.pair_counts(evaluated_results(spark, d), C.labeled(spark, d))
 
 
 def q_eval_join(spark, d):
-    j = E.eval_join(document_results(spark, d), C.labeled(spark, d))
+    j = E.eval_join(evaluated_results(spark, d), C.labeled(spark, d))
     return j.select("id", "final", "label", E.WEIGHT_COL)
 
 
@@ -196,17 +275,17 @@ def q_f1_chart(spark, d):
 
 
 def q_misclassified(spark, d):
-    j = E.eval_join(document_results(spark, d), C.labeled(spark, d))
+    j = E.eval_join(evaluated_results(spark, d), C.labeled(spark, d))
     return E.misclassified(j).select("id", "label", "final", "error_type", E.WEIGHT_COL)
 
 
 def q_error_counts(spark, d):
-    j = E.eval_join(document_results(spark, d), C.labeled(spark, d))
+    j = E.eval_join(evaluated_results(spark, d), C.labeled(spark, d))
     return E.error_counts(E.misclassified(j))
 
 
 def q_error_rate(spark, d):
-    j = E.eval_join(document_results(spark, d), C.labeled(spark, d))
+    j = E.eval_join(evaluated_results(spark, d), C.labeled(spark, d))
     r = E.error_rate(j)
     return r.select("misclassified", "total", _r6(F.col("error_rate")).alias("error_rate"))
 
@@ -222,6 +301,15 @@ def q_news_link_extract(spark, d):
     return news.extract_links(C.table(spark, d, "pages"), scope="page")
 
 
+def q_article_tree_extract(spark, d):
+    return html_tree.extract_articles_by_tree(C.table(spark, d, "pages"), "landed")
+
+
+def q_tree_links(spark, d):
+    """Links inside list items, by containment of elements."""
+    return html_tree.extract_links_by_tree(C.table(spark, d, "pages"), "li")
+
+
 def q_news_site_scan(spark, d):
     return news.news_site_scan(C.table(spark, d, "pages"), SITES[:1], max_pages=1)
 
@@ -230,6 +318,29 @@ def q_news_union(spark, d):
     return news.news_site_scan(C.table(spark, d, "pages"), SITES, max_pages=5)
 
 
+def result_listings(pages: DataFrame) -> DataFrame:
+    """Search-result pages that list the landed pages: twenty ids a listing, one
+    for each site root, with links in the forms that pages use."""
+    url, root = F.col("url"), news.url_root(F.col("url"))
+    path = F.substring(url, F.length(root) + 1, 1 << 20)
+    host = F.regexp_replace(root, "^[^:]*:", "")
+    port = F.when(url.startswith("https:"), ":443").otherwise(":80")
+    form = F.col("page_id") % 4
+    href = (F.when(form == 0, F.concat(F.upper(root), path)).when(form == 1, path)
+            .when(form == 2, F.concat(F.lit(".."), path)).otherwise(F.concat(host, port, path, F.lit("#top"))))
+    number = F.floor(F.col("page_id") / 20) + 1
+    anchor = F.concat(F.lit('<li><a href="'), href, F.lit('">x</a>'))
+    listed = pages.select(root.alias("root"), number.alias("n"), anchor.alias("anchor")).groupBy("root", "n").agg(F.collect_list("anchor").alias("anchors"))
+    return listed.select(F.concat("root", F.lit("/search/all?page="), F.col("n").cast("string")).alias("url"),
+                         F.concat(F.lit("<article><ul>"), F.array_join("anchors", ""), F.lit("</article>")).alias("html"))
+
+
+def q_news_search_scan(spark, d):
+    """S3 with link following: articles that the first five result pages lead to."""
+    pages = C.table(spark, d, "pages")
+    return news.news_search_scan(pages, stored(result_listings(pages), "result-pages"), SITES, max_pages=5)
+
+
 def q_post_search(spark, d):
     return social.post_search(C.posts(spark, d), ["src0"], SEARCH_TERMS, limit=10)
 
@@ -335,6 +446,68 @@ def q_stream_window_stats(spark, d):
     return spark.read.parquet(f"{base}/out")
 
 
+def q_stream_dedupe_best(spark, d):
+    """ST2: events as copies of one item a user, those less than 30 minutes
+    apart together; the one of highest value (then smallest id) stays."""
+    import uuid
+
+    from stancekit.streaming import streams
+
+    base = scratch_path(spark, "stream_dedupe_best", uuid.uuid4().hex)
+    raw = streams.read_table_stream(spark, f"{d.rstrip('/')}/events.parquet")
+    items = raw.select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("id"), F.lit("twitter").alias("source"),
+                       F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    best = streams.stream_dedupe_best(items, "ts", [-F.col("value"), "event_id"], "30 minutes", "1 hour")
+    out = best.select("id", "event_id", "value", "platform", "n_copies", F.col("seen_from").cast("string").alias("seen_from"),
+                      F.col("seen_until").cast("string").alias("seen_until"))
+    q = streams.start(out, f"{base}/out", f"{base}/checkpoint", available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+def q_sink_round_trip(spark, d):
+    """K2 and K4: tables of a run written, its results twice as after a restart,
+    and read back by its commit; a later run that never committed is not seen."""
+    import uuid
+
+    from stancekit.sinks import commits
+    from stancekit.sinks import writers as W
+
+    base = scratch_path(spark, "sink_round_trip", uuid.uuid4().hex)
+    texts = C.texts(spark, d).select("id", F.concat(F.lit("forum/"), "source").alias("source"), "text")
+    originals = T.with_clean_text(texts, "text", "cleaned_text")
+    run, later = "20240101_000000", "20240102_000000"
+    _, path = W.write_prepared(originals, explode_sentences(originals), base, run)
+    results = classify(spark.read.parquet(path).drop("platform"), FIXTURE)
+    for _ in range(2):
+        W.write_results(results, base, run)
+    commits.commit(spark, base, run, "model", ["classification_results"])
+    W.write_results(results, base, later)
+    back = commits.read_runs(spark, base, "classification_results")
+    return back.select("id", "source", "platform", "text_id", "sentence_index", "sentence", "final", "confidence", "run_ts")
+
+
+def q_evaluate_all(spark, d):
+    """Every metric of an evaluation, in long form."""
+    m = E.evaluate(E.eval_join(evaluated_results(spark, d), C.labeled(spark, d)), "label", "final")
+    summary = m["summary"].select(F.expr("stack(4, 'accuracy', accuracy, 'f1_pro', f1_pro, 'f1_contra', f1_contra, 'f1_neutral', f1_neutral)")
+                                  .alias("name", "value")).select(F.lit("summary").alias("part"), "name", "value")
+    report = m["report"].select(F.lit("report").alias("part"), "class", F.expr(
+        "stack(4, 'precision', precision, 'recall', recall, 'f1_score', f1_score, 'support', support)").alias("what", "value"))
+    report = report.select("part", F.concat_ws("/", "class", "what").alias("name"), "value")
+    grid = m["confusion"].select(F.lit("confusion").alias("part"), F.concat_ws("/", "true_label", "pred_label").alias("name"),
+                                 F.col("count").cast("double").alias("value"))
+    return summary.union(report).union(grid).withColumn("value", _r6(F.col("value")))
+
+
+def q_error_analysis(spark, d):
+    """Misclassified rows, each with how often its kind of error occurs."""
+    joined = E.eval_join(evaluated_results(spark, d), C.labeled(spark, d))
+    mis, counts = E.error_analysis(joined, "label", "final", "sentence")
+    return mis.select("id", "label", "final", "error_type").join(counts.withColumnRenamed("count", "n_of_type"), "error_type").select(
+        "id", "label", "final", "error_type", "n_of_type")
+
+
 def q_labeling_sample(spark, d):
     return labeling_sample(sentences(spark, d), 50)
 
@@ -349,8 +522,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_pages": q_clean_pages,
     "split_sentences": q_split_sentences,
     "explode_sentences": q_explode_sentences,
+    "punkt_train": q_punkt_train,
+    "split_sentences_trained": q_split_sentences_trained,
     "rule_classify": q_rule_classify,
     "lemma_gap_rules": q_lemma_gap_rules,
+    "lemma_gap_tokens": q_lemma_gap_tokens,
+    "large_lexicon_rules": q_large_lexicon_rules,
     "classification_stats": q_classification_stats,
     "classification_totals": q_classification_totals,
     "german_sentence_stats": q_german_sentence_stats,
@@ -358,6 +535,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nli_scores": q_nli_scores,
     "combine_classify": q_combine_classify,
     "eval_join": q_eval_join,
+    "eval_join_rows": q_eval_join_rows,
     "accuracy_f1": q_accuracy_f1,
     "classification_report": q_classification_report,
     "confusion_matrix": q_confusion_matrix,
@@ -367,8 +545,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "error_rate": q_error_rate,
     "news_article_extract": q_news_article_extract,
     "news_link_extract": q_news_link_extract,
+    "article_tree_extract": q_article_tree_extract,
+    "tree_links": q_tree_links,
     "news_site_scan": q_news_site_scan,
     "news_union": q_news_union,
+    "news_search_scan": q_news_search_scan,
     "post_search": q_post_search,
     "post_search_multi": q_post_search_multi,
     "comments_for_posts": q_comments_for_posts,
@@ -383,4 +564,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_scan": q_csv_scan,
     "stream_classify": q_stream_classify,
     "stream_window_stats": q_stream_window_stats,
+    "stream_dedupe_best": q_stream_dedupe_best,
+    "sink_round_trip": q_sink_round_trip,
+    "evaluate_all": q_evaluate_all,
+    "error_analysis": q_error_analysis,
 }

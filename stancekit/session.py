@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. Shuffle partitions are a starting point:
 # AQE coalesces small partitions and splits skewed ones at run time.
@@ -76,3 +77,11 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path below the shared checkpoint folder (never machine-local on a
     cluster, because the folder itself is the cluster's shared one)."""
     return os.path.join(checkpoint_dir(spark), *parts)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back: later
+    steps, and retries after a lost executor, start from the files."""
+    path = scratch_path(df.sparkSession, name, uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -73,21 +73,25 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Top-level ``*.csv`` files of ``path`` by their header; empty files and
-    everything else in the folder are left out. One small read a file."""
+    """Top-level ``*.csv`` files of ``path`` by their header (the first line that is
+    not blank); empty files and everything else in the folder are left out.
+    One job for all files; only the first line of each reaches the driver."""
     if not path_exists(spark, path):
         return {}
     listed = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
               .load(path).select("path"))
     root = path.split("://")[-1].removeprefix("file:").rstrip("/")
+    top = sorted(file for (file,) in listed.collect() if file.rpartition("/")[0].endswith(root))
+    if not top:
+        return {}
+    lines = spark.read.text(top).where("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("file"), F.ltrim("value", F.lit("\ufeff")).alias("line"), F.monotonically_increasing_id().alias("at"))
+    first = lines.where(F.trim("line") != "").groupBy("file").agg(F.min_by("line", "at").alias("line"))
+    cells = F.regexp_extract_all(F.concat("line", F.lit(",")), F.lit(r"""("(?:[^"]|"")*+"|[^,]*+),"""), F.lit(1))
+    names = F.transform(cells, lambda x: F.when(x.startswith('"'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
     found: dict[tuple[str, ...], list[str]] = {}
-    for (file,) in sorted(listed.collect()):
-        parent = file.rpartition("/")[0]
-        if not parent.endswith(root):
-            continue
-        first = _csv_reader(spark, header=False).csv(file).limit(1).collect()
-        if first:
-            found.setdefault(tuple(x or "" for x in first[0]), []).append(file)
+    for file, header in sorted(first.select("file", names).collect()):  # one row a file
+        found.setdefault(tuple(header), []).append(file)
     return found
 
 
@@ -96,6 +100,7 @@ def read_legacy_csv_dir(
     path: str,
     required: tuple[str, ...] = REQUIRED_COLUMNS,
     rederive_news_ids: bool = True,
+    headers: dict[tuple[str, ...], list[str]] | None = None,
 ) -> DataFrame:
     """S13 + F1: all records with the union schema ``RAW_SCHEMA`` plus
     ``_file``; files whose header lacks a required column are skipped.
@@ -104,7 +109,7 @@ def read_legacy_csv_dir(
     ``rederive_news_ids`` they are replaced by the stable url hash.
     """
     frames = []
-    for header, paths in csv_headers(spark, path).items():
+    for header, paths in (csv_headers(spark, path) if headers is None else headers).items():
         if not set(required) <= set(header):
             continue
         schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))])
@@ -126,10 +131,11 @@ def read_legacy_csv_dir(
     return out
 
 
-def skipped_files(spark: SparkSession, path: str, required: tuple[str, ...] = REQUIRED_COLUMNS) -> DataFrame:
+def skipped_files(spark: SparkSession, path: str, required: tuple[str, ...] = REQUIRED_COLUMNS,
+                  headers: dict[tuple[str, ...], list[str]] | None = None) -> DataFrame:
     """F1 report: files that were skipped and the columns they lack."""
     rows = [(file, [c for c in required if c not in header])
-            for header, paths in csv_headers(spark, path).items() for file in paths]
+            for header, paths in (csv_headers(spark, path) if headers is None else headers).items() for file in paths]
     return spark.createDataFrame([r for r in rows if r[1]], "_file string, missing array<string>")
 
 
@@ -148,4 +154,6 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def _is_csv_dir(spark: SparkSession, path: str) -> bool:
-    return bool(csv_headers(spark, path))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    return any(f.isFile() and f.getPath().getName().endswith(".csv") for f in listed)

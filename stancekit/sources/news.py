@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stancekit.functions.html_tree import attribute, extract_articles_by_tree, inside, with_elements
 from stancekit.functions.text import WS, decode_entities, strip_tags, url_absolutize
+from stancekit.functions.urls import normal_form, resolve
 
 
 def py_strip(c: Column) -> Column:
@@ -139,14 +141,35 @@ def news_site_scan(pages: DataFrame, sites: Sequence[tuple[str, str]], max_pages
 
     Without ``result_pages`` the landed pages are the fetched articles
     themselves. With ``result_pages`` (landed search-result pages), only
-    pages linked from a site's result pages are extracted (semi join).
+    pages linked from a site's result pages are extracted (``news_search_scan``).
     """
-    if result_pages is None:
-        chosen = site_pages(pages, sites, max_pages, url_col)
-    else:
-        results = site_pages(result_pages, sites, max_pages, url_col)
-        links = extract_links(results).select("page_url", "link").join(
-            results.select(F.col(url_col).alias("page_url"), "site"), "page_url"
-        ).select(F.col("link").alias(url_col), "site").distinct()
-        chosen = pages.join(links, url_col, "inner")
-    return extract_articles(chosen, F.col("site"), url_col, html_col)
+    if result_pages is not None:
+        return news_search_scan(pages, result_pages, sites, max_pages, url_col, html_col)
+    return extract_articles(site_pages(pages, sites, max_pages, url_col), F.col("site"), url_col, html_col)
+
+
+def search_links(result_pages: DataFrame, sites: Sequence[tuple[str, str]], max_pages: int, url_col: str = "url",
+                 html_col: str = "html") -> DataFrame:
+    """``site, link``: what the result pages of each site link to from inside an
+    ``article``, resolved against the page and in normal form, each once."""
+    found = with_elements(site_pages(result_pages, sites, max_pages, url_col), ("article", "a"), html_col)
+    anchors = F.transform(inside(F.col("__elements"), "article", "a"), lambda a: attribute(F.get("__tokens", a["start"]), "href"))
+    rows = found.select("site", F.col(url_col).alias("base"), F.explode_outer(F.array_distinct(anchors)).alias("href"))
+    rows = rows.where(F.col("href").isNotNull()).select("site", resolve(F.col("base"), F.col("href")).alias("link"))
+    return rows.select("site", normal_form(F.col("link")).alias("link")).distinct()
+
+
+def news_search_scan(pages: DataFrame, result_pages: DataFrame, sites: Sequence[tuple[str, str]], max_pages: int = 5,
+                     url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """S3 by links: the articles that result pages of a site lead to.
+
+    Links are made distinct before the join (on the map side first), so a url
+    that very many result pages link to is one row in it; pages are matched by
+    the normal form of their urls. A page that several sites lead to comes once
+    a site; of landed pages with one normal form each comes; pages without html
+    give nothing.
+    """
+    links = search_links(result_pages, sites, max_pages, url_col, html_col)
+    keyed = pages.where(F.col(html_col).isNotNull()).withColumn("__link", normal_form(F.col(url_col)))
+    chosen = keyed.join(links, F.col("__link") == F.col("link")).drop("__link", "link")
+    return extract_articles_by_tree(chosen, F.col("site"), url_col, html_col)

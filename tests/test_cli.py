@@ -6,6 +6,7 @@ import os
 import pandas as pd
 
 from stancekit.plans import jobs
+from stancekit.sinks import commits
 
 from test_files_jobs import legacy_dir
 
@@ -16,7 +17,7 @@ def test_cli_prepare_model_evaluate(spark):
     processed = os.path.join(raw + "-processed")
     jobs.main(["--steps", "prepare, model", "--raw-data-dir", raw, "--processed-data-dir", processed,
                "--prepare-labeling", "--labeling-sample-size", "2", "--model-name", ""])
-    results = spark.read.parquet(os.path.join(processed, "classification_results"))
+    results = commits.read_runs(spark, processed, "classification_results")
     assert results.count() >= 3
     sample_files = glob.glob(os.path.join(processed, "labeling_sample_*", "*.csv"))
     assert len(sample_files) == 1 and len(pd.read_csv(sample_files[0])) == 2
@@ -39,27 +40,19 @@ def test_steps_parsing_strips_blanks():
     assert job.steps == ("prepare", "model") and job.search_terms == ("a", "b")
 
 
-def test_failed_steps_are_reported_not_raised(spark, tmp_path):
+def test_failed_steps_end_a_full_run_and_the_exit_code(spark, tmp_path):
     from stancekit.config import JobConfig
 
-    # collect with an unreadable landed table: logged; under "all" the run stops there
+    # collect with an unreadable landed table: under "all" the run stops there
     job = JobConfig(raw_data_dir=str(tmp_path / "raw"), processed_data_dir=str(tmp_path / "p"), steps=("all",))
-    out = jobs.run(spark, job, jobs.Landed(posts=str(tmp_path / "missing")))
-    assert "collect" not in out and "prepare" not in out
-    # evaluation with a label column that does not exist: warning, no exception
+    assert jobs.run(spark, job, jobs.Landed(posts=str(tmp_path / "missing"))).report == {"collect": jobs.FAILED}
+    # nothing landed, nothing to prepare
+    assert jobs.run(spark, job).report == {"collect": jobs.NOTHING, "prepare": jobs.NOTHING}
+    # a label column that does not exist
     results = spark.createDataFrame([("1", "pro")], "id string, final string")
+    results.write.parquet(str(tmp_path / "results"))
     labels = tmp_path / "labels.csv"
     labels.write_text("id,other\n1,pro\n")
-    job = JobConfig(processed_data_dir=str(tmp_path / "p"), steps=("evaluate",), labeled_path=str(labels))
-    results_path = str(tmp_path / "results")
-    results.write.parquet(results_path)
-    job.results_path = results_path
-    try:
-        jobs.evaluate_model(spark, job, "20240101_000000")
-    except Exception:
-        raised = True
-    else:
-        raised = False
-    assert raised  # the step itself raises ...
-    out = jobs.run(spark, job)  # ... the runner logs it and finishes
-    assert out["evaluate"] is None
+    argv = ["--steps", "evaluate", "--processed-data-dir", str(tmp_path / "p"), "--results-file", str(tmp_path / "results")]
+    assert jobs.main([*argv, "--labeled-file", str(labels)]) == 1
+    assert jobs.main(argv) == 0  # no labels at all: nothing to evaluate

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stancekit.config import ClassifierConfig, JobConfig
 from stancekit.plans import catalog as C
 from stancekit.plans import jobs
+from stancekit.sinks import commits
 from stancekit.sources import files
 
 from conftest import SF001
@@ -75,11 +76,12 @@ def test_end_to_end_jobs(spark):
     landed = jobs.Landed(paths["pages"], paths["posts"], paths["comments"], paths["tweets"],
                          (("site_com", "example.com"),))
     out = jobs.run(spark, job, landed)
-    assert set(out["collect"]) == {"articles", "posts", "comments", "tweets"}
-    originals, sentences, labeling = out["prepare"]
+    assert set(out.report.values()) == {jobs.DONE}
+    assert {"articles", "posts", "comments", "tweets"} <= set(out.tables)
+    originals, sentences, labeling = (out.tables[x] for x in ("original_data", "sentences_data", "labeling_sample"))
     assert labeling.count() == 20
     n_items = originals.count()
-    results = out["model"]
+    results = out.tables["classification_results"]
     assert results.count() == sentences.count() > 0
     # sentence ids are unique and the index is dense from 0 per text
     assert sentences.select("id").distinct().count() == sentences.count()
@@ -92,7 +94,7 @@ def test_end_to_end_jobs(spark):
     lab.toPandas().to_csv(labeled_csv, index=False)
     job.steps = ("evaluate",)
     job.labeled_path = labeled_csv
-    metrics = jobs.run(spark, job, landed)["evaluate"]
+    metrics = jobs.run(spark, job, landed).tables
     s = metrics["summary"].first()
     assert 0.0 <= s.accuracy <= 1.0
     assert sum(r["count"] for r in metrics["confusion"].collect()) == 40
@@ -100,9 +102,71 @@ def test_end_to_end_jobs(spark):
     # a rerun of collect + prepare adds no duplicate items (Q1)
     job.steps = ("collect", "prepare")
     job.prepare_labeling = False
-    again = jobs.run(spark, job, landed)["prepare"][0]
-    latest = again.where(F.col("run_ts") == again.agg(F.max("run_ts")).first()[0])
-    assert latest.count() == n_items
+    assert jobs.run(spark, job, landed, "29990101_000000").tables["original_data"].count() == n_items
+
+
+class Killed(BaseException):
+    """Not an error that a step could handle: the process is gone."""
+
+
+def test_killed_run_is_taken_up(spark, monkeypatch):
+    """A step dies after it has written and before it commits: readers see
+    nothing of it, and the same run taken up again gives every row once."""
+    base = tempfile.mkdtemp(prefix="stancekit-restart-")
+    paths, _ = write_landed(spark, base)
+    job = JobConfig(raw_data_dir=os.path.join(base, "raw"), processed_data_dir=os.path.join(base, "processed"), steps=("collect", "prepare", "model"),
+                    search_terms=("für", "the"), subreddits=("src0",), classifier=ClassifierConfig.fixture(), model_name="")
+    landed = jobs.Landed(posts=paths["posts"])
+    commit, died = commits.commit, []
+
+    def dying(spark, folder, run_ts, step, datasets):
+        if step == "model" and not died:
+            died.append(step)
+            raise Killed
+        commit(spark, folder, run_ts, step, datasets)
+
+    monkeypatch.setattr(commits, "commit", dying)
+    try:
+        jobs.run(spark, job, landed, "20240101_000000")
+    except Killed:
+        pass
+    assert died and os.listdir(os.path.join(base, "processed", "classification_results"))
+    assert commits.read_runs(spark, job.processed_data_dir, "classification_results") is None
+    sentences = commits.read_runs(spark, job.processed_data_dir, "sentences_data").count()
+
+    out = jobs.run(spark, job, landed, "20240101_000000")
+    assert out.report == {"collect": jobs.RESUMED, "prepare": jobs.RESUMED, "model": jobs.DONE}
+    results = commits.read_runs(spark, job.processed_data_dir, "classification_results")
+    assert results.count() == results.select("id").distinct().count() == sentences > 0
+    assert jobs.run(spark, job, landed, "20240101_000000").report["model"] == jobs.RESUMED
+    assert commits.committed_runs(spark, job.processed_data_dir, "classification_results") == ["20240101_000000"]
+
+
+def test_unfinished_commit_does_not_count(spark, tmp_path):
+    df = spark.createDataFrame([("1", "twitter")], "id string, source string")
+    commits.write_run(df, str(tmp_path), "t", "r1")
+    commits.commit(spark, str(tmp_path), "r1", "s", ["t"])
+    commits.write_run(df, str(tmp_path), "t", "r2")
+    os.makedirs(tmp_path / "commits" / "r2-s")  # no success mark
+    (tmp_path / "commits" / "r2-s" / "part-0.json").write_text('{"run_ts":"r2","step":"s","dataset":"t"}')
+    assert commits.committed_runs(spark, str(tmp_path), "t") == ["r1"]
+    assert commits.read_runs(spark, str(tmp_path), "t").count() == 1
+    assert commits.read_runs(spark, str(tmp_path / "none"), "t") is None
+
+
+def test_headers_of_many_files_in_one_job(spark, tmp_path):
+    for i in range(60):
+        extra = ',"a ""quoted"", name"' if i % 2 else ""
+        (tmp_path / f"f{i:03d}.csv").write_text(("\ufeff" if i % 5 == 0 else "") + ("\n" if i % 7 == 0 else "") + f"id,source,text{extra}\n{i},s,\"x\ny\"{',z' if extra else ''}\n")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "no.csv").write_text("id,source,text\n9,s,t\n")
+    spark.sparkContext.setJobGroup("headers", "")
+    found = files.csv_headers(spark, str(tmp_path))
+    jobs_run = len(spark.sparkContext.statusTracker().getJobIdsForGroup("headers"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {h: len(p) for h, p in found.items()} == {("id", "source", "text"): 30, ("id", "source", "text", 'a "quoted", name'): 30}
+    assert jobs_run < 8
+    assert files.read_legacy_csv_dir(spark, str(tmp_path)).count() == 60
 
 
 def test_mixed_raw_folder(spark, tmp_path):
@@ -114,6 +178,7 @@ def test_mixed_raw_folder(spark, tmp_path):
 
     tweets = spark.createDataFrame([("1", "twitter", "hello", ["x"])], "id string, source string, text string, hashtags array<string>")
     W.write_raw(tweets, str(tmp_path), "20240101_000000", "tweets")
+    commits.commit(spark, str(tmp_path), "20240101_000000", "collect", ["tweets"])
     wide = ",".join(f"c{i}" for i in range(40))
     (tmp_path / "wide_20240102_000000.csv").write_text(f"{wide},id,source,text,hashtags\n{'v,' * 40}2,twitter,\"a\nb\",\"['a', \"\"it's\"\", 'c']\"\n")
     (tmp_path / "other_20240103_000000.csv").write_text("id,source\n3,twitter\n")
