@@ -31,7 +31,7 @@ from stancekit.llm.shingles import run_hashes
 from stancekit.llm.words import Words, byte_classes, slices
 
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 32 << 20  # text whose words go to one shard
+SHARD_BYTES = 16 << 20  # text whose words go to one shard
 SHARD_ENTRIES = 1 << 20
 _PIECES = byte_classes(" \t", ".,;:!?\n\x0b\x0c\r")
 
@@ -124,16 +124,17 @@ def _merge_words(shards: int, min_count: int):
         coded = pa.concat_arrays(names).dictionary_encode()
         place, total = coded.indices.to_numpy().astype(np.int64), np.zeros(len(coded.dictionary), np.int64)
         np.add.at(total, place, np.concatenate(counts))
-        split = [x.rpartition("\t") for x in coded.dictionary.to_pylist()]
-        by_lang: dict[str, int] = {}
-        for (lang, _, _), n in zip(split, total.tolist(), strict=True):
-            by_lang[lang] = by_lang.get(lang, 0) + n
+        langs = pc.replace_substring_regex(coded.dictionary, "\t[^\t]*$", "").dictionary_encode()
+        by_lang = np.zeros(len(langs.dictionary), np.int64)
+        np.add.at(by_lang, langs.indices.to_numpy(), total)
         good = np.flatnonzero(total >= min_count)
+        split = [x.rpartition("\t") for x in coded.dictionary.take(pa.array(good)).to_pylist()]
         shard = rows.column("shard")[0].as_py()
         number = np.full(len(total), -1)
         number[good] = np.arange(len(good)) * shards + shard
-        frequent = [(FREQUENT, -1, None, int(number[k]), 0, 0, int(total[k]), split[k][0], split[k][2]) for k in good.tolist()]
-        sums = [(TOTAL, -1, None, 0, 0, 0, n, lang, "") for lang, n in by_lang.items()]
+        frequent = [(FREQUENT, -1, None, int(number[k]), 0, 0, int(total[k]), lang, word)
+                    for k, (lang, _, word) in zip(good.tolist(), split, strict=True)]
+        sums = [(TOTAL, -1, None, 0, 0, 0, n, lang, "") for lang, n in zip(langs.dictionary.to_pylist(), by_lang.tolist(), strict=True)]
         return _counted(frequent + sums + _hits(rows, [len(x) for x in counts], number[place]))
 
     return released(merge)
