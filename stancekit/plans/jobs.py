@@ -156,6 +156,8 @@ def prepare_step(run: Run) -> list[str]:
     raw = read_raw(run.spark, run.raw)
     if raw is None:
         return []
+    aside = files.quarantined_records(run.spark, run.raw)
+    commits.write_run(aside, run.processed, "quarantined_records", run.run_ts)
     o_path, s_path = W.write_prepared(*prepare(raw, run.job.dedupe), run.processed, run.run_ts)
     run.tables["original_data"], sentences = run.written(o_path), run.written(s_path)
     if sentences.isEmpty():
@@ -165,7 +167,7 @@ def prepare_step(run: Run) -> list[str]:
         sample = labeling_sample(sentences.drop("platform"), run.job.labeling_sample_size)
         path = W.write_labeling_sample(sample, run.processed, run.run_ts)
         run.tables["labeling_sample"] = run.spark.read.options(**W.CSV).option("multiLine", True).csv(path)
-    return ["original_data", "sentences_data"]
+    return ["original_data", "sentences_data", "quarantined_records"]
 
 
 # Model (P5) ----------------------------------------------------------------------

@@ -38,6 +38,9 @@ SELECT id, CASE WHEN {rule('s')} <> 'neutral' THEN {rule('s')} WHEN {' OR '.join
   WHEN {' OR '.join(map(before, contra.split(',')))} THEN 'contra' ELSE 'neutral' END AS rule_based FROM t""",
         "eval_join_rows": """SELECT CAST(a.conv_id AS VARCHAR) AS id, a.turn, CASE WHEN length(a.text) % 2 = 0 THEN 'pro' ELSE 'neutral' END AS final,
   CASE WHEN b.role = 'user' THEN 'pro' ELSE 'contra' END AS label FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id""",
+        "raw_mixed_scan": """SELECT 'kept' AS part, CAST(doc_id AS VARCHAR) AS id, source, text, CASE WHEN doc_id % 3 = 0 THEN doc_id END AS score
+FROM documents WHERE doc_id % 3 < 2
+UNION ALL SELECT 'aside', CAST(doc_id AS VARCHAR), source, 'too many', NULL FROM documents WHERE doc_id % 100 = 0""",
         "stream_dedupe_best": """WITH e AS (
   SELECT 'user' || user_id AS id, event_id, value, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before_ts FROM events),
 s AS (

@@ -68,7 +68,33 @@ joint AS MATERIALIZED (
   FROM pairs p JOIN cases x ON x.word = p.word JOIN cases y ON y.word = p.next_word, totals
   WHERE x.n > 1 AND y.n > 1 AND x.n < total AND both_n * total > x.n * y.n)"""
 
+_WORDS = f"""docs AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS id, {clean('text')} AS c FROM documents),
+word AS MATERIALIZED (
+  SELECT id, w, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(c), '[\\p{{L}}\\p{{N}}]+')) AS w FROM docs) GROUP BY 1, 2),
+truth AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN toxic = 1 THEN 'contra' WHEN quality = 1 THEN 'pro' ELSE 'neutral' END AS label FROM labels),
+known AS (SELECT truth.id, label FROM truth JOIN docs ON docs.id = truth.id),
+tally AS MATERIALIZED (
+  SELECT w AS word, coalesce(sum(n) FILTER (WHERE label = 'pro'), 0) AS p, coalesce(sum(n) FILTER (WHERE label = 'contra'), 0) AS c,
+    coalesce(sum(n) FILTER (WHERE label = 'neutral'), 0) AS u FROM word JOIN known ON known.id = word.id GROUP BY 1),
+size AS (SELECT count(*) AS v, sum(p) AS p, sum(c) AS c, sum(u) AS u FROM tally),
+weight AS MATERIALIZED (
+  SELECT word, ln((t.p + 1.0::DOUBLE) / (s.p + v)) AS pro, ln((t.c + 1.0::DOUBLE) / (s.c + v)) AS contra, ln((t.u + 1.0::DOUBLE) / (s.u + v)) AS neutral
+  FROM tally t, size s),
+prior AS (
+  SELECT ln((count(*) FILTER (WHERE label = 'pro') + 1.0::DOUBLE) / (count(*) + 3)) AS pp, ln((count(*) FILTER (WHERE label = 'contra') + 1.0::DOUBLE) / (count(*) + 3)) AS pc,
+    ln((count(*) FILTER (WHERE label = 'neutral') + 1.0::DOUBLE) / (count(*) + 3)) AS pu FROM known)"""
+
 SQL = {
+    "label_word_weights": f"WITH {_WORDS} SELECT word, round(pro, 6) AS pro, round(contra, 6) AS contra, round(neutral, 6) AS neutral FROM weight",
+    "trained_nli_scores": f"""WITH {_WORDS},
+sums AS (SELECT id, sum(n) AS k, sum(n * pro) AS p, sum(n * contra) AS c, sum(n * neutral) AS u FROM word JOIN weight ON weight.word = word.w GROUP BY id),
+val AS (SELECT id, 10 * (pp + p) / k AS p, 10 * (pc + c) / k AS c, 10 * (pu + u) / k AS u FROM sums, prior),
+zs AS (SELECT id, (p + c + u) / 3 AS m, p, c, u, greatest(c, u) AS np, greatest(p, u) AS nc, greatest(p, c) AS nu FROM val),
+sc AS (SELECT id, exp(p) / (exp(np) + exp(m) + exp(p)) AS sp, exp(c) / (exp(nc) + exp(m) + exp(c)) AS sc, exp(u) / (exp(nu) + exp(m) + exp(u)) AS su FROM
+  (SELECT id, p - t AS p, c - t AS c, u - t AS u, m - t AS m, np - t AS np, nc - t AS nc, nu - t AS nu FROM (SELECT *, greatest(p, c, u) AS t FROM zs)))
+SELECT docs.id, CASE WHEN sc.id IS NULL THEN 'neutral' WHEN sp >= sc.sc AND sp >= su THEN 'pro' WHEN sc.sc >= su THEN 'contra' ELSE 'neutral' END AS transformer,
+  CASE WHEN sc.id IS NULL THEN 0.0 ELSE round(greatest(sp, sc.sc, su), 5) END AS transformer_score
+FROM docs LEFT JOIN sc ON sc.id = docs.id""",
     "punkt_train": f"""WITH {MODEL}
 SELECT 'abbreviation' AS kind, word, CAST(NULL AS VARCHAR) AS next_word, round(score, 3) AS score FROM abbr
 UNION ALL SELECT 'collocation', word, next_word, round(score, 3) FROM joint WHERE score >= 7.88

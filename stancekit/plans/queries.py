@@ -17,6 +17,7 @@ from stancekit.functions import html_tree
 from stancekit.functions import text as T
 from stancekit.operators import evaluate as E
 from stancekit.operators import trained_sentences as TS
+from stancekit.operators import trained_scorer as TM
 from stancekit.operators.classify import classification_stats, classify
 from stancekit.operators.dedupe import dedupe_first, topn_per_key, union_all
 from stancekit.operators.lexicon import match_lexicon
@@ -223,6 +224,25 @@ def q_nli_argmax(spark, d):
     return scored.select("id", best.label.alias("transformer"), _r6(best.score).alias("transformer_score"))
 
 
+def _word_model(spark, d, docs: DataFrame) -> TM.WordModel:
+    labelled = docs.join(C.labeled(spark, d), "id").select("clean", "label")
+    return TM.train_word_model(labelled, stored, "clean")
+
+
+def q_label_word_weights(spark, d):
+    """M3, trained: what the labelled documents say about each word."""
+    w = _word_model(spark, d, cleaned_documents(spark, d)).weights
+    return w.select("word", *[F.round(x, 6).alias(x) for x in ("pro", "contra", "neutral")])
+
+
+def q_trained_nli_scores(spark, d):
+    """M3 by the trained model: label and score of every document."""
+    docs = cleaned_documents(spark, d)
+    scored = TM.with_word_logits(docs, _word_model(spark, d, docs), "clean")
+    best = argmax_label(F.col("nli_logits"), FIXTURE)
+    return scored.select("id", best.label.alias("transformer"), F.round(best.score, 5).alias("transformer_score"))
+
+
 def q_nli_scores(spark, d):
     docs = document_inputs(spark, d)
     scored = ExpressionScorer(synthetic_logits).add_logits(docs, "sentence", FIXTURE)
@@ -403,6 +423,29 @@ def q_csv_scan(spark, d):
     return files.read_legacy_csv_dir(spark, path).select("id", "source", "text")
 
 
+def q_raw_mixed_scan(spark, d):
+    """Documents landed as CSV files of several headers in one
+    folder, one of them without a text column, with records that fit no
+    column; what the import keeps, and which records went aside."""
+    import uuid
+
+    path = scratch_path(spark, "raw_mixed", uuid.uuid4().hex)
+    docs = C.texts(spark, d).withColumn("n", F.col("id").cast("long")).select("id", "source", "text", "n")
+    forms = {"posts": ["id", "source", "text", "n AS score"], "texts": ["text", "id", "source"], "headless": ["id", "source", "n AS score"]}
+    for k, (form, columns) in enumerate(forms.items()):
+        (docs.where(F.col("n") % 3 == k).selectExpr(*columns).write.option("header", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/{form}"))
+    broken = docs.where("n % 100 = 0").select("n", F.concat_ws(",", "id", "source", F.lit("text"), F.lit("1"), F.lit("too many")).alias("value"))
+    header = spark.range(1).select(F.lit(-1).cast("long").alias("n"), F.lit("id,source,text,score").alias("value"))
+    header.union(broken).repartition(1).sortWithinPartitions("n").select("value").write.text(f"{path}/broken")
+    files.gather_files(spark, path, ".csv")
+    headers = files.csv_headers(spark, path)
+    kept = files.read_legacy_csv_dir(spark, path, headers=headers).select(F.lit("kept").alias("part"), "id", "source", "text", "score")
+    aside = files.quarantined_records(spark, path, headers=headers).select(
+        F.lit("aside"), F.get("fields", F.lit(0)), F.get("fields", F.lit(1)), F.get("fields", F.lit(4)), F.lit(None).cast("long"))
+    return kept.union(aside)
+
+
 def q_stream_classify(spark, d):
     """ST1: the documents table consumed as a stream (one micro-batch per
     file, trigger availableNow) through clean -> split -> classify into a
@@ -533,6 +576,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "german_sentence_stats": q_german_sentence_stats,
     "nli_argmax": q_nli_argmax,
     "nli_scores": q_nli_scores,
+    "label_word_weights": q_label_word_weights,
+    "trained_nli_scores": q_trained_nli_scores,
     "combine_classify": q_combine_classify,
     "eval_join": q_eval_join,
     "eval_join_rows": q_eval_join_rows,
@@ -562,6 +607,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "union_all": q_union_all,
     "labeling_sample": q_labeling_sample,
     "csv_scan": q_csv_scan,
+    "raw_mixed_scan": q_raw_mixed_scan,
     "stream_classify": q_stream_classify,
     "stream_window_stats": q_stream_window_stats,
     "stream_dedupe_best": q_stream_dedupe_best,

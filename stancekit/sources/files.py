@@ -72,6 +72,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where))
 
 
+def gather_files(spark: SparkSession, path: str, suffix: str) -> None:
+    """Move the part files that Spark wrote to the folders of ``path`` up into it,
+    under names with this suffix; their folders go."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in list(fs.listStatus(top)):
+        if folder.isDirectory():
+            for n, part in enumerate(p for p in fs.listStatus(folder.getPath()) if p.getPath().getName().startswith("part-")):
+                fs.rename(part.getPath(), hadoop.Path(top, f"{folder.getPath().getName()}-{n:05d}{suffix}"))
+            fs.delete(folder.getPath(), True)
+
+
 def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
     """Top-level ``*.csv`` files of ``path`` by their header (the first line that is
     not blank); empty files and everything else in the folder are left out.
@@ -95,6 +108,27 @@ def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[st
     return found
 
 
+def _records(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -> DataFrame:
+    """Records of files of one header, columns by place; ``_extra`` is what a
+    record holds beyond the last column."""
+    schema = T.StructType([*(T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))), T.StructField("_extra", T.StringType())])
+    return _csv_reader(spark, header=True).schema(schema).csv(paths).withColumn("_file", F.col("_metadata.file_path"))
+
+
+def quarantined_records(spark: SparkSession, path: str, required: tuple[str, ...] = REQUIRED_COLUMNS,
+                        headers: dict[tuple[str, ...], list[str]] | None = None) -> DataFrame:
+    """``_file, fields`` of records with more fields than their header, which
+    no column fits; ``read_legacy_csv_dir`` leaves them out, and only them (a
+    record with too few has nulls). Files without a required column are not read."""
+    found = [_records(spark, h, paths).where(F.col("_extra").isNotNull()).select(
+        "_file", F.array(*[f"_c{i}" for i in range(len(h))], "_extra").alias("fields"))
+        for h, paths in (csv_headers(spark, path) if headers is None else headers).items() if set(required) <= set(h)]
+    out = spark.createDataFrame([], "_file string, fields array<string>")
+    for frame in found:
+        out = out.union(frame)
+    return out
+
+
 def read_legacy_csv_dir(
     spark: SparkSession,
     path: str,
@@ -112,9 +146,8 @@ def read_legacy_csv_dir(
     for header, paths in (csv_headers(spark, path) if headers is None else headers).items():
         if not set(required) <= set(header):
             continue
-        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))])
-        rec = _csv_reader(spark, header=True).schema(schema).csv(paths)
-        cols = [F.col("_metadata.file_path").alias("_file")]
+        rec = _records(spark, header, paths).where(F.col("_extra").isNull())
+        cols = [F.col("_file")]
         for field in RAW_SCHEMA.fields:
             value = F.col(f"_c{header.index(field.name)}") if field.name in header else F.lit(None).cast("string")
             cols.append(_typed(value, field).cast(field.dataType).alias(field.name))

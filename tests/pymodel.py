@@ -2,6 +2,7 @@
 a brute-force model for the Spark expressions in tests."""
 
 import re
+import unicodedata
 from html.parser import HTMLParser
 
 SKIP = {"script", "style", "template"}
@@ -53,15 +54,45 @@ def strip_emoji(text: str) -> str:
     return "".join(ch for ch in text if not _is_emoji(ch))
 
 
+def _word_like(ch):
+    return ch == "_" or unicodedata.category(ch)[0] in "LN"
+
+
+def _url_at(text, i):
+    """Length of the web address that begins here, 0 if none does."""
+    for begin in ("http://", "https://", "www."):
+        if text.startswith(begin, i):
+            end = i + len(begin)
+            while end < len(text) and not text[end].isspace():
+                end += 1
+            if end > i + len(begin):
+                return end - i
+    return 0
+
+
 def clean_text(text):
+    """One pass over the characters for addresses, one for what may stay."""
     if not isinstance(text, str):
         return ""
-    text = get_text(text) if "<" in text or "&" in text else text
-    text = re.sub(r"https?://\S+|www\.\S+", "", text)
-    text = strip_emoji(text)
-    text = re.sub(r"\s+", " ", text)
-    text = re.sub(r"[^\w\s\.\,\!\?\:\;\-\(\)]", "", text)
-    return text.strip()
+    if "<" in text or "&" in text:
+        text = get_text(text)
+    rest, i = [], 0
+    while i < len(text):
+        skip = _url_at(text, i)
+        if not skip:
+            rest.append(text[i])
+        i += skip or 1
+    kept, gap = [], False
+    for ch in strip_emoji("".join(rest)):
+        if ch.isspace():
+            if not gap:
+                kept.append(" ")
+            gap = True
+            continue
+        gap = False
+        if _word_like(ch) or ch in ".,!?:;-()":
+            kept.append(ch)
+    return "".join(kept).strip()
 
 
 ABBREV = {"z.B", "d.h", "u.a", "usw", "bzw", "ca", "Dr", "Prof", "Nr", "Mio", "Mrd"}

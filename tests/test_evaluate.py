@@ -86,3 +86,34 @@ def test_confusion_has_all_cells_with_zeros(spark):
     cm = E.confusion_matrix(df).collect()
     assert len(cm) == 9 and sum(r["count"] for r in cm) == 4
     assert [r.f1 for r in E.f1_long(df).collect()] == [0.8, 0.0, 0.0]
+
+
+def test_fanned_out_join_equals_a_plain_merge(spark):
+    """One id holds a third of the results and many labels; its rows are dealt
+    over many keys, and every pair comes out."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from stancekit.operators import evaluate as E
+
+    res = [("hot" if i % 3 == 0 else str(i % 700), i, "old") for i in range(3000)] + [(None, -1, "old")]
+    lab = [("hot", "pro")] * 3 + [("hot", "contra"), ("hot", None), (None, "pro")] + [(str(i), "neutral") for i in range(0, 900, 2)] * 2
+    results = spark.createDataFrame(res, "id string, n int, label string").repartition(6)
+    labeled = spark.createDataFrame(lab, "id string, label string")
+    assert E.heavy_ids(results) == ["hot"]
+    got = sorted(((r.id, r.n, r.label) for r in E.eval_join_rows(results, labeled).collect()), key=str)
+    want = pd.merge(pd.DataFrame([r[:2] for r in res if r[0]], columns=["id", "n"]),
+                    pd.DataFrame([r for r in lab if r[0]], columns=["id", "label"]), on="id")
+    want = sorted(((i, n, None if pd.isna(x) else x) for i, n, x in want.itertuples(index=False)), key=str)
+    assert got == want
+    # Through a shuffled join, no task gets more than twice the median.
+    for key, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false"), ("spark.sql.shuffle.partitions", "8")):
+        spark.conf.set(key, value)
+    try:
+        out = E.eval_join_rows(results, labeled.where("id = 'hot'").limit(1).union(labeled.where("id <> 'hot'").distinct()))
+        sizes = sorted(r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")

@@ -197,3 +197,16 @@ def test_dedupe_winner_does_not_depend_on_order(spark):
     for some in (rows, rows[::-1]):
         df = spark.createDataFrame(some, "id string, source string, text string, platform string, run_ts string").withColumn("url", F.lit(None).cast("string"))
         assert [r["source"] for r in prepare(df.coalesce(1))[0].collect()] == ["twitter"]
+
+
+def test_records_that_fit_no_column_go_aside(spark, tmp_path):
+    (tmp_path / "a_20240101_000000.csv").write_text('id,source,text\n1,s,one\n2,s,two,three\n3,s\n4,s,"a,b"\n5,s,x,y,z\n')
+    (tmp_path / "b.csv").write_text("id,source\n6,s,too many\n")
+    got = {r.id: r.text for r in files.read_legacy_csv_dir(spark, str(tmp_path)).collect()}
+    assert got == {"1": "one", "3": None, "4": "a,b"}
+    aside = sorted((r._file.rpartition("/")[2], r.fields) for r in files.quarantined_records(spark, str(tmp_path)).collect())
+    assert aside == [("a_20240101_000000.csv", ["2", "s", "two", "three"]), ("a_20240101_000000.csv", ["5", "s", "x", "y"])]
+    job = JobConfig(raw_data_dir=str(tmp_path), processed_data_dir=str(tmp_path / "p"), steps=("prepare",))
+    assert jobs.run(spark, job, run_id="r").report == {"prepare": jobs.DONE}
+    assert commits.read_runs(spark, str(tmp_path / "p"), "quarantined_records").count() == 2
+    assert files.quarantined_records(spark, str(tmp_path / "none")).count() == 0

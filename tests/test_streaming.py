@@ -59,3 +59,32 @@ def test_stream_over_part_files(spark, tmp_path):
         q = streams.read_table_stream(spark, p).writeStream.format("memory").queryName("parts").trigger(availableNow=True).start()
         q.awaitTermination()
         assert spark.table("parts").count() == spark.read.parquet(p).count()
+
+
+def test_dedupe_by_priority_equals_batch_and_survives_a_restart(spark, tmp_path):
+    """Copies of an item arrive in several files and runs; of those on time the
+    best one comes out once, whatever came first, and late ones change nothing."""
+    from pyspark.sql import Window
+
+    schema = "id string, source string, ts timestamp, prio int, text string"
+    t = lambda minute: f"2024-01-01 {minute // 60:02d}:{minute % 60:02d}:00"
+    runs = [[("a", "twitter/@x", t(0), 1, "timeline"), ("b", "twitter", t(2), 0, "b")],
+            [("a", "twitter", t(5), 0, "search"), ("c", "reddit/r/de", t(6), 0, "c"), ("a", "reddit/r/de", t(7), 3, "other platform")],
+            [("b", "twitter/@y", t(8), 2, "worse"), ("d", "twitter", t(300), 0, "d")],
+            [("a", "twitter", t(1), -1, "too late"), ("e", "twitter", t(600), 0, "moves the watermark")]]
+    src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    frames = []
+    for n, rows in enumerate(runs):
+        df = spark.createDataFrame(rows, schema.replace("ts timestamp", "ts string")).withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.mode("append").parquet(src)
+        frames.append(df)
+        stream = spark.readStream.schema(schema).parquet(src)
+        best = streams.stream_dedupe_best(stream, "ts", ["prio", "ts"], "30 minutes", "1 hour")
+        q = streams.start(best, out, ckpt, available_now=True)  # a new query on the old checkpoint
+        q.awaitTermination(300)
+    got = {(r.id, r.platform): (r.text, r.n_copies) for r in spark.read.parquet(out).collect()}
+    on_time = frames[0].union(frames[1]).union(frames[2]).withColumn("platform", F.substring_index("source", "/", 1))
+    first = Window.partitionBy("id", "platform").orderBy("prio", "ts")
+    batch = on_time.withColumn("k", F.row_number().over(first)).where("k = 1 and id <> 'd'")
+    assert {k: v[0] for k, v in got.items() if k[0] != "d"} == {(r.id, r.platform): r.text for r in batch.collect()}
+    assert got["a", "twitter"] == ("search", 2) and got["b", "twitter"] == ("b", 2) and got["a", "reddit"] == ("other platform", 1)
