@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stancekit.llm.common import by_bytes
+from stancekit.llm.common import by_bytes, released
 from stancekit.llm.token_chunks import chunk_tokenizer
 
 MANIFEST = "part int, file string, docs_file string, first_id long, n_docs long, n_tokens long, seq_len int"
@@ -72,29 +72,40 @@ class _Writer:
         self.n_tokens += len(ids)
         self.n_docs += len(sizes)
         ids = np.concatenate((self.rest, ids.astype(self.dtype)))
-        whole = len(ids) // self.seq_len * self.seq_len
+        # Only the last batch may be short: sequence i is in batch i // SEQUENCES_PER_BATCH.
+        batch = self.seq_len * SEQUENCES_PER_BATCH
+        whole = len(ids) // batch * batch
         self._sequences(ids[:whole], whole)
         self.rest = ids[whole:]
 
     def close(self) -> None:
         if len(self.rest):
-            padded = np.zeros(self.seq_len, self.dtype)
+            padded = np.zeros(-(-len(self.rest) // self.seq_len) * self.seq_len, self.dtype)
             padded[:len(self.rest)] = self.rest
             self._sequences(padded, len(self.rest))
         for x in (self.writer, self.docs_writer, self.out, self.docs_out):
             x.close()
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, as Spark itself resolves it, so that
+    files which tasks write and the manifest lie in the same place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, seq_len: int = 2048,
-                      id_col: str = "doc_id", text_col: str = "text") -> None:
+                      id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 8 << 20) -> None:
     """Encode every whole text, append ``end_id`` to each document and write
     the ids in ascending id order below ``folder``.
 
     A null text counts as empty (one token, the end). A null id sorts first.
     Rows that share an id keep a row each, in the order of their texts. Texts
     of any length are one row; an empty table gives an empty manifest. Other
-    columns are not read.
+    columns are not read. ``slice_bytes`` of text are encoded at a time.
     """
+    folder = qualified(docs.sparkSession, folder)
     rows = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
             .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
 
@@ -102,7 +113,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         tok = chunk_tokenizer(tokenizer_path)
         dtype = np.dtype(np.uint16 if max(tok.vocab_size, end_id + 1) <= 1 << 16 else np.uint32)
         part, w = TaskContext.get().partitionId(), None
-        for batch in by_bytes(batches, "text", 8 << 20):
+        for batch in by_bytes(batches, "text", slice_bytes):
             ids, per = tok.ids(batch.column("text"))
             ends = np.cumsum(per)
             ids = np.insert(ids, ends, end_id)
@@ -114,7 +125,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                                                "first_id": w.first_id, "n_docs": w.n_docs, "n_tokens": w.n_tokens,
                                                "seq_len": seq_len}], schema=_arrow(MANIFEST))
 
-    rows.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    rows.mapInArrow(released(write), MANIFEST).write.parquet(f"{folder}/manifest")
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -133,8 +144,9 @@ def read_sequence(folder: str, file: str, index: int) -> tuple[np.ndarray, np.nd
     through the file's footer and the fixed width. On a memory-mapped file
     the ids are a view of the map."""
     reader = _open(folder, file)
-    batch = reader.get_batch(index // SEQUENCES_PER_BATCH) if reader.num_record_batches else None
-    if batch is None:
+    number = index // SEQUENCES_PER_BATCH
+    batch = reader.get_batch(number) if number < reader.num_record_batches else None
+    if batch is None or index % SEQUENCES_PER_BATCH >= batch.num_rows:
         raise IndexError(index)
     ids, mask = batch.column(0), batch.column(1)
     i, n = index % SEQUENCES_PER_BATCH, ids.type.list_size
@@ -169,6 +181,7 @@ def documents_of_file(folder: str, file: str, docs_file: str) -> Iterator[tuple[
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Per document of the written files: ``doc_id, start, n_tokens,
     ids_crc32``, ``start`` counting from the first token of the first file."""
+    folder = qualified(spark, folder)
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     before = Window.orderBy(F.col("first_id").asc_nulls_first(), "part").rowsBetween(Window.unboundedPreceding, -1)
     # One row a file: the window runs over the manifest, not the documents.

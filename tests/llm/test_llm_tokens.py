@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from llm_data import docs, empty, rows  # noqa: F401  (fixtures)
+from llm_data import docs, empty, rows, words  # noqa: F401  (fixtures)
 from stancekit.llm.common import shared_path
 from stancekit.llm.packing import best_two_fit, pack_documents
 from stancekit.llm.queries import tokenizer_path
@@ -83,3 +83,26 @@ def test_best_two_fit_is_tight():
         assert bins.max() + 1 <= 1.05 * max(lengths.sum() / 100, (lengths > 50).sum()) + 3
     # 60 + 30 leaves 10; 30 gives way to 25 and 15.
     assert best_two_fit(np.array([60, 30, 25, 15]), 100)[0].tolist() == [0, 1, 0, 0]
+
+
+def test_every_sequence_of_many_slices(spark, tmp_path):
+    """Files written in many slices, more sequences than a batch holds: each is
+    found by its number. The folder is given without a file system."""
+    rng = random.Random(9)
+    made = [(i, words(rng, rng.randint(0, 60))) for i in range(500)]
+    df = spark.createDataFrame(made, "doc_id long, text string").coalesce(1)
+    folder = str(tmp_path / "many")
+    write_token_files(df, folder, tokenizer_path(FILES[0]), end_id=2, seq_len=16, slice_bytes=3000)
+    files = spark.read.parquet(f"{folder}/manifest").orderBy("first_id").collect()
+    encode = encoder(FILES[0])
+    want = [x for _, t in made for x in [*encode(t), 2]]
+    got, n = [], 0
+    for f in files:
+        for i in range(-(-f["n_tokens"] // 16)):
+            ids, mask = read_sequence(folder, f["file"], i)
+            assert len(ids) == 16
+            got += ids[mask].tolist()
+            n += 1
+        with pytest.raises((IndexError, pa.ArrowException)):
+            read_sequence(folder, f["file"], -(-f["n_tokens"] // 16))
+    assert n > 600 and got == want
