@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stancekit.llm.common import is_row, row_key
+from stancekit.llm.common import is_row, materialize, row_key
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -49,7 +49,7 @@ def test_windows(benchmark: DataFrame, n: int, item_col: str, text_col: str) ->
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                  item_col: str = "item_id", item_text_col: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Per document id: ``n_words``, ``spans`` (array of start, length in
     words, one per verified window, possibly overlapping) and ``items`` (ids,
     as strings, of the items with occurring windows).
@@ -58,7 +58,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
     the spans of all, the words of the longest. Items without words hit
     nothing; repeated items count once; an item without id is called "null".
     An empty benchmark hits nothing, an empty table of documents gives no rows.
-    Other columns are not read.
+    Other columns are not read. A benchmark of more window text than
+    ``max_broadcast_bytes`` is shuffled instead of broadcast, with the same result.
     """
     spark = docs.sparkSession
     tests = test_windows(benchmark, n, item_col, item_text_col)
@@ -66,11 +67,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
         F.coalesce(F.sum(F.length(F.concat_ws(" ", "e.window")) + F.size("e.items") * 16), F.lit(0)).alias("bytes"),
         F.array_sort(F.collect_set("e.n")).alias("sizes")).first()
     sizes = sorted({*size["sizes"]}, reverse=True)  # n, and lengths of shorter items
+    if size["bytes"] > max_broadcast_bytes:
+        return _shuffled(docs, tests, sizes, id_col, text_col)
     header = spark.range(1).select(F.lit(HEADER).cast("long").alias("hash"),
                                    F.lit(None).cast(tests.schema["entries"].dataType).alias("entries"))
-    tests = tests.union(header)
-    if size["bytes"] <= MAX_BROADCAST_BYTES:
-        tests = F.broadcast(tests)
+    tests = F.broadcast(tests.union(header))
 
     ws, count = F.col("__w"), F.col("n_words")
     hashes = F.concat(F.array(F.lit(HEADER).cast("long")), *[_hashes(ws, count, k) for k in sizes])
@@ -98,6 +99,45 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
             F.flatten(F.transform("found", lambda e: e["items"])))))).alias("items"))
 
 
+SALTS = 16
+
+
+def _shuffled(docs: DataFrame, tests: DataFrame, sizes: list[int], id_col: str, text_col: str) -> DataFrame:
+    """The same by a join that shuffles. Only hashes and places of windows
+    travel, each dealt over ``SALTS`` keys so that a window in very many documents
+    has no task to itself; the few whose hash a test window has go back to
+    their document, where the words are compared."""
+    doc = F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit("second"), text_col).alias("b"))
+    base = docs.select(doc.alias("key"), words(F.col(text_col)).alias("__w")).withColumn("n_words", F.size("__w"))
+    def placed(size: int) -> Column:
+        found = _hashes(F.col("__w"), F.col("n_words"), size)
+        return F.transform(found, lambda h, i: F.struct(h.alias("hash"), i.cast("int").alias("start"), F.lit(size).alias("length")))
+
+    none = F.array().cast("array<struct<hash:bigint,start:int,length:int>>")
+    places = F.concat(none, *[placed(k) for k in sizes])
+    probes = base.select("key", F.explode(places).alias("at")).select("key", "at.*")
+    probes = probes.withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.lit(SALTS)).cast("int"))
+    hashes = tests.select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = materialize(probes.join(hashes, ["hash", "salt"], "left_semi").select("key", "hash", "start", "length").distinct(), "window-hits")
+    whole = docs.select(doc.alias("own"), words(F.col(text_col)).alias("__w")).dropDuplicates(["own"])
+    same = F.lit(True)
+    for c in ("doc_id", "a", "b"):
+        same = same & F.col(f"key.{c}").eqNullSafe(F.col(f"own.{c}"))
+    window = F.slice("__w", F.col("start") + 1, F.col("length"))
+    hits = met.join(whole, same).select("key.doc_id", "hash", "start", "length", window.alias("window"))
+    hits = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
+    entries = tests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = F.filter("entries", lambda e: (e["n"] == F.col("length")) & (e["window"] == F.col("window")))
+    hits = hits.join(entries, ["hash", "salt"]).select("doc_id", "start", "length", found.alias("found")).where(F.size("found") > 0)
+    hits = hits.groupBy(F.col("doc_id").alias("of")).agg(
+        F.collect_set(F.struct("start", "length")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.flatten(F.transform("found", lambda e: e["items"])))))).alias("items"))
+    every = base.groupBy(F.col("key.doc_id").alias("doc_id")).agg(F.max("n_words").alias("n_words"))
+    out = every.join(hits, F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    return out.select("doc_id", "n_words", F.coalesce("spans", F.array().cast(hits.schema["spans"].dataType)).alias("spans"),
+                      F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
 def hit_words(spans: Column) -> Column:
     """Word positions covered by spans."""
     return F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))

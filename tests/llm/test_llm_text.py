@@ -54,6 +54,21 @@ def plain_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
 
 
+def test_contamination_by_shuffle(spark, docs, empty):
+    """The join without a broadcast gives the same rows, and no words travel
+    with the windows."""
+    rng = random.Random(12)
+    item = words(rng, 40)
+    made = [(i, f"{words(rng, 5)} {item if i % 3 else item[:80]} {words(rng, 5)}") for i in range(120)] + [(None, item), (None, "x"), (7, None)]
+    bench = spark.createDataFrame([(1, item), (2, "one two"), (2, " ".join(item.split()[5:18])), (3, None)], "item_id long, text string")
+    of = lambda df, size: sorted(((r[0] is None, r[0], r[1], sorted(map(tuple, r[2])), r[3]) for r in contamination(
+        df, bench, max_broadcast_bytes=size).collect()), key=str)
+    many = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    for df in (many, docs, empty, many.where("false")):
+        assert of(df, -1) == of(df, 1 << 30)
+    assert contamination(docs, bench.where("false"), max_broadcast_bytes=-1).where(F.size("spans") > 0).count() == 0
+
+
 def test_contamination(spark, docs, rows, empty):
     rng = random.Random(9)
     target = plain_words(rows[8][1])
