@@ -14,6 +14,7 @@ END, RARE = 0, 1
 SIDE = 64  # classes, and words a class
 EMBED, HIDDEN = 24, 32
 WINDOW = 32
+WINDOW_WORDS = 1 << 14  # words scored at a time, at least
 
 
 def initial(counts: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
@@ -29,10 +30,16 @@ def initial(counts: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def streams(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pieces(docs: list[np.ndarray], size: int) -> tuple[list[np.ndarray], list[int]]:
+    """Documents cut into pieces of at most ``size`` words, and the word before each."""
+    cuts = [(d, a) for d in docs for a in range(0, len(d), size)]
+    return [d[a:a + size] for d, a in cuts], [int(d[a - 1]) if a else END for d, a in cuts]
+
+
+def streams(docs: list[np.ndarray], lanes: int, before: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Deal documents to parallel lanes of about equal length. ``x`` (input:
-    the word before, END at a start), ``y`` (word), ``keep`` (0 where the state
-    is reset) and ``doc`` (-1 on padding), each (steps, lanes)."""
+    the word before, END at a start or what ``before`` says), ``y`` (word), ``keep``
+    (0 where the state is reset) and ``doc`` (-1 on padding), each (steps, lanes)."""
     lanes = max(1, min(lanes, len(docs)))
     size = np.array([len(d) for d in docs])
     load, lane = np.zeros(lanes, np.int64), [[] for _ in range(lanes)]
@@ -48,6 +55,7 @@ def streams(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray,
         for i in own:
             n = len(docs[i])
             y[k, at:at + n] = docs[i]
+            x[k, at] = before[i] if before else END
             x[k, at + 1:at + n] = docs[i][:-1]
             keep[k, at + 1:at + n] = 1
             doc[k, at:at + n] = i
@@ -62,10 +70,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(e, out=e)
 
 
-def _run(p, gates, keep, h):
+class Room:
+    """Arrays that windows of one training run share: fresh memory for each
+    window costs more than what is computed in it."""
+
+    def __init__(self):
+        self._have: dict[str, np.ndarray] = {}
+
+    def get(self, name: str, *shape: int) -> np.ndarray:
+        size = int(np.prod(shape))
+        have = self._have.get(name)
+        if have is None or have.size < size:
+            have = self._have[name] = np.empty(size, np.float32)
+        return have[:size].reshape(shape)
+
+
+def _run(p, gates, keep, h, room):
     """States after each step; what backpropagation needs."""
-    out = np.empty((*keep.shape, HIDDEN), np.float32)
-    before, rec_n, z, r, n = saved = [np.empty_like(out) for _ in range(5)]
+    shape = (*keep.shape, HIDDEN)
+    out = room.get("out", *shape)
+    before, rec_n, z, r, n = saved = [room.get(x, *shape) for x in ("before", "rec_n", "z", "r", "n")]
     for t in range(len(keep)):
         np.multiply(h, keep[t][:, None], out=before[t])
         rec = before[t] @ p["wh"]
@@ -124,8 +148,12 @@ def log_probs(p: dict[str, np.ndarray], docs: list[np.ndarray], lanes: int = 512
     bc, bw = _shifted(p["wc"], p["bc"]), _shifted(p["ww"], p["bw"])
     load = (doc >= 0).sum(0)
     h = np.zeros((x.shape[1], HIDDEN), np.float32)
-    for a in range(0, len(x), WINDOW):
-        w = (slice(a, a + WINDOW), slice(0, int((load > a).sum())))
+    a = 0
+    while a < len(x):
+        on = int((load > a).sum())
+        steps = max(WINDOW, WINDOW_WORDS // on)  # few lanes, long windows
+        w = (slice(a, a + steps), slice(0, on))
+        a += steps
         states = _states(p["wh"], table[x[w]], keep[w], h[:w[1].stop])
         h = states[-1]
         on = doc[w] >= 0
@@ -159,63 +187,92 @@ def _sums(rows: np.ndarray, of: np.ndarray, out: np.ndarray) -> None:
         out[of[first]] = np.add.reduceat(rows, first)
 
 
-def _gradients(p, x, y, keep, on, h):
+def _gradients(p, x, y, keep, on, h, room):
     """Loss gradients over one window, and the state after it."""
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    inputs = p["embed"][x]
-    states, saved = _run(p, inputs @ p["wx"] + p["b"], keep, h)
-    last, n = states[-1], max(1, int(on.sum()))
-    order = np.argsort(y[on] // SIDE, kind="stable")
-    s, word = states[on][order], y[on][order]
+    steps, lanes = x.shape
+    words = steps * lanes
+    g = {k: room.get(f"g_{k}", *v.shape) for k, v in p.items()}
+    for k in ("embed", "ww", "bw"):
+        g[k].fill(0)
+    inputs = np.take(p["embed"], x.ravel(), axis=0, out=room.get("inputs", words, EMBED))
+    gates = np.matmul(inputs, p["wx"], out=room.get("gates", words, 3 * HIDDEN))
+    gates += p["b"]
+    states, saved = _run(p, gates.reshape(steps, lanes, -1), keep, h, room)
+    last, n = states[-1].copy(), max(1, int(on.sum()))
+    at = np.flatnonzero(on)
+    at = at[np.argsort(y.ravel()[at] // SIDE, kind="stable")]
+    word = y.ravel()[at]
     group, within = word // SIDE, word % SIDE
-    dc = _softmax_minus(s @ p["wc"] + p["bc"], group, n)
-    g["wc"], g["bc"] = s.T @ dc, dc.sum(0)
-    ds = dc @ p["wc"].T
-    ends = np.cumsum(np.bincount(group, minlength=SIDE))
-    rows = {k: slice(ends[k - 1] if k else 0, ends[k]) for k in np.unique(group).tolist()}
-    dw = p["bw"][group]
-    for k, own in rows.items():
-        dw[own] += s[own] @ p["ww"][k]
+    s = np.take(states.reshape(-1, HIDDEN), at, axis=0, out=room.get("s", len(at), HIDDEN))
+    dc = np.matmul(s, p["wc"], out=room.get("dc", len(at), SIDE))
+    dc += p["bc"]
+    _softmax_minus(dc, group, n)
+    np.matmul(s.T, dc, out=g["wc"])
+    g["bc"] = dc.sum(0)
+    ds = np.matmul(dc, p["wc"].T, out=room.get("ds", len(at), HIDDEN))
+    ends = np.cumsum(np.bincount(group, minlength=SIDE)).tolist()
+    rows = [(k, slice(a, b)) for k, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
+    dw = room.get("dw", len(at), SIDE)
+    for k, own in rows:
+        np.matmul(s[own], p["ww"][k], out=dw[own])
+        dw[own] += p["bw"][k]
     _softmax_minus(dw, within, n)
-    _sums(dw, group, g["bw"])
-    for k, own in rows.items():
+    for k, own in rows:
+        g["bw"][k] = dw[own].sum(0)
         np.matmul(s[own].T, dw[own], out=g["ww"][k])
         ds[own] += dw[own] @ p["ww"][k].T
-    d_states = np.zeros_like(states)
-    d_states[tuple(i[order] for i in np.nonzero(on))] = ds
+    d_states = room.get("d_states", words, HIDDEN)
+    d_states.fill(0)
+    d_states[at] = ds
+    d_states = d_states.reshape(steps, lanes, HIDDEN)
     before, rec, z, r, m = saved
-    by_z, by_m, by_r = (before - m) * z * (1 - z), (1 - z) * (1 - m * m), rec * r * (1 - r)
-    back, d_gates = np.zeros_like(h), np.empty((*keep.shape, 3 * HIDDEN), np.float32)
-    d_recs, wh = np.empty_like(d_gates), np.ascontiguousarray(p["wh"].T)
-    for t in range(len(keep) - 1, -1, -1):
-        dh, d, d_rec = d_states[t] + back, d_gates[t], d_recs[t]
-        dm = dh * by_m[t]
-        d[:, :HIDDEN], d[:, HIDDEN:2 * HIDDEN], d[:, 2 * HIDDEN:] = dh * by_z[t], dm * by_r[t], dm
-        d_rec[:, :2 * HIDDEN], d_rec[:, 2 * HIDDEN:] = d[:, :2 * HIDDEN], dm * r[t]
-        back = (dh * z[t] + d_rec @ wh) * keep[t][:, None]
-    g["wh"] = before.reshape(-1, HIDDEN).T @ d_recs.reshape(-1, 3 * HIDDEN)
+    back, d_gates = np.zeros_like(h), room.get("d_gates", steps, lanes, 3 * HIDDEN)
+    d_recs, wh = room.get("d_recs", steps, lanes, 3 * HIDDEN), np.ascontiguousarray(p["wh"].T)
+    for t in range(steps - 1, -1, -1):
+        back += d_states[t]
+        d, d_rec, one = d_gates[t], d_recs[t], 1 - z[t]
+        dm = d[:, 2 * HIDDEN:]
+        np.multiply(back, one, out=dm)
+        dm *= 1 - m[t] * m[t]
+        np.multiply(back * (before[t] - m[t]), z[t] * one, out=d[:, :HIDDEN])
+        np.multiply(dm * rec[t], r[t] * (1 - r[t]), out=d[:, HIDDEN:2 * HIDDEN])
+        d_rec[:, :2 * HIDDEN] = d[:, :2 * HIDDEN]
+        np.multiply(dm, r[t], out=d_rec[:, 2 * HIDDEN:])
+        back *= z[t]
+        back += d_rec @ wh
+        back *= keep[t][:, None]
+    np.matmul(before.reshape(-1, HIDDEN).T, d_recs.reshape(-1, 3 * HIDDEN), out=g["wh"])
     flat = d_gates.reshape(-1, 3 * HIDDEN)
-    g["wx"], g["b"] = inputs.reshape(-1, EMBED).T @ flat, flat.sum(0)
+    np.matmul(inputs.T, flat, out=g["wx"])
+    g["b"] = flat.sum(0)
     by_word = np.argsort(x, axis=None, kind="stable")
-    _sums((flat @ p["wx"].T)[by_word], x.ravel()[by_word], g["embed"])
+    d_in = np.matmul(flat, p["wx"].T, out=room.get("d_in", words, EMBED))
+    _sums(np.take(d_in, by_word, axis=0, out=inputs), x.ravel()[by_word], g["embed"])
     return g, last
 
 
+def _dealt(docs: list[np.ndarray], lanes: int) -> tuple[list[np.ndarray], int, list[int]]:
+    parts, before = pieces(docs, max(WINDOW, -(-sum(map(len, docs)) // lanes)))
+    return parts, lanes, before
+
+
 def train(p: dict[str, np.ndarray], docs: list[np.ndarray], epochs: int, rate: float, lanes: int = 16,
           clip: float = 1.0) -> dict[str, np.ndarray]:
     """Adam over windows of ``WINDOW`` steps; the state runs on, its gradient
-    does not. Deterministic."""
+    does not. Documents longer than a lane's share are learned in pieces side
+    by side, each from a state of zero after the word before it, so that no
+    lane goes on alone. Deterministic."""
     p = {k: v.copy() for k, v in p.items()}
     if not docs:
         return p
-    x, y, keep, doc = streams(docs, lanes)
-    load = (doc >= 0).sum(0)
+    x, y, keep, doc = streams(*_dealt(docs, lanes))
+    load, room = (doc >= 0).sum(0), Room()
     m, v, step = {k: np.zeros_like(w) for k, w in p.items()}, {k: np.zeros_like(w) for k, w in p.items()}, 0
     for _ in range(epochs):
         h = np.zeros((x.shape[1], HIDDEN), np.float32)
         for a in range(0, len(x), WINDOW):
             w = (slice(a, a + WINDOW), slice(0, int((load > a).sum())))  # finished lanes leave the batch
-            g, h = _gradients(p, x[w], y[w], keep[w], doc[w] >= 0, h[:w[1].stop])
+            g, h = _gradients(p, x[w], y[w], keep[w], doc[w] >= 0, h[:w[1].stop], room)
             norm = float(np.sqrt(sum(float(np.vdot(q, q)) for q in g.values())))
             scale, step = min(1.0, clip / (norm + 1e-8)), step + 1
             for k in p:
