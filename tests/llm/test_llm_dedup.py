@@ -6,9 +6,10 @@ import pandas as pd
 from llm_data import docs, empty, rows, words  # noqa: F401  (fixtures)
 
 from stancekit.llm.common import components
-from stancekit.llm.embed_dedup import embedding_near_duplicates
+from stancekit.llm.embed_dedup import SmallWorld, audit, embedding_near_duplicates, search_block
 from stancekit.llm.line_dedup import remove_boilerplate
-from stancekit.llm.minhash import drop_near_duplicates, near_duplicates
+from stancekit.llm.minhash import count_words, drop_near_duplicates, idf_table, near_duplicates, weighted_jaccard, weighted_shingles
+from stancekit.llm.shingles import word_hashes
 from stancekit.llm.suffix_dedup import LevelFamily, remove_repeats
 
 
@@ -33,6 +34,43 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_equal_all_pairs(spark):
+    """Classes against the weighted Jaccard similarity of all pairs."""
+    rng = random.Random(21)
+    texts = {}
+    for g in range(25):
+        base = words(rng, rng.choice([12, 40, 120])).split()
+        for c in range(rng.randint(1, 7)):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 14))):
+                w[rng.randrange(len(w))] = words(rng, 1)
+            texts[10 * g + c] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    idf = idf_table(*count_words(df))
+    sets = {}
+    for i, t in texts.items():
+        hashes, _ = word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+        sets[i] = weighted_shingles(hashes, idf)
+    parent, linked, near = {i: i for i in texts}, 0, 0
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in texts:
+        for j in texts:
+            if i < j:
+                s = weighted_jaccard(sets[i], sets[j])
+                near += 0.6 <= s < 0.8
+                if s >= 0.8:
+                    linked += 1
+                    parent[max(root(i), root(j))] = min(root(i), root(j))
+    assert linked > 20 and near > 5
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(df).collect()}
+    assert got == {i: root(i) for i in texts}
+
+
 def test_near_duplicates_of_a_large_group(spark):
     rng = random.Random(8)
     base, rows = words(rng, 300).split(), []
@@ -168,3 +206,28 @@ def test_links_of_a_repeated_row(spark):
     rows = [(i, v, 0) for i, v in [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (3, [0.0, 1.0])]]
     got = embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert sorted((r["vec_id"], r["n_links"]) for r in got) == [(0, 2), (0, 2), (1, 2), (2, 2), (3, 0), (3, 0)]
+
+
+def test_audit_is_not_covered_by_a_large_group():
+    large = set(range(1000))
+    assert audit([large] * 30 + [set()] * 2, [large] * 30 + [{1, 2}, {3}]) == 0.0
+    assert audit([large, {1}], [large, {1, 2}]) == 0.5 and audit([set()], [set()]) == 1.0
+
+
+def test_small_groups_beside_a_hot_one():
+    """All links of small groups are found in a shard that a large group of
+    near copies dominates, once both ends have searched."""
+    rng = np.random.default_rng(4)
+    near = lambda center, n, spread: center + rng.normal(0, spread, (n, len(center)))
+    center = rng.normal(0, 1, 32)
+    rows = [near(center, 700, 0.06)] + [near(rng.normal(0, 1, 32), 6, 0.08) for _ in range(80)]
+    v = np.concatenate(rows)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    graph = SmallWorld(v)
+    links = set()
+    for a in range(0, len(v), 512):
+        for i, found in enumerate(search_block(graph, v[a:a + 512], 0.93)):
+            links |= {(min(a + i, j), max(a + i, j)) for j in found if j != a + i}
+    true = {(i, j) for i, j in zip(*np.nonzero(np.triu(v @ v.T >= 0.93, 1)), strict=True)}
+    small = lambda pairs: {(i, j) for i, j in pairs if i >= 700}
+    assert len(small(true)) > 500 and len(small(links & true)) >= 0.995 * len(small(true)) and len(links & true) >= 0.99 * len(true)
