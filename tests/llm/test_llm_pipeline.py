@@ -8,7 +8,7 @@ import corpus_pipeline as P
 
 def test_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
     assert [s for s, _ in P.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "packing"]
 
 
