@@ -156,7 +156,8 @@ def search_links(result_pages: DataFrame, sites: Sequence[tuple[str, str]], max_
     anchors = F.transform(inside(F.col("__elements"), "article", "a"), lambda a: attribute(F.get("__tokens", a["start"]), "href"))
     rows = found.select("site", F.col(url_col).alias("base"), F.explode_outer(F.array_distinct(anchors)).alias("href"))
     rows = rows.where(F.col("href").isNotNull()).select("site", resolve(F.col("base"), F.col("href")).alias("link"))
-    return rows.select("site", normal_form(F.col("link")).alias("link")).distinct()
+    # Keys that cannot be null: else the join's null test would parse every url once more.
+    return rows.select("site", F.coalesce(normal_form(F.col("link")), F.lit("no link")).alias("link")).distinct()
 
 
 def news_search_scan(pages: DataFrame, result_pages: DataFrame, sites: Sequence[tuple[str, str]], max_pages: int = 5,
@@ -170,6 +171,6 @@ def news_search_scan(pages: DataFrame, result_pages: DataFrame, sites: Sequence[
     give nothing.
     """
     links = search_links(result_pages, sites, max_pages, url_col, html_col)
-    keyed = pages.where(F.col(html_col).isNotNull()).withColumn("__link", normal_form(F.col(url_col)))
+    keyed = pages.where(F.col(html_col).isNotNull()).withColumn("__link", F.coalesce(normal_form(F.col(url_col)), F.lit("no url")))
     chosen = keyed.join(links, F.col("__link") == F.col("link")).drop("__link", "link")
     return extract_articles_by_tree(chosen, F.col("site"), url_col, html_col)
