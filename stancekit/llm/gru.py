@@ -74,14 +74,15 @@ class Room:
     """Arrays that windows of one training run share: fresh memory for each
     window costs more than what is computed in it."""
 
-    def __init__(self):
+    def __init__(self, dtype: type = np.float32):
         self._have: dict[str, np.ndarray] = {}
+        self._dtype = dtype
 
     def get(self, name: str, *shape: int) -> np.ndarray:
         size = int(np.prod(shape))
         have = self._have.get(name)
         if have is None or have.size < size:
-            have = self._have[name] = np.empty(size, np.float32)
+            have = self._have[name] = np.empty(size, self._dtype)
         return have[:size].reshape(shape)
 
 

@@ -145,13 +145,13 @@ def test_gru_gradients_and_state():
     keep[2, 1], on[5, 2] = 0, False
 
     def loss(q):
-        s, _ = gru._run(q, q["embed"][x] @ q["wx"] + q["b"], keep, h)
+        s, _ = gru._run(q, q["embed"][x] @ q["wx"] + q["b"], keep, h, gru.Room(np.float64))
         s, w = s[on].astype(np.float64), y[on]
         a = gru._log_softmax(s @ q["wc"] + q["bc"])[np.arange(len(w)), w // 64]
         b = [gru._log_softmax(s[i:i + 1] @ q["ww"][k // 64] + q["bw"][k // 64])[0, k % 64] for i, k in enumerate(w)]
         return -(a + b).mean()
 
-    g, _ = gru._gradients(p, x, y, keep, on, h)
+    g, _ = gru._gradients(p, x, y, keep, on, h, gru.Room(np.float64))
     for name in ("wh", "wx", "b", "wc", "bc"):
         at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
         up, down = {**p, name: p[name].copy()}, {**p, name: p[name].copy()}
