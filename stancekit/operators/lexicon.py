@@ -3,55 +3,156 @@
 A generated ``CASE`` chain (``rules.rule_label``) tests every text against every
 trigger, which ends at some hundred triggers. Here the lexicon is a table. A
 text that contains a trigger also contains each of its grams (runs of
-``GRAM`` characters), so triggers are looked up by one gram each, the one that
-fewest texts hold, and only texts that hold it are searched for the trigger.
-
-Triggers with a blank inside are looked up by grams that follow a blank, of
-which a text has one a word; only other triggers need the grams of every
-position. Short triggers are their own gram.
+``GRAM`` characters; a shorter trigger is its own gram), so triggers are looked up
+by one gram each, the one counted least in the texts, and only texts that hold it
+are searched for the trigger.
+
+Grams are 64-bit hashes. The count that chooses among a trigger's grams is kept
+in hashed cells, and a bitmap of the chosen grams, both of bounded size, goes to
+every task. So of the grams of every position of every text only those are
+shuffled that some trigger is looked up by, and the few that share a bit with one.
+Equal hashes, cells or bits of different grams cost a search more, never a result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 GRAM = 8
 HOT_SHARE = 1000  # a gram with more than this part of all rows is hot; so there are fewer than this many
 SALTS = 32
+SLICE = 1 << 20  # text bytes looked at together
+COUNT_BITS = (18, 22)  # cells of the gram counts: 64 a trigger, within these powers of two
+MARK_BITS = (18, 28)  # bits of the bitmap, likewise
+CHUNK = 1 << 14  # cells, and bytes of the bitmap, that travel in one row
 
 Write = Callable[[DataFrame, str], DataFrame]
 
 
-def _grams(text: Column, kind: str) -> Column:
-    """All grams of a kind: ``w8`` eight characters after a blank, ``f3`` three anywhere."""
-    before = "(?<= )" if kind[0] == "w" else ""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s){before}(?=(.{{{kind[1:]}}}))"), F.lit(1)))
-
-
-def trigger_kind(trigger: Column) -> Column:
-    """How a trigger is looked up."""
-    return F.when(trigger.rlike(f"(?s) .{{{GRAM}}}"), f"w{GRAM}").otherwise(
-        F.concat(F.lit("f"), F.least(F.char_length(trigger), F.lit(GRAM)).cast("string")))
-
-
-def trigger_options(lexicon: DataFrame, kinds: list[str]) -> DataFrame:
-    """``trigger, kind, gram``: every gram a trigger could be looked up by."""
-    grams = F.array()
-    for kind in kinds:
-        grams = F.when(F.col("kind") == kind, _grams(F.col("trigger"), kind)).otherwise(grams)
-    return lexicon.select("trigger", "kind", F.explode(grams).alias("gram"))
-
-
-def rarest_gram(options: DataFrame, held: DataFrame) -> DataFrame:
-    """``trigger, kind, gram, texts``: of each trigger the gram that fewest
-    texts hold. A trigger with a gram that none holds occurs nowhere."""
-    counted = held.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("texts"))
-    rated = options.join(counted, ["kind", "gram"], "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
-    least = rated.groupBy("trigger", "kind").agg(F.min(F.struct("texts", "gram")).alias("least"))
-    return least.where("least.texts > 0").select("trigger", "kind", "least.gram", "least.texts")
+def _code_points(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of whole rows with the code points of their texts, one after
+    the other, and where each text begins. Null counts as empty."""
+    for batch in batches:
+        raw = pc.cast(batch.column(column), pa.large_binary())
+        part = (np.cumsum(pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False), dtype=np.int64) - 1) // SLICE
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            texts = [(x or b"").decode("utf-8", "replace") for x in raw.slice(int(a), int(b - a)).to_pylist()]
+            points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+            yield batch.slice(int(a), int(b - a)), points, np.cumsum([0, *map(len, texts)], dtype=np.int64)
+
+
+def _grams(points: np.ndarray, first: np.ndarray, sizes: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each size: the row and the hash of every gram of so many characters."""
+    size = np.diff(first)
+    row, room = np.repeat(np.arange(len(size)), size), np.repeat(first[1:], size) - np.arange(len(points))
+    values, h = points.astype(np.uint64) + np.uint64(1), np.zeros(len(points), np.uint64)
+    for k in range(1, min(max(sizes), len(points)) + 1):
+        n = len(points) - k + 1
+        h = h[:n] * np.uint64(0x9E3779B97F4A7C15) + values[k - 1:]
+        if k in sizes:
+            at = np.flatnonzero(room[:n] >= k)
+            x = h[at] + np.uint64(k)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xC4CEB9FE1A85EC53)
+            yield k, row[at], x ^ (x >> np.uint64(33))
+
+
+def _bits(n: int, bounds: tuple[int, int]) -> int:
+    return min(max(int(64 * n).bit_length(), bounds[0]), bounds[1])
+
+
+def _cell(grams: np.ndarray, bits: int) -> np.ndarray:
+    return (grams >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def gram_counts(texts: DataFrame, sizes: Sequence[int], bits: int) -> np.ndarray:
+    """How often the grams of each hashed cell occur: one pass over the texts, a
+    table of fixed size from each task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
+        for _, points, first in _code_points(batches, "__text"):
+            for _, _, grams in _grams(points, first, sizes):
+                np.add.at(total, _cell(grams, bits), 1)
+        chunks = [c for c in range(-(-len(total) // CHUNK)) if total[c * CHUNK:(c + 1) * CHUNK].any()]
+        if chunks:
+            parts = [zlib.compress(total[c * CHUNK:(c + 1) * CHUNK].tobytes(), 1) for c in chunks]
+            yield pa.record_batch([pa.array(chunks, pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "counts"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in rows["counts"])
+        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1].to_numpy(), "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+
+    schema = "chunk int, counts binary"
+    table = np.zeros(1 << bits, np.int32)
+    for r in texts.select("__text").mapInArrow(count, schema).groupBy("chunk").applyInPandas(add, schema).collect():  # 2 ** bits numbers
+        table[r["chunk"] * CHUNK:(r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int32)
+    return table
+
+
+def rarest_gram(entries: DataFrame, counts: np.ndarray, sizes: Sequence[int]) -> DataFrame:
+    """``entries`` with ``gram``: of each trigger the gram that is counted least. A
+    trigger with a gram that is counted nowhere occurs nowhere and is left out."""
+    bits = len(counts).bit_length() - 1
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, points, first in _code_points(batches, "trigger"):
+            own = np.minimum(np.diff(first), GRAM)
+            found = [(row[fit], grams[fit]) for k, row, grams in _grams(points, first, sizes) for fit in [own[row] == k]]
+            if not found:
+                continue
+            row, grams = (np.concatenate(x) for x in zip(*found, strict=True))
+            often = counts[_cell(grams, bits)]
+            order = np.lexsort((grams, often, row))
+            order = order[np.diff(row[order], prepend=-1) > 0]
+            order = order[often[order] > 0]
+            kept = batch.take(pa.array(row[order]))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(grams[order].view(np.int64))], names=[*kept.schema.names, "gram"])
+
+    return entries.mapInArrow(choose, StructType([*entries.schema.fields, StructField("gram", LongType())]))
+
+
+def gram_marks(index: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of the cells of the grams that triggers are looked up by, built in
+    pieces of ``CHUNK`` bytes."""
+
+    def mark(rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(8 * CHUNK, np.uint8)
+        own[rows["cell"].to_numpy() % (8 * CHUNK)] = 1
+        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1].to_numpy(), "marks": [zlib.compress(np.packbits(own).tobytes(), 1)]})
+
+    cells = index.select(F.shiftrightunsigned("gram", 64 - bits).alias("cell")).distinct()
+    cells = cells.withColumn("chunk", F.floor(F.col("cell") / (8 * CHUNK)).cast("int"))
+    table = np.zeros(max(1, (1 << bits) // 8 // CHUNK) * CHUNK, np.uint8)
+    for r in cells.groupBy("chunk").applyInPandas(mark, "chunk int, marks binary").collect():  # 2 ** bits bits
+        table[r["chunk"] * CHUNK:(r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(r["marks"]), np.uint8)
+    return table
+
+
+def held_grams(texts: DataFrame, marks: np.ndarray, sizes: Sequence[int], bits: int) -> DataFrame:
+    """``__id, gram``: the marked grams of each text, once each."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, points, first in _code_points(batches, "__text"):
+            for _, row, grams in _grams(points, first, sizes):
+                cell = _cell(grams, bits)
+                at = np.flatnonzero(marks[cell >> 3] & (np.uint8(128) >> (cell & 7).astype(np.uint8)))
+                at = at[np.lexsort((grams[at], row[at]))]
+                new = (np.diff(row[at], prepend=-1) != 0) | (np.diff(grams[at], prepend=np.uint64(0)) != 0)
+                at = at[new]
+                yield pa.RecordBatch.from_arrays([batch.column("__id").take(pa.array(row[at])), pa.array(grams[at].view(np.int64))],
+                                                 names=["__id", "gram"])
+
+    return texts.mapInArrow(find, StructType([texts.schema["__id"], StructField("gram", LongType())]))
 
 
 def match_lexicon(texts: DataFrame, lexicon: DataFrame, write: Write, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -69,18 +170,16 @@ def match_lexicon(texts: DataFrame, lexicon: DataFrame, write: Write, id_col: st
     """
     own = texts.select(F.col(id_col).alias("__id"), F.lower(F.col(text_col)).alias("__text"))
     entries = (lexicon.where("trigger <> ''").groupBy("trigger").agg(F.min(F.struct("priority", "label")).alias("best"))
-               .select("trigger", "best.priority", "best.label").withColumn("kind", trigger_kind(F.col("trigger"))))
+               .select("trigger", "best.priority", "best.label"))
     entries = write(entries, "lexicon")
-    kinds = [r.kind for r in entries.select("kind").distinct().collect()]  # GRAM + 1 at most
-    if not kinds:
+    sizes = [r.size for r in entries.select(F.least(F.char_length("trigger"), F.lit(GRAM)).alias("size")).distinct().collect()]  # GRAM at most
+    if not sizes:
         return texts.select(F.col(id_col), F.lit("neutral").alias("label"), F.lit(None).cast("string").alias("trigger"),
                             F.lit(0).cast("long").alias("n_triggers"))
-    options = write(trigger_options(entries, kinds), "trigger-grams")
-    tagged = F.array(*[F.struct(F.lit(k).alias("kind"), _grams(F.col("__text"), k).alias("grams")) for k in kinds])
-    grams = (own.select("__id", F.explode(tagged).alias("of")).select("__id", "of.kind", F.explode_outer("of.grams").alias("gram"))
-             .where(F.col("gram").isNotNull()))
-    held = write(grams.join(options.select("kind", "gram").distinct(), ["kind", "gram"], "left_semi"), "text-grams")
-    index = write(rarest_gram(options, held), "trigger-index").join(entries.drop("kind"), "trigger")
+    n = entries.count()
+    index = write(rarest_gram(entries, gram_counts(own, sizes, _bits(n, COUNT_BITS)), sizes), "trigger-index")
+    bits = _bits(n, MARK_BITS)
+    held = write(held_grams(own, gram_marks(index, bits), sizes, bits), "text-grams")
     pairs = _pairs(held, index)
     found = (pairs.join(own, "__id").where(F.col("__text").contains(F.col("trigger"))).groupBy("__id")
              .agg(F.min(F.struct("priority", "trigger", "label")).alias("first"), F.count(F.lit(1)).alias("n")))
@@ -92,11 +191,10 @@ def match_lexicon(texts: DataFrame, lexicon: DataFrame, write: Write, id_col: st
 def _pairs(held: DataFrame, index: DataFrame) -> DataFrame:
     """``__id, trigger, priority, label``: texts and the triggers to search them for."""
     rows = held.count()
-    hot = index.where(F.col("texts") > rows / HOT_SHARE).select("kind", "gram").distinct().collect()  # fewer than HOT_SHARE
-    key = lambda: F.concat("kind", F.lit(" "), "gram")
-    names = [f"{r.kind} {r.gram}" for r in hot]
-    is_hot = key().isin(names) if names else F.lit(False)
+    often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > rows / HOT_SHARE)
+    names = [r.gram for r in often.collect()]  # fewer than HOT_SHARE
+    is_hot = F.col("gram").isin(names) if names else F.lit(False)
     held = held.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("__id"), F.lit(SALTS))).otherwise(0).cast("int"))
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     index = index.withColumn("salt", F.explode(salts))
-    return held.join(index, ["kind", "gram", "salt"]).select("__id", "trigger", "priority", "label")
+    return held.join(index, ["gram", "salt"]).select("__id", "trigger", "priority", "label")

@@ -64,3 +64,37 @@ def test_nothing(spark):
     texts = [(1, "a"), (2, None)]
     assert matched(spark, texts, [("pro", 1, None)]) == {1: ("neutral", None, 0), 2: ("neutral", None, 0)}
     assert matched(spark, [], [("pro", 1, "a")]) == {}
+
+
+def test_grams_are_filtered_before_any_shuffle(spark):
+    """Only grams that a trigger is looked up by leave the texts' own tasks."""
+    texts = [(i, "the same long opening of every text, then number " + str(i) * 9) for i in range(200)]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    triggers = [("pro", i, "number " + str(i) * 9) for i in range(100, 120)]
+    lex = spark.createDataFrame(triggers, "label string, priority long, trigger string")
+    plans, rows = {}, {}
+
+    def write(d, name):
+        plans[name] = d._jdf.queryExecution().optimizedPlan().toString()
+        out = stored(d, name)
+        rows[name] = out.count()
+        return out
+
+    got = {r.id: r.n_triggers for r in L.match_lexicon(df, lex, write).collect()}
+    assert got == {i: int(100 <= i < 120) for i, _ in texts}
+    assert "Join" not in plans["text-grams"] and "Aggregate" not in plans["text-grams"]
+    assert rows["text-grams"] < 60  # 20 texts with a trigger each, 12,000 positions
+
+
+def test_grams_of_code_points():
+    texts = ["aé😀", "", "b"]
+    points = L.np.frombuffer("".join(texts).encode("utf-32-le"), L.np.uint32)
+    grams = {k: (row.tolist(), h) for k, row, h in L._grams(points, L.np.array([0, 3, 3, 4]), [1, 2, 3])}
+    assert {k: row for k, (row, _) in grams.items()} == {1: [0, 0, 0, 2], 2: [0, 0], 3: [0]}
+    assert len({int(x) for _, h in grams.values() for x in h}) == 7
+
+
+def test_all_queries_can_be_imported_by_workers():
+    import __spark_entry__
+
+    assert all(hasattr(fn, "__wrapped__") for fn in __spark_entry__.queries().values())
