@@ -83,5 +83,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: later
     steps, and retries after a lost executor, start from the files."""
     path = scratch_path(df.sparkSession, name, uuid.uuid4().hex)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
