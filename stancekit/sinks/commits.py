@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from stancekit.sources.files import path_exists
 
 COMMITS = "commits"
+PACKED = "zstd"
 RECORD = "run_ts string, step string, dataset string"
 
 
@@ -27,8 +28,12 @@ def run_folder(base: str, dataset: str, run_ts: str) -> str:
 
 def write_run(df: DataFrame, base: str, dataset: str, run_ts: str, partition_by: Sequence[str] = (), fmt: str = "parquet",
               **options: object) -> str:
-    """One run of a table, in place of any earlier attempt at it."""
+    """One run of a table, in place of any earlier attempt at it. Parquet runs are
+    packed with ``PACKED`` unless options say otherwise: ids are hexadecimal
+    digests and sentences repeat, of which Spark's default packs little."""
     path = run_folder(base, dataset, run_ts)
+    if fmt == "parquet":
+        options = {"compression": PACKED, **options}
     writer = df.drop("run_ts").write.mode("overwrite").options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -210,3 +210,16 @@ def test_records_that_fit_no_column_go_aside(spark, tmp_path):
     assert jobs.run(spark, job, run_id="r").report == {"prepare": jobs.DONE}
     assert commits.read_runs(spark, str(tmp_path / "p"), "quarantined_records").count() == 2
     assert files.quarantined_records(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_runs_are_packed(spark, tmp_path):
+    """Digests and repeated sentences: zstd, unless the caller says otherwise."""
+    import pyarrow.parquet as pq
+
+    def codecs(folder):
+        parts = [os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".parquet")]
+        return {pq.ParquetFile(p).metadata.row_group(0).column(0).compression for p in parts}
+
+    df = spark.createDataFrame([("1", "twitter")], "id string, source string").coalesce(1)
+    assert codecs(commits.write_run(df, str(tmp_path), "t", "r1")) == {"ZSTD"}
+    assert codecs(commits.write_run(df, str(tmp_path), "t", "r2", compression="gzip")) == {"GZIP"}
