@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-GRAM = 8
+GRAM = 12
 HOT_SHARE = 1000  # a gram with more than this part of all rows is hot; so there are fewer than this many
 SALTS = 32
 SLICE = 1 << 20  # text bytes looked at together
-COUNT_BITS = (18, 22)  # cells of the gram counts: 64 a trigger, within these powers of two
+COUNT_BITS = (18, 22)  # cells of the gram counts: 256 a trigger, within these powers of two
 MARK_BITS = (18, 28)  # bits of the bitmap, likewise
 CHUNK = 1 << 14  # cells, and bytes of the bitmap, that travel in one row
 
@@ -67,7 +67,7 @@ def _grams(points: np.ndarray, first: np.ndarray, sizes: Sequence[int]) -> Itera
 
 
 def _bits(n: int, bounds: tuple[int, int]) -> int:
-    return min(max(int(64 * n).bit_length(), bounds[0]), bounds[1])
+    return min(max(int(256 * n).bit_length(), bounds[0]), bounds[1])
 
 
 def _cell(grams: np.ndarray, bits: int) -> np.ndarray:
