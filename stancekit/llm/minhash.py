@@ -18,8 +18,8 @@ that they share.)
 Exact copies are collapsed first. In each of ``LEADERS`` rounds a bucket's members
 are compared with one of them, drawn anew, if they are not in its class yet;
 members of a bucket that then still lie in different classes are compared with
-each other, unless what each of them shares with the others at all is too little
-for the threshold. No pair is compared whose sketches (some bits of every sample)
+each other if they meet in one of the rarest shingles that they share with any
+such text, where all pairs of the threshold do. No pair is compared whose sketches (some bits of every sample)
 agree too seldom for the threshold, by ``SLACK`` standard errors. So a group of near copies costs work in proportion to its size, and
 no link between classes is left out.
 """
@@ -33,7 +33,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stancekit.llm.common import by_bytes, components, materialize, mix64, released, row_key, text_buffers
@@ -140,7 +140,7 @@ class Icws:
 
 
 def _signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    schema = "doc_id long, h1 long, h2 long, bands array<long>, weight double, sketch array<long>"
+    schema = "doc_id long, h1 long, h2 long, bands array<long>, sketch array<long>"
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,10 +148,9 @@ def _signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
         for batch in by_bytes(batches, "text"):
             words, first = word_hashes(*text_buffers(batch.column("text")))
             bands, has = np.zeros((batch.num_rows, BANDS), np.uint64), np.diff(first) > 0
-            total, planes = np.zeros(batch.num_rows), np.zeros((batch.num_rows, PLANES), np.uint64)
+            planes = np.zeros((batch.num_rows, PLANES), np.uint64)
             for i in np.flatnonzero(has):
                 keys, weights = weighted_shingles(words[first[i]:first[i + 1]], idf)
-                total[i] = weights.sum()
                 drawn = icws.sample(keys, weights)
                 planes[i] = _bit_planes(drawn)
                 drawn = drawn.reshape(BANDS, ROWS)
@@ -161,8 +160,8 @@ def _signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()),
                                              pa.array(bands[has].view(np.int64).ravel()))
             sketch = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * PLANES, pa.int32()), pa.array(planes.view(np.int64).ravel()))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("h1"), batch.column("h2"), lists, pa.array(total), sketch],
-                                  names=["doc_id", "h1", "h2", "bands", "weight", "sketch"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("h1"), batch.column("h2"), lists, sketch],
+                                  names=["doc_id", "h1", "h2", "bands", "sketch"])
 
     return rows.mapInArrow(released(sign), schema)
 
@@ -230,8 +229,8 @@ def _split_buckets(placed: DataFrame) -> DataFrame:
     return placed.join(split.select("band", "key"), ["band", "key"], "left_semi")
 
 
-def _own_weight(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """``id, own``: the weight of the shingles that no other of the texts has."""
+def _shingle_rows(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``id, shingle, weight``: the weighted shingles of every text."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 1 << 20):
@@ -239,29 +238,41 @@ def _own_weight(texts: DataFrame, idf: np.ndarray) -> DataFrame:
             parts = [weighted_shingles(words[a:b], idf) for a, b in zip(first[:-1], first[1:], strict=True)]
             of = np.repeat(np.arange(len(parts)), [len(k) for k, _ in parts])
             yield pa.record_batch([batch.column("doc_id").take(pa.array(of)), pa.array(np.concatenate([k for k, _ in parts]).view(np.int64)),
-                                   pa.array(np.concatenate([w for _, w in parts]).astype(np.float64))], names=["doc_id", "shingle", "weight"])
+                                   pa.array(np.concatenate([w for _, w in parts]).astype(np.float64))], names=["id", "shingle", "weight"])
 
-    rows = texts.select("doc_id", "text").mapInArrow(released(explode), "doc_id long, shingle long, weight double")
-    return (rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("id"), F.min("weight").alias("weight"))
-            .where("n = 1").groupBy("id").agg(F.sum("weight").alias("own")))
+    return texts.select("doc_id", "text").mapInArrow(released(explode), "id long, shingle long, weight double")
 
 
-def _open_pairs(placed: DataFrame, texts: DataFrame, weights: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def _rare_shingles(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """``id, shingle, rest, total``: the rarest shingles of each text that others of
+    the texts have too, as far as a partner may be found by them.
+
+    All texts' shingles are put in one order, rare ones first. Two sets share no more
+    than what either weighs from their first common shingle on (``rest``), so that one
+    lies where ``rest`` is still ``threshold`` of the set's weight (``total``)."""
+    rows = _shingle_rows(texts, idf).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("shingle")))
+    ordered = Window.partitionBy("id").orderBy(F.desc("n"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"rest": F.sum("weight").over(ordered) + 1e-6, "total": F.sum("weight").over(Window.partitionBy("id"))})
+    return rows.where((F.col("n") > 1) & (F.col("rest") >= threshold * F.col("total"))).select("id", "shingle", "rest", "total")
+
+
+def _open_pairs(placed: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """The pairs of different classes of the buckets that still hold several, but
-    for those that cannot reach the threshold: two sets share no more than what
-    either of them shares with any of these texts. So copies of a template that
-    differ too much from each other are not compared pair by pair."""
+    for those that cannot reach the threshold: they meet in the rarest shingles that
+    they share, not in the buckets, where copies of a template that differ too much
+    from each other would be compared pair by pair."""
     left = materialize(_split_buckets(placed), "split-buckets")
-    ids = left.select(F.col("id").alias("doc_id")).distinct()
-    own = _own_weight(texts.join(ids, "doc_id", "left_semi"), idf)
-    room = (weights.join(own, "id", "left").withColumn("common", F.col("weight") - F.coalesce("own", F.lit(0.0)) + 1e-6)
-            .where(F.col("common") >= threshold * F.col("weight")))
-    left = materialize(left.join(room.select("id", "weight", "common"), "id"), "open")
-    other = left.select("band", "key", *[F.col(c).alias(f"other_{c}") for c in ("id", "part", "weight", "common", "sketch")])
-    least = threshold / (1 + threshold) * (F.col("weight") + F.col("other_weight"))
-    return (left.join(other, ["band", "key"])
+    own = left.groupBy("id").agg(F.first("part").alias("part"), F.first("sketch").alias("sketch"),
+                                 F.collect_set(F.struct("band", "key")).alias("buckets"))
+    own = materialize(own, "open")
+    rare = _rare_shingles(texts.join(own.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), idf, threshold)
+    rare = materialize(rare.join(own, "id"), "rare-shingles")
+    other = rare.select("shingle", *[F.col(c).alias(f"other_{c}") for c in rare.columns if c != "shingle"])
+    least = threshold / (1 + threshold) * (F.col("total") + F.col("other_total"))
+    return (rare.join(other, "shingle")
             .where((F.col("id") < F.col("other_id")) & (F.col("part") != F.col("other_part"))
-                   & (F.least("common", "other_common") >= least) & _may_agree("sketch", "other_sketch", threshold))
+                   & (F.least("rest", "other_rest") >= least) & _may_agree("sketch", "other_sketch", threshold)
+                   & F.arrays_overlap("buckets", "other_buckets"))
             .select(*_pair("id", "other_id")).distinct())
 
 
@@ -280,9 +291,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     idf = idf_table(*count_words(docs))
     signed = materialize(_signatures(docs, idf), "signatures")
     reps = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"),
-                                             F.first("weight").alias("weight"), F.first("sketch").alias("sketch"))
+                                             F.first("sketch").alias("sketch"))
     reps = materialize(reps.where("rep is not null"), "representatives")
-    weights = reps.select(F.col("rep").alias("id"), "weight")
 
     members = reps.select(F.col("rep").alias("id"), "sketch", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
@@ -296,7 +306,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
         placed = buckets if label is None else buckets.join(label, "id", "left")
         part = F.col("id") if label is None else F.coalesce("component_id", "id")
         placed = placed.select("band", "key", "id", "sketch", part.alias("part"))
-        pairs = _led_pairs(placed, r, threshold) if r < LEADERS else _open_pairs(placed, texts, weights, idf, threshold)
+        pairs = _led_pairs(placed, r, threshold) if r < LEADERS else _open_pairs(placed, texts, idf, threshold)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")

@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 from llm_data import docs, empty, rows, words  # noqa: F401  (fixtures)
 
+from stancekit.llm import minhash
 from stancekit.llm.common import components
 from stancekit.llm.embed_dedup import SmallWorld, audit, embedding_near_duplicates, search_block
 from stancekit.llm.line_dedup import remove_boilerplate
@@ -84,6 +85,35 @@ def test_near_duplicates_of_a_large_group(spark):
     assert all(got[i] == 0 for i in range(120)) and all(got[1000 + i] == 1000 + i for i in range(30))
 
 
+def test_near_duplicates_of_a_template(spark, monkeypatch):
+    """A large group whose texts lie below the threshold: few pairs are compared, no link is lost."""
+    rng = random.Random(13)
+    base = words(rng, 300).split()
+    texts = {}
+    for i in range(0, 200, 2):
+        own = list(base)
+        for k in rng.sample(range(20, 300), 8):
+            own[k] = words(rng, 1)
+        texts[i] = " ".join(own)
+        if i % 10 == 0:
+            texts[i + 1] = " ".join([words(rng, 3), *own[3:]])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    idf = idf_table(*count_words(df))
+    sets = {i: weighted_shingles(word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0], idf)
+            for i, t in texts.items()}
+    linked = {(i, j) for i in texts for j in sets if j < i and weighted_jaccard(sets[i], sets[j]) >= 0.8}
+    assert 10 < len(linked) < 40
+    compared, verify = [], minhash._verify
+    monkeypatch.setattr(minhash, "_verify", lambda pairs, *rest: compared.append(pairs.count()) or verify(pairs, *rest))
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(df).collect()}
+    of = {i: i for i in texts}
+    for _ in texts:
+        for i, j in linked:
+            of[i] = of[j] = min(of[i], of[j])
+    assert got == of
+    assert compared[-1] < 2 * len(texts)
+
+
 def brute_repeats(texts, length=100):
     seen, out = set(), {}
     for i, t in sorted(texts.items()):
