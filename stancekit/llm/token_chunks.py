@@ -19,11 +19,11 @@ other character no cut is made.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from stancekit.llm.common import text_buffers
 
@@ -36,9 +36,10 @@ _CLASS[[0x20, 0x0A]] = _BLANK
 
 # A chunk of these letters alone is one pre-token: the model can take it
 # without normaliser and pre-tokenizer.
-_PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)")
-# Chunks kept per worker process from one batch to the next.
+_PLAIN = r"\A ?[A-Za-zÀ-ÖØ-öø-ÿ]+\z"
+# Above as many known chunks per worker process, those go that came only once.
 KEEP_CHUNKS = 150_000
+_LINES = 1000  # plain chunks encoded as one text
 
 
 def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -78,41 +79,46 @@ class ChunkTokenizer:
         # Bytes that byte-level models write as another character.
         shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         rest = [b for b in range(256) if b not in shown]
-        self.shown = {b: chr(256 + i) for i, b in enumerate(rest)}
-        self._forget()
-
-    def _forget(self):
-        self.known: dict[str, int] = {}
+        of = {b: chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)}
+        if self.word_ends:  # in lower case, without the blank before
+            of |= {b: of[b + 0x20] for b in (*range(0x41, 0x5B), *range(0x80, 0x9F))} | {0x20: ""}
+        of[0x0A] = "\n"
+        self.width = np.array([len(of[b].encode()) for b in range(256)])
+        self.shown = np.frombuffer(b"".join(of[b].encode().ljust(2) for b in range(256)), np.uint8)
+        self.known = pa.array([], pa.large_string())
         self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _as_shown(self, m: re.Match) -> str:
-        word = m[2].lower() if self.word_ends else m[0]
-        if self.word_ends or not m[1]:
-            return word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
-        return "Ġ" + (m[2] if word.isascii() else m[2].encode().decode("latin-1").translate(self.shown))
-
-    def _learn(self, chunks: list[str]) -> None:
+    def _as_shown(self, plain: pa.Array) -> list[str]:
+        """Plain chunks as the model writes them, one a line, in texts of ``_LINES``."""
+        data, offsets = text_buffers(plain)
+        data = np.insert(data, offsets[1:], 0x0A)
+        width = self.width[data]
+        end = np.cumsum(width)
+        out = self.shown[np.repeat(2 * data.astype(np.int64) - (end - width), width) + np.arange(end[-1])]
+        lines = np.flatnonzero(out == 0x0A)
+        cuts = [0, *(lines[_LINES - 1:-1:_LINES] + 1).tolist(), len(out)]
+        return [out[a:b - 1].tobytes().decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _learn(self, chunks: pa.Array) -> None:
         """Encode chunks not met before and keep their ids."""
-        plain, shown, hard = [], [], []
-        for c in chunks:
-            if m := _PLAIN.fullmatch(c):
-                plain.append(c)
-                shown.append(self._as_shown(m))
-            else:
-                hard.append(c)
+        is_plain = pc.match_substring_regex(chunks, _PLAIN)
+        plain, hard = chunks.filter(is_plain), chunks.filter(pc.invert(is_plain))
         sizes, flats = [self.size], [self.flat]
-        step = 1000
-        lines = ["\n".join(shown[i:i + step]) for i in range(0, len(shown), step)]
-        for i, e in enumerate(self.plain.encode_batch(lines, add_special_tokens=False)):
-            sizes.append(np.bincount(np.asarray(e.word_ids, np.int64), minlength=min(step, len(shown) - i * step)))
+        for i, e in enumerate(self.plain.encode_batch(self._as_shown(plain) if len(plain) else [], add_special_tokens=False)):
+            sizes.append(np.bincount(np.asarray(e.word_ids, np.int64), minlength=min(_LINES, len(plain) - i * _LINES)))
             flats.append(np.asarray(e.ids, np.uint32))
-        for e in self.full.encode_batch_fast(hard, add_special_tokens=False):
+        for e in self.full.encode_batch_fast(hard.to_pylist(), add_special_tokens=False):
             sizes.append(np.asarray([len(e)], np.int64))
             flats.append(np.asarray(e.ids, np.uint32))
-        n = len(self.known)
-        self.known.update(zip(plain + hard, range(n, n + len(chunks)), strict=True))
+        self.known = pa.concat_arrays([self.known, plain, hard])
         self.size, self.flat = np.concatenate(sizes), np.concatenate(flats)
-        self.first = np.cumsum(self.size) - self.size
+
+    def _of(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known chunks, end to end, and where each chunk's end."""
+        per = self.size[code]
+        end = np.cumsum(per)
+        first = np.cumsum(self.size) - self.size
+        return self.flat[np.repeat(first[code] - (end - per), per) + np.arange(end[-1] if len(end) else 0)], end
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All token ids of the texts, end to end, and each text's number."""
@@ -123,16 +129,18 @@ class ChunkTokenizer:
         bounds = np.append(starts, len(data)).astype(np.int64)
         coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds),
                                                  pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
+        chunks, at = coded.dictionary, coded.indices.to_numpy()
+        code = pc.index_in(chunks, value_set=self.known)
+        met = code.is_valid().to_numpy(zero_copy_only=False)
+        if not met.all():
+            self._learn(chunks.filter(pa.array(~met)))
+            code = pc.index_in(chunks, value_set=self.known)
+        code = code.to_numpy()
+        ids, end = self._of(code[at])
         if len(self.known) > KEEP_CHUNKS:
-            self._forget()
-        if new := [c for c in chunks if c not in self.known]:
-            self._learn(new)
-        known = self.known
-        code = np.fromiter((known[c] for c in chunks), np.int64, len(chunks))[coded.indices.to_numpy()]
-        per = self.size[code]
-        end = np.cumsum(per)
-        ids = self.flat[np.repeat(self.first[code] - (end - per), per) + np.arange(end[-1])]
+            again = met | (np.bincount(at) > 1)
+            flat, _ = self._of(code[again])
+            self.known, self.size, self.flat = chunks.filter(pa.array(again)), self.size[code[again]], flat
         done = np.concatenate(([0], end))
         at = np.searchsorted(starts, offsets)  # chunks before each text
         return ids, np.diff(done[at])

@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from llm_data import docs, empty, rows, words  # noqa: F401  (fixtures)
+from stancekit.llm import token_chunks
 from stancekit.llm.common import shared_path
 from stancekit.llm.packing import best_two_fit, pack_documents
 from stancekit.llm.queries import tokenizer_path
@@ -22,6 +23,18 @@ def encoder(name):
     return lambda t: tok.encode(t or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_chunks_that_came_again_stay_known(name, monkeypatch):
+    monkeypatch.setattr(token_chunks, "KEEP_CHUNKS", 0)
+    tok, learned, learn = ChunkTokenizer(tokenizer_path(name)), [], ChunkTokenizer._learn
+    monkeypatch.setattr(ChunkTokenizer, "_learn", lambda self, chunks: learned.append(len(chunks)) or learn(self, chunks))
+    one = encoder(name)
+    for text in ("Größe one two one two; 17", "x one two", "y one", "z one two"):
+        ids, per = tok.ids(pa.array([text, None, text]))
+        assert ids.tolist() == one(text) * 2 and per.tolist() == [len(one(text)), 0, len(one(text))]
+    assert learned[1:] == [1, 1, 2]  # " two" goes when a slice has it not
+
+
 @pytest.mark.parametrize("name", FILES)
 def test_chunks_equal_whole_encoding(name):
     rng = random.Random(1)
