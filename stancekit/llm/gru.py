@@ -8,6 +8,8 @@ training and in scoring, and reset where a document starts.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 END, RARE = 0, 1
@@ -36,38 +38,61 @@ def pieces(docs: list[np.ndarray], size: int) -> tuple[list[np.ndarray], list[in
     return [d[a:a + size] for d, a in cuts], [int(d[a - 1]) if a else END for d, a in cuts]
 
 
-def streams(docs: list[np.ndarray], lanes: int, before: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Deal documents to parallel lanes of about equal length. ``x`` (input:
-    the word before, END at a start or what ``before`` says), ``y`` (word), ``keep``
-    (0 where the state is reset) and ``doc`` (-1 on padding), each (steps, lanes)."""
-    lanes = max(1, min(lanes, len(docs)))
-    size = np.array([len(d) for d in docs])
-    load, lane = np.zeros(lanes, np.int64), [[] for _ in range(lanes)]
-    for i in np.argsort(-size, kind="stable"):
-        k = int(load.argmin())
-        lane[k].append(int(i))
-        load[k] += size[i]
-    steps = int(load.max(initial=0))
-    x, y = np.zeros((lanes, steps), np.int32), np.zeros((lanes, steps), np.int32)
-    keep, doc = np.zeros((lanes, steps), np.float32), np.full((lanes, steps), -1, np.int32)
-    for k, own in enumerate(lane):
-        at = 0
-        for i in own:
-            n = len(docs[i])
-            y[k, at:at + n] = docs[i]
-            x[k, at] = before[i] if before else END
-            x[k, at + 1:at + n] = docs[i][:-1]
-            keep[k, at + 1:at + n] = 1
-            doc[k, at:at + n] = i
-            at += n
-    order = np.argsort(-load, kind="stable")  # the lanes in use are always the first ones
-    return tuple(np.ascontiguousarray(a[order].T) for a in (x, y, keep, doc))
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    e = np.exp(np.clip(-x, -60, 60))
-    e += 1
-    return np.reciprocal(e, out=e)
+class Lanes:
+    """Documents dealt to parallel lanes of about equal length, the longest lane
+    first, so that the lanes in use are always the first ones. Lanes lie end to end:
+    what is held grows with the words, not with the longest document."""
+
+    def __init__(self, docs: list[np.ndarray], lanes: int, before: list[int] | None = None):
+        size = np.array([len(d) for d in docs], np.int64)
+        lanes = max(1, min(lanes, len(docs)))
+        heap, lane = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
+        for i in np.argsort(-size, kind="stable").tolist():
+            load, k = heap[0]
+            lane[k].append(i)
+            heapq.heapreplace(heap, (load + int(size[i]), k))
+        load = np.zeros(lanes, np.int64)
+        for n, k in heap:
+            load[k] = n
+        order = np.argsort(-load, kind="stable")
+        self.load = load[order]
+        self.first = np.cumsum(self.load) - self.load
+        own = np.array([i for k in order for i in lane[k]], np.int64)
+        self.steps = int(load.max(initial=0))
+        self.y = np.concatenate([docs[i] for i in own] or [np.zeros(0, np.int32)]).astype(np.int32)
+        self.doc = np.repeat(own.astype(np.int32), size[own])
+        starts = (np.cumsum(size[own]) - size[own])[size[own] > 0]
+        self.x, self.keep = np.empty_like(self.y), np.ones(len(self.y), np.float32)
+        self.x[1:] = self.y[:-1]
+        self.x[starts] = [before[i] for i in own if size[i]] if before else END
+        self.keep[starts] = 0
+
+    def on(self, step: int) -> int:
+        """Lanes that have a word at this step."""
+        return int(np.searchsorted(-self.load, -step, side="left"))
+
+    def window(self, a: int, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``x`` (input: the word before, END at a start or what ``before`` says), ``y``
+        (word), ``keep`` (0 where the state is reset) and ``doc`` (-1 on padding) of the
+        lanes in use, each (steps, lanes)."""
+        on = self.on(a)
+        at = np.arange(a, min(a + steps, self.steps))[:, None]
+        there = at < self.load[:on]
+        at = np.where(there, at + self.first[:on], 0)
+        x, y, keep, doc = (v[at] for v in (self.x, self.y, self.keep, self.doc))
+        if not there.all():
+            gone = ~there
+            x[gone], y[gone], keep[gone], doc[gone] = 0, 0, 0, -1
+        return x, y, keep, doc
+
+
+def _sigmoid(x: np.ndarray) -> None:
+    """In place."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):  # infinity stands for a gate of 0
+        np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
 
 
 class Room:
@@ -87,18 +112,26 @@ class Room:
 
 
 def _run(p, gates, keep, h, room):
-    """States after each step; what backpropagation needs."""
-    shape = (*keep.shape, HIDDEN)
-    out = room.get("out", *shape)
-    before, rec_n, z, r, n = saved = [room.get(x, *shape) for x in ("before", "rec_n", "z", "r", "n")]
-    for t in range(len(keep)):
-        np.multiply(h, keep[t][:, None], out=before[t])
-        rec = before[t] @ p["wh"]
-        zr = _sigmoid(gates[t][:, :2 * HIDDEN] + rec[:, :2 * HIDDEN])
-        z[t], r[t], rec_n[t] = zr[:, :HIDDEN], zr[:, HIDDEN:], rec[:, 2 * HIDDEN:]
-        np.tanh(gates[t][:, 2 * HIDDEN:] + r[t] * rec_n[t], out=n[t])
-        h = out[t] = n[t] + z[t] * (before[t] - n[t])
-    return out, saved
+    """States after each step; what backpropagation needs. Inside, lanes are the
+    last axis, so that each gate's part of an array is one piece of memory."""
+    gates, h, wh = gates.transpose(0, 2, 1), h.T, np.ascontiguousarray(p["wh"].T)
+    steps, _, lanes = gates.shape
+    out, rec = room.get("out", steps, HIDDEN, lanes), room.get("rec", 3 * HIDDEN, lanes)
+    before, rec_n, n = [room.get(x, steps, HIDDEN, lanes) for x in ("before", "rec_n", "n")]
+    zr = room.get("zr", steps, 2 * HIDDEN, lanes)
+    for t in range(steps):
+        np.multiply(h, keep[t], out=before[t])
+        np.matmul(wh, before[t], out=rec)
+        np.add(gates[t, :2 * HIDDEN], rec[:2 * HIDDEN], out=zr[t])
+        _sigmoid(zr[t])
+        rec_n[t], m, h = rec[2 * HIDDEN:], n[t], out[t]
+        np.multiply(zr[t, HIDDEN:], rec_n[t], out=m)
+        m += gates[t, 2 * HIDDEN:]
+        np.tanh(m, out=m)
+        np.subtract(before[t], m, out=h)
+        h *= zr[t, :HIDDEN]
+        h += m
+    return out.transpose(0, 2, 1), (before, rec_n, zr, n)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -107,21 +140,32 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _states(wh, gates, keep, h):
-    """States after each step, for scoring."""
-    out = np.empty((*keep.shape, HIDDEN), np.float32)
-    for t in range(len(keep)):
-        h = h * keep[t][:, None]
-        rec = h @ wh
-        zr = _sigmoid(gates[t][:, :2 * HIDDEN] + rec[:, :2 * HIDDEN])
-        n = rec[:, 2 * HIDDEN:]
-        n *= zr[:, HIDDEN:]
-        n += gates[t][:, 2 * HIDDEN:]
-        np.tanh(n, out=n)
-        h -= n
-        h *= zr[:, :HIDDEN]
-        h += n
-        out[t] = h
-    return out
+    """States after each step, for scoring. Lanes are the last axis inside."""
+    gates, h, wh = np.ascontiguousarray(gates.transpose(0, 2, 1)), np.ascontiguousarray(h.T), np.ascontiguousarray(wh.T)
+    steps, _, lanes = gates.shape
+    out, rec, kept = np.empty((steps, HIDDEN, lanes), np.float32), np.empty((3 * HIDDEN, lanes), np.float32), np.empty_like(h)
+    zr, z, r, rec_n = rec[:2 * HIDDEN], rec[:HIDDEN], rec[HIDDEN:2 * HIDDEN], rec[2 * HIDDEN:]
+    whole = keep.all(1).tolist()
+    with np.errstate(over="ignore"):  # infinity stands for a gate of 0
+        for t in range(steps):
+            if not whole[t]:
+                h = np.multiply(h, keep[t], kept)
+            np.matmul(wh, h, rec)
+            g, new = gates[t], out[t]
+            n = g[2 * HIDDEN:]
+            zr += g[:2 * HIDDEN]
+            np.negative(zr, zr)
+            np.exp(zr, zr)
+            zr += 1
+            np.reciprocal(zr, zr)
+            rec_n *= r
+            n += rec_n
+            np.tanh(n, n)
+            np.subtract(h, n, new)
+            new *= z
+            new += n
+            h = new
+    return np.ascontiguousarray(out.transpose(0, 2, 1))
 
 
 def _shifted(w: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -144,48 +188,52 @@ def log_probs(p: dict[str, np.ndarray], docs: list[np.ndarray], lanes: int = 512
     total = np.zeros(len(docs))
     if not docs:
         return total
-    x, y, keep, doc = streams(docs, lanes)
+    dealt = Lanes(docs, lanes)
     table = p["embed"] @ p["wx"] + p["b"]
     bc, bw = _shifted(p["wc"], p["bc"]), _shifted(p["ww"], p["bw"])
-    load = (doc >= 0).sum(0)
-    h = np.zeros((x.shape[1], HIDDEN), np.float32)
+    h = np.zeros((len(dealt.load), HIDDEN), np.float32)
     a = 0
-    while a < len(x):
-        on = int((load > a).sum())
-        steps = max(WINDOW, WINDOW_WORDS // on)  # few lanes, long windows
-        w = (slice(a, a + steps), slice(0, on))
+    while a < dealt.steps:
+        steps = max(WINDOW, WINDOW_WORDS // dealt.on(a))  # few lanes, long windows
+        x, y, keep, doc = dealt.window(a, steps)
         a += steps
-        states = _states(p["wh"], table[x[w]], keep[w], h[:w[1].stop])
-        h = states[-1]
-        on = doc[w] >= 0
-        word = y[w][on]
-        order = np.argsort(word // SIDE, kind="stable")
-        s, word, of = states[on][order], word[order], doc[w][on][order]
+        states = _states(p["wh"], table[x], keep, h[:x.shape[1]])
+        h = states[-1].copy()
+        at = np.flatnonzero(doc >= 0)
+        at = at[_by_class(y.ravel()[at])]
+        s, word, of = states.reshape(-1, HIDDEN)[at], y.ravel()[at], doc.ravel()[at]
         group, within = word // SIDE, word % SIDE
         lp = _picked(s @ p["wc"] + bc, group)
-        ends = np.cumsum(np.bincount(group, minlength=SIDE))
-        for k in np.unique(group):
-            rows = slice(ends[k - 1] if k else 0, ends[k])
-            lp[rows] += _picked(s[rows] @ p["ww"][k] + bw[k], within[rows])
+        ends = np.cumsum(np.bincount(group, minlength=SIDE)).tolist()
+        for k, (first, end) in enumerate(zip([0, *ends], ends)):
+            if end > first:
+                rows = slice(first, end)
+                lp[rows] += _picked(s[rows] @ p["ww"][k] + bw[k], within[rows])
         total += np.bincount(of, lp, minlength=len(docs))
     return total
 
 
-def _softmax_minus(logit: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Gradient of the mean loss by the logits, which it overwrites."""
-    logit -= logit.max(1, keepdims=True)
-    np.exp(logit, out=logit)
-    logit /= logit.sum(1, keepdims=True)
-    logit[np.arange(len(at)), at] -= 1
-    logit /= n
-    return logit
+def _by_class(words: np.ndarray) -> np.ndarray:
+    """An order by class, of equal ones as they come."""
+    return np.argsort((words // SIDE).astype(np.uint8), kind="stable")  # small numbers are sorted by digit
+
 
+def _is_near(w: np.ndarray) -> bool:
+    """Whether a softmax of shifted logits is exact without taking off the largest
+    of each row: that one is at most twice the reach of the weights below 0."""
+    return bool(2 * np.abs(w).sum(-2).max() < 80)
 
-def _sums(rows: np.ndarray, of: np.ndarray, out: np.ndarray) -> None:
-    """Adds up the rows of each number, numbers ascending."""
-    first = np.flatnonzero(np.diff(of, prepend=-1))
-    if len(first):
-        out[of[first]] = np.add.reduceat(rows, first)
+
+def _softmax_minus(logit: np.ndarray, at: np.ndarray, n: int, near: bool) -> np.ndarray:
+    """Gradient of the mean loss by the shifted logits, which it overwrites."""
+    if not near:
+        logit -= logit.max(1, keepdims=True)
+    np.exp(logit, out=logit)
+    total = logit @ np.ones(SIDE, logit.dtype)
+    total *= n
+    logit *= np.reciprocal(total, out=total)[:, None]
+    logit[np.arange(len(at)), at] -= 1 / n
+    return logit
 
 
 def _gradients(p, x, y, keep, on, h, room):
@@ -193,62 +241,76 @@ def _gradients(p, x, y, keep, on, h, room):
     steps, lanes = x.shape
     words = steps * lanes
     g = {k: room.get(f"g_{k}", *v.shape) for k, v in p.items()}
-    for k in ("embed", "ww", "bw"):
-        g[k].fill(0)
-    inputs = np.take(p["embed"], x.ravel(), axis=0, out=room.get("inputs", words, EMBED))
-    gates = np.matmul(inputs, p["wx"], out=room.get("gates", words, 3 * HIDDEN))
-    gates += p["b"]
-    states, saved = _run(p, gates.reshape(steps, lanes, -1), keep, h, room)
+    inputs = np.take(p["embed"], x.ravel(), axis=0, out=room.get("inputs", words, EMBED), mode="clip")
+    by_lane = inputs.reshape(steps, lanes, EMBED).transpose(0, 2, 1)
+    gates = np.matmul(p["wx"].T, by_lane, out=room.get("gates", steps, 3 * HIDDEN, lanes))
+    gates += p["b"][:, None]
+    states, saved = _run(p, gates.transpose(0, 2, 1), keep, h, room)
     last, n = states[-1].copy(), max(1, int(on.sum()))
     at = np.flatnonzero(on)
-    at = at[np.argsort(y.ravel()[at] // SIDE, kind="stable")]
+    at = at[_by_class(y.ravel()[at])]
     word = y.ravel()[at]
     group, within = word // SIDE, word % SIDE
-    s = np.take(states.reshape(-1, HIDDEN), at, axis=0, out=room.get("s", len(at), HIDDEN))
-    dc = np.matmul(s, p["wc"], out=room.get("dc", len(at), SIDE))
-    dc += p["bc"]
-    _softmax_minus(dc, group, n)
-    np.matmul(s.T, dc, out=g["wc"])
-    g["bc"] = dc.sum(0)
+    s = room.get("s", len(at), HIDDEN + 1)  # with a one for the bias
+    s[:, :HIDDEN] = states.reshape(-1, HIDDEN)[at]
+    s[:, HIDDEN] = 1
+    wc, ww = [np.concatenate((p[w], _shifted(p[w], p[b])[..., None, :]), axis=-2) for w, b in (("wc", "bc"), ("ww", "bw"))]
+    dc = np.matmul(s, wc, out=room.get("dc", len(at), SIDE))
+    _softmax_minus(dc, group, n, _is_near(p["wc"]))
+    both = s.T @ dc
+    g["wc"][:], g["bc"] = both[:HIDDEN], both[HIDDEN]
     ds = np.matmul(dc, p["wc"].T, out=room.get("ds", len(at), HIDDEN))
     ends = np.cumsum(np.bincount(group, minlength=SIDE)).tolist()
     rows = [(k, slice(a, b)) for k, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
     dw = room.get("dw", len(at), SIDE)
     for k, own in rows:
-        np.matmul(s[own], p["ww"][k], out=dw[own])
-        dw[own] += p["bw"][k]
-    _softmax_minus(dw, within, n)
+        np.matmul(s[own], ww[k], out=dw[own])
+    _softmax_minus(dw, within, n, _is_near(p["ww"]))
+    d_ww, more = room.get("d_ww", *ww.shape), room.get("more", len(at), HIDDEN)
+    d_ww.fill(0)
     for k, own in rows:
-        g["bw"][k] = dw[own].sum(0)
-        np.matmul(s[own].T, dw[own], out=g["ww"][k])
-        ds[own] += dw[own] @ p["ww"][k].T
+        np.matmul(s[own].T, dw[own], out=d_ww[k])
+        np.matmul(dw[own], p["ww"][k].T, out=more[own])
+    g["ww"][:], g["bw"][:] = d_ww[:, :HIDDEN], d_ww[:, HIDDEN]
+    ds += more
     d_states = room.get("d_states", words, HIDDEN)
     d_states.fill(0)
     d_states[at] = ds
-    d_states = d_states.reshape(steps, lanes, HIDDEN)
-    before, rec, z, r, m = saved
-    back, d_gates = np.zeros_like(h), room.get("d_gates", steps, lanes, 3 * HIDDEN)
-    d_recs, wh = room.get("d_recs", steps, lanes, 3 * HIDDEN), np.ascontiguousarray(p["wh"].T)
+    ahead = room.get("ahead", steps, HIDDEN, lanes)
+    ahead[:] = d_states.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1)
+    before, rec, zr, m = saved
+    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
+    to_m, to_z, to_r, one = [room.get(k, steps, HIDDEN, lanes) for k in ("to_m", "to_z", "to_r", "one")]
+    np.subtract(1, z, out=one)
+    np.subtract(before, m, out=to_z)
+    to_z *= z
+    to_z *= one
+    np.multiply(m, m, out=to_m)
+    np.subtract(1, to_m, out=to_m)
+    to_m *= one
+    np.subtract(1, r, out=to_r)
+    to_r *= r
+    to_r *= rec
+    back, d_gates = np.zeros((HIDDEN, lanes), h.dtype), room.get("d_gates", steps, 3 * HIDDEN, lanes)
+    d_recs, mixed = room.get("d_recs", steps, 3 * HIDDEN, lanes), room.get("mixed", HIDDEN, lanes)
     for t in range(steps - 1, -1, -1):
-        back += d_states[t]
-        d, d_rec, one = d_gates[t], d_recs[t], 1 - z[t]
-        dm = d[:, 2 * HIDDEN:]
-        np.multiply(back, one, out=dm)
-        dm *= 1 - m[t] * m[t]
-        np.multiply(back * (before[t] - m[t]), z[t] * one, out=d[:, :HIDDEN])
-        np.multiply(dm * rec[t], r[t] * (1 - r[t]), out=d[:, HIDDEN:2 * HIDDEN])
-        d_rec[:, :2 * HIDDEN] = d[:, :2 * HIDDEN]
-        np.multiply(dm, r[t], out=d_rec[:, 2 * HIDDEN:])
+        back += ahead[t]
+        d, d_rec = d_gates[t], d_recs[t]
+        dm = d[2 * HIDDEN:]
+        np.multiply(back, to_m[t], out=dm)
+        np.multiply(back, to_z[t], out=d[:HIDDEN])
+        np.multiply(dm, to_r[t], out=d[HIDDEN:2 * HIDDEN])
+        d_rec[:2 * HIDDEN] = d[:2 * HIDDEN]
+        np.multiply(dm, r[t], out=d_rec[2 * HIDDEN:])
         back *= z[t]
-        back += d_rec @ wh
-        back *= keep[t][:, None]
-    np.matmul(before.reshape(-1, HIDDEN).T, d_recs.reshape(-1, 3 * HIDDEN), out=g["wh"])
-    flat = d_gates.reshape(-1, 3 * HIDDEN)
-    np.matmul(inputs.T, flat, out=g["wx"])
-    g["b"] = flat.sum(0)
-    by_word = np.argsort(x, axis=None, kind="stable")
-    d_in = np.matmul(flat, p["wx"].T, out=room.get("d_in", words, EMBED))
-    _sums(np.take(d_in, by_word, axis=0, out=inputs), x.ravel()[by_word], g["embed"])
+        back += np.matmul(p["wh"], d_rec, out=mixed)
+        back *= keep[t]
+    np.matmul(before, d_recs.transpose(0, 2, 1)).sum(0, out=g["wh"])
+    np.matmul(by_lane, d_gates.transpose(0, 2, 1)).sum(0, out=g["wx"])
+    g["b"] = d_gates.sum(2).sum(0)
+    d_in = np.matmul(d_gates.transpose(0, 2, 1), p["wx"].T, out=room.get("d_in", steps, lanes, EMBED))
+    cell = x.reshape(-1, 1) * EMBED + np.arange(EMBED)
+    g["embed"][:] = np.bincount(cell.ravel(), d_in.ravel(), p["embed"].size).reshape(p["embed"].shape)
     return g, last
 
 
@@ -266,14 +328,13 @@ def train(p: dict[str, np.ndarray], docs: list[np.ndarray], epochs: int, rate: f
     p = {k: v.copy() for k, v in p.items()}
     if not docs:
         return p
-    x, y, keep, doc = streams(*_dealt(docs, lanes))
-    load, room = (doc >= 0).sum(0), Room()
+    dealt, room = Lanes(*_dealt(docs, lanes)), Room()
     m, v, step = {k: np.zeros_like(w) for k, w in p.items()}, {k: np.zeros_like(w) for k, w in p.items()}, 0
     for _ in range(epochs):
-        h = np.zeros((x.shape[1], HIDDEN), np.float32)
-        for a in range(0, len(x), WINDOW):
-            w = (slice(a, a + WINDOW), slice(0, int((load > a).sum())))  # finished lanes leave the batch
-            g, h = _gradients(p, x[w], y[w], keep[w], doc[w] >= 0, h[:w[1].stop], room)
+        h = np.zeros((len(dealt.load), HIDDEN), np.float32)
+        for a in range(0, dealt.steps, WINDOW):
+            x, y, keep, doc = dealt.window(a, WINDOW)  # finished lanes leave the batch
+            g, h = _gradients(p, x, y, keep, doc >= 0, h[:x.shape[1]], room)
             norm = float(np.sqrt(sum(float(np.vdot(q, q)) for q in g.values())))
             scale, step = min(1.0, clip / (norm + 1e-8)), step + 1
             for k in p:

@@ -26,13 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stancekit.llm import gru
-from stancekit.llm.common import by_bytes, materialize, text_buffers
+from stancekit.llm.common import by_bytes, materialize, released, text_buffers
 from stancekit.llm.shingles import word_hashes
 
 VOCABULARY = gru.SIDE * gru.SIDE - 2
 SLICE = 4 << 20
 SHARD_BYTES = 32 << 20
 SAMPLE_SLICES, SAMPLE_TOKENS = 64, 300_000
+SCORED = 8 << 20  # bytes of codes scored at a time, at least
 PARTS = 16
 SALTS = 64  # groups in which the tasks' changes are added up first
 _IS_WORD = np.ones(256, bool)
@@ -70,7 +71,7 @@ def _slices(docs: DataFrame) -> DataFrame:
                     ("n_tokens", pa.list_(pa.int64())), ("codes", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())]))
             number += 1
 
-    return docs.mapInArrow(cut, SLICES)
+    return docs.mapInArrow(released(cut), SLICES)
 
 
 def _count_words(slices: DataFrame, shards: int) -> DataFrame:
@@ -201,7 +202,7 @@ def fit(slices: DataFrame, words: Vocabulary, start: np.ndarray) -> dict[str, np
 
     kind = "part int, task int, weight double, change binary"
     # One sum a task; the sums meet in SALTS groups of each part first, then in one.
-    moved = (slices.select("slice", "held_out", "n_tokens", "codes", "keys").mapInArrow(local, kind)
+    moved = (slices.select("slice", "held_out", "n_tokens", "codes", "keys").mapInArrow(released(local), kind)
              .groupBy("part", F.col("task") % SALTS).applyInPandas(add_up, kind)
              .groupBy("part").applyInPandas(add_up, kind).collect())
     for r in moved:
@@ -245,6 +246,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, texts, size = [], [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
@@ -256,10 +258,23 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
                 known = np.bincount(of[seen > 0], minlength=len(docs))
                 is_rare = np.concatenate(docs) == gru.RARE
                 spelled = np.bincount(of[is_rare], np.log10((seen[is_rare] + 1.0) / per_rare), minlength=len(docs))
-                full = gru.log_probs(params, docs) / np.log(10) + spelled
-                yield pa.record_batch([
+                done.append(pa.record_batch([
                     pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(row["n_tokens"], pa.int64()),
-                    pa.array(known, pa.int64()), pa.array([n] * len(docs), pa.int64()), pa.array(base), pa.array(full)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return rows.mapInArrow(score, schema)
+                    pa.array(known, pa.int64()), pa.array([n] * len(docs), pa.int64()), pa.array(base), pa.array(spelled)],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+                texts += docs
+                size += codes.nbytes
+                if size >= SCORED:
+                    yield modelled(done, texts)
+                    done, texts, size = [], [], 0
+        if done:
+            yield modelled(done, texts)
+
+    def modelled(done: list[pa.RecordBatch], texts: list[np.ndarray]) -> pa.RecordBatch:
+        """Slices are scored together, so that the steps in which only their longest
+        documents are left are taken once."""
+        rows = pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+        full = gru.log_probs(params, texts) / np.log(10) + rows.column("score").to_numpy()
+        return rows.set_column(rows.num_columns - 1, "score", pa.array(full))
+
+    return rows.mapInArrow(released(score), schema)

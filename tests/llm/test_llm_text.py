@@ -2,6 +2,7 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -163,6 +164,29 @@ def test_gru_gradients_and_state():
     assert np.allclose(gru.log_probs(p, docs, lanes=2), gru.log_probs(p, docs, lanes=64), rtol=1e-4)
 
 
+def test_gru_scores_long_documents_in_little_memory():
+    rng = np.random.default_rng(5)
+    p = gru.initial(rng.integers(1, 50, 4096))
+    docs = [rng.integers(0, 4096, n).astype(np.int32) for n in (20_000, *[3] * 600, 2500)]
+    tracemalloc.start()
+    got = gru.log_probs(p, docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20  # 512 lanes as long as the longest document would be 160 MB
+    assert np.allclose(got[[0, 1, -1]], [gru.log_probs(p, [docs[i]])[0] for i in (0, 1, -1)], rtol=1e-4)
+    dealt = gru.Lanes(docs, 512)
+    assert len(dealt.y) == sum(map(len, docs)) == dealt.load.sum() and dealt.on(3000) == 1
+
+
+def test_gru_softmax_of_far_logits():
+    rng = np.random.default_rng(6)
+    logit, at = rng.normal(-400, 100, (5, gru.SIDE)).astype(np.float32), np.arange(5)
+    far = logit.astype(np.float64) - logit.max(1, keepdims=True)
+    want = np.exp(far) / np.exp(far).sum(1, keepdims=True)
+    want[at, at] -= 1
+    assert np.allclose(gru._softmax_minus(logit, at, 2, gru._is_near(np.full((gru.HIDDEN, gru.SIDE), 9.0))), want / 2, atol=1e-5)
+
+
 def test_gru_learns_context():
     rng = np.random.default_rng(2)
     docs = [(rng.integers(2, 12, 60) + 100 * (i % 2)).astype(np.int32) for i in range(60)]
