@@ -18,7 +18,7 @@ from stancekit.session import checkpoint_dir
 
 # Texts are handed to numpy in slices of about this many bytes, so that the
 # temporaries of one slice stay small whatever the batch holds.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

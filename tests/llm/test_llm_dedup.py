@@ -1,12 +1,14 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from llm_data import docs, empty, rows, words  # noqa: F401  (fixtures)
 
 from stancekit.llm import minhash
-from stancekit.llm.common import components
+from stancekit.llm.common import by_bytes, components, release_memory, text_buffers
 from stancekit.llm.embed_dedup import SmallWorld, audit, embedding_near_duplicates, search_block
 from stancekit.llm.line_dedup import remove_boilerplate
 from stancekit.llm.minhash import count_words, drop_near_duplicates, idf_table, near_duplicates, weighted_jaccard, weighted_shingles
@@ -23,6 +25,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_slices_of_texts_take_little_memory():
+    batch = pa.record_batch([pa.array(["some words of a long text " * 400] * 800)], names=["text"])  # 8 MB
+    release_memory()
+    tracemalloc.start()
+    words = [word_hashes(*text_buffers(part.column("text")))[0] for part in by_bytes([batch], "text")]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, words)) == 800 * 2400 and peak < 96 << 20
+
+
 def test_near_duplicates(docs, empty):
     got = {(r["doc_id"]): (r["class_id"], r["kept"]) for r in near_duplicates(docs).collect()}
     assert got[1] == (1, True) and got[2] == (1, False) and got[3] == (1, False)
