@@ -187,6 +187,32 @@ def test_gru_softmax_of_far_logits():
     assert np.allclose(gru._softmax_minus(logit, at, 2, gru._is_near(np.full((gru.HIDDEN, gru.SIDE), 9.0))), want / 2, atol=1e-5)
 
 
+def test_gru_rows_in_blocks(monkeypatch):
+    rng = np.random.default_rng(7)
+    p = {k: v.astype(np.float64) for k, v in gru.initial(rng.integers(1, 50, 4096)).items()}
+    x, y = rng.integers(0, 4096, (2, 32, 128)).astype(np.int32)
+    y[:20] %= 64  # one class reaches over several blocks
+    keep, on, h = np.ones((32, 128)), rng.random((32, 128)) < 0.9, np.zeros((128, gru.HIDDEN))
+    keep[5, 3:9] = 0
+    docs = [rng.integers(0, 90, n).astype(np.int32) for n in (700, 5, 90, 33, 640, 1)]
+    single = {k: v.astype(np.float32) for k, v in p.items()}
+    got, held = {}, 0
+    for rows in (gru.ROWS, 7, 1 << 20):
+        monkeypatch.setattr(gru, "ROWS", rows)
+        room = gru.Room(np.float64)
+        g, last = gru._gradients(p, x, y, keep, on, h, room)
+        got[rows] = {**{k: v.copy() for k, v in g.items()}, "last": last, "scores": gru.log_probs(single, docs)}
+        held = held or sum(v.size for v in room._have.values())
+    assert held < 800 * x.size  # numbers a word that a window works on: they are to fit a cache
+    for rows in (7, 1 << 20):
+        for k, v in got[1024].items():
+            assert np.allclose(got[rows][k], v, rtol=1e-5, atol=1e-10), (rows, k)
+    group = np.sort(rng.integers(0, 64, 3000))
+    parts = [(k, rows.start + part.start, rows.start + part.stop) for rows, classes in gru._segments(group) for k, part in classes]
+    assert [k for k, a, b in parts for _ in range(a, b)] == group.tolist()
+    assert gru._segments(group[:0]) == []
+
+
 def test_gru_learns_context():
     rng = np.random.default_rng(2)
     docs = [(rng.integers(2, 12, 60) + 100 * (i % 2)).astype(np.int32) for i in range(60)]
