@@ -30,15 +30,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+def materialize(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back;
+    ``options`` are the writer's.
 
     Cuts the lineage: a lost executor costs a re-read of a file, not a
     recomputation of everything before it.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,6 +9,7 @@ from llm_data import docs, empty, rows, words  # noqa: F401  (fixtures)
 
 from stancekit.llm import minhash
 from stancekit.llm.common import by_bytes, components, release_memory, text_buffers
+from stancekit.llm import embed_dedup
 from stancekit.llm.embed_dedup import SmallWorld, audit, embedding_near_duplicates, search_block
 from stancekit.llm.line_dedup import remove_boilerplate
 from stancekit.llm.minhash import count_words, drop_near_duplicates, idf_table, near_duplicates, weighted_jaccard, weighted_shingles
@@ -250,6 +251,34 @@ def test_links_of_a_repeated_row(spark):
     assert sorted((r["vec_id"], r["n_links"]) for r in got) == [(0, 2), (0, 2), (1, 2), (2, 2), (3, 0), (3, 0)]
 
 
+def test_graphs_are_not_shuffled(spark, monkeypatch):
+    """Shards of a label meet without a graph in any shuffle, in one round or in many."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(30, 16))
+    vecs = np.array([centre[i % 30] + rng.normal(scale=0.1, size=16) for i in range(240)]).astype(np.float32)
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(vecs)] + [(300, vecs[0].tolist(), 0), (0, vecs[0].tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    v = np.array([r[1] for r in rows[:241]])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = (v @ v.T >= 0.93) & (np.array([r[2] for r in rows[:241]]) == np.array([[r[2]] for r in rows[:241]]))
+    want = {rows[i][0]: int(near[i].sum()) - 1 for i in range(241)}
+    plans, made = [], embed_dedup.materialize
+
+    def watched(df, name, **options):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return made(df, name, **options)
+
+    monkeypatch.setattr(embed_dedup, "materialize", watched)
+    monkeypatch.setattr(embed_dedup, "SHARD_ROWS", 25)
+    monkeypatch.setattr(embed_dedup, "BLOCK_ROWS", 5)
+    for size in (1, 48 << 20):
+        monkeypatch.setattr(embed_dedup, "ROUND_BYTES", size, raising=False)
+        got = {r["vec_id"]: r["n_links"] for r in embedding_near_duplicates(df).collect()}
+        assert got == want and sum(want.values()) > 500
+    reading = [p for p in plans if any("Relation" in line and "graph#" in line for line in p.split("\n"))]
+    assert reading and not any("Join" in p or "Repartition" in p for p in reading)
+
+
 def test_audit_is_not_covered_by_a_large_group():
     large = set(range(1000))
     assert audit([large] * 30 + [set()] * 2, [large] * 30 + [{1, 2}, {3}]) == 0.0
