@@ -3,56 +3,62 @@
 A generated ``CASE`` chain (``rules.rule_label``) tests every text against every
 trigger, which ends at some hundred triggers. Here the lexicon is a table. A
 text that contains a trigger also contains each of its grams (runs of
-``GRAM`` characters; a shorter trigger is its own gram), so triggers are looked up
+``GRAM`` bytes; a shorter trigger is its own gram), so triggers are looked up
 by one gram each, the one counted least in the texts, and only texts that hold it
 are searched for the trigger.
 
 Grams are 64-bit hashes. The count that chooses among a trigger's grams is kept
-in hashed cells, and a bitmap of the chosen grams, both of bounded size, goes to
-every task. So of the grams of every position of every text only those are
-shuffled that some trigger is looked up by, and the few that share a bit with one.
-Equal hashes, cells or bits of different grams cost a search more, never a result.
+in hashed cells of bounded size. The lexicon goes to the tasks in rounds of
+bounded size, and each text is searched where it lies: at every place that holds
+a gram of some trigger the trigger is compared in full. So neither the grams nor
+the pairs of text and trigger, of which there can be very many more than texts,
+are ever written or shuffled; what a round leaves of a text is a count and the
+first trigger. Equal hashes, cells or bits of different grams cost a search
+more, never a result.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-GRAM = 12
-HOT_SHARE = 1000  # a gram with more than this part of all rows is hot; so there are fewer than this many
-SALTS = 32
+GRAM = 12  # bytes
+HOT_SHARE = 1000  # pairs of a place and a trigger are compared in portions of 2 ** 28 over this, however hot a gram is
 SLICE = 1 << 20  # text bytes looked at together
 COUNT_BITS = (18, 22)  # cells of the gram counts: 256 a trigger, within these powers of two
-MARK_BITS = (18, 28)  # bits of the bitmap, likewise
-CHUNK = 1 << 14  # cells, and bytes of the bitmap, that travel in one row
+MARK_BITS = (18, 25)  # bits of the bitmap of a round's grams, likewise
+CHUNK = 1 << 14  # cells that travel in one row
+ROUND_BYTES = 128 << 20  # of the lexicon sent to the tasks together
+WORD = 8  # bytes compared at once
 
 Write = Callable[[DataFrame, str], DataFrame]
 
 
-def _code_points(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Runs of whole rows with the code points of their texts, one after
-    the other, and where each text begins. Null counts as empty."""
+def _texts(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of whole rows with the UTF-8 bytes of their texts, one after the
+    other, and where each text begins. Null counts as empty."""
     for batch in batches:
-        raw = pc.cast(batch.column(column), pa.large_binary())
-        part = (np.cumsum(pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False), dtype=np.int64) - 1) // SLICE
-        cuts = np.flatnonzero(np.diff(part)) + 1
+        raw = pc.fill_null(pc.cast(batch.column(column), pa.large_binary()), b"")
+        _, offsets, data = raw.buffers()
+        ends = np.frombuffer(offsets, np.int64)[raw.offset:raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        cuts = np.flatnonzero(np.diff((ends[1:] - ends[0] - 1) // limit)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            texts = [(x or b"").decode("utf-8", "replace") for x in raw.slice(int(a), int(b - a)).to_pylist()]
-            points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-            yield batch.slice(int(a), int(b - a)), points, np.cumsum([0, *map(len, texts)], dtype=np.int64)
+            yield batch.slice(int(a), int(b - a)), data[ends[a]:ends[b]], ends[a:b + 1] - ends[a]
 
 
-def _grams(points: np.ndarray, first: np.ndarray, sizes: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each size: the row and the hash of every gram of so many characters."""
+def _places(points: np.ndarray, first: np.ndarray, sizes: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each size: the place, the row and the hash of every gram of so many bytes (or other ``points``)."""
     size = np.diff(first)
     row, room = np.repeat(np.arange(len(size)), size), np.repeat(first[1:], size) - np.arange(len(points))
     values, h = points.astype(np.uint64) + np.uint64(1), np.zeros(len(points), np.uint64)
@@ -63,7 +69,12 @@ def _grams(points: np.ndarray, first: np.ndarray, sizes: Sequence[int]) -> Itera
             at = np.flatnonzero(room[:n] >= k)
             x = h[at] + np.uint64(k)
             x = (x ^ (x >> np.uint64(31))) * np.uint64(0xC4CEB9FE1A85EC53)
-            yield k, row[at], x ^ (x >> np.uint64(33))
+            yield k, at, row[at], x ^ (x >> np.uint64(33))
+
+
+def _grams(points: np.ndarray, first: np.ndarray, sizes: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Likewise, without the place."""
+    return ((k, row, grams) for k, _, row, grams in _places(points, first, sizes))
 
 
 def _bits(n: int, bounds: tuple[int, int]) -> int:
@@ -80,16 +91,18 @@ def gram_counts(texts: DataFrame, sizes: Sequence[int], bits: int) -> np.ndarray
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
-        for _, points, first in _code_points(batches, "__text"):
+        for _, points, first in _texts(batches, "__text"):
             for _, _, grams in _grams(points, first, sizes):
                 np.add.at(total, _cell(grams, bits), 1)
         chunks = [c for c in range(-(-len(total) // CHUNK)) if total[c * CHUNK:(c + 1) * CHUNK].any()]
         if chunks:
-            parts = [zlib.compress(total[c * CHUNK:(c + 1) * CHUNK].tobytes(), 1) for c in chunks]
+            total = np.minimum(total, 2**31 - 1).astype(np.int32)
+            # Bytes of equal place lie together, which packs better.
+            parts = [zlib.compress(total[c * CHUNK:(c + 1) * CHUNK].view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for c in chunks]
             yield pa.record_batch([pa.array(chunks, pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "counts"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in rows["counts"])
+        total = sum(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel().astype(np.int64) for x in rows["counts"])
         return pd.DataFrame({"chunk": rows["chunk"].iloc[:1].to_numpy(), "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
     schema = "chunk int, counts binary"
@@ -100,59 +113,144 @@ def gram_counts(texts: DataFrame, sizes: Sequence[int], bits: int) -> np.ndarray
 
 
 def rarest_gram(entries: DataFrame, counts: np.ndarray, sizes: Sequence[int]) -> DataFrame:
-    """``entries`` with ``gram``: of each trigger the gram that is counted least. A
-    trigger with a gram that is counted nowhere occurs nowhere and is left out."""
+    """``entries`` with ``gram``, of each trigger the gram that is counted least, and ``at``,
+    its place. A trigger with a gram that is counted nowhere occurs nowhere and is left out."""
     bits = len(counts).bit_length() - 1
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, points, first in _code_points(batches, "trigger"):
+        for batch, points, first in _texts(batches, "trigger"):
             own = np.minimum(np.diff(first), GRAM)
-            found = [(row[fit], grams[fit]) for k, row, grams in _grams(points, first, sizes) for fit in [own[row] == k]]
+            found = [(at[fit], row[fit], grams[fit]) for k, at, row, grams in _places(points, first, sizes) for fit in [own[row] == k]]
             if not found:
                 continue
-            row, grams = (np.concatenate(x) for x in zip(*found, strict=True))
+            at, row, grams = (np.concatenate(x) for x in zip(*found, strict=True))
             often = counts[_cell(grams, bits)]
             order = np.lexsort((grams, often, row))
             order = order[np.diff(row[order], prepend=-1) > 0]
             order = order[often[order] > 0]
             kept = batch.take(pa.array(row[order]))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(grams[order].view(np.int64))], names=[*kept.schema.names, "gram"])
-
-    return entries.mapInArrow(choose, StructType([*entries.schema.fields, StructField("gram", LongType())]))
-
-
-def gram_marks(index: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of the cells of the grams that triggers are looked up by, built in
-    pieces of ``CHUNK`` bytes."""
-
-    def mark(rows: pd.DataFrame) -> pd.DataFrame:
-        own = np.zeros(8 * CHUNK, np.uint8)
-        own[rows["cell"].to_numpy() % (8 * CHUNK)] = 1
-        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1].to_numpy(), "marks": [zlib.compress(np.packbits(own).tobytes(), 1)]})
-
-    cells = index.select(F.shiftrightunsigned("gram", 64 - bits).alias("cell")).distinct()
-    cells = cells.withColumn("chunk", F.floor(F.col("cell") / (8 * CHUNK)).cast("int"))
-    table = np.zeros(max(1, (1 << bits) // 8 // CHUNK) * CHUNK, np.uint8)
-    for r in cells.groupBy("chunk").applyInPandas(mark, "chunk int, marks binary").collect():  # 2 ** bits bits
-        table[r["chunk"] * CHUNK:(r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(r["marks"]), np.uint8)
-    return table
-
-
-def held_grams(texts: DataFrame, marks: np.ndarray, sizes: Sequence[int], bits: int) -> DataFrame:
-    """``__id, gram``: the marked grams of each text, once each."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, points, first in _code_points(batches, "__text"):
-            for _, row, grams in _grams(points, first, sizes):
-                cell = _cell(grams, bits)
-                at = np.flatnonzero(marks[cell >> 3] & (np.uint8(128) >> (cell & 7).astype(np.uint8)))
-                at = at[np.lexsort((grams[at], row[at]))]
-                new = (np.diff(row[at], prepend=-1) != 0) | (np.diff(grams[at], prepend=np.uint64(0)) != 0)
-                at = at[new]
-                yield pa.RecordBatch.from_arrays([batch.column("__id").take(pa.array(row[at])), pa.array(grams[at].view(np.int64))],
-                                                 names=["__id", "gram"])
-
-    return texts.mapInArrow(find, StructType([texts.schema["__id"], StructField("gram", LongType())]))
+            place = (at[order] - first[row[order]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(grams[order].view(np.int64)), pa.array(place)], names=[*kept.schema.names, "gram", "at"])
+
+    return entries.mapInArrow(choose, StructType([*entries.schema.fields, StructField("gram", LongType()), StructField("at", IntegerType())]))
+
+
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    text = np.concatenate((text, np.zeros(WORD, np.uint8)))
+    return np.ndarray(len(text) - WORD + 1, np.dtype("<u8"), text, strides=(1,))
+
+
+class Round:
+    """Part of the lexicon in the order of the triggers' rank, to be searched for in texts."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        _, self.text, first = next(_texts(rows.select(["trigger"]).to_batches(), "trigger", 1 << 62))
+        self.size, self.first = np.diff(first).astype(np.int32), first[:-1].astype(np.int32)
+        self.at = rows.column("at").to_numpy()
+        self.ranked = pa.table({"priority": rows.column("priority"), "label": rows.column("label").combine_chunks().dictionary_encode()})
+        self.sizes = sorted(set(np.minimum(self.size, GRAM).tolist()))
+        grams = rows.column("gram").to_numpy().view(np.uint64)
+        self.order = np.argsort(grams, kind="stable").astype(np.int32)
+        self.grams, start, count = np.unique(grams[self.order], return_index=True, return_counts=True)
+        self.start, self.count = start.astype(np.int32), count.astype(np.int32)
+        self.bits = _bits(len(rows), MARK_BITS)
+        marks = np.zeros(1 << self.bits, np.uint8)
+        marks[_cell(self.grams, self.bits)] = 1
+        self.marks = np.packbits(marks)
+
+    def held(self, points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, row and number of each gram in the texts that some trigger is looked up by."""
+        found = []
+        for _, at, row, grams in _places(points, first, self.sizes):
+            cell = _cell(grams, self.bits)
+            some = np.flatnonzero(self.marks[cell >> 3] & (np.uint8(128) >> (cell & 7).astype(np.uint8)))
+            number = np.minimum(np.searchsorted(self.grams, grams[some]), len(self.grams) - 1)
+            same = self.grams[number] == grams[some]
+            found.append((at[some[same]], row[some[same]], number[same]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+    def pairs(self, points: np.ndarray, first: np.ndarray, held: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Row and rank of each trigger that a text contains, once each."""
+        at, row, number = held
+        words, end, found = _words(points), np.cumsum(self.count[number], dtype=np.int64), [np.zeros(0, np.int64)]
+        portion, total = max(1, (1 << 28) // HOT_SHARE), int(end[-1]) if len(end) else 0
+        for a in range(0, total, portion):
+            pair = np.arange(a, min(a + portion, total))
+            of = np.searchsorted(end, pair, side="right")
+            trigger = self.order[self.start[number[of]] + pair - (end[of] - self.count[number[of]])]
+            begin, line = at[of] - self.at[trigger], row[of]
+            some = np.flatnonzero((begin >= first[line]) & (begin + self.size[trigger] <= first[line + 1]))
+            some = some[self.alike(words, begin[some], trigger[some])]
+            found.append(np.unique(line[some] * len(self.size) + trigger[some]))
+        return np.divmod(np.unique(np.concatenate(found)), max(1, len(self.size)))
+
+    def alike(self, words: np.ndarray, begin: np.ndarray, trigger: np.ndarray) -> np.ndarray:
+        """Which of these places hold their trigger, by every byte."""
+        alike, size, done = np.ones(len(begin), bool), self.size[trigger], 0
+        left = np.arange(len(begin))
+        while len(left):
+            # The last number overlaps with the one before it; of a trigger shorter than one only its own bytes count.
+            here = np.clip(size[left] - WORD, 0, done)
+            differ = words[begin[left] + here] ^ self.words[self.first[trigger[left]] + here]
+            same = differ << (8 * np.maximum(WORD - size[left], 0)).astype(np.uint64) == 0
+            alike[left[~same]] = False
+            done += WORD
+            left = left[same & (size[left] > done)]
+        return alike
+
+    @functools.cached_property
+    def words(self) -> np.ndarray:
+        return _words(self.text)
+
+    @functools.cached_property
+    def gram_of(self) -> np.ndarray:
+        number = np.empty(len(self.size), np.int64)
+        number[self.order] = np.repeat(np.arange(len(self.grams)), self.count)
+        return number
+
+    def found(self, ids: pa.Array, owner: np.ndarray, points: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        """``__id, priority, trigger, label, n`` of the owners of texts with a trigger: the first of these and how many.
+        Of texts with one owner each that contains a trigger counts once for each that holds its gram."""
+        held = self.held(points, first)
+        row, rank = self.pairs(points, first, held)
+        own, times = owner[row], np.ones(len(row), np.int64)
+        if len(ids) < len(owner):
+            line, number = np.divmod(np.unique(held[1] * len(self.grams) + held[2]), len(self.grams))
+            holds, lines = np.unique(owner[line] * len(self.grams) + number, return_counts=True)
+            times = lines[np.searchsorted(holds, own * len(self.grams) + self.gram_of[rank])]
+        order = np.lexsort((rank, own))
+        new = np.flatnonzero(np.diff(own[order], prepend=-1))
+        n = np.add.reduceat(times[order], new) if len(new) else new
+        rank = rank[order][new]
+        best = self.ranked.take(pa.array(rank)).combine_chunks()
+        trigger = [self.text[a:a + n].tobytes().decode() for a, n in zip(self.first[rank], self.size[rank], strict=True)]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(own[order][new])), _array(best.column("priority")), pa.array(trigger, pa.string()),
+                                           pc.cast(_array(best.column("label")), pa.string()), pa.array(n, pa.int64())],
+                                          names=["__id", "priority", "trigger", "label", "n"])
+
+
+def _array(x: pa.ChunkedArray) -> pa.Array:
+    return x.combine_chunks() if x.num_chunks != 1 else x.chunk(0)
+
+
+def _search(sent: Broadcast) -> Callable:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, points, first in _texts(batches, "__text"):
+            yield sent.value.found(batch.column("__id"), np.arange(batch.num_rows), points, first)
+
+    return search
+
+
+def _search_group(sent: Broadcast) -> Callable:
+    """Texts of one id."""
+
+    def search(rows: pa.Table) -> pa.Table:
+        batch, points, first = next(_texts(rows.combine_chunks().to_batches(), "__text", 1 << 62))
+        return pa.Table.from_batches([sent.value.found(batch.column("__id")[:1], np.zeros(batch.num_rows, np.int64), points, first)])
+
+    return search
 
 
 def match_lexicon(texts: DataFrame, lexicon: DataFrame, write: Write, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -165,36 +263,37 @@ def match_lexicon(texts: DataFrame, lexicon: DataFrame, write: Write, id_col: st
     as they are, as in ``rule_label``; null and empty triggers are left out, and of
     a trigger given twice the entry of lowest priority (then label) counts. Ids
     must be unique and not null. ``write(df, name)`` stores a table in the shared
-    folder and reads it back. Grams that very many texts hold are salted, so
-    that no task gets all texts of one.
+    folder and reads it back.
     """
     own = texts.select(F.col(id_col).alias("__id"), F.lower(F.col(text_col)).alias("__text"))
     entries = (lexicon.where("trigger <> ''").groupBy("trigger").agg(F.min(F.struct("priority", "label")).alias("best"))
                .select("trigger", "best.priority", "best.label"))
     entries = write(entries, "lexicon")
-    sizes = [r.size for r in entries.select(F.least(F.char_length("trigger"), F.lit(GRAM)).alias("size")).distinct().collect()]  # GRAM at most
+    sizes = [r.size for r in entries.select(F.least(F.octet_length("trigger"), F.lit(GRAM)).alias("size")).distinct().collect()]  # GRAM at most
     if not sizes:
         return texts.select(F.col(id_col), F.lit("neutral").alias("label"), F.lit(None).cast("string").alias("trigger"),
                             F.lit(0).cast("long").alias("n_triggers"))
     n = entries.count()
     index = write(rarest_gram(entries, gram_counts(own, sizes, _bits(n, COUNT_BITS)), sizes), "trigger-index")
-    bits = _bits(n, MARK_BITS)
-    held = write(held_grams(own, gram_marks(index, bits), sizes, bits), "text-grams")
-    pairs = _pairs(held, index)
-    found = (pairs.join(own, "__id").where(F.col("__text").contains(F.col("trigger"))).groupBy("__id")
-             .agg(F.min(F.struct("priority", "trigger", "label")).alias("first"), F.count(F.lit(1)).alias("n")))
+    size = index.agg(F.sum(F.octet_length("trigger") + 48).alias("bytes")).first()["bytes"] or 0
+    rounds = -(-size // ROUND_BYTES)
+    own = own.where(F.col("__id").isNotNull())
+    repeated = own.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id")
+    several = None if repeated.isEmpty() else write(repeated, "repeated-ids")
+    once, several = (own, None) if several is None else (own.join(several, "__id", "left_anti"), own.join(several, "__id", "left_semi"))
+    fields = {x.name: x for x in entries.schema.fields}
+    schema = StructType([own.schema["__id"], fields["priority"], fields["trigger"], fields["label"], StructField("n", LongType())])
+    found = texts.sparkSession.createDataFrame([], schema)
+    for k in range(rounds):
+        part = index.where(F.pmod(F.xxhash64("trigger"), F.lit(rounds)) == k).orderBy(F.col("priority").asc_nulls_first(), "trigger").toArrow()  # ROUND_BYTES
+        if not part.num_rows:
+            continue
+        sent = texts.sparkSession.sparkContext.broadcast(Round(part))
+        found = found.union(write(once.mapInArrow(_search(sent), schema), "text-grams"))
+        if several is not None:
+            found = found.union(write(several.groupBy("__id").applyInArrow(_search_group(sent), schema), "text-grams"))
+        sent.destroy()
+    found = found.groupBy("__id").agg(F.min(F.struct("priority", "trigger", "label")).alias("first"), F.sum("n").alias("n"))
     return texts.select(F.col(id_col)).join(found, F.col(id_col) == F.col("__id"), "left").select(
         F.col(id_col), F.coalesce("first.label", F.lit("neutral")).alias("label"), F.col("first.trigger").alias("trigger"),
         F.coalesce("n", F.lit(0)).alias("n_triggers"))
-
-
-def _pairs(held: DataFrame, index: DataFrame) -> DataFrame:
-    """``__id, trigger, priority, label``: texts and the triggers to search them for."""
-    rows = held.count()
-    often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > rows / HOT_SHARE)
-    names = [r.gram for r in often.collect()]  # fewer than HOT_SHARE
-    is_hot = F.col("gram").isin(names) if names else F.lit(False)
-    held = held.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("__id"), F.lit(SALTS))).otherwise(0).cast("int"))
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    index = index.withColumn("salt", F.explode(salts))
-    return held.join(index, ["gram", "salt"]).select("__id", "trigger", "priority", "label")

@@ -86,6 +86,51 @@ def test_grams_are_filtered_before_any_shuffle(spark):
     assert rows["text-grams"] < 60  # 20 texts with a trigger each, 12,000 positions
 
 
+def test_pairs_are_not_shuffled(spark, monkeypatch):
+    """Every text contains every trigger: what is written of a text is one row a round."""
+    words = [f"word{i:03d} of all texts" for i in range(90)]
+    texts = [(i, " ".join(random.Random(i).sample(words, 90))) for i in range(40)]
+    triggers = [("pro" if i % 3 else "contra", i // 2, w) for i, w in enumerate(words)]
+    rows, plans = [], []
+
+    def write(d, name):
+        out = stored(d, name)
+        if name not in ("lexicon", "trigger-index"):
+            rows.append(out.count())
+        return out
+
+    df = spark.createDataFrame(texts, "id long, text string")
+    lex = spark.createDataFrame(triggers, "label string, priority long, trigger string")
+    for size in (1 << 20, 5000):
+        monkeypatch.setattr(L, "ROUND_BYTES", size, raising=False)
+        rows.clear()
+        out = L.match_lexicon(df, lex, write)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        assert {r.id: (r.label, r.trigger, r.n_triggers) for r in out.collect()} == nested_loop(texts, triggers)
+        assert sum(rows) <= len(texts) * len(rows) and (len(rows) > 1) == (size == 5000)
+    assert all(p.count("Join") == 1 for p in plans)  # with the texts' ids only
+
+
+def test_rounds_and_odd_lexicons(spark, monkeypatch):
+    """Triggers from one character to longer than most texts, in rounds, with places cut into portions."""
+    monkeypatch.setattr(L, "ROUND_BYTES", 4000, raising=False)
+    monkeypatch.setattr(L, "HOT_SHARE", 10_000_000)
+    texts, triggers = made(random.Random(9), 80, 300)
+    triggers += [("pro", None, "ab"), ("contra", None, "no"), (None, 1, "x"), ("pro", 2, texts[4][1].lower()), ("pro", 1, "😀é"), ("contra", 9, "é" * 40)]
+    texts += [(900, "aéé" + "é" * 40 + "😀É"), (901, "😀"), (902, "é" * 39)]
+    want = nested_loop(texts, [(label, -1 if p is None else p, t) for label, p, t in triggers if label])
+    got = matched(spark, texts, [t for t in triggers if t[0]])
+    assert got == want
+    assert matched(spark, [(1, "x")], triggers)[1] == ("neutral", "x", sum(t == "x" for t in {t for *_, t in triggers}))
+
+
+def test_texts_of_one_id(spark):
+    """Ids should be unique. Where they are not, a trigger counts once for each text of
+    the id that contains it and each that holds its gram, as it always has."""
+    got = matched(spark, [(1, "one two"), (1, "one two"), (1, "three"), (2, "two"), (None, "two"), (None, "two")], [("pro", 1, "two"), ("contra", 0, "three")])
+    assert got == {1: ("contra", "three", 5), 2: ("pro", "two", 1), None: ("neutral", None, 0)}
+
+
 def test_grams_of_code_points():
     texts = ["aé😀", "", "b"]
     points = L.np.frombuffer("".join(texts).encode("utf-32-le"), L.np.uint32)
