@@ -2,10 +2,9 @@
 
 A generated ``CASE`` chain (``rules.rule_label``) tests every text against every
 trigger, which ends at some hundred triggers. Here the lexicon is a table. A
-text that contains a trigger also contains each of its grams (runs of
-``GRAM`` bytes; a shorter trigger is its own gram), so triggers are looked up
-by one gram each, the one counted least in the texts, and only texts that hold it
-are searched for the trigger.
+text that contains a trigger also contains each of its grams (runs of bytes of
+one of a few sizes), so triggers are looked up by one gram each, the one counted
+least in the texts, and only texts that hold it are searched for the trigger.
 
 Grams are 64-bit hashes. The count that chooses among a trigger's grams is kept
 in hashed cells of bounded size. The lexicon goes to the tasks in rounds of
@@ -32,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-GRAM = 12  # bytes
+GRAMS = (1, 2, 4, 8, 12)  # bytes; a trigger is looked up by one of the largest size that it has
 HOT_SHARE = 1000  # pairs of a place and a trigger are compared in portions of 2 ** 28 over this, however hot a gram is
 SLICE = 1 << 20  # text bytes looked at together
 COUNT_BITS = (18, 22)  # cells of the gram counts: 256 a trigger, within these powers of two
 MARK_BITS = (18, 25)  # bits of the bitmap of a round's grams, likewise
 CHUNK = 1 << 14  # cells that travel in one row
-ROUND_BYTES = 128 << 20  # of the lexicon sent to the tasks together
+ROUND_BYTES = 96 << 20  # of the lexicon sent to the tasks together
 WORD = 8  # bytes compared at once
 
 Write = Callable[[DataFrame, str], DataFrame]
@@ -77,6 +76,11 @@ def _grams(points: np.ndarray, first: np.ndarray, sizes: Sequence[int]) -> Itera
     return ((k, row, grams) for k, _, row, grams in _places(points, first, sizes))
 
 
+def _gram_size(size: np.ndarray) -> np.ndarray:
+    """Of triggers of so many bytes."""
+    return np.array(GRAMS)[np.searchsorted(GRAMS, size, side="right") - 1]
+
+
 def _bits(n: int, bounds: tuple[int, int]) -> int:
     return min(max(int(256 * n).bit_length(), bounds[0]), bounds[1])
 
@@ -119,7 +123,7 @@ def rarest_gram(entries: DataFrame, counts: np.ndarray, sizes: Sequence[int]) ->
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, points, first in _texts(batches, "trigger"):
-            own = np.minimum(np.diff(first), GRAM)
+            own = _gram_size(np.diff(first))
             found = [(at[fit], row[fit], grams[fit]) for k, at, row, grams in _places(points, first, sizes) for fit in [own[row] == k]]
             if not found:
                 continue
@@ -146,11 +150,11 @@ class Round:
 
     def __init__(self, rows: pa.Table):
         rows = rows.combine_chunks()
-        _, self.text, first = next(_texts(rows.select(["trigger"]).to_batches(), "trigger", 1 << 62))
+        _, self.text, first = next(_texts(rows.select(["trigger"]).to_batches(), "trigger", 1 << 62), (None, np.zeros(0, np.uint8), np.zeros(1, np.int64)))
         self.size, self.first = np.diff(first).astype(np.int32), first[:-1].astype(np.int32)
         self.at = rows.column("at").to_numpy()
         self.ranked = pa.table({"priority": rows.column("priority"), "label": rows.column("label").combine_chunks().dictionary_encode()})
-        self.sizes = sorted(set(np.minimum(self.size, GRAM).tolist()))
+        self.sizes = np.unique(_gram_size(self.size)).tolist()
         grams = rows.column("gram").to_numpy().view(np.uint64)
         self.order = np.argsort(grams, kind="stable").astype(np.int32)
         self.grams, start, count = np.unique(grams[self.order], return_index=True, return_counts=True)
@@ -163,7 +167,7 @@ class Round:
     def held(self, points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place, row and number of each gram in the texts that some trigger is looked up by."""
         found = []
-        for _, at, row, grams in _places(points, first, self.sizes):
+        for _, at, row, grams in _places(points, first, self.sizes) if self.sizes else ():
             cell = _cell(grams, self.bits)
             some = np.flatnonzero(self.marks[cell >> 3] & (np.uint8(128) >> (cell & 7).astype(np.uint8)))
             number = np.minimum(np.searchsorted(self.grams, grams[some]), len(self.grams) - 1)
@@ -235,6 +239,11 @@ def _array(x: pa.ChunkedArray) -> pa.Array:
     return x.combine_chunks() if x.num_chunks != 1 else x.chunk(0)
 
 
+def _sent(part: DataFrame) -> Broadcast:
+    rows = part.orderBy(F.col("priority").asc_nulls_first(), "trigger").toArrow()  # ROUND_BYTES
+    return part.sparkSession.sparkContext.broadcast(Round(rows))
+
+
 def _search(sent: Broadcast) -> Callable:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, points, first in _texts(batches, "__text"):
@@ -269,7 +278,8 @@ def match_lexicon(texts: DataFrame, lexicon: DataFrame, write: Write, id_col: st
     entries = (lexicon.where("trigger <> ''").groupBy("trigger").agg(F.min(F.struct("priority", "label")).alias("best"))
                .select("trigger", "best.priority", "best.label"))
     entries = write(entries, "lexicon")
-    sizes = [r.size for r in entries.select(F.least(F.octet_length("trigger"), F.lit(GRAM)).alias("size")).distinct().collect()]  # GRAM at most
+    largest = F.array_max(F.filter(F.array(*map(F.lit, GRAMS)), lambda x: x <= F.octet_length("trigger")))
+    sizes = sorted(r.size for r in entries.select(largest.alias("size")).distinct().collect())  # as many as ``GRAMS`` at most
     if not sizes:
         return texts.select(F.col(id_col), F.lit("neutral").alias("label"), F.lit(None).cast("string").alias("trigger"),
                             F.lit(0).cast("long").alias("n_triggers"))
@@ -285,10 +295,7 @@ def match_lexicon(texts: DataFrame, lexicon: DataFrame, write: Write, id_col: st
     schema = StructType([own.schema["__id"], fields["priority"], fields["trigger"], fields["label"], StructField("n", LongType())])
     found = texts.sparkSession.createDataFrame([], schema)
     for k in range(rounds):
-        part = index.where(F.pmod(F.xxhash64("trigger"), F.lit(rounds)) == k).orderBy(F.col("priority").asc_nulls_first(), "trigger").toArrow()  # ROUND_BYTES
-        if not part.num_rows:
-            continue
-        sent = texts.sparkSession.sparkContext.broadcast(Round(part))
+        sent = _sent(index.where(F.pmod(F.xxhash64("trigger"), F.lit(rounds)) == k))
         found = found.union(write(once.mapInArrow(_search(sent), schema), "text-grams"))
         if several is not None:
             found = found.union(write(several.groupBy("__id").applyInArrow(_search_group(sent), schema), "text-grams"))
